@@ -17,6 +17,10 @@ FRAME_EVENT_SCHEMA = T.StructType([
     T.StructField("camera_id", T.StringType()),
 ])
 
+# Parsing adds a column that holds the text of a malformed record, so one
+# from_json tells both the fields and whether the JSON was well formed.
+CORRUPT_FIELD = "_corrupt"
+
 RESULT_EVENT_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("camera_id", T.StringType()),
@@ -38,8 +42,11 @@ def is_json(value) -> Column:
 
 def parse_frame_event(value, schema: T.StructType = FRAME_EVENT_SCHEMA) -> Column:
     """B1: JSON text (or Kafka value bytes) to a struct. Malformed text gives
-    a struct of NULLs, which ``bad_record_reason`` reports."""
-    return F.from_json(_c(value).cast("string"), schema)
+    NULL fields and the text in ``_corrupt``, which ``bad_record_reason``
+    reports."""
+    with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT_FIELD, T.StringType())])
+    return F.from_json(_c(value).cast("string"), with_corrupt,
+                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_FIELD})
 
 
 def parse_event_time(text) -> Column:
@@ -91,11 +98,12 @@ def result_envelope(timestamp, camera_id, image_b64, prediction) -> Column:
         {"ignoreNullFields": "false"})
 
 
-def bad_record_reason(value, parsed="_ev") -> Column:
+def bad_record_reason(parsed="_ev") -> Column:
     """Why a frame message cannot be processed, NULL when it can.
-    ``parsed`` is the struct produced by ``parse_frame_event``."""
+    ``parsed`` is the struct produced by ``parse_frame_event``; the reason
+    depends on it alone, so the message is parsed once."""
     p = _c(parsed)
-    return (F.when(~is_json(value), F.lit("malformed_json"))
+    return (F.when(p.isNull() | p[CORRUPT_FIELD].isNotNull(), F.lit("malformed_json"))
             .when(p["camera_id"].isNull(), F.lit("missing_camera_id"))
             .when(p["timestamp"].isNull(), F.lit("missing_timestamp"))
             .when(p["image"].isNull(), F.lit("missing_image"))

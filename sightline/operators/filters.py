@@ -97,7 +97,7 @@ def split_bad_records(msgs: DataFrame, value_col: str = "value") -> tuple[DataFr
     Both are filters over the same parsed frame; quarantined rows carry
     ``reason``."""
     parsed = msgs.withColumn("_ev", parse_frame_event(value_col)) \
-                 .withColumn("reason", bad_record_reason(value_col, "_ev"))
+                 .withColumn("reason", bad_record_reason("_ev"))
     good = parsed.where(F.col("reason").isNull()).select(
         *[c for c in msgs.columns], F.col("_ev.camera_id").alias("camera_id"),
         F.col("_ev.timestamp").alias("timestamp"), F.col("_ev.image").alias("image"))

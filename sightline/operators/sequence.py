@@ -79,30 +79,34 @@ def carry_last(df: DataFrame, keys, seq_col: str, value_cols, out_cols=None,
     value of that column among rows of the same key at or before it (by
     ``seq_col``). Columns are carried independently, all in one window pass;
     pack columns that belong together into a struct. ``seq_col`` must be a
-    dense per-key sequence (``keyed_sequence``)."""
+    dense per-key sequence (``keyed_sequence``); keys must not be NULL.
+
+    Plan: one shuffle of the rows on (key, chunk) for the scan; the per-chunk
+    ends come from a map-side combined aggregate (a few rows per task); the
+    carry table (one row per chunk) is joined back on (key, chunk) -
+    broadcast by AQE when small, otherwise co-partitioned with the rows."""
     keys, value_cols = _cols(keys), _cols(value_cols)
     out_cols = _cols(out_cols) if out_cols else [f"{c}_carried" for c in value_cols]
-    x = df.withColumn("_chunk", F.floor(F.col(seq_col) / F.lit(chunk_rows)).cast("bigint"))
+    idx = range(len(value_cols))
+    base = df.withColumn("_chunk", F.expr(f"`{seq_col}` div {int(chunk_rows)}"))
     upto = (Window.partitionBy(*keys, "_chunk").orderBy(seq_col)
             .rowsBetween(Window.unboundedPreceding, 0))
-    x = x.select("*", *[F.last(v, ignorenulls=True).over(upto).alias(f"_l{i}")
-                        for i, v in enumerate(value_cols)])
-    # Last non-null value of every chunk (one row per chunk, null if none),
-    # then carried across the chunks of a key. Same partitioning as the scan
-    # above, so this aggregate adds no shuffle of the rows.
-    ends = x.groupBy(*keys, "_chunk").agg(*[
+    x = base.select("*", *[F.last(v, ignorenulls=True).over(upto).alias(f"_l{i}")
+                           for i, v in zip(idx, value_cols)])
+    # Last non-null value of each chunk: a max_by aggregate combined map-side,
+    # so only one row per (key, chunk, task) is shuffled for it. Then carried
+    # over the chunks of a key (a window over one row per chunk).
+    ends = base.groupBy(*keys, "_chunk").agg(*[
         F.max_by(v, F.when(F.col(v).isNotNull(), F.col(seq_col))).alias(f"_e{i}")
-        for i, v in enumerate(value_cols)])
+        for i, v in zip(idx, value_cols)])
     prev = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_chunk").alias("_c_chunk"),
-                        *[F.last(f"_e{i}", ignorenulls=True).over(prev).alias(f"_in{i}")
-                          for i in range(len(value_cols))])
-    cond = (x["_chunk"] == carry["_c_chunk"]) & reduce(
-        lambda a, b: a & b, [x[k].eqNullSafe(carry[f"_c_{k}"]) for k in keys])
+                        *[F.last(f"_e{i}", ignorenulls=True).over(prev).alias(f"_in{i}") for i in idx])
+    cond = reduce(lambda a, b: a & b, [x[k] == carry[f"_c_{k}"] for k in keys] +
+                  [x["_chunk"] == carry["_c_chunk"]])
     y = x.join(carry, cond, "left")
-    keep = [c for c in df.columns]
-    return y.select(*keep, *[F.coalesce(F.col(f"_l{i}"), F.col(f"_in{i}")).alias(o)
-                             for i, o in enumerate(out_cols)])
+    return y.select(*df.columns, *[F.coalesce(F.col(f"_l{i}"), F.col(f"_in{i}")).alias(o)
+                                   for i, o in zip(idx, out_cols)])
 
 
 def trailing_groups(df: DataFrame, keys, seq_col: str, size: int,
