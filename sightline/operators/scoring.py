@@ -36,10 +36,15 @@ def _k_from_image(images: pd.Series) -> np.ndarray:
 
 class StubDetector:
     """Deterministic detector: ``k % 4`` boxes from the number ``k`` in the
-    image bytes, with the labels, scores and boxes of FIXTURES.md."""
+    image bytes, with the labels, scores and boxes of FIXTURES.md.
+    ``only``/``exclude`` keep a part of the labels, so two instances can
+    stand for two detectors (objects, firearms)."""
 
-    def __init__(self, labels: list[str]):
+    def __init__(self, labels: list[str], only: tuple[str, ...] | None = None,
+                 exclude: tuple[str, ...] | None = None):
         self.labels = np.array(labels, dtype=object)
+        self.only = tuple(only) if only else None
+        self.exclude = tuple(exclude) if exclude else None
 
     def load(self):
         return self
@@ -53,12 +58,17 @@ class StubDetector:
         kk = k[row]
         x1 = kk * 3 + pos * 7
         y1 = kk * 2 + pos * 5 - 10
-        return pd.DataFrame({
+        out = pd.DataFrame({
             "_row": row, "pos": pos.astype("int32"),
             "label": self.labels[(kk * (pos + 1) + pos) % len(self.labels)],
             "confidence": ((kk * 7 + pos * 31) % 100) / 100.0,
             "x1": x1.astype("int32"), "y1": y1.astype("int32"),
             "x2": (x1 + 40).astype("int32"), "y2": (y1 + 30).astype("int32")})
+        if self.only:
+            out = out[out["label"].isin(self.only)]
+        if self.exclude:
+            out = out[~out["label"].isin(self.exclude)]
+        return out.reset_index(drop=True)
 
 
 class StubFeatureExtractor:

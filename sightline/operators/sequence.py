@@ -49,7 +49,8 @@ def keyed_sequence(df: DataFrame, keys, order, seq_col: str = "seq",
                    num_partitions: int | None = None) -> DataFrame:
     """Add ``seq_col``: 0-based position of each row within its key, by
     ``order``. ``order`` must be a total order within a key (end it with a
-    unique id), so the numbering is deterministic."""
+    unique id), so the numbering is deterministic. Select the needed
+    columns first: the numbered rows are checkpointed as they are."""
     keys, order = _cols(keys), _cols(order)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -223,8 +223,8 @@ def activity_threshold(spark, sf):
     return d.select("frame_id", "pos", select.activity_label(F.col("confidence"), 0.5).alias("activity"))
 
 
-def _fseq(spark, sf):
-    return TB.frames_seq(spark, sf)
+def _fseq(spark, sf, *cols):
+    return TB.frames_seq(spark, sf, cols)
 
 
 def sample_every_n(spark, sf):
@@ -313,7 +313,7 @@ def rolling_features(spark, sf):
 
 
 def carry_forward_text(spark, sf):
-    f = _fseq(spark, sf).withColumn(
+    f = _fseq(spark, sf, "event_type").withColumn(
         "text", F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.col("event_type")))
     return ordered.carry_forward_text(f).select("frame_id", "shown_text")
 
@@ -383,7 +383,7 @@ def score_activity(spark, sf):
 
 
 def score_frames_sampled(spark, sf):
-    return annotate.score_frames_sampled(spark, _fseq(spark, sf))
+    return annotate.score_frames_sampled(spark, _fseq(spark, sf, "props"))
 
 
 QUERIES = {name: globals()[name] for name in [

@@ -34,9 +34,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"), "props")
 
 
-def frames_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames with ``seq``: position of the frame within its camera by time."""
-    return keyed_sequence(frames(spark, sf_dir), ["camera_id"], ["ts", "frame_id"])
+def frames_seq(spark: SparkSession, sf_dir: str, cols=()) -> DataFrame:
+    """Frames with ``seq``: position of the frame within its camera by time.
+    Only ``cols`` (besides camera_id, frame_id, ts) are carried: the
+    numbered rows are checkpointed, and a projection cannot prune below a
+    checkpoint, so callers name what they need."""
+    f = frames(spark, sf_dir).select("camera_id", "frame_id", "ts", *cols)
+    return keyed_sequence(f, ["camera_id"], ["ts", "frame_id"])
 
 
 def detection_columns(k, pos) -> dict:

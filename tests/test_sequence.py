@@ -41,7 +41,7 @@ def test_keyed_sequence_null_key(spark):
 
 
 def test_carry_last_small_chunks_equals_window(spark):
-    f = TB.frames_seq(spark, SF_MID).withColumn(
+    f = TB.frames_seq(spark, SF_MID, ["event_type"]).withColumn(
         "v", F.when(F.col("event_type") == "signup", F.col("frame_id")))
     w = Window.partitionBy("camera_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     ref = f.select("frame_id", F.last("v", ignorenulls=True).over(w).alias("ref"))

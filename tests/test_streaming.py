@@ -87,7 +87,7 @@ def test_carry_text_stream_equals_batch(spark):
     _run(state.carry_text_stream(s, order=("ts", "frame_id")).select("frame_id", "shown_text"),
          d + "/out", d + "/ckpt")
     got = sorted(tuple(r) for r in spark.read.parquet(d + "/out").collect())
-    fs = TB.frames_seq(spark, SF_SMALL).withColumn(
+    fs = TB.frames_seq(spark, SF_SMALL, ["event_type"]).withColumn(
         "text", F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.col("event_type")))
     ref = sorted(tuple(r) for r in ordered.carry_forward_text(fs).select("frame_id", "shown_text").collect())
     assert got == ref
