@@ -52,10 +52,10 @@ def keyed_sequence(df: DataFrame, keys, order, seq_col: str = "seq",
     unique id), so the numbering is deterministic. Select the needed
     columns first: the numbered rows are checkpointed as they are."""
     keys, order = _cols(keys), _cols(order)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = keys + order
-    ranged = (df.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    # Without a fixed count AQE sizes the range partitions from the data.
+    ranged = df.repartitionByRange(num_partitions, *by) if num_partitions else df.repartitionByRange(*by)
+    ranged = (ranged.sortWithinPartitions(*by)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mono", F.monotonically_increasing_id()))
     # Written once to the shared checkpoint folder: the counts below and the

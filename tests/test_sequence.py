@@ -59,3 +59,13 @@ def test_trailing_groups_equals_window(spark):
     ref = (f.select("camera_id", "seq", F.collect_list("frame_id").over(w).alias("ids"))
            .where(F.size("ids") == 3).collect())
     assert got == {(r.camera_id, r.seq, tuple(r.ids)) for r in ref}
+
+
+def test_hot_camera_spread_over_tasks(spark):
+    # The range partitioning used by keyed_sequence cuts one camera's frames
+    # by time, so a camera with every frame still fills many tasks.
+    f = TB.frames(spark, SF_MID).withColumn("camera_id", F.lit(7))
+    parts = (f.repartitionByRange(8, "camera_id", "ts", "frame_id")
+             .groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert len(parts) >= 6
+    assert max(r["count"] for r in parts) < 0.3 * f.count()
