@@ -75,9 +75,14 @@ def score_frames_sampled(spark: SparkSession, fseq: DataFrame) -> DataFrame:
     sched = select.sampling_schedule(fseq.select("camera_id", "frame_id", "seq", "props"),
                                      cfg.active_detectors())
     img = F.col("props").cast("binary")
-    dets = scoring.score_detections(
-        sched.where(F.col("detector") != "feature").withColumn("image", img),
-        scoring.StubDetector(TB.DETECTION_LABELS), keep=["camera_id", "frame_id", "detector"])
+    due = sched.where(F.col("detector") != "feature").withColumn("image", img)
+    scorers = {"object": scoring.StubDetector(TB.DETECTION_LABELS, exclude=(TB.FIREARM_LABEL,)),
+               "firearm": scoring.StubDetector(TB.DETECTION_LABELS, only=(TB.FIREARM_LABEL,))}
+    dets = None
+    for name, scorer in scorers.items():
+        part = scoring.score_detections(due.where(F.col("detector") == name), scorer,
+                                        keep=["camera_id", "frame_id", "detector"])
+        dets = part if dets is None else dets.unionByName(part)
     det_rows = (dets.groupBy("camera_id", "frame_id", "detector")
                 .agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("_l"))
                 .select("camera_id", "frame_id", "detector",

@@ -3,8 +3,8 @@
 Each statement reads the driver tables and rebuilds the stand-in views of
 FIXTURES.md in SQL, then computes the operator the direct way (window
 functions, ASOF JOIN, ...). Column names equal those of ``queries.py``.
-Keys without an entry are checked on row counts only (streams with a
-watermark, the LSTM scorer, the sampled scoring chain).
+The key without an entry (``late_data``: a stream whose output depends on
+the watermark's progress across runs) is checked on row counts only.
 """
 
 from __future__ import annotations
@@ -101,20 +101,100 @@ def _w(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def _event_net_ctes(src: str, keys: str, n_hidden: int = 8, n_out: int = 5) -> list[str]:
+    """J3 with formula weights over table ``src`` (``keys``, vec): ranked
+    classes in ``erank``."""
+    by = ", ".join(str(i + 1) for i in range(len(keys.split(",")) + 1))
+    return [
+        f"""ex AS (SELECT {keys}, CAST(generate_subscripts(vec, 1) - 1 AS BIGINT) AS i,
+                  CAST(unnest(vec) AS DOUBLE) AS v FROM {src})""",
+        f"""hid AS (
+  SELECT {keys}, h, 1.0 / (1.0 + exp(-(sum(v * sin(7 * i + 3 * h) / 10.0) + cos(h) / 10.0))) AS a
+  FROM ex, range({n_hidden}) t(h) GROUP BY {by})""",
+        f"""eout AS (
+  SELECT {keys}, c, 1.0 / (1.0 + exp(-(sum(a * cos(5 * h + 2 * c) / 10.0) + c / 20.0))) AS score
+  FROM hid, range({n_out}) t(c) GROUP BY {by})""",
+        f"""erank AS (SELECT {keys}, CAST(c AS INTEGER) AS class_idx, score,
+             CAST(row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, c) AS INTEGER) AS rank FROM eout)"""]
+
+
 def _event_net_sql() -> str:
     """J3 with formula weights (64 -> 8 -> 5) as SQL."""
-    return """WITH x AS (
-  SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i,
-         CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
-hid AS (
-  SELECT vec_id, h, 1.0 / (1.0 + exp(-(sum(v * sin(7 * i + 3 * h) / 10.0) + cos(h) / 10.0))) AS a
-  FROM x, range(8) t(h) GROUP BY vec_id, h),
-out AS (
-  SELECT vec_id, c, 1.0 / (1.0 + exp(-(sum(a * cos(5 * h + 2 * c) / 10.0) + c / 20.0))) AS score
-  FROM hid, range(5) t(c) GROUP BY vec_id, c),
-r AS (SELECT vec_id, CAST(c AS INTEGER) AS class_idx, score,
-             CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, c) AS INTEGER) AS rank FROM out)
-SELECT vec_id, rank, class_idx, round(score, 6) AS score FROM r WHERE rank <= 3"""
+    return _w("src AS (SELECT vec_id, embedding AS vec FROM embeddings)", *_event_net_ctes("src", "vec_id")) + \
+        "SELECT vec_id, rank, class_idx, round(score, 6) AS score FROM erank WHERE rank <= 3"
+
+
+def _activity_ctes(src: str, units: int = 20, steps: int = 4) -> list[str]:
+    """J4 (LSTM with formula weights, hard-sigmoid gates) over every full
+    window of ``steps`` rows of ``src`` (camera_id, seq, vec), unrolled step
+    by step; the last hidden state is in ``h{steps-1}`` keyed by
+    (camera_id, end_seq, u)."""
+    g4 = 4 * units
+    hs = "least(greatest(0.2 * ({}) + 0.5, 0.0), 1.0)"
+    ctes = [f"""x AS (
+  SELECT camera_id, seq, CAST(generate_subscripts(vec, 1) - 1 AS BIGINT) AS a, CAST(unnest(vec) AS DOUBLE) AS v
+  FROM {src})""", f"""zx AS (
+  SELECT camera_id, seq, g, sum(v * sin(3 * a + g) / 8.0) AS zx FROM x, range({g4}) t(g) GROUP BY 1, 2, 3)""",
+            f"win AS (SELECT camera_id, seq AS end_seq FROM {src} WHERE seq >= {steps - 1})"]
+    for t in range(steps):
+        rec = ""
+        if t:
+            ctes.append(f"""rec{t} AS (
+  SELECT p.camera_id, p.end_seq, gg.g, sum(p.h * cos(2 * p.u + gg.g) / 8.0) AS zr
+  FROM h{t - 1} p, range({g4}) gg(g) GROUP BY 1, 2, 3)""")
+            rec = f" LEFT JOIN rec{t} r ON r.camera_id = w.camera_id AND r.end_seq = w.end_seq AND r.g = zx.g"
+        zr = "coalesce(r.zr, 0.0)" if t else "0.0"
+        ctes.append(f"""z{t} AS (
+  SELECT w.camera_id, w.end_seq, zx.g,
+         zx.zx + CASE WHEN zx.g BETWEEN {units} AND {2 * units - 1} THEN 1.0 ELSE 0.0 END + {zr} AS z
+  FROM win w JOIN zx ON zx.camera_id = w.camera_id AND zx.seq = w.end_seq - {steps - 1 - t}{rec})""")
+        ctes.append(f"""gates{t} AS (
+  SELECT camera_id, end_seq, u.u,
+         max(CASE WHEN g = u.u THEN {hs.format('z')} END) AS i,
+         max(CASE WHEN g = u.u + {units} THEN {hs.format('z')} END) AS f,
+         max(CASE WHEN g = u.u + {2 * units} THEN tanh(z) END) AS cand,
+         max(CASE WHEN g = u.u + {3 * units} THEN {hs.format('z')} END) AS o
+  FROM z{t}, range({units}) u(u) GROUP BY 1, 2, 3)""")
+        prev_c = "coalesce(p.c, 0.0)" if t else "0.0"
+        join = (f" LEFT JOIN h{t - 1} p ON p.camera_id = q.camera_id AND p.end_seq = q.end_seq AND p.u = q.u"
+                if t else "")
+        ctes.append(f"""h{t} AS (
+  SELECT q.camera_id, q.end_seq, q.u, q.f * {prev_c} + q.i * q.cand AS c,
+         q.o * tanh(q.f * {prev_c} + q.i * q.cand) AS h
+  FROM gates{t} q{join})""")
+    return ctes
+
+
+_ACT_SCORE = "1.0 / (1.0 + exp(-(sum(h * sin(u + 1.0) / 2.0) + 0.1)))"
+
+
+def _activity_sql() -> str:
+    return _w(FEATURES_SEQ, *_activity_ctes("features")) + f"""SELECT camera_id, end_seq AS seq,
+       round({_ACT_SCORE}, 6) AS activity_score,
+       CASE WHEN {_ACT_SCORE} > 0.5 THEN 'Abnormal Activity' ELSE 'Normal Activity' END AS activity
+FROM h3 GROUP BY camera_id, end_seq"""
+
+
+def _sampled_chain_sql() -> str:
+    """Detections on frames due for objects/firearms, event classes and
+    activity on frames due for features (stub features of size 8)."""
+    feat = """feat AS (
+  SELECT camera_id, frame_id, CAST(seq // 15 AS BIGINT) AS seq,
+         [sin(k * d) / 2.0 FOR d IN range(1, 9)] AS vec
+  FROM frames_seq WHERE seq % 15 = 0)"""
+    ctes = [DETECTIONS, FRAMES_SEQ_BODY, feat, *_event_net_ctes("feat", "camera_id, frame_id"),
+            *_activity_ctes("feat")]
+    return _w(*ctes) + f"""SELECT d.camera_id, d.frame_id, d.detector, string_agg(d.label, ',' ORDER BY d.pos) AS result
+FROM detections d JOIN frames_seq f ON f.frame_id = d.frame_id WHERE f.seq % 5 = 0
+GROUP BY d.camera_id, d.frame_id, d.detector
+UNION ALL
+SELECT camera_id, frame_id, 'event', string_agg(CAST(class_idx AS VARCHAR), ',' ORDER BY rank)
+FROM erank WHERE rank <= 3 GROUP BY camera_id, frame_id
+UNION ALL
+SELECT a.camera_id, feat.frame_id, 'activity',
+       CASE WHEN a.score > {C.ACTIVITY_THRESHOLD} THEN 'Abnormal Activity' ELSE 'Normal Activity' END
+FROM (SELECT camera_id, end_seq, {_ACT_SCORE} AS score FROM h3 GROUP BY camera_id, end_seq) a
+JOIN feat ON feat.camera_id = a.camera_id AND feat.seq = a.end_seq"""
 
 
 def _annotated_sql() -> str:
@@ -220,12 +300,15 @@ FROM frames GROUP BY 1, 2""",
 SELECT {TS_TEXT.format("date_trunc('day', ts)")} AS window_start, camera_id,
        arg_max(frame_id, (ts, frame_id)) AS frame_id
 FROM frames GROUP BY date_trunc('day', ts), camera_id""",
-    "event_topk": """
-WITH s AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS class_idx,
-                  CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings),
+    "event_topk": _w(FRAMES) + f""",
+s AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS class_idx,
+             CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, class_idx) AS INTEGER) AS rank
-      FROM s)
-SELECT vec_id, rank, class_idx, score FROM r WHERE rank <= 3""",
+      FROM s),
+names AS (SELECT frame_id * 2 AS label_id, event_type AS name FROM frames
+          UNION ALL SELECT frame_id * 2 + 1, {_LABELS}[(k % 5) + 1] FROM frames)
+SELECT r.vec_id, r.rank, r.class_idx, r.score, n.name FROM r LEFT JOIN names n ON n.label_id = r.class_idx
+WHERE r.rank <= 3""",
     "activity_threshold": _w(DETECTIONS) + """
 SELECT frame_id, pos, CASE WHEN confidence > 0.5 THEN 'Abnormal Activity' ELSE 'Normal Activity' END
        AS activity FROM detections""",
@@ -303,5 +386,7 @@ SELECT frame_id AS "offset",
        round(sin(k * 1) / 2.0, 6) AS v0
 FROM frames""",
     "score_events": _event_net_sql(),
+    "score_activity": _activity_sql(),
+    "score_frames_sampled": _sampled_chain_sql(),
 }
 ORACLE["micro_batch_trigger"] = ORACLE["latest_per_camera"]

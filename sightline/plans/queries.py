@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import codec
-from ..functions.lists import keep_confident, stub_prediction_list, summary_of_list
+from ..functions.lists import keep_confident, stub_prediction_list
 from ..operators import combine, filters, ordered, overlay, scoring, select, summarize
 from ..session import scratch_path
 from ..sources import dims, tables as TB
@@ -215,7 +215,10 @@ def latest_per_camera_window(spark, sf):
 def event_topk(spark, sf):
     e = TB.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double"))
                                                  .alias("scores"))
-    return select.event_topk(e, "scores", C.EVENT_TOP_COUNT)
+    top = select.event_topk(e, "scores", C.EVENT_TOP_COUNT)
+    names = event_label_map(spark, sf)  # class index -> event name (A7)
+    return combine.label_lookup(top, names, "class_idx", label_col="name") \
+        .select("vec_id", "rank", "class_idx", "score", "name")
 
 
 def activity_threshold(spark, sf):
