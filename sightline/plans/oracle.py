@@ -3,8 +3,7 @@
 Each statement reads the driver tables and rebuilds the stand-in views of
 FIXTURES.md in SQL, then computes the operator the direct way (window
 functions, ASOF JOIN, ...). Column names equal those of ``queries.py``.
-The key without an entry (``late_data``: a stream whose output depends on
-the watermark's progress across runs) is checked on row counts only.
+Every key has an entry.
 """
 
 from __future__ import annotations
@@ -390,3 +389,11 @@ FROM frames""",
     "score_frames_sampled": _sampled_chain_sql(),
 }
 ORACLE["micro_batch_trigger"] = ORACLE["latest_per_camera"]
+ORACLE["late_data"] = _w(FRAMES) + """,
+b AS (SELECT min(ts) + to_microseconds((epoch_us(max(ts)) - epoch_us(min(ts))) // 2) AS cut, max(ts) AS hi
+      FROM frames),
+newer AS (SELECT f.*, b.hi FROM frames f, b WHERE f.ts >= b.cut)
+SELECT epoch_us(date_trunc('day', ts)) AS window_start_us, camera_id,
+       arg_max(frame_id, (ts, frame_id)) AS frame_id
+FROM newer GROUP BY date_trunc('day', ts), camera_id, hi
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= hi - INTERVAL 1 DAY"""

@@ -72,20 +72,29 @@ def replay_latest_per_day(spark: SparkSession, frames: DataFrame) -> DataFrame:
 
 
 def replay_with_late_rows(spark: SparkSession, frames: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """H5: frames replayed in two files, the second holding rows older than
-    the first. D2 (newest per camera per day window) runs with a watermark;
-    rows behind the watermark are dropped, windows are emitted once closed."""
+    """H5: frames replayed in two runs of one stream: first the newer half
+    (from the midpoint of the time range on), then the older half. D2 (newest
+    frame per camera per day window) runs with a watermark of ``watermark``:
+    windows are emitted once the watermark passes their end, and the older
+    rows, behind the watermark by then, are dropped as late.
+
+    Event times are read as UTC wall-clock time, so the day windows do not
+    depend on the session time zone; window starts are reported in epoch
+    microseconds."""
     src = scratch_path(spark, "replay-late")
     recs = TB.messages(frames, keep=["ts"]).select("partition", "offset", "value", "ts")
-    cut = frames.agg(F.percentile_approx("ts", 0.5)).scalar()
+    bounds = frames.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    cut = bounds.select(F.timestamp_add(
+        "MICROSECOND", F.expr("timestampdiff(MICROSECOND, lo, hi) div 2"), F.col("lo"))).scalar()
     out, ckpt = scratch_path(spark, "replay-late-out"), scratch_path(spark, "replay-late-ckpt")
-    # First the newer half arrives, then (a later run) the older half.
+    tz = spark.conf.get("spark.sql.session.timeZone")
     for i, part in enumerate([recs.where(F.col("ts") >= cut), recs.where(F.col("ts") < cut)]):
         part.drop("ts").write.json(f"{src}/f{i}")
         stream = streams.frame_source(spark, "json", path=src + "/*", streaming=True)
-        stream = observe_batch_metrics(stream)
+        stream = observe_batch_metrics(stream).withColumn("event_ts", F.from_utc_timestamp("event_ts", tz))
         d2 = latest_per_window(stream.select("camera_id", "event_ts", "partition", "offset"), "camera_id",
                                "event_ts", "1 day", order=["partition", "offset"], watermark=watermark)
         drain_to_table(d2, out, ckpt)
-    return spark.read.parquet(out).select(codec.ts_text("window_start").alias("window_start"), "camera_id",
+    return spark.read.parquet(out).select(F.unix_micros("window_start").alias("window_start_us"),
+                                          F.col("camera_id").cast("bigint").alias("camera_id"),
                                           F.col("offset").alias("frame_id"))
