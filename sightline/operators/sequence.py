@@ -12,8 +12,9 @@ task. The helpers here never do that:
   before each row). It scans fixed-size chunks of the sequence in parallel
   and carries the last value of each chunk into the next through a small
   per-chunk table.
-* ``trailing_groups`` builds windows of the last N rows as ordinary
-  groups keyed by (key, end position); every group has at most N rows.
+* ``trailing_groups`` builds windows of the last N rows inside chunks of a
+  key's sequence; the N-1 rows before a chunk are copied into it, so each
+  row is shuffled about once and no group exceeds the chunk size.
 """
 
 from __future__ import annotations
@@ -107,15 +108,25 @@ def carry_last(df: DataFrame, keys, seq_col: str, value_cols, out_cols=None,
 
 
 def trailing_groups(df: DataFrame, keys, seq_col: str, size: int,
-                    payload_cols, end_col: str = "end_seq") -> DataFrame:
+                    payload_cols, end_col: str = "end_seq",
+                    chunk_rows: int = SCAN_CHUNK_ROWS) -> DataFrame:
     """Windows of the last ``size`` rows per key, one output row per window
-    end that has a full window. Each row is copied to the ``size`` windows it
-    belongs to and grouped by (key, end); a group never exceeds ``size`` rows.
-    Returns keys, ``end_col`` and ``items``: the rows ordered by sequence."""
+    end that has a full window. Returns keys, ``end_col`` and ``items``: the
+    rows of the window ordered by sequence.
+
+    Rows are grouped by (key, chunk of ``chunk_rows`` positions); the last
+    ``size`` - 1 rows of a chunk are also copied into the next chunk, so
+    every window lies inside one group and a sliding window of ``size`` rows
+    runs within it. Each row is shuffled about once (not ``size`` times), and
+    no group exceeds ``chunk_rows`` + ``size`` - 1 rows."""
     keys, payload_cols = _cols(keys), _cols(payload_cols)
     item = F.struct(F.col(seq_col).alias("seq"), *[F.col(c) for c in payload_cols])
-    spread = df.select(*keys, item.alias("_item"),
-                       F.explode(F.sequence(F.col(seq_col), F.col(seq_col) + F.lit(size - 1))).alias(end_col))
-    g = spread.groupBy(*keys, end_col).agg(F.collect_list("_item").alias("items"))
-    return (g.where(F.size("items") == size)
-            .withColumn("items", F.array_sort("items")))
+    seq = F.col(seq_col)
+    own = F.expr(f"`{seq_col}` div {int(chunk_rows)}")
+    last = F.expr(f"(`{seq_col}` + {size - 1}) div {int(chunk_rows)}")
+    x = df.select(*keys, seq.alias("_s"), item.alias("_item"), own.alias("_own"),
+                  F.explode(F.sequence(own, last)).alias("_chunk"))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_s").rowsBetween(-(size - 1), 0)
+    y = x.withColumn("items", F.collect_list("_item").over(w))
+    return (y.where((F.col("_own") == F.col("_chunk")) & (F.size("items") == size))
+            .select(*keys, F.col("_s").alias(end_col), "items"))

@@ -216,7 +216,10 @@ def event_topk(spark, sf):
     e = TB.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double"))
                                                  .alias("scores"))
     top = select.event_topk(e, "scores", C.EVENT_TOP_COUNT)
-    names = event_label_map(spark, sf)  # class index -> event name (A7)
+    # class index -> event name (A7); only ids below the class count can
+    # match, so the dimension is bounded by the model's classes.
+    n_classes = e.agg(F.max(F.size("scores"))).scalar()
+    names = event_label_map(spark, sf).where(F.col("label_id") < n_classes)
     return combine.label_lookup(top, names, "class_idx", label_col="name") \
         .select("vec_id", "rank", "class_idx", "score", "name")
 

@@ -53,12 +53,14 @@ def test_carry_last_small_chunks_equals_window(spark):
 
 def test_trailing_groups_equals_window(spark):
     f = TB.frames_seq(spark, SF_MID)
-    g = trailing_groups(f, ["camera_id"], "seq", 3, ["frame_id"], end_col="seq")
-    got = {(r.camera_id, r.seq, tuple(x.frame_id for x in r.items)) for r in g.collect()}
     w = Window.partitionBy("camera_id").orderBy("seq").rowsBetween(-2, 0)
     ref = (f.select("camera_id", "seq", F.collect_list("frame_id").over(w).alias("ids"))
            .where(F.size("ids") == 3).collect())
-    assert got == {(r.camera_id, r.seq, tuple(r.ids)) for r in ref}
+    exp = sorted((r.camera_id, r.seq, tuple(r.ids)) for r in ref)
+    for chunk in (1, 2, 5, 1 << 20):
+        g = trailing_groups(f, ["camera_id"], "seq", 3, ["frame_id"], end_col="seq", chunk_rows=chunk)
+        got = sorted((r.camera_id, r.seq, tuple(x.frame_id for x in r.items)) for r in g.collect())
+        assert got == exp, chunk
 
 
 def test_hot_camera_spread_over_tasks(spark):
