@@ -26,7 +26,8 @@ def carry_forward_text(df: DataFrame, key: str = "camera_id", seq_col: str = "se
                        text_col: str = "text", out_col: str = "shown_text",
                        chunk_rows: int | None = None) -> DataFrame:
     """H2: text shown with each frame. It changes only on a non-empty text,
-    otherwise the previous one stays; '' before the first."""
+    otherwise the previous one stays; '' before the first. Reuses the chunk
+    column of an earlier ``carry_last`` when present."""
     kw = {"chunk_rows": chunk_rows} if chunk_rows else {}
     x = df.withColumn("_t", F.when(F.col(text_col) != "", F.col(text_col)))
     y = carry_last(x, [key], seq_col, ["_t"], ["_shown"], **kw)

@@ -71,8 +71,11 @@ def keyed_sequence(df: DataFrame, keys, order, seq_col: str = "seq",
             .drop("_pid", "_mono", "_bpid", "_m0", "_off", *[f"_b_{k}" for k in keys]))
 
 
+CHUNK_COL = "_chunk"
+
+
 def carry_last(df: DataFrame, keys, seq_col: str, value_cols, out_cols=None,
-               chunk_rows: int = SCAN_CHUNK_ROWS) -> DataFrame:
+               chunk_rows: int = SCAN_CHUNK_ROWS, keep_chunk: bool = False) -> DataFrame:
     """For every row and every column of ``value_cols``, the latest non-null
     value of that column among rows of the same key at or before it (by
     ``seq_col``). Columns are carried independently, all in one window pass;
@@ -82,11 +85,15 @@ def carry_last(df: DataFrame, keys, seq_col: str, value_cols, out_cols=None,
     Plan: one shuffle of the rows on (key, chunk) for the scan; the per-chunk
     ends come from a map-side combined aggregate (a few rows per task); the
     carry table (one row per chunk) is joined back on (key, chunk) -
-    broadcast by AQE when small, otherwise co-partitioned with the rows."""
+    broadcast by AQE when small, otherwise co-partitioned with the rows.
+    With ``keep_chunk`` the chunk column stays in the output; a following
+    ``carry_last`` on the same keys reuses it, and with it the partitioning
+    and order of the rows, so it adds no shuffle."""
     keys, value_cols = _cols(keys), _cols(value_cols)
     out_cols = _cols(out_cols) if out_cols else [f"{c}_carried" for c in value_cols]
     idx = range(len(value_cols))
-    base = df.withColumn("_chunk", F.expr(f"`{seq_col}` div {int(chunk_rows)}"))
+    base = df if CHUNK_COL in df.columns else \
+        df.withColumn(CHUNK_COL, F.expr(f"`{seq_col}` div {int(chunk_rows)}"))
     upto = (Window.partitionBy(*keys, "_chunk").orderBy(seq_col)
             .rowsBetween(Window.unboundedPreceding, 0))
     x = base.select("*", *[F.last(v, ignorenulls=True).over(upto).alias(f"_l{i}")
@@ -103,8 +110,9 @@ def carry_last(df: DataFrame, keys, seq_col: str, value_cols, out_cols=None,
     cond = reduce(lambda a, b: a & b, [x[k] == carry[f"_c_{k}"] for k in keys] +
                   [x["_chunk"] == carry["_c_chunk"]])
     y = x.join(carry, cond, "left")
-    return y.select(*df.columns, *[F.coalesce(F.col(f"_l{i}"), F.col(f"_in{i}")).alias(o)
-                                   for i, o in zip(idx, out_cols)])
+    keep = [c for c in df.columns if c != CHUNK_COL] + ([CHUNK_COL] if keep_chunk else [])
+    return y.select(*keep, *[F.coalesce(F.col(f"_l{i}"), F.col(f"_in{i}")).alias(o)
+                             for i, o in zip(idx, out_cols)])
 
 
 def trailing_groups(df: DataFrame, keys, seq_col: str, size: int,

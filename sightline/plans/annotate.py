@@ -27,7 +27,7 @@ def _captions(preds) -> F.Column:
 
 
 def annotate_frames(f: DataFrame, predictions: dict[str, F.Column], config: C.PipelineConfig,
-                    chunk_rows: int | None = None) -> DataFrame:
+                    chunk_rows: int | None = None, one_scan: bool | None = None) -> DataFrame:
     """Core of I2 over frames that already carry ``seq``. ``predictions``
     maps detector name to the list column that detector returns for a
     frame; it is evaluated only on frames where the detector is due."""
@@ -40,13 +40,29 @@ def annotate_frames(f: DataFrame, predictions: dict[str, F.Column], config: C.Pi
                                            F.struct(F.col("frame_id").alias("src"),
                                                     keep_confident(predictions[n], config.thresholds())
                                                     .alias("list"))))
-    # Latest completed prediction of each detector (an empty list counts).
-    x = carry_last(x, ["camera_id"], "seq", [f"_p_{n}" for n in names], [f"_l_{n}" for n in names], **kw)
-    boxes = F.concat(*[F.coalesce(F.col(f"_l_{n}.list"), F.array()) for n in names])
-    x = x.withColumn("_boxes", boxes).withColumn(
-        "_text", F.when(F.size("_boxes") > 0, summary_of_list(F.col("_boxes"))))
-    x = ordered.carry_forward_text(x.withColumn("_text", F.coalesce("_text", F.lit(""))), "camera_id", "seq",
-                                   "_text", "prediction", **kw)
+    carried = [f"_p_{n}" for n in names]
+    latest = [f"_l_{n}" for n in names]
+    if one_scan is None:
+        one_scan = len({rates[n] for n in names}) == 1
+    if one_scan:
+        # Every detector is due on the same frames, so at a due frame the
+        # combined list is the frame's own: the text candidate is row-local
+        # and one scan carries predictions and text together.
+        own = F.concat(*[F.col(f"_p_{n}.list") for n in names])
+        x = x.withColumn("_cand", F.when(F.size(own) > 0, summary_of_list(own)))
+        x = carry_last(x, ["camera_id"], "seq", carried + ["_cand"], latest + ["_text"], **kw)
+        x = x.withColumn("prediction", F.coalesce("_text", F.lit("")))
+        boxes = F.concat(*[F.coalesce(F.col(f"{c}.list"), F.array()) for c in latest])
+        x = x.withColumn("_boxes", boxes)
+    else:
+        # Latest completed prediction of each detector (an empty list
+        # counts); then the text, which needs the other detectors' latest
+        # lists, in a second scan over the same chunks.
+        x = carry_last(x, ["camera_id"], "seq", carried, latest, keep_chunk=True, **kw)
+        boxes = F.concat(*[F.coalesce(F.col(f"{c}.list"), F.array()) for c in latest])
+        x = x.withColumn("_boxes", boxes).withColumn(
+            "_text", F.coalesce(F.when(F.size("_boxes") > 0, summary_of_list(F.col("_boxes"))), F.lit("")))
+        x = ordered.carry_forward_text(x, "camera_id", "seq", "_text", "prediction", **kw)
     return x.select("camera_id", "frame_id", "seq", codec.iso_timestamp("ts").alias("timestamp"),
                     F.col(f"_l_{names[0]}.src").alias("pred_frame_id"),
                     F.size("_boxes").alias("n_boxes"), _captions(F.col("_boxes")).alias("boxes"),
@@ -58,13 +74,13 @@ def _of_detector(lst, name: str) -> F.Column:
 
 
 def annotated_results(frames: DataFrame, config: C.PipelineConfig = C.DEFAULT_CONFIG,
-                      chunk_rows: int | None = None) -> DataFrame:
+                      chunk_rows: int | None = None, one_scan: bool | None = None) -> DataFrame:
     """I2 over the stand-in frames: the stand-in detector gives each frame
     a list, split by detector."""
     f = keyed_sequence(frames.select("camera_id", "frame_id", "ts", "k"), ["camera_id"], ["ts", "frame_id"])
     lst = stub_prediction_list(F.col("k"))
     preds = {n: _of_detector(lst, n) for n in ("object", "firearm")}
-    return annotate_frames(f, preds, config, chunk_rows)
+    return annotate_frames(f, preds, config, chunk_rows, one_scan)
 
 
 def score_frames_sampled(spark: SparkSession, fseq: DataFrame) -> DataFrame:

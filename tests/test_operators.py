@@ -145,3 +145,17 @@ def test_overlay_caption_and_default(spark):
     r = overlay.box_overlays(d, colours).first()
     assert (r.caption, r.caption_x, r.caption_y, r.font_scale, r.line_width) == ("cat 0.5", 10, -8, 0.48, 1)
     assert (r.blue, r.red, r.green) == C.DEFAULT_COLOUR
+
+
+def test_annotation_one_scan_equals_two_scans(spark):
+    # With equal rates the one-scan plan is used; the general two-scan plan
+    # must give the same rows, also with chunks small enough to cross.
+    from sightline.plans import annotate
+    from sightline.sources import tables as TB
+    from .conftest import SF_SMALL
+    f = TB.frames(spark, SF_SMALL)
+    one = sorted(tuple(r) for r in annotate.annotated_results(f, chunk_rows=4, one_scan=True).collect())
+    two = sorted(tuple(r) for r in annotate.annotated_results(f, chunk_rows=4, one_scan=False).collect())
+    big = sorted(tuple(r) for r in annotate.annotated_results(f).collect())
+    assert len(one) == f.count()
+    assert one == two == big
