@@ -21,6 +21,8 @@ def build_session(master: str | None = None, app: str = "sightline",
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # Frames carry images: keep Arrow batches to scorers small.
+         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
          .config("spark.driver.memory", "16g"))
     for k, v in (extra or {}).items():

@@ -51,3 +51,31 @@ def test_kafka_options():
     assert o["kafka.bootstrap.servers"] == "broker:9092"
     assert o["subscribe"] == "test" and o["maxOffsetsPerTrigger"] == "100"
     assert o["startingOffsets"] == "latest"
+
+
+def test_processing_time_trigger_runs_batches(spark):
+    # A running query with a 1 s trigger picks up files that arrive later.
+    import time
+
+    from sightline.streaming import pipeline
+    d = tempfile.mkdtemp(prefix="st-h4-")
+    s = _frames_stream(spark, d)
+    seen = []
+
+    def handle(batch, batch_id):
+        seen.append((batch_id, pipeline.newest_frame_per_camera(batch).count()))
+
+    def wait_for(n):
+        deadline = time.time() + 60
+        while time.time() < deadline and len(seen) < n:
+            time.sleep(0.5)
+
+    q = pipeline.run_batches(s, handle, d + "/ckpt", available_now=False, interval="1 second")
+    try:
+        wait_for(1)
+        f = TB.frames(spark, SF_SMALL).limit(10)
+        TB.messages(f).select("partition", "offset", "value").write.mode("append").json(d + "/src")
+        wait_for(2)
+    finally:
+        q.stop()
+    assert len(seen) >= 2 and all(n > 0 for _, n in seen[:2])
