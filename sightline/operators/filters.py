@@ -71,12 +71,17 @@ def on_watchlist(label, watchlist: Iterable[str], exact: bool = False) -> Column
 
 
 def watchlist_flag(dets: DataFrame, frame_keys, watchlist: Iterable[str], exact: bool = False,
-                   label_col: str = "label") -> DataFrame:
-    """C4 per frame: does any detection of the frame hit the watchlist.
-    A partial (map-side) aggregate, so large frames do not skew."""
+                   label_col: str = "label", with_exact: bool = False) -> DataFrame:
+    """C4 per frame: does any detection of the frame hit the watchlist
+    (``suspicious``; with ``with_exact`` also ``suspicious_exact``, the
+    case-sensitive test, in the same aggregate). A partial (map-side)
+    aggregate, so large frames do not skew."""
     keys = [frame_keys] if isinstance(frame_keys, str) else list(frame_keys)
-    return dets.groupBy(*keys).agg(
-        F.bool_or(on_watchlist(label_col, watchlist, exact)).alias("suspicious"))
+    wl = list(watchlist)
+    aggs = [F.bool_or(on_watchlist(label_col, wl, exact)).alias("suspicious")]
+    if with_exact:
+        aggs.append(F.bool_or(on_watchlist(label_col, wl, exact=True)).alias("suspicious_exact"))
+    return dets.groupBy(*keys).agg(*aggs)
 
 
 def watchlist_events(df: DataFrame, watch: DataFrame, label_col: str = "label",

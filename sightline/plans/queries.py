@@ -176,11 +176,7 @@ def confidence_filter(spark, sf):
 
 
 def watchlist_flag(spark, sf):
-    d = _detections(spark, sf)
-    a = filters.watchlist_flag(d, "frame_id", C.SUSPICIOUS_OBJECTS)
-    b = filters.watchlist_flag(d, "frame_id", C.SUSPICIOUS_OBJECTS, exact=True) \
-        .withColumnRenamed("suspicious", "suspicious_exact")
-    return a.join(b, "frame_id")
+    return filters.watchlist_flag(_detections(spark, sf), "frame_id", C.SUSPICIOUS_OBJECTS, with_exact=True)
 
 
 WATCH_ROWS = [" Knife", "PISTOL "]
@@ -325,7 +321,8 @@ def carry_forward_text(spark, sf):
 
 
 def latest_feature(spark, sf):
-    r = ordered.latest_feature(TB.features_seq(spark, sf))
+    # Newest by vec_id, the order of a camera's vectors: no numbering needed.
+    r = ordered.latest_feature(TB.features(spark, sf), seq_col="vec_id")
     vsum = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return r.select("camera_id", "vec_id", F.round(vsum, 6).alias("vec_sum"))
 

@@ -1,7 +1,5 @@
 """Every registered query against its SQL check (DuckDB) at sf0.001."""
 
-import math
-import os
 
 import duckdb
 import pytest
