@@ -3,7 +3,7 @@
 Runs the headline operators on ``$BENCH_SF_DIR`` (default
 /root/testdata/sf0.1) with ``local[$BENCH_CPUS]`` and prints one JSON line.
 Each query is executed completely (``noop`` sink); the time of a query is
-the best of ``$BENCH_REPEAT`` runs (default 2) after one warm-up pass on the
+the best of ``$BENCH_REPEAT`` runs (default 3) after one warm-up pass on the
 smallest scale factor.
 """
 
@@ -43,7 +43,7 @@ def run(spark, name: str, sf: str) -> float:
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
     warm = "/root/testdata/sf0.001"
     if os.path.isdir(warm):

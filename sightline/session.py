@@ -24,6 +24,8 @@ def build_session(master: str | None = None, app: str = "sightline",
          # Frames carry images: keep Arrow batches to scorers small.
          .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+         # Remove checkpoint files once the numbered rows are no longer used.
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.driver.memory", "16g"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)

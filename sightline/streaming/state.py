@@ -12,7 +12,6 @@ restarted query continues where it stopped.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,41 +20,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-_STATE = T.StructType([T.StructField("blob", T.StringType())])
-
-
 def _scan_stream(df: DataFrame, key: str, order: list[str], extra: list[T.StructField],
-                 step: Callable[[pd.DataFrame, dict], tuple[pd.DataFrame, dict]],
+                 state_schema: T.StructType, initial: tuple,
+                 step: Callable[[pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]],
                  drop_input: tuple[str, ...] = ()) -> DataFrame:
     """Run ``step(sorted_rows, state) -> (output_rows, state)`` per camera
-    and micro-batch. The output keeps the input columns (minus
-    ``drop_input``) and adds ``extra``."""
+    and micro-batch, with a typed state row (``initial`` for a new camera).
+    The output keeps the input columns (minus ``drop_input``) and adds
+    ``extra``."""
     fields = [f for f in df.schema.fields if f.name not in drop_input] + extra
     out_schema = T.StructType(fields)
     names = [f.name for f in fields]
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(pdfs), ignore_index=True)
-        st = json.loads(state.get[0]) if state.exists else {}
+        st = tuple(state.get) if state.exists else initial
         pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
         out, st = step(pdf, st)
-        state.update((json.dumps(st),))
+        state.update(st)
         yield out[names] if len(out) else pd.DataFrame({n: [] for n in names})
 
-    return df.groupBy(key).applyInPandasWithState(fn, out_schema, _STATE, "append",
+    return df.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append",
                                                   GroupStateTimeout.NoTimeout)
 
 
+def _schema(ddl: str) -> T.StructType:
+    return T.StructType.fromDDL(ddl)
+
+
 def sample_every_n_stream(df: DataFrame, n: int, key: str = "camera_id",
                           order=("event_ts", "offset")) -> DataFrame:
     """E1 on a stream: per-camera counter in state; rows whose position is a
     multiple of ``n`` are emitted with ``seq``."""
     def step(pdf, st):
-        start = st.get("count", 0)
+        start = int(st[0])
         pdf["seq"] = range(start, start + len(pdf))
-        st["count"] = start + len(pdf)
-        return pdf[pdf["seq"] % n == 0], st
-    return _scan_stream(df, key, list(order), [T.StructField("seq", T.LongType())], step)
+        return pdf[pdf["seq"] % n == 0], (start + len(pdf),)
+    return _scan_stream(df, key, list(order), [T.StructField("seq", T.LongType())],
+                        _schema("count BIGINT"), (0,), step)
 
 
 def rolling_stream(df: DataFrame, size: int, key: str = "camera_id", order=("vec_id",),
@@ -63,7 +65,9 @@ def rolling_stream(df: DataFrame, size: int, key: str = "camera_id", order=("vec
     """H1 on a stream: the last ``size`` - 1 vectors stay in state; each new
     vector that completes a window emits (camera, seq, ids, vectors)."""
     def step(pdf, st):
-        ids, vecs, count = st.get("ids", []), st.get("vecs", []), st.get("count", 0)
+        ids = [int(i) for i in (st[0] if st[0] is not None else [])]
+        vecs = [list(v) for v in (st[1] if st[1] is not None else [])]
+        count = int(st[2])
         rows = []
         for i, v in zip(pdf[id_col].tolist(), pdf[vec_col].tolist()):
             ids.append(int(i))
@@ -72,31 +76,32 @@ def rolling_stream(df: DataFrame, size: int, key: str = "camera_id", order=("vec
             if len(ids) == size:
                 rows.append((count, list(ids), [list(x) for x in vecs]))
             count += 1
-        st = {"ids": ids[-(size - 1):] if size > 1 else [], "vecs": vecs[-(size - 1):] if size > 1 else [],
-              "count": count}
+        keep = size - 1
         out = pd.DataFrame(rows, columns=["seq", "ids", "vectors"])
         out[key] = pdf[key].iloc[0] if len(pdf) else None
-        return out, st
+        return out, (ids[-keep:] if keep else [], vecs[-keep:] if keep else [], count)
 
     extra = [T.StructField("seq", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())),
              T.StructField("vectors", T.ArrayType(T.ArrayType(T.DoubleType())))]
-    return _scan_stream(df.select(key, id_col, vec_col), key, list(order), extra, step,
-                        drop_input=(id_col, vec_col))
+    return _scan_stream(df.select(key, id_col, vec_col), key, list(order), extra,
+                        _schema("ids ARRAY<BIGINT>, vecs ARRAY<ARRAY<DOUBLE>>, count BIGINT"), ([], [], 0),
+                        step, drop_input=(id_col, vec_col))
 
 
 def carry_text_stream(df: DataFrame, key: str = "camera_id", order=("event_ts", "offset"),
                       text_col: str = "text", out_col: str = "shown_text") -> DataFrame:
     """H2 on a stream: the last non-empty text stays in state."""
     def step(pdf, st):
-        last = st.get("text", "")
+        last = st[0] or ""
         shown = []
         for t in pdf[text_col].tolist():
             if t:
                 last = t
             shown.append(last)
         pdf[out_col] = shown
-        return pdf, {"text": last}
-    return _scan_stream(df, key, list(order), [T.StructField(out_col, T.StringType())], step)
+        return pdf, (last,)
+    return _scan_stream(df, key, list(order), [T.StructField(out_col, T.StringType())],
+                        _schema("text STRING"), ("",), step)
 
 
 def asof_stream(tagged: DataFrame, key: str = "camera_id", order=("ts", "side", "id"),
@@ -105,7 +110,8 @@ def asof_stream(tagged: DataFrame, key: str = "camera_id", order=("ts", "side",
     prediction and 1 for a frame. The latest prediction stays in state;
     every frame row is emitted with it (prediction first on equal times)."""
     def step(pdf, st):
-        pid, pval = st.get("id"), st.get("value")
+        pid = None if st[0] is None or pd.isna(st[0]) else int(st[0])
+        pval = None if st[1] is None or pd.isna(st[1]) else float(st[1])
         ids, vals, keep = [], [], []
         for side, i, v in zip(pdf[side_col].tolist(), pdf[id_col].tolist(), pdf[value_col].tolist()):
             if side == 0:
@@ -117,9 +123,10 @@ def asof_stream(tagged: DataFrame, key: str = "camera_id", order=("ts", "side",
             vals.append(pval)
         pdf["pred_id"] = pd.array(ids, dtype="Int64")
         pdf["pred_value"] = pd.array(vals, dtype="Float64")
-        return pdf[keep], {"id": pid, "value": pval}
+        return pdf[keep], (pid, pval)
     extra = [T.StructField("pred_id", T.LongType()), T.StructField("pred_value", T.DoubleType())]
-    return _scan_stream(tagged, key, list(order), extra, step)
+    return _scan_stream(tagged, key, list(order), extra, _schema("pred_id BIGINT, pred_value DOUBLE"),
+                        (None, None), step)
 
 
 def tag_sides(frames: DataFrame, preds: DataFrame, key: str, ts_col: str, id_col: str,
