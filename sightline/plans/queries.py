@@ -29,8 +29,8 @@ def _frames(spark, sf):
 # --- A: sources and sinks -------------------------------------------------
 
 def label_dim(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "names")
-    TB.names_lines(_frames(spark, sf)).orderBy("frame_id").select("line").write.text(path)
+    path = TB.derived_path(spark, sf, "events", "names", lambda p: TB.names_lines(_frames(spark, sf))
+                           .orderBy("frame_id").select("line").write.text(p))
     return dims.read_label_file(spark, path)
 
 
@@ -49,13 +49,13 @@ def model_registry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_label_map(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "eventlabels")
-    f = _frames(spark, sf)
-    lab = F.element_at(F.array(*[F.lit(x) for x in TB.DETECTION_LABELS]), (F.col("k") % 5 + 1).cast("int"))
-    obj = F.to_json(F.create_map((F.col("frame_id") * 2).cast("string"), F.col("event_type"),
-                                 (F.col("frame_id") * 2 + 1).cast("string"), lab))
-    f.select(obj.alias("value")).write.text(path)
-    return dims.event_label_map(spark.read.text(path))
+    def write(path):
+        f = _frames(spark, sf)
+        lab = F.element_at(F.array(*[F.lit(x) for x in TB.DETECTION_LABELS]), (F.col("k") % 5 + 1).cast("int"))
+        obj = F.to_json(F.create_map((F.col("frame_id") * 2).cast("string"), F.col("event_type"),
+                                     (F.col("frame_id") * 2 + 1).cast("string"), lab))
+        f.select(obj.alias("value")).write.text(path)
+    return dims.event_label_map(spark.read.text(TB.derived_path(spark, sf, "events", "eventlabels", write)))
 
 
 def frame_source(spark: SparkSession, sf: str) -> DataFrame:

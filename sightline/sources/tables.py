@@ -26,6 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_DERIVED: dict[tuple, str] = {}
+
+
+def derived_path(spark: SparkSession, sf_dir: str, source: str, name: str, write) -> str:
+    """Folder of an input derived from driver table ``source`` by ``write(path)``.
+    Written once per application and version of the source table (its
+    files' modification times), then reused by later queries."""
+    from ..session import scratch_path
+    src = table(spark, sf_dir, source)
+    version = tuple(sorted(src.select("_metadata.file_path", "_metadata.file_modification_time")
+                           .distinct().collect()))
+    key = (spark.sparkContext.applicationId, sf_dir, source, name, version)
+    if key not in _DERIVED:
+        path = scratch_path(spark, name)
+        write(path)
+        _DERIVED[key] = path
+    return _DERIVED[key]
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frame per event: frame_id, camera_id, ts, event_type, value, k."""
     ev = table(spark, sf_dir, "events")
