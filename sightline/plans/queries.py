@@ -118,6 +118,13 @@ def frame_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- B: parsing -------------------------------------------------------------
 
+def _broken_topic(spark, sf):
+    """The broken messages as a stored topic (written once per session)."""
+    path = TB.derived_path(spark, sf, "events", "broken-topic",
+                           lambda p: TB.broken_messages(_frames(spark, sf)).write.parquet(p))
+    return spark.read.parquet(path)
+
+
 def parse_frames(spark, sf):
     m = TB.messages(_frames(spark, sf)).withColumn("_ev", codec.parse_frame_event("value"))
     return m.select("offset", F.col("_ev.camera_id").alias("camera_id"),
@@ -125,13 +132,13 @@ def parse_frames(spark, sf):
 
 
 def parse_event_time(spark, sf):
-    m = TB.broken_messages(_frames(spark, sf)).withColumn("_ev", codec.parse_frame_event("value"))
+    m = _broken_topic(spark, sf).withColumn("_ev", codec.parse_frame_event("value"))
     return m.select("offset", F.col("_ev.timestamp").alias("timestamp"),
                     codec.ts_text(codec.parse_event_time("_ev.timestamp")).alias("event_ts"))
 
 
 def image_decode(spark, sf):
-    m = TB.broken_messages(_frames(spark, sf)).withColumn("_ev", codec.parse_frame_event("value"))
+    m = _broken_topic(spark, sf).withColumn("_ev", codec.parse_frame_event("value"))
     return m.select("offset", codec.decode_image("_ev.image").cast("string").alias("image"))
 
 
@@ -149,7 +156,7 @@ def result_envelope(spark, sf):
 
 
 def bad_records(spark, sf):
-    _, bad = filters.split_bad_records(TB.broken_messages(_frames(spark, sf)))
+    _, bad = filters.split_bad_records(_broken_topic(spark, sf))
     return bad.select("offset", "reason")
 
 
