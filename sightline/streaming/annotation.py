@@ -27,6 +27,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from .. import config as C
 from ..functions import codec
 from ..operators.scoring import _loaded
+from .state import duration_ms
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("camera_id", T.StringType()), T.StructField("offset", T.LongType()),
@@ -46,20 +47,29 @@ def _summary(labels: list[str]) -> str:
 
 
 def annotate_stream(frames: DataFrame, scorers: dict, config: C.PipelineConfig = C.DEFAULT_CONFIG,
-                    freshness: bool = True) -> DataFrame:
+                    freshness: bool = True, idle_timeout: str | None = None) -> DataFrame:
     """Result rows per camera and micro-batch. ``scorers`` maps detector
     name to a scorer whose ``predict(images)`` returns detection rows with
     ``_row``, ``pos``, ``label``, ``confidence``. ``freshness`` applies C1
-    against the micro-batch's clock (off for replays of old data)."""
+    against the micro-batch's clock (off for replays of old data).
+    ``idle_timeout`` removes the state of a camera once the event-time
+    watermark passes its last frame time plus that period."""
     active = [d for d in config.active_detectors() if d.name in scorers]
     thresholds = config.thresholds()
     lcm = config.sample_lcm()
     # Fresh: 0 <= age and whole seconds of age <= the limit.
     below_us = (config.freshness_seconds + 1) * 1_000_000
     x = frames.select("camera_id", "event_ts", "timestamp", "image", "partition", "offset",
-                      F.current_timestamp().alias("_now"))
+                      F.current_timestamp().alias("_now"), F.unix_millis("event_ts").alias("_t_ms"))
+    timeout_ms = duration_ms(idle_timeout) if idle_timeout else None
+    if timeout_ms is not None:
+        x = x.withWatermark("event_ts", "0 seconds")
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({f.name: [] for f in RESULT_SCHEMA.fields})
+            return
         pdf = pd.concat(list(pdfs), ignore_index=True)
         st = json.loads(state.get[0]) if state.exists else {"count": 0, "seq": 0, "latest": {}, "text": ""}
         if freshness:
@@ -97,10 +107,12 @@ def annotate_stream(frames: DataFrame, scorers: dict, config: C.PipelineConfig =
             "boxes": "; ".join(captions), "prediction": st["text"]}])
         st["seq"] += 1
         state.update((json.dumps(st),))
+        if timeout_ms is not None:
+            state.setTimeoutTimestamp(int(row["_t_ms"]) + timeout_ms)
         yield out.astype({"pred_offset": "Int64", "n_boxes": "int32"})
 
-    return x.groupBy("camera_id").applyInPandasWithState(fn, RESULT_SCHEMA, _STATE, "append",
-                                                         GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout
+    return x.groupBy("camera_id").applyInPandasWithState(fn, RESULT_SCHEMA, _STATE, "append", timeout)
 
 
 def result_events(results: DataFrame) -> DataFrame:
@@ -113,7 +125,7 @@ def result_events(results: DataFrame) -> DataFrame:
 def run_annotation(spark, source_path: str, sink_path: str, checkpoint: str, scorers: dict,
                    config: C.PipelineConfig = C.DEFAULT_CONFIG, freshness: bool = True,
                    available_now: bool = True, max_files_per_trigger: int | None = None,
-                   quarantine_path: str | None = None):
+                   quarantine_path: str | None = None, idle_timeout=None):
     """One command from frame files to result files (A1 -> I2 -> B5 -> A2).
     Malformed messages go to ``quarantine_path`` (B6) when given. Returns
     the started query (or queries)."""
@@ -121,7 +133,7 @@ def run_annotation(spark, source_path: str, sink_path: str, checkpoint: str, sco
     recs = streams.frame_records(spark, "json", source_path, streaming=True,
                                  max_files_per_trigger=max_files_per_trigger)
     frames, bad = streams.parse_records(recs)
-    results = result_events(annotate_stream(frames, scorers, config, freshness))
+    results = result_events(annotate_stream(frames, scorers, config, freshness, idle_timeout))
     q = streams.result_sink(results, "json", path=sink_path, checkpoint=checkpoint,
                             available_now=available_now)
     if quarantine_path:

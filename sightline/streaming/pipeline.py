@@ -58,6 +58,8 @@ def replay_latest_per_day(spark: SparkSession, frames: DataFrame) -> DataFrame:
     out = scratch_path(spark, "replay-days-out")
 
     def handle(batch: DataFrame, batch_id: int):
+        if batch.isEmpty():  # C6: nothing to process in this micro-batch
+            return
         b = batch.withColumn("batch_day", F.date_format("event_ts", "yyyy-MM-dd"))
         r = latest_per_key(b.select("batch_day", "camera_id", "event_ts", "partition", "offset"),
                            ["batch_day", "camera_id"], ["event_ts", "partition", "offset"])

@@ -20,28 +20,64 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+_UNIT_MS = {"millisecond": 1, "ms": 1, "second": 1000, "s": 1000, "minute": 60_000, "min": 60_000,
+            "hour": 3_600_000, "h": 3_600_000, "day": 86_400_000, "d": 86_400_000}
+
+
+def duration_ms(d) -> int:
+    """``"1 hour"``, ``"90 seconds"``, ``"5 min"`` or an int (ms) to ms."""
+    if isinstance(d, int):
+        return d
+    num, unit = d.strip().split(None, 1)
+    unit = unit.strip().lower()
+    unit = unit[:-1] if unit.endswith("s") and unit[:-1] in _UNIT_MS else unit
+    return int(float(num) * _UNIT_MS[unit])
+
+
 def _scan_stream(df: DataFrame, key: str, order: list[str], extra: list[T.StructField],
                  state_schema: T.StructType, initial: tuple,
                  step: Callable[[pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]],
-                 drop_input: tuple[str, ...] = ()) -> DataFrame:
+                 drop_input: tuple[str, ...] = (), idle_timeout=None, time_col: str | None = None,
+                 watermark: str = "0 seconds") -> DataFrame:
     """Run ``step(sorted_rows, state) -> (output_rows, state)`` per camera
     and micro-batch, with a typed state row (``initial`` for a new camera).
     The output keeps the input columns (minus ``drop_input``) and adds
-    ``extra``."""
+    ``extra``.
+
+    With ``idle_timeout`` (``"1 hour"``, or ms) the state of a camera is
+    removed once the event-time watermark on ``time_col`` passes the
+    camera's last frame time plus that period, so state does not grow with
+    cameras that went away; a camera that comes back after that starts
+    afresh."""
+    idle_ms = duration_ms(idle_timeout) if idle_timeout else None
+    if idle_ms is not None:
+        if not time_col:
+            raise ValueError("idle_timeout needs time_col (the event time of the rows)")
+        df = df.withWatermark(time_col, watermark).withColumn("_t_ms", F.unix_millis(time_col))
+        drop_input = tuple(drop_input) + ("_t_ms",)
     fields = [f for f in df.schema.fields if f.name not in drop_input] + extra
     out_schema = T.StructType(fields)
     names = [f.name for f in fields]
 
+    def empty():
+        return pd.DataFrame({n: [] for n in names})
+
     def fn(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield empty()
+            return
         pdf = pd.concat(list(pdfs), ignore_index=True)
         st = tuple(state.get) if state.exists else initial
         pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
         out, st = step(pdf, st)
         state.update(st)
-        yield out[names] if len(out) else pd.DataFrame({n: [] for n in names})
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(int(pdf["_t_ms"].max()) + idle_ms)
+        yield out[names] if len(out) else empty()
 
-    return df.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                                  GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout
+    return df.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", timeout)
 
 
 def _schema(ddl: str) -> T.StructType:
@@ -49,7 +85,8 @@ def _schema(ddl: str) -> T.StructType:
 
 
 def sample_every_n_stream(df: DataFrame, n: int, key: str = "camera_id",
-                          order=("event_ts", "offset")) -> DataFrame:
+                          order=("event_ts", "offset"), idle_timeout=None,
+                          time_col: str = "event_ts") -> DataFrame:
     """E1 on a stream: per-camera counter in state; rows whose position is a
     multiple of ``n`` are emitted with ``seq``."""
     def step(pdf, st):
@@ -57,11 +94,12 @@ def sample_every_n_stream(df: DataFrame, n: int, key: str = "camera_id",
         pdf["seq"] = range(start, start + len(pdf))
         return pdf[pdf["seq"] % n == 0], (start + len(pdf),)
     return _scan_stream(df, key, list(order), [T.StructField("seq", T.LongType())],
-                        _schema("count BIGINT"), (0,), step)
+                        _schema("count BIGINT"), (0,), step, idle_timeout=idle_timeout, time_col=time_col)
 
 
 def rolling_stream(df: DataFrame, size: int, key: str = "camera_id", order=("vec_id",),
-                   id_col: str = "vec_id", vec_col: str = "vec") -> DataFrame:
+                   id_col: str = "vec_id", vec_col: str = "vec", idle_timeout=None,
+                   time_col: str | None = None) -> DataFrame:
     """H1 on a stream: the last ``size`` - 1 vectors stay in state; each new
     vector that completes a window emits (camera, seq, ids, vectors)."""
     def step(pdf, st):
@@ -83,13 +121,16 @@ def rolling_stream(df: DataFrame, size: int, key: str = "camera_id", order=("vec
 
     extra = [T.StructField("seq", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())),
              T.StructField("vectors", T.ArrayType(T.ArrayType(T.DoubleType())))]
-    return _scan_stream(df.select(key, id_col, vec_col), key, list(order), extra,
+    cols = [key, id_col, vec_col] + ([time_col] if time_col else [])
+    return _scan_stream(df.select(*cols), key, list(order), extra,
                         _schema("ids ARRAY<BIGINT>, vecs ARRAY<ARRAY<DOUBLE>>, count BIGINT"), ([], [], 0),
-                        step, drop_input=(id_col, vec_col))
+                        step, drop_input=tuple(c for c in cols if c != key), idle_timeout=idle_timeout,
+                        time_col=time_col)
 
 
 def carry_text_stream(df: DataFrame, key: str = "camera_id", order=("event_ts", "offset"),
-                      text_col: str = "text", out_col: str = "shown_text") -> DataFrame:
+                      text_col: str = "text", out_col: str = "shown_text",
+                      idle_timeout=None, time_col: str = "event_ts") -> DataFrame:
     """H2 on a stream: the last non-empty text stays in state."""
     def step(pdf, st):
         last = st[0] or ""
@@ -101,11 +142,12 @@ def carry_text_stream(df: DataFrame, key: str = "camera_id", order=("event_ts",
         pdf[out_col] = shown
         return pdf, (last,)
     return _scan_stream(df, key, list(order), [T.StructField(out_col, T.StringType())],
-                        _schema("text STRING"), ("",), step)
+                        _schema("text STRING"), ("",), step, idle_timeout=idle_timeout, time_col=time_col)
 
 
 def asof_stream(tagged: DataFrame, key: str = "camera_id", order=("ts", "side", "id"),
-                value_col: str = "value", side_col: str = "side", id_col: str = "id") -> DataFrame:
+                value_col: str = "value", side_col: str = "side", id_col: str = "id",
+                idle_timeout=None) -> DataFrame:
     """F5 on a stream: both sides in one stream, tagged ``side`` 0 for a
     prediction and 1 for a frame. The latest prediction stays in state;
     every frame row is emitted with it (prediction first on equal times)."""
@@ -126,7 +168,7 @@ def asof_stream(tagged: DataFrame, key: str = "camera_id", order=("ts", "side",
         return pdf[keep], (pid, pval)
     extra = [T.StructField("pred_id", T.LongType()), T.StructField("pred_value", T.DoubleType())]
     return _scan_stream(tagged, key, list(order), extra, _schema("pred_id BIGINT, pred_value DOUBLE"),
-                        (None, None), step)
+                        (None, None), step, idle_timeout=idle_timeout, time_col="ts")
 
 
 def tag_sides(frames: DataFrame, preds: DataFrame, key: str, ts_col: str, id_col: str,

@@ -28,9 +28,12 @@ def test_stream_equals_batch_on_kept_frames(spark):
     for i, day in enumerate(days):  # one file per day, written in day order
         (msgs.where(F.col("_day") == day).select("partition", "offset", "value")
          .coalesce(1).write.json(f"{d}/src/{i:03d}"))
+    # idle eviction on (after 30 days of silence): the query must still end,
+    # and nothing is evicted within this month of data
     q = run_annotation(spark, d + "/src/*", d + "/out", d + "/ckpt", _scorers(), freshness=False,
-                       max_files_per_trigger=1)
-    q.awaitTermination()
+                       max_files_per_trigger=1, idle_timeout="30 days")
+    q.awaitTermination(300)
+    assert not q.isActive
     res = streams.result_source(spark, "json", d + "/out", streaming=False)
     assert res.count() > 0
     got = sorted((r.camera_id, r.timestamp, r.prediction) for r in res.collect())

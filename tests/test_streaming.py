@@ -109,3 +109,33 @@ def test_asof_stream_equals_batch(spark):
                                   "camera_id", "ts", "frame_id", ["value"])
     exp = sorted((r.frame_id, r.pred_frame_id, r.pred_value) for r in ref.collect())
     assert got == exp
+
+
+def test_idle_camera_state_is_evicted(spark):
+    # Run 1: camera 1 at t=10,11 s, then camera 2 at t=20 s. The watermark
+    # passes camera 1's last frame + 1 ms, so its state is removed at the end
+    # of run 1. Run 2 (same checkpoint): camera 1 at t=30 s starts afresh.
+    import shutil
+
+    d = tempfile.mkdtemp(prefix="st-evict-")
+    batches = [[(1, 0, 10), (1, 1, 11)], [(2, 2, 20)], [(1, 3, 30)]]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, "camera_id int, offset long, t long") \
+            .withColumn("event_ts", F.timestamp_seconds("t")).drop("t").coalesce(1) \
+            .write.parquet(f"{d}/all/p{i}")
+
+    def run():
+        s = spark.readStream.schema("camera_id int, offset long, event_ts timestamp") \
+            .option("maxFilesPerTrigger", 1).parquet(d + "/src/*")
+        q = (state.sample_every_n_stream(s, 1, idle_timeout="1 millisecond").writeStream.format("parquet")
+             .option("path", d + "/out").option("checkpointLocation", d + "/ckpt")
+             .trigger(availableNow=True).start())
+        q.awaitTermination(120)
+        assert not q.isActive
+    for i in (0, 1):
+        shutil.copytree(f"{d}/all/p{i}", f"{d}/src/p{i}")
+    run()
+    shutil.copytree(f"{d}/all/p2", f"{d}/src/p2")
+    run()
+    got = sorted((r.camera_id, r.offset, r.seq) for r in spark.read.parquet(d + "/out").collect())
+    assert got == [(1, 0, 0), (1, 1, 1), (1, 3, 0), (2, 2, 0)]
