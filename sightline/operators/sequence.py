@@ -50,7 +50,8 @@ def keyed_sequence(df: DataFrame, keys, order, seq_col: str = "seq",
     columns first: the numbered rows are checkpointed as they are."""
     keys, order = _cols(keys), _cols(order)
     by = keys + order
-    # Without a fixed count AQE sizes the range partitions from the data.
+    # Without a fixed count the range partitioning starts from
+    # spark.sql.shuffle.partitions and AQE merges small partitions.
     ranged = df.repartitionByRange(num_partitions, *by) if num_partitions else df.repartitionByRange(*by)
     ranged = (ranged.sortWithinPartitions(*by)
               .withColumn("_pid", F.spark_partition_id())
