@@ -89,20 +89,25 @@ def frame_ingest(spark: SparkSession, stills_dir: str, streaming: bool = True,
                  glob: str | None = None) -> DataFrame:
     """A3: a folder of still images, one file per frame under a folder per
     camera, to frame records (value = the producer's JSON). The file's
-    modification time is the frame time; the folder names give camera and
-    frame ids (``name=value`` folders are read as their value)."""
+    modification time is the frame time. Camera: a ``camera_id=`` folder if
+    the path has one, else the file's folder; frame id: a ``frame_id=``
+    folder, else the file name when it is a number."""
     r = _reader(spark, streaming).format("binaryFile").option("recursiveFileLookup", "true")
     if streaming:
         r = r.schema(BINARY_FILE_SCHEMA)
     if glob:
         r = r.option("pathGlobFilter", glob)
     files = r.load(stills_dir)
-    folder = lambda depth: F.regexp_replace(
-        F.element_at(F.split("path", "/"), -depth), r"^[^=]*=", "")
-    msg = codec.frame_message(codec.encode_image("content"), codec.iso_timestamp("modificationTime"),
-                              folder(3))
-    return files.select(folder(3).alias("camera_id"), folder(2).cast("bigint").alias("frame_id"),
-                        msg.alias("value"))
+    parts = F.split("path", "/")
+
+    def tagged(name):  # value of a ``name=value`` folder in the path, else NULL
+        return F.nullif(F.regexp_extract("path", f"/{name}=([^/]+)/", 1), F.lit(""))
+
+    camera = F.coalesce(tagged("camera_id"), F.element_at(parts, -2))
+    stem = F.regexp_extract(F.element_at(parts, -1), r"^([^.]+)", 1)
+    frame = F.coalesce(tagged("frame_id").try_cast("bigint"), stem.try_cast("bigint"))
+    msg = codec.frame_message(codec.encode_image("content"), codec.iso_timestamp("modificationTime"), camera)
+    return files.select(camera.alias("camera_id"), frame.alias("frame_id"), msg.alias("value"))
 
 
 def result_source(spark: SparkSession, fmt: str = "kafka", path: str | None = None,

@@ -56,3 +56,28 @@ def test_model_registry_and_label_map(spark):
     assert r["Gun"].pb_path.endswith("/Gun/g.pb") and r["Gun"].weights is None
     m = spark.createDataFrame([('{"0": "Parade", "12": "Riot"}',)], "value string")
     assert sorted(tuple(x) for x in dims.event_label_map(m).collect()) == [(0, "Parade"), (12, "Riot")]
+
+
+def test_frame_ingest_from_stills(spark):
+    import datetime as dt
+
+    from sightline.functions import codec
+    from sightline.sources import streams
+
+    d = tempfile.mkdtemp(prefix="stills-")
+    os.makedirs(f"{d}/cam7")
+    with open(f"{d}/cam7/00042.jpg", "wb") as fh:
+        fh.write(b"\xff\xd8jpegbytes")
+    mtime = dt.datetime(2024, 1, 2, 3, 4, 5, 678901).replace(tzinfo=dt.timezone.utc).timestamp()
+    os.utime(f"{d}/cam7/00042.jpg", (mtime, mtime))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        r = streams.frame_ingest(spark, d, streaming=False, glob="*.jpg")
+        row = r.withColumn("_ev", codec.parse_frame_event("value")).select(
+            "camera_id", "frame_id", "_ev.timestamp", codec.decode_image("_ev.image").alias("img")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert (row.camera_id, row.frame_id) == ("cam7", 42)
+    assert row.timestamp.startswith("2024-01-02T03:04:05")
+    assert bytes(row.img) == b"\xff\xd8jpegbytes"
