@@ -108,6 +108,9 @@ def carry_last(df: DataFrame, keys, seq_col: str, value_cols, out_cols=None,
     prev = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_chunk").alias("_c_chunk"),
                         *[F.last(f"_e{i}", ignorenulls=True).over(prev).alias(f"_in{i}") for i in idx])
+    # Only chunks that receive a value from an earlier chunk are joined; a
+    # camera that fits in one chunk adds nothing, so the table stays small.
+    carry = carry.where(reduce(lambda a, b: a | b, [F.col(f"_in{i}").isNotNull() for i in idx]))
     cond = reduce(lambda a, b: a & b, [x[k] == carry[f"_c_{k}"] for k in keys] +
                   [x["_chunk"] == carry["_c_chunk"]])
     y = x.join(carry, cond, "left")
