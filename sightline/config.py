@@ -48,6 +48,15 @@ EVENT_TIME_PATTERN = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 SCAN_CHUNK_ROWS = 1 << 20
 # Dimension tables (labels, palettes) are broadcast only up to this many rows.
 BROADCAST_MAX_ROWS = 200_000
+# Session settings that override the two values above.
+CHUNK_ROWS_CONF = "spark.sightline.scan.chunkRows"
+BROADCAST_ROWS_CONF = "spark.sightline.broadcast.maxRows"
+
+
+def session_int(spark, key: str, default: int) -> int:
+    """An integer engine setting from the session conf, else the default."""
+    v = spark.conf.get(key, None)
+    return int(v) if v not in (None, "") else default
 
 
 @dataclass(frozen=True)

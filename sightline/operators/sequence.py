@@ -24,7 +24,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BROADCAST_MAX_ROWS, SCAN_CHUNK_ROWS
+from ..config import (BROADCAST_MAX_ROWS, BROADCAST_ROWS_CONF, CHUNK_ROWS_CONF, SCAN_CHUNK_ROWS,
+                      session_int)
 
 
 def _cols(x) -> list[str]:
@@ -32,10 +33,14 @@ def _cols(x) -> list[str]:
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+               max_rows: int | None = None) -> DataFrame:
     """Join a dimension table. It is broadcast only after a bounded count
-    shows it has at most ``max_rows`` rows; past that the join is left to
-    the planner (sort-merge, or a broadcast chosen by AQE from runtime size)."""
+    shows it has at most ``max_rows`` rows (default: the session setting
+    ``spark.sightline.broadcast.maxRows``, else 200,000); past that the join
+    is left to the planner (sort-merge, or a broadcast chosen by AQE from
+    runtime size)."""
+    if max_rows is None:
+        max_rows = session_int(big.sparkSession, BROADCAST_ROWS_CONF, BROADCAST_MAX_ROWS)
     n = small.limit(max_rows + 1).count()
     if n <= max_rows:
         small = F.broadcast(small)
@@ -75,8 +80,12 @@ def keyed_sequence(df: DataFrame, keys, order, seq_col: str = "seq",
 CHUNK_COL = "_chunk"
 
 
+def _chunk_rows(df: DataFrame, chunk_rows: int | None) -> int:
+    return chunk_rows or session_int(df.sparkSession, CHUNK_ROWS_CONF, SCAN_CHUNK_ROWS)
+
+
 def carry_last(df: DataFrame, keys, seq_col: str, value_cols, out_cols=None,
-               chunk_rows: int = SCAN_CHUNK_ROWS, keep_chunk: bool = False) -> DataFrame:
+               chunk_rows: int | None = None, keep_chunk: bool = False) -> DataFrame:
     """For every row and every column of ``value_cols``, the latest non-null
     value of that column among rows of the same key at or before it (by
     ``seq_col``). Columns are carried independently, all in one window pass;
@@ -93,6 +102,7 @@ def carry_last(df: DataFrame, keys, seq_col: str, value_cols, out_cols=None,
     keys, value_cols = _cols(keys), _cols(value_cols)
     out_cols = _cols(out_cols) if out_cols else [f"{c}_carried" for c in value_cols]
     idx = range(len(value_cols))
+    chunk_rows = _chunk_rows(df, chunk_rows)
     base = df if CHUNK_COL in df.columns else \
         df.withColumn(CHUNK_COL, F.expr(f"`{seq_col}` div {int(chunk_rows)}"))
     upto = (Window.partitionBy(*keys, "_chunk").orderBy(seq_col)
@@ -121,7 +131,7 @@ def carry_last(df: DataFrame, keys, seq_col: str, value_cols, out_cols=None,
 
 def trailing_groups(df: DataFrame, keys, seq_col: str, size: int,
                     payload_cols, end_col: str = "end_seq",
-                    chunk_rows: int = SCAN_CHUNK_ROWS) -> DataFrame:
+                    chunk_rows: int | None = None) -> DataFrame:
     """Windows of the last ``size`` rows per key, one output row per window
     end that has a full window. Returns keys, ``end_col`` and ``items``: the
     rows of the window ordered by sequence.
@@ -132,6 +142,7 @@ def trailing_groups(df: DataFrame, keys, seq_col: str, size: int,
     runs within it. Each row is shuffled about once (not ``size`` times), and
     no group exceeds ``chunk_rows`` + ``size`` - 1 rows."""
     keys, payload_cols = _cols(keys), _cols(payload_cols)
+    chunk_rows = _chunk_rows(df, chunk_rows)
     item = F.struct(F.col(seq_col).alias("seq"), *[F.col(c) for c in payload_cols])
     seq = F.col(seq_col)
     own = F.expr(f"`{seq_col}` div {int(chunk_rows)}")

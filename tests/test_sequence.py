@@ -71,3 +71,17 @@ def test_hot_camera_spread_over_tasks(spark):
              .groupBy(F.spark_partition_id().alias("p")).count().collect())
     assert len(parts) >= 6
     assert max(r["count"] for r in parts) < 0.3 * f.count()
+
+
+def test_chunk_size_from_session(spark):
+    f = TB.frames_seq(spark, SF_MID, ["event_type"]).withColumn(
+        "v", F.when(F.col("event_type") == "signup", F.col("frame_id")))
+    ref = sorted(tuple(r) for r in carry_last(f, ["camera_id"], "seq", ["v"], ["c"]).select("frame_id", "c").collect())
+    spark.conf.set("spark.sightline.scan.chunkRows", "3")
+    try:
+        small = carry_last(f, ["camera_id"], "seq", ["v"], ["c"], keep_chunk=True)
+        assert small.where("_chunk != seq div 3").count() == 0
+        got = sorted(tuple(r) for r in small.select("frame_id", "c").collect())
+    finally:
+        spark.conf.unset("spark.sightline.scan.chunkRows")
+    assert got == ref
