@@ -31,12 +31,10 @@ _DERIVED: dict[tuple, str] = {}
 
 def derived_path(spark: SparkSession, sf_dir: str, source: str, name: str, write) -> str:
     """Folder of an input derived from driver table ``source`` by ``write(path)``.
-    Written once per application and version of the source table (its
-    files' modification times), then reused by later queries."""
+    Written once per application and version of the source table (its file
+    listing: parquet files are immutable), then reused by later queries."""
     from ..session import scratch_path
-    src = table(spark, sf_dir, source)
-    version = tuple(sorted(src.select("_metadata.file_path", "_metadata.file_modification_time")
-                           .distinct().collect()))
+    version = tuple(sorted(table(spark, sf_dir, source).inputFiles()))
     key = (spark.sparkContext.applicationId, sf_dir, source, name, version)
     if key not in _DERIVED:
         path = scratch_path(spark, name)
