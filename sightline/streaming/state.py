@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +35,31 @@ def duration_ms(d) -> int:
     return int(float(num) * _UNIT_MS[unit])
 
 
+def _py(v):
+    """A pandas/numpy value as a plain Python value for the state store."""
+    if v is None:
+        return None
+    if isinstance(v, pd.Timestamp):
+        return None if pd.isna(v) else v.to_pydatetime()
+    if isinstance(v, np.ndarray):
+        return [_py(x) for x in v.tolist()]
+    if isinstance(v, (list, tuple)):
+        return [_py(x) for x in v]
+    if isinstance(v, np.generic):
+        v = v.item()
+    try:
+        if pd.isna(v):
+            return None
+    except (TypeError, ValueError):
+        pass
+    return v
+
+
 def _scan_stream(df: DataFrame, key: str, order: list[str], extra: list[T.StructField],
                  state_schema: T.StructType, initial: tuple,
                  step: Callable[[pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]],
                  drop_input: tuple[str, ...] = (), idle_timeout=None, time_col: str | None = None,
-                 watermark: str = "0 seconds") -> DataFrame:
+                 watermark: str = "0 seconds", hold_back: bool = False) -> DataFrame:
     """Run ``step(sorted_rows, state) -> (output_rows, state)`` per camera
     and micro-batch, with a typed state row (``initial`` for a new camera).
     The output keeps the input columns (minus ``drop_input``) and adds
@@ -48,13 +69,27 @@ def _scan_stream(df: DataFrame, key: str, order: list[str], extra: list[T.Struct
     removed once the event-time watermark on ``time_col`` passes the
     camera's last frame time plus that period, so state does not grow with
     cameras that went away; a camera that comes back after that starts
-    afresh."""
+    afresh.
+
+    With ``hold_back`` a camera's rows wait in state until the watermark
+    (``watermark`` behind the newest event time) passes them, and are then
+    processed in time order; rows arriving behind the watermark are dropped
+    as late. Out-of-order arrival within the watermark delay then gives the
+    same result as the batch form, at the cost of that much latency."""
     idle_ms = duration_ms(idle_timeout) if idle_timeout else None
-    if idle_ms is not None:
+    timed = idle_ms is not None or hold_back
+    if timed:
         if not time_col:
-            raise ValueError("idle_timeout needs time_col (the event time of the rows)")
+            raise ValueError("idle_timeout and hold_back need time_col (the event time of the rows)")
+        if hold_back and order[0] != time_col:
+            raise ValueError("hold_back needs the order to start with time_col")
         df = df.withWatermark(time_col, watermark).withColumn("_t_ms", F.unix_millis(time_col))
         drop_input = tuple(drop_input) + ("_t_ms",)
+    in_names = df.columns
+    if hold_back:
+        pending_type = T.ArrayType(T.StructType(df.schema.fields))
+        state_schema = T.StructType(state_schema.fields + [T.StructField("_pending", pending_type)])
+        initial = tuple(initial) + ([],)
     fields = [f for f in df.schema.fields if f.name not in drop_input] + extra
     out_schema = T.StructType(fields)
     names = [f.name for f in fields]
@@ -63,20 +98,39 @@ def _scan_stream(df: DataFrame, key: str, order: list[str], extra: list[T.Struct
         return pd.DataFrame({n: [] for n in names})
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        parts = list(pdfs)
+        st = tuple(state.get) if state.exists else initial
+        core, pending = (st[:-1], st[-1] or []) if hold_back else (st, [])
+        if state.hasTimedOut and not pending:
+            state.remove()  # idle camera
             yield empty()
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        st = tuple(state.get) if state.exists else initial
-        pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
-        out, st = step(pdf, st)
-        state.update(st)
-        if idle_ms is not None:
-            state.setTimeoutTimestamp(int(pdf["_t_ms"].max()) + idle_ms)
-        yield out[names] if len(out) else empty()
-
-    timeout = GroupStateTimeout.EventTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout
+        new = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=in_names)
+        rest = None
+        if hold_back:
+            held = pd.DataFrame([tuple(r) for r in pending], columns=in_names)
+            rows = pd.concat([held, new], ignore_index=True) if len(held) else new
+            rows[time_col] = pd.to_datetime(rows[time_col])
+            ready_mask = rows["_t_ms"].astype("int64") <= state.getCurrentWatermarkMs()
+            ready, rest = rows[ready_mask], rows[~ready_mask]
+        else:
+            ready = new
+        out = None
+        if len(ready):
+            ready = ready.sort_values(order, kind="mergesort").reset_index(drop=True)
+            out, core = step(ready, tuple(core))
+        new_state = tuple(core)
+        if hold_back:
+            new_state += ([tuple(_py(v) for v in r) for r in rest[in_names].itertuples(index=False)],)
+        state.update(new_state)
+        wm = state.getCurrentWatermarkMs() if timed else None
+        if hold_back and len(rest):
+            state.setTimeoutTimestamp(int(rest["_t_ms"].min()))  # release once passed
+        elif idle_ms is not None and len(ready):
+            state.setTimeoutTimestamp(max(int(ready["_t_ms"].max()) + idle_ms, wm + 1))
+        yield out[names] if out is not None and len(out) else empty()
+
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
     return df.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", timeout)
 
 
@@ -86,7 +140,8 @@ def _schema(ddl: str) -> T.StructType:
 
 def sample_every_n_stream(df: DataFrame, n: int, key: str = "camera_id",
                           order=("event_ts", "offset"), idle_timeout=None,
-                          time_col: str = "event_ts") -> DataFrame:
+                          time_col: str = "event_ts", hold_back: bool = False,
+                          watermark: str = "0 seconds") -> DataFrame:
     """E1 on a stream: per-camera counter in state; rows whose position is a
     multiple of ``n`` are emitted with ``seq``."""
     def step(pdf, st):
@@ -94,7 +149,8 @@ def sample_every_n_stream(df: DataFrame, n: int, key: str = "camera_id",
         pdf["seq"] = range(start, start + len(pdf))
         return pdf[pdf["seq"] % n == 0], (start + len(pdf),)
     return _scan_stream(df, key, list(order), [T.StructField("seq", T.LongType())],
-                        _schema("count BIGINT"), (0,), step, idle_timeout=idle_timeout, time_col=time_col)
+                        _schema("count BIGINT"), (0,), step, idle_timeout=idle_timeout, time_col=time_col,
+                        hold_back=hold_back, watermark=watermark)
 
 
 def rolling_stream(df: DataFrame, size: int, key: str = "camera_id", order=("vec_id",),
@@ -130,7 +186,8 @@ def rolling_stream(df: DataFrame, size: int, key: str = "camera_id", order=("vec
 
 def carry_text_stream(df: DataFrame, key: str = "camera_id", order=("event_ts", "offset"),
                       text_col: str = "text", out_col: str = "shown_text",
-                      idle_timeout=None, time_col: str = "event_ts") -> DataFrame:
+                      idle_timeout=None, time_col: str = "event_ts", hold_back: bool = False,
+                      watermark: str = "0 seconds") -> DataFrame:
     """H2 on a stream: the last non-empty text stays in state."""
     def step(pdf, st):
         last = st[0] or ""
@@ -142,12 +199,13 @@ def carry_text_stream(df: DataFrame, key: str = "camera_id", order=("event_ts",
         pdf[out_col] = shown
         return pdf, (last,)
     return _scan_stream(df, key, list(order), [T.StructField(out_col, T.StringType())],
-                        _schema("text STRING"), ("",), step, idle_timeout=idle_timeout, time_col=time_col)
+                        _schema("text STRING"), ("",), step, idle_timeout=idle_timeout, time_col=time_col,
+                        hold_back=hold_back, watermark=watermark)
 
 
 def asof_stream(tagged: DataFrame, key: str = "camera_id", order=("ts", "side", "id"),
                 value_col: str = "value", side_col: str = "side", id_col: str = "id",
-                idle_timeout=None) -> DataFrame:
+                idle_timeout=None, hold_back: bool = False, watermark: str = "0 seconds") -> DataFrame:
     """F5 on a stream: both sides in one stream, tagged ``side`` 0 for a
     prediction and 1 for a frame. The latest prediction stays in state;
     every frame row is emitted with it (prediction first on equal times)."""
@@ -168,7 +226,8 @@ def asof_stream(tagged: DataFrame, key: str = "camera_id", order=("ts", "side",
         return pdf[keep], (pid, pval)
     extra = [T.StructField("pred_id", T.LongType()), T.StructField("pred_value", T.DoubleType())]
     return _scan_stream(tagged, key, list(order), extra, _schema("pred_id BIGINT, pred_value DOUBLE"),
-                        (None, None), step, idle_timeout=idle_timeout, time_col="ts")
+                        (None, None), step, idle_timeout=idle_timeout, time_col="ts",
+                        hold_back=hold_back, watermark=watermark)
 
 
 def tag_sides(frames: DataFrame, preds: DataFrame, key: str, ts_col: str, id_col: str,

@@ -139,3 +139,51 @@ def test_idle_camera_state_is_evicted(spark):
     run()
     got = sorted((r.camera_id, r.offset, r.seq) for r in spark.read.parquet(d + "/out").collect())
     assert got == [(1, 0, 0), (1, 1, 1), (1, 3, 0), (2, 2, 0)]
+
+
+def _out_of_order_messages(spark, d):
+    """Messages in 4 files: days 1-10 and 16-20, then days 11-15 (arriving
+    late but within a 10-day watermark), then days 21-31, then one frame of
+    another camera far in the future that moves the watermark past all."""
+    import datetime as dt
+
+    f = TB.frames(spark, SF_SMALL)
+    m = TB.messages(f, keep=["ts"]).select("partition", "offset", "value", "ts")
+    day = F.dayofmonth("ts")
+    parts = [m.where((day <= 10) | ((day >= 16) & (day <= 20))), m.where((day >= 11) & (day <= 15)),
+             m.where(day >= 21)]
+    for i, p in enumerate(parts):
+        p.drop("ts").coalesce(1).write.json(f"{d}/src/p{i}")
+    closing = spark.createDataFrame([(0, 10 ** 9, dt.datetime(2024, 3, 1), -1, "{}")],
+                                    "camera_id long, frame_id long, ts timestamp_ntz, k int, props string")
+    TB.messages(closing).select("partition", "offset", "value").coalesce(1).write.json(f"{d}/src/p3")
+
+
+def test_hold_back_orders_late_rows(spark):
+    d = tempfile.mkdtemp(prefix="st-hold-")
+    _out_of_order_messages(spark, d)
+    s = streams.frame_source(spark, "json", path=d + "/src/*", streaming=True, max_files_per_trigger=1)
+    e1 = state.sample_every_n_stream(s, 5, hold_back=True, watermark="10 days")
+    q = (e1.select("camera_id", "offset", "seq").writeStream.format("parquet").option("path", d + "/out")
+         .option("checkpointLocation", d + "/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert not q.isActive
+    got = sorted((int(r.camera_id), r.offset, r.seq) for r in spark.read.parquet(d + "/out").collect()
+                 if r.offset != 10 ** 9)
+    ref = select.sample_every_n(TB.frames_seq(spark, SF_SMALL), 5)
+    assert got == sorted((r.camera_id, r.frame_id, r.seq) for r in ref.collect())
+
+
+def test_without_hold_back_late_rows_differ(spark):
+    # The same input without hold-back numbers frames in arrival order.
+    d = tempfile.mkdtemp(prefix="st-nohold-")
+    _out_of_order_messages(spark, d)
+    s = streams.frame_source(spark, "json", path=d + "/src/*", streaming=True, max_files_per_trigger=1)
+    q = (state.sample_every_n_stream(s, 5).select("camera_id", "offset", "seq").writeStream
+         .format("parquet").option("path", d + "/out").option("checkpointLocation", d + "/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = sorted((int(r.camera_id), r.offset, r.seq) for r in spark.read.parquet(d + "/out").collect()
+                 if r.offset != 10 ** 9)
+    ref = select.sample_every_n(TB.frames_seq(spark, SF_SMALL), 5)
+    assert got != sorted((r.camera_id, r.frame_id, r.seq) for r in ref.collect())
