@@ -1,24 +1,29 @@
 """The annotation pipeline as a stream (I2, stream form; H4).
 
-frames stream (A1) -> per camera and micro-batch, with keyed state:
-  newest fresh frame (C1, D1) -> sampling counter (E1/E2) -> detectors due
-  on the frame (J1, C3) -> latest prediction of each detector (F6) -> boxes
-  of both, objects first (F1, I1) -> summary text kept over empty
-  predictions (G2, H2)
+frames stream (A1) -> three steps in one streaming query:
+  1. per camera, keyed state: newest fresh frame of the micro-batch (C1,
+     D1), sampling counter (E1/E2) -> the frame with the detectors due on it
+  2. no state: the due frames of all cameras scored together, one scorer
+     call per Arrow batch and detector (J1, C3)
+  3. per camera, keyed state: latest prediction of each detector (F6),
+     boxes of both, objects first (F1, I1), summary text kept over empty
+     predictions (G2, H2)
 -> result envelope (B5) -> result sink (A2).
 
-``applyInPandasWithState`` distributes the cameras over tasks; a camera's
-state (counter, latest predictions, text) lives in the checkpoint, so a
-restarted query resumes with it. Only the one frame kept per camera and
-micro-batch is scored, as in the original pipeline.
+Both keyed steps distribute the cameras over tasks and keep their state in
+the checkpoint (RocksDB state store, needed by step 3), so a restarted query
+resumes with it. Only the one frame kept per camera and micro-batch is
+scored, as in the original pipeline.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,92 +32,145 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from .. import config as C
 from ..functions import codec
 from ..operators.scoring import _loaded
+from . import carry
+from .carry import RESULT_SCHEMA
 from .state import duration_ms
 
-RESULT_SCHEMA = T.StructType([
-    T.StructField("camera_id", T.StringType()), T.StructField("offset", T.LongType()),
-    T.StructField("seq", T.LongType()), T.StructField("timestamp", T.StringType()),
-    T.StructField("image", T.BinaryType()), T.StructField("pred_offset", T.LongType()),
-    T.StructField("n_boxes", T.IntegerType()), T.StructField("boxes", T.StringType()),
-    T.StructField("prediction", T.StringType()),
-])
-_STATE = T.StructType([T.StructField("blob", T.StringType())])
+cloudpickle.register_pickle_by_value(carry)
 
+_COUNTER = T.StructType([T.StructField("count", T.LongType()), T.StructField("seq", T.LongType())])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _summary(labels: list[str]) -> str:
-    counts: dict[str, int] = {}
-    for lab in labels:
-        counts[lab] = counts.get(lab, 0) + 1
-    return "".join(C.SUMMARY_LINE_FORMAT.format(label=k, count=v) for k, v in counts.items())
 
+def _kept_schema(n: int) -> T.StructType:
+    """Step 1 output: the kept frame, an eviction marker, one due flag per
+    detector."""
+    return T.StructType(
+        [T.StructField("camera_id", T.StringType()), T.StructField("offset", T.LongType()),
+         T.StructField("seq", T.LongType()), T.StructField("timestamp", T.StringType()),
+         T.StructField("image", T.BinaryType()), T.StructField("evict", T.BooleanType())]
+        + [T.StructField(f"due_{i}", T.BooleanType()) for i in range(n)])
 
-def annotate_stream(frames: DataFrame, scorers: dict, config: C.PipelineConfig = C.DEFAULT_CONFIG,
-                    freshness: bool = True, idle_timeout: str | None = None) -> DataFrame:
-    """Result rows per camera and micro-batch. ``scorers`` maps detector
-    name to a scorer whose ``predict(images)`` returns detection rows with
-    ``_row``, ``pos``, ``label``, ``confidence``. ``freshness`` applies C1
-    against the micro-batch's clock (off for replays of old data).
-    ``idle_timeout`` removes the state of a camera once the event-time
-    watermark passes its last frame time plus that period."""
-    active = [d for d in config.active_detectors() if d.name in scorers]
-    thresholds = config.thresholds()
-    lcm = config.sample_lcm()
-    # Fresh: 0 <= age and whole seconds of age <= the limit.
-    below_us = (config.freshness_seconds + 1) * 1_000_000
-    x = frames.select("camera_id", "event_ts", "timestamp", "image", "partition", "offset",
-                      F.current_timestamp().alias("_now"), F.unix_millis("event_ts").alias("_t_ms"))
-    timeout_ms = duration_ms(idle_timeout) if idle_timeout else None
-    if timeout_ms is not None:
-        x = x.withWatermark("event_ts", "0 seconds")
+
+def _scored_schema(n: int) -> T.StructType:
+    """Step 2 output: step 1's columns plus the labels and confidences each
+    due detector found (NULL when not due). (Column names do not start with
+    an underscore: the keyed-state reader renames such columns.)"""
+    extra = []
+    for i in range(n):
+        extra += [T.StructField(f"labels_{i}", T.ArrayType(T.StringType())),
+                  T.StructField(f"confs_{i}", T.ArrayType(T.DoubleType()))]
+    return T.StructType(_kept_schema(n).fields + extra)
+
+
+def _empty(schema: T.StructType) -> pd.DataFrame:
+    return pd.DataFrame({f.name: [] for f in schema.fields})
+
+
+def _select_frames(x: DataFrame, active, lcm: int, below_us: int, freshness: bool,
+                   timeout_ms: int | None) -> DataFrame:
+    """Step 1: newest fresh frame per camera and micro-batch, due flags from
+    the camera's counter. A camera whose state times out sends one
+    eviction row so step 3 drops its state too."""
+    schema = _kept_schema(len(active))
+    rates = [d.rate for d in active]
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({f.name: [] for f in RESULT_SCHEMA.fields})
+            # placeholder values: step 3 reads only the camera and the flag
+            row = {"camera_id": [str(key[0])], "offset": [-1], "seq": [-1], "timestamp": [""],
+                   "image": [b""], "evict": [True]}
+            for i in range(len(rates)):
+                row[f"due_{i}"] = [False]
+            yield pd.DataFrame(row)
             return
         pdf = pd.concat(list(pdfs), ignore_index=True)
-        st = json.loads(state.get[0]) if state.exists else {"count": 0, "seq": 0, "latest": {}, "text": ""}
+        count, seq = (int(v) for v in state.get) if state.exists else (0, 0)
         if freshness:
             age = (pdf["_now"] - pdf["event_ts"]).dt.total_seconds() * 1_000_000
             pdf = pdf[(age >= 0) & (age < below_us)]
         if len(pdf) == 0:
-            state.update((json.dumps(st),))
-            yield pd.DataFrame({f.name: [] for f in RESULT_SCHEMA.fields})
+            state.update((count, seq))
+            yield _empty(schema)
             return
         row = pdf.sort_values(["event_ts", "partition", "offset"], kind="mergesort").iloc[-1]
-        for d in active:
-            if st["count"] % d.rate == 0:
-                dets = _loaded(scorers[d.name]).predict(pd.Series([row["image"]]))
-                thr = thresholds.get(d.name)
-                if thr is not None:
-                    dets = dets[dets["confidence"] > thr]
-                dets = dets.sort_values("pos", kind="mergesort")
-                st["latest"][d.name] = {"src": int(row["offset"]),
-                                        "labels": dets["label"].tolist(),
-                                        "conf": [float(c) for c in dets["confidence"]]}
-        st["count"] = (st["count"] + 1) % lcm
-        labels, captions = [], []
-        for d in active:
-            p = st["latest"].get(d.name)
-            if p:
-                labels += p["labels"]
-                captions += [f"{lab} {repr(c)}" for lab, c in zip(p["labels"], p["conf"])]
-        if labels:
-            st["text"] = _summary(labels)
-        first = st["latest"].get(active[0].name) if active else None
-        out = pd.DataFrame([{
-            "camera_id": str(key[0]), "offset": int(row["offset"]), "seq": st["seq"],
-            "timestamp": row["timestamp"], "image": row["image"],
-            "pred_offset": first["src"] if first else None, "n_boxes": len(labels),
-            "boxes": "; ".join(captions), "prediction": st["text"]}])
-        st["seq"] += 1
-        state.update((json.dumps(st),))
+        out = {"camera_id": [str(key[0])], "offset": [int(row["offset"])], "seq": [seq],
+               "timestamp": [row["timestamp"]], "image": [row["image"]], "evict": [False]}
+        for i, r in enumerate(rates):
+            out[f"due_{i}"] = [count % r == 0]
+        state.update(((count + 1) % lcm, seq + 1))
         if timeout_ms is not None:
             state.setTimeoutTimestamp(int(row["_t_ms"]) + timeout_ms)
-        yield out.astype({"pred_offset": "Int64", "n_boxes": "int32"})
+        yield pd.DataFrame(out)
 
     timeout = GroupStateTimeout.EventTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout
-    return x.groupBy("camera_id").applyInPandasWithState(fn, RESULT_SCHEMA, _STATE, "append", timeout)
+    return x.groupBy("camera_id").applyInPandasWithState(fn, schema, _COUNTER, "append", timeout)
+
+
+def _score_due(kept: DataFrame, active, scorers: dict, thresholds: dict) -> DataFrame:
+    """Step 2: each detector scores the frames due for it, all cameras of an
+    Arrow batch in one call; detections above the detector's threshold, in
+    the scorer's order. (Step 3 shuffles the scored rows by camera again:
+    at most one row per camera and micro-batch. A pandas UDF in a
+    projection would keep the partitioning but fails in Spark 4.1 directly
+    above the keyed-state operator.)"""
+    n = len(active)
+    models = [(scorers[d.name], thresholds.get(d.name)) for d in active]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            for i, (scorer, thr) in enumerate(models):
+                labs = pd.Series([None] * len(pdf), dtype=object)
+                confs = pd.Series([None] * len(pdf), dtype=object)
+                due = np.flatnonzero(pdf[f"due_{i}"].eq(True).to_numpy())
+                if len(due):
+                    dets = _loaded(scorer).predict(pdf["image"].iloc[due].reset_index(drop=True))
+                    if thr is not None:
+                        dets = dets[dets["confidence"] > thr]
+                    dets = dets.sort_values(["_row", "pos"], kind="mergesort")
+                    bounds = np.searchsorted(dets["_row"].to_numpy(), np.arange(len(due) + 1))
+                    lab_v, conf_v = dets["label"].tolist(), [float(c) for c in dets["confidence"]]
+                    for j, r in enumerate(due):
+                        labs.iat[r] = lab_v[bounds[j]:bounds[j + 1]]
+                        confs.iat[r] = conf_v[bounds[j]:bounds[j + 1]]
+                pdf[f"labels_{i}"] = labs
+                pdf[f"confs_{i}"] = confs
+            yield pdf
+
+    return kept.mapInPandas(run, _scored_schema(n))
+
+
+def annotate_stream(frames: DataFrame, scorers: dict, config: C.PipelineConfig = C.DEFAULT_CONFIG,
+                    freshness: bool = True, idle_timeout: str | None = None) -> DataFrame:
+    """Result rows per camera and micro-batch. ``scorers`` maps detector
+    name to a scorer whose ``predict(images)`` returns detection rows with
+    ``_row``, ``pos``, ``label``, ``confidence``. ``freshness`` applies C1
+    against the micro-batch's clock (off for replays of old data).
+    ``idle_timeout`` removes the state of a camera once the event-time
+    watermark passes its last frame time plus that period.
+
+    The query keeps keyed state in RocksDB; when the session names another
+    state store the setting is switched for queries started from now on
+    (queries restarted from a checkpoint keep the store they began with)."""
+    spark = frames.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != ROCKSDB:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    active = [d for d in config.active_detectors() if d.name in scorers]
+    # Fresh: 0 <= age and whole seconds of age <= the limit.
+    below_us = (config.freshness_seconds + 1) * 1_000_000
+    x = frames.select(F.col("camera_id").cast("string").alias("camera_id"), "event_ts", "timestamp",
+                      "image", "partition", "offset",
+                      F.current_timestamp().alias("_now"), F.unix_millis("event_ts").alias("_t_ms"))
+    timeout_ms = duration_ms(idle_timeout) if idle_timeout else None
+    if timeout_ms is not None:
+        x = x.withWatermark("event_ts", "0 seconds")
+    kept = _select_frames(x, active, config.sample_lcm(), below_us, freshness, timeout_ms)
+    scored = _score_due(kept, active, scorers, config.thresholds())
+    return scored.groupBy("camera_id").transformWithStateInPandas(
+        carry.CarryPredictions([d.name for d in active], C.SUMMARY_LINE_FORMAT), RESULT_SCHEMA,
+        "append", "None")
 
 
 def result_events(results: DataFrame) -> DataFrame:
@@ -122,6 +180,22 @@ def result_events(results: DataFrame) -> DataFrame:
         F.col("prediction")).alias("value"))
 
 
+@contextmanager
+def _watermark_check_off(spark, off: bool):
+    """Start a query without Spark's global-watermark check. With idle
+    eviction step 1 runs on a watermark and may emit rows older than it;
+    the check then refuses any later keyed step. Step 3 has no time mode and
+    its input no watermarked column, so it drops no row as late."""
+    key = "spark.sql.streaming.statefulOperator.checkCorrectness.enabled"
+    before = spark.conf.get(key, "true")
+    if off:
+        spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_annotation(spark, source_path: str, sink_path: str, checkpoint: str, scorers: dict,
                    config: C.PipelineConfig = C.DEFAULT_CONFIG, freshness: bool = True,
                    available_now: bool = True, max_files_per_trigger: int | None = None,
@@ -134,8 +208,9 @@ def run_annotation(spark, source_path: str, sink_path: str, checkpoint: str, sco
                                  max_files_per_trigger=max_files_per_trigger)
     frames, bad = streams.parse_records(recs)
     results = result_events(annotate_stream(frames, scorers, config, freshness, idle_timeout))
-    q = streams.result_sink(results, "json", path=sink_path, checkpoint=checkpoint,
-                            available_now=available_now)
+    with _watermark_check_off(spark, idle_timeout is not None):
+        q = streams.result_sink(results, "json", path=sink_path, checkpoint=checkpoint,
+                                available_now=available_now)
     if quarantine_path:
         w = (bad.writeStream.format("json").option("path", quarantine_path)
              .option("checkpointLocation", checkpoint + "-quarantine"))

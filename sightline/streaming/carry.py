@@ -1,0 +1,82 @@
+"""Step 3 of the annotation stream: a camera's latest prediction per
+detector and its summary text (F6, F1, I1, G2, H2).
+
+This module imports nothing from the package: the processor is also
+unpickled in the driver-side Python runner of ``transformWithStateInPandas``,
+which does not see the files shipped to executors, so it is pickled by
+value."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+RESULT_SCHEMA = T.StructType([
+    T.StructField("camera_id", T.StringType()), T.StructField("offset", T.LongType()),
+    T.StructField("seq", T.LongType()), T.StructField("timestamp", T.StringType()),
+    T.StructField("image", T.BinaryType()), T.StructField("pred_offset", T.LongType()),
+    T.StructField("n_boxes", T.IntegerType()), T.StructField("boxes", T.StringType()),
+    T.StructField("prediction", T.StringType()),
+])
+_BLOB = T.StructType([T.StructField("blob", T.StringType())])
+
+
+def summary(labels: list[str], line_format: str) -> str:
+    """One line per label with its count, labels in first-seen order."""
+    counts: dict[str, int] = {}
+    for lab in labels:
+        counts[lab] = counts.get(lab, 0) + 1
+    return "".join(line_format.format(label=k, count=v) for k, v in counts.items())
+
+
+class CarryPredictions(StatefulProcessor):
+    """Step 3: a camera's latest prediction per detector and its summary
+    text, updated by the scored frames in ``seq`` order."""
+
+    def __init__(self, names: list[str], line_format: str):
+        self.names = names
+        self.line_format = line_format
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.st = handle.getValueState("carry", _BLOB)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="mergesort", na_position="first")
+        st = json.loads(self.st.get()[0]) if self.st.exists() else {"latest": {}, "text": ""}
+        out = []
+        for r in pdf.to_dict("records"):
+            if r["evict"]:
+                st = None
+                continue
+            st = st or {"latest": {}, "text": ""}
+            for i, name in enumerate(self.names):
+                if r[f"due_{i}"]:
+                    st["latest"][name] = {"src": int(r["offset"]), "labels": list(r[f"labels_{i}"]),
+                                          "conf": [float(c) for c in r[f"confs_{i}"]]}
+            labels, captions = [], []
+            for name in self.names:
+                p = st["latest"].get(name)
+                if p:
+                    labels += p["labels"]
+                    captions += [f"{lab} {repr(c)}" for lab, c in zip(p["labels"], p["conf"])]
+            if labels:
+                st["text"] = summary(labels, self.line_format)
+            first = st["latest"].get(self.names[0]) if self.names else None
+            out.append({"camera_id": str(key[0]), "offset": int(r["offset"]), "seq": int(r["seq"]),
+                        "timestamp": r["timestamp"], "image": r["image"],
+                        "pred_offset": first["src"] if first else None, "n_boxes": len(labels),
+                        "boxes": "; ".join(captions), "prediction": st["text"]})
+        if st is None:
+            self.st.clear()
+        else:
+            self.st.update((json.dumps(st),))
+        if not out:  # (an empty frame breaks the output writer)
+            return
+        yield pd.DataFrame(out).astype({"pred_offset": "Int64", "n_boxes": "int32"})
+
+    def close(self) -> None:
+        pass

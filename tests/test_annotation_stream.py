@@ -44,3 +44,32 @@ def test_stream_equals_batch_on_kept_frames(spark):
     exp = sorted((str(r.camera_id), r.timestamp, r.prediction) for r in ref.collect())
     assert got == exp
     assert os.path.isdir(d + "/ckpt")
+
+
+def test_idle_camera_starts_afresh(spark):
+    """Camera 7 is silent while camera 8 moves the watermark past its idle
+    period: both keyed steps drop camera 7's state, so its next frame is
+    numbered 0 and an empty prediction leaves the text empty."""
+    import datetime as dt
+
+    from sightline.streaming import annotation
+
+    d = tempfile.mkdtemp(prefix="st-i2-idle-")
+    files = [[(7, 1, dt.datetime(2024, 1, 1), 13)], [(8, 2, dt.datetime(2024, 2, 9), 0)],
+             [(8, 3, dt.datetime(2024, 2, 11), 0)], [(7, 4, dt.datetime(2024, 2, 12), 0)]]
+    for i, rows in enumerate(files):
+        df = spark.createDataFrame(rows, "camera_id long, frame_id long, ts timestamp_ntz, k int")
+        df = df.withColumn("props", F.format_string('{"k": %d}', "k"))
+        TB.messages(df).select("partition", "offset", "value").coalesce(1).write.json(f"{d}/src/p{i}")
+    frames = streams.frame_source(spark, "json", path=d + "/src/*", streaming=True, max_files_per_trigger=1)
+    out = annotation.annotate_stream(frames, _scorers(), freshness=False, idle_timeout="1 day")
+    with annotation._watermark_check_off(spark, True):
+        q = (out.drop("image").writeStream.format("parquet").option("path", d + "/out")
+             .option("checkpointLocation", d + "/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert not q.isActive
+    got = {r.offset: r for r in spark.read.parquet(d + "/out").collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert got[1].seq == 0 and got[1].prediction != ""
+    assert (got[2].seq, got[3].seq) == (0, 1)
+    assert got[4].seq == 0 and got[4].prediction == "" and got[4].pred_offset == 4
