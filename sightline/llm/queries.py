@@ -6,16 +6,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, frames, packing, rlz, simhash
 from .common import table
 
+#: Vocabulary files of public tokenizers.
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+def op3_zstd_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = frames.write_token_files(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), end_id=1)
+    return (frames.read_token_files(files)
+            .select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = rlz.dedup_substrings(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
+def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_rlz_substring_dedup": op2_rlz_substring_dedup,
+    "op3_zstd_frames": op3_zstd_frames,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_online_packing": op8_online_packing,
+    "op10_simhash_trie": op10_simhash_trie,
 }
 
 ORACLE = {
