@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, frames, packing, rlz, simhash
+from . import exact_dedup, frames, kneser_ney, packing, rlz, simhash
 from .common import table
 
 #: Vocabulary files of public tokenizers.
@@ -34,6 +34,10 @@ def op2_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_rlz_substring_dedup": op2_rlz_substring_dedup,
     "op3_zstd_frames": op3_zstd_frames,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_kneser_ney_quality": op5_kneser_ney_quality,
     "op8_online_packing": op8_online_packing,
     "op10_simhash_trie": op10_simhash_trie,
 }
