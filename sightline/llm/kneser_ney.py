@@ -14,8 +14,8 @@ whose low bits are its suffix and whose high bits are its context.
    checkpoint folder. A second scan of the partition adds up the log
    probabilities of its documents. The texts themselves are never shuffled.
 
-Perplexities are compared with quantiles of the trusted documents in the same
-language. A partition must hold the same documents in both scans, as files
+Perplexities are compared with quantiles of held-out trusted documents in the
+same language. A partition must hold the same documents in both scans, as files
 do; an n-gram without an answer is an error, not a guess.
 """
 
@@ -36,11 +36,14 @@ ORDER, BITS = 5, 12
 #: Characters of a document that count as much as the document itself: a
 #: short text is drawn towards its language's mean.
 PRIOR = 300
-#: Quantiles of trusted documents and how many times their distance from the
-#: median is tolerated.
-LOW, HIGH, SLACK = 0.01, 0.99, 2.0
-#: Fewest trusted documents of a language for quantiles of its own.
-LEAST_TRUSTED = 100
+#: One in this many trusted documents is not trained on: the quantiles are
+#: those of documents that the model has not seen.
+HELD_OUT = 5
+#: Quantile of the held-out documents, and how many times its distance from
+#: their median is tolerated.
+QUANTILE, SLACK = 0.99, 2.0
+#: Fewest held-out documents of a language for bounds of its own.
+LEAST_HELD_OUT = 50
 
 _PAD = "\x02"
 _SYMBOLS = 1 << BITS
@@ -223,8 +226,8 @@ def document_scores(docs: DataFrame, answers_root: str) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    lang_col: str = "lang") -> DataFrame:
     """One row per input row: doc_id, lang, n_symbols, perplexity (per
-    character, drawn towards the language's mean for short texts), low, high
-    (the bounds in its language) and keep.
+    character, drawn towards the language's mean for short texts), bound (of
+    its language) and keep.
 
     Trusted are the documents with quality 1 in ``labels`` (doc_id, quality; a
     null is no label). Toxicity is another question: text of good quality may
@@ -240,7 +243,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
     trusted_root, answers_root = scratch_path(spark, "trusted"), scratch_path(spark, "answers")
     narrow = rows.select("doc_id", F.spark_partition_id().alias("part"))
-    _save_side(narrow.join(good, narrow["doc_id"] == good["_good"]).select("part", "doc_id").distinct(),
+    trained = good.filter(~_held_out(F.col("_good")))
+    _save_side(narrow.join(trained, narrow["doc_id"] == trained["_good"]).select("part", "doc_id").distinct(),
                trusted_root, ["doc_id"])
 
     found = saved(ngram_counts(rows.select("doc_id", "text"), trusted_root), "partition-ngrams")
@@ -252,33 +256,35 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return _judged(scores, good)
 
 
+def _held_out(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit("held out")), F.lit(HELD_OUT)) == 0
+
+
 def _judged(scores: DataFrame, good: DataFrame) -> DataFrame:
     lang = F.coalesce(F.col("lang"), F.lit(""))
-    sample = (scores.join(good, scores["doc_id"] == good["_good"], "left_semi").filter("n > 0")
+    held = good.filter(_held_out(F.col("_good")))
+    sample = (scores.join(held, scores["doc_id"] == held["_good"], "left_semi").filter("n > 0")
               .select(lang.alias("l"), "nll", "n"))
-    means = sample.groupBy("l").agg((F.sum("nll") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("docs"))
-    per = {r["l"]: r["mean"] for r in means.collect() if r["docs"] >= LEAST_TRUSTED}
-    whole = sample.agg((F.sum("nll") / F.sum("n"))).first()[0]
+    mean = F.sum("nll") / F.sum("n")
+    per = {r["l"]: r["mean"] for r in sample.groupBy("l").agg(mean.alias("mean"), F.count(F.lit(1)).alias("docs")).collect()
+           if r["docs"] >= LEAST_HELD_OUT}
+    whole = sample.agg(mean).first()[0]
+    own = F.col("nll") / F.greatest("n", F.lit(1))
     if whole is None:
-        return scores.select("doc_id", "lang", F.col("n").alias("n_symbols"),
-                             F.exp(F.col("nll") / F.greatest("n", F.lit(1))).alias("perplexity"),
-                             F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
-                             (F.col("n") > 0).alias("keep"))
+        return scores.select("doc_id", "lang", F.col("n").alias("n_symbols"), F.exp(own).alias("perplexity"),
+                             F.lit(None).cast("double").alias("bound"), (F.col("n") > 0).alias("keep"))
     by = _pick(per, whole)
-    drawn = (F.col("nll") + PRIOR * by(lang)) / (F.col("n") + PRIOR)
-    q = [0.5, LOW, HIGH]
-    held = sample.select("l", ((F.col("nll") + PRIOR * by(F.col("l"))) / (F.col("n") + PRIOR)).alias("s"))
-    bounds = {}
-    for r in held.groupBy("l").agg(F.percentile_approx("s", q, 10_000).alias("q")).collect():
-        bounds[r["l"]] = r["q"]
-    mid = held.agg(F.percentile_approx("s", q, 10_000)).first()[0]
-    edge = {k: (m - SLACK * (m - a), m + SLACK * (z - m)) for k, (m, a, z) in
-            [(k, v) for k, v in bounds.items() if k in per] + [(None, mid)]}
-    low, high = (_pick({k: v[i] for k, v in edge.items() if k is not None}, edge[None][i]) for i in (0, 1))
-    out = scores.select("doc_id", "lang", "n", drawn.alias("s"), low(lang).alias("lo"), high(lang).alias("hi"))
-    return out.select("doc_id", "lang", F.col("n").alias("n_symbols"), F.exp("s").alias("perplexity"),
-                      F.exp("lo").alias("low"), F.exp("hi").alias("high"),
-                      ((F.col("n") > 0) & F.col("s").between(F.col("lo"), F.col("hi"))).alias("keep"))
+
+    def drawn(language: Column) -> Column:
+        return (F.col("nll") + PRIOR * by(language)) / (F.col("n") + PRIOR)
+
+    marks = F.percentile_approx("s", [0.5, QUANTILE], 10_000)
+    held_scores = sample.select("l", drawn(F.col("l")).alias("s"))
+    edge = {r["l"]: r["q"] for r in held_scores.groupBy("l").agg(marks.alias("q")).collect() if r["l"] in per}
+    above = lambda q: q[0] + SLACK * (q[1] - q[0])
+    bound = _pick({k: above(q) for k, q in edge.items()}, above(held_scores.agg(marks).first()[0]))(lang)
+    return scores.select("doc_id", "lang", F.col("n").alias("n_symbols"), F.exp(drawn(lang)).alias("perplexity"),
+                         F.exp(bound).alias("bound"), ((F.col("n") > 0) & (drawn(lang) <= bound)).alias("keep"))
 
 
 def _pick(values: dict[str, float], default: float):
