@@ -27,6 +27,7 @@ built, and no pairs of documents either.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,37 +223,59 @@ def _windows(docs_with_runs: DataFrame, window: int) -> DataFrame:
     return docs_with_runs.mapInArrow(run, f"{kinds}, pos int, h1 long, h2 long")
 
 
-def _cut(docs_with_spans: DataFrame, window: int) -> DataFrame:
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _without(text: bytes, spans: list[list[int]], layout: bool) -> tuple[int, bytes]:
+    """Number of words, and the text without the spans: with its own white
+    space (``layout``) or with one space between words."""
+    if not layout:
+        words = text.split()
+        n = len(words)
+        for lo, hi in reversed(spans):
+            del words[lo:hi]
+        return n, b" ".join(words)
+    if not spans:
+        return len(text.split()), text
+    at = [m.span() for m in _WORD.finditer(text)]
+    out, lo = [], 0
+    for a, z in [*spans, [len(at), len(at)]]:
+        if lo < a:
+            # The kept words from lo to a, after the white space before them.
+            out.append(text[at[lo - 1][1] if lo and out else at[lo][0]:at[a - 1][1]])
+        lo = z
+    return len(at), b"".join(out)
+
+
+def _cut(docs_with_spans: DataFrame, window: int, layout: bool) -> DataFrame:
     """Remove the words under the spans (lo, n: windows that start at lo and
-    the n - 1 words after it)."""
-    kind = "row long, n_words long, n_removed long, text string, spans array<struct<start:int,end:int>>"
+    the n - 1 words after it). The input: row, carried, text, runs."""
+    carried = docs_with_spans.schema["carried"].dataType.simpleString()
+    kind = (f"row bigint, carried {carried}, n_words bigint, n_removed bigint, text string, "
+            "spans array<struct<start:int,end:int>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = text_column(b, 1).cast(pa.large_binary())
-            lists = b.column(2)
+            texts = text_column(b, 2).cast(pa.large_binary())
+            lists = b.column(3)
             out = [[], [], [], []]
             for k in range(len(texts)):
-                words = texts[k].as_py().split()
-                runs = lists[k].as_py() or ()
                 merged: list[list[int]] = []
-                for lo, hi in sorted((r["lo"], r["lo"] + r["n"] + window - 1) for r in runs):
+                for lo, hi in sorted((r["lo"], r["lo"] + r["n"] + window - 1) for r in lists[k].as_py() or ()):
                     if merged and lo <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], hi)
                     else:
                         merged.append([lo, hi])
-                n = len(words)
-                for lo, hi in reversed(merged):
-                    del words[lo:hi]
+                n, kept = _without(texts[k].as_py(), merged, layout)
                 out[0].append(n)
-                out[1].append(n - len(words))
-                out[2].append(b" ".join(words))
+                out[1].append(sum(hi - lo for lo, hi in merged))
+                out[2].append(kept)
                 out[3].append([{"start": lo, "end": hi} for lo, hi in merged])
             spans = pa.array(out[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
+                [b.column(0), b.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
                  pa.array(out[2], pa.binary()).cast(pa.string()), spans],
-                ["row", "n_words", "n_removed", "text", "spans"])
+                ["row", "carried", "n_words", "n_removed", "text", "spans"])
 
     return docs_with_spans.mapInArrow(run, kind)
 
@@ -287,25 +310,39 @@ def duplicate_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     return whole.unionAll(part).groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+                     gram: int = GRAM, layout: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, text (the kept words
-    joined by one space) and spans (removed word ranges, end exclusive).
+    joined by one space; with ``layout`` the text's own white space stays),
+    spans (removed word ranges, end exclusive) and carried (a struct of all
+    input columns but the text).
 
     A word goes if a window of ``window`` consecutive words of its document
     covers it whose words also start in a document with a smaller id; windows
     are judged on the input. Words are separated by ASCII white space. Null
     text has no words; texts shorter than a window lose nothing; rows with one
     id do not count as smaller than each other; rows with a null id lose
-    nothing and are no reference. Columns other than the two named are not
-    read. Empty table: empty result.
+    nothing and are no reference. Extra columns are only carried, so their
+    names cannot clash. Empty table: empty result.
     """
-    rows, key = unique_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    own = key == "doc_id"
-    work = rows.select(F.col(key).alias("row"), *([] if own else [F.col("doc_id").alias("id")]), "text")
-    runs = duplicate_runs(work, window, gram)
-    cut = _cut(work.join(runs.hint("shuffle_hash"), "row", "left").select("row", "text", "runs"), window)
-    if own:
-        return cut.withColumnRenamed("row", "doc_id")
-    return (cut.join(rows.select(F.col(key).alias("row"), "doc_id"), "row")
-            .select("doc_id", "n_words", "n_removed", "text", "spans"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    rows, key = unique_ids(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                                       rest.alias("carried")))
+    own = [] if key == "doc_id" else [F.col("doc_id").alias("id")]
+    runs = duplicate_runs(rows.select(F.col(key).alias("row"), *own, "text"), window, gram)
+    work = rows.select(F.col(key).alias("row"), "carried", "text")
+    cut = _cut(work.join(runs.hint("shuffle_hash"), "row", "left").select("row", "carried", "text", "runs"), window, layout)
+    return cut.select(F.col(f"carried.`{id_col}`").cast("long").alias("doc_id"), "n_words", "n_removed", "text", "spans",
+                      "carried")
+
+
+def cut_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+    """``docs`` with repeated passages cut out of the text and its length
+    counted again; documents of which nothing is left go. A text that loses
+    nothing stays as it is, null or not."""
+    cut = dedup_substrings(docs, text_col=text_col, layout=True, **options)
+    cut = cut.filter("n_removed < n_words or n_removed = 0")
+    length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col(f"carried.`{length_col}`"))
+    return cut.select(*[F.col("text").alias(c) if c == text_col else
+                        length.cast(docs.schema[c].dataType).alias(c) if c == length_col else
+                        F.col(f"carried.`{c}`").alias(c) for c in docs.columns])
