@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, frames, kneser_ney, packing, rlz, simhash
+from . import (byte_bpe, chat, exact_dedup, frames, html_text, kneser_ney, multi_index, packing, rlz,
+               simhash)
 from .common import table
 
 #: Vocabulary files of public tokenizers.
@@ -29,6 +30,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return multi_index.search(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op2_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = rlz.dedup_substrings(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -38,24 +44,37 @@ def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_documents(table(spark, sf_dir, "conversations"))
+
+
 def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
 
 
+def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    path = vocabulary(BYTE_BPE)
+    rows = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return byte_bpe.decode_documents(rows, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op2_rlz_substring_dedup": op2_rlz_substring_dedup,
-    "op3_zstd_frames": op3_zstd_frames,
-    "op4_exact_dedup": op4_exact_dedup,
-    "op5_kneser_ney_quality": op5_kneser_ney_quality,
-    "op8_online_packing": op8_online_packing,
-    "op10_simhash_trie": op10_simhash_trie,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_inverted_multi_index, op2_rlz_substring_dedup, op3_zstd_frames, op4_exact_dedup, op5_kneser_ney_quality,
+    op6_html_main_text, op7_chat_snapshots, op8_online_packing, op9_segment_tree_bpe, op10_simhash_trie)}
 
 ORACLE = {
     "op4_exact_dedup": r"""
@@ -63,4 +82,15 @@ ORACLE = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
         FROM t""",
+    "op7_chat_snapshots": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM t),
+             c AS (SELECT conv_id, list((role, text) ORDER BY pos) AS l, count(*) AS n FROM p GROUP BY conv_id),
+             k AS (SELECT min(conv_id) AS conv_id, n, l, count(*) AS copies FROM c GROUP BY n, l),
+             m AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.n > k.n AND b.l[1:k.n] = k.l))
+        SELECT p.conv_id, p.pos // 256 AS segment, m.n AS n_turns, m.copies,
+               string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+        FROM p JOIN m ON m.conv_id = p.conv_id
+        GROUP BY ALL""",
 }
