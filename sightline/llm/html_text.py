@@ -25,8 +25,9 @@ from .common import text_column
 
 #: Labelled pages that the weights are counted on, at most about.
 LABELLED = 2_000
-#: Greatest weight of a token, and weights of kinds never met: words, tags.
-GREATEST, NEW_WORD, NEW_TAG = 8.0, 0.5, -0.5
+#: Greatest weight of a token, of one that was counted in other surroundings,
+#: and weights of kinds never met: words, tags.
+GREATEST, FAR, NEW_WORD, NEW_TAG = 8.0, 2.0, 0.5, -0.5
 #: Weight of a word in an element that never holds content.
 BOILER = -4.0
 
@@ -56,12 +57,21 @@ def _apart(names: str) -> bool:
 
 
 class Token:
-    """A tag, or the text between two tags. ``kind`` names its weight."""
+    """A tag, or the text between two tags. ``kind`` names its weight: what it
+    is, the element and its class, and whether that is in a link."""
     __slots__ = ("kind", "text", "breaks", "content", "apart")
 
     def __init__(self, kind: str, text: str | None, breaks: bool, content: bool, apart: bool):
         self.kind, self.text, self.breaks, self.content, self.apart = kind, text, breaks, content, apart
 
+    def kinds(self) -> list[str]:
+        """From the most to the least exact: the kind in its surroundings, any
+        such token there, the plain element anywhere."""
+        around = "apart" if self.apart else "content" if self.content else "plain"
+        what, _, rest = self.kind.partition(" ")
+        link = " a" if rest.endswith(" a") else ""
+        return [f"{self.kind} in {around}", f"{what} in {around}", f"{what} {rest.split('.')[0].removesuffix(' a')}{link}"]
+
 
 def tokens(html: str) -> list[Token]:
     """The tokens of a page. Comments, doctypes and raw elements such as
@@ -128,7 +138,9 @@ def count_kinds(html: str) -> Counter:
     ts = tokens(html)
     if any(t.content for t in ts):
         for t in ts:
-            got[t.kind, t.content and not t.apart] += len(t.text.split()) if t.text and not t.breaks else 1
+            n = len(t.text.split()) if t.text is not None else 1
+            for kind in t.kinds():
+                got[kind, t.content and not t.apart] += n
     return got
 
 
@@ -142,15 +154,16 @@ class Weights:
             self.of[kind] = max(-GREATEST, min(GREATEST, math.log(odds)))
 
     def __call__(self, t: Token) -> float:
-        w = self.of.get(t.kind)
+        if t.content and t.apart:
+            return 0.0  # a box inside the content does not end it, and is not shown
+        exact, around, plain = t.kinds()
+        w = self.of.get(exact)
+        if w is None and (t.content or t.apart):
+            w = self.of.get(around, BOILER if t.apart else None)
+        if w is None and plain in self.of:
+            w = max(-FAR, min(FAR, self.of[plain]))  # counted in other surroundings
         if w is None:
-            if t.apart:
-                w = BOILER
-            elif t.text is None:
-                # A kind with a new class counts as its plain element.
-                w = self.of.get(t.kind.split(".")[0], NEW_TAG)
-            else:
-                w = NEW_WORD
+            w = NEW_TAG if t.text is None else NEW_WORD
         return w * len(t.text.split()) if t.text is not None else w
 
 

@@ -75,3 +75,77 @@ def token_ids(path: str, texts: list[str | None], end: int) -> list[np.ndarray]:
 
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def equal_texts(docs: list[tuple[int | None, str | None]]):
+    """Sorted (doc_id, keep_id, group_size, kept, sha) by plain grouping."""
+    norm = [SPACE.sub(b" ", (t or "").encode()) for _, t in docs]
+    groups: dict[bytes, list[int]] = {}
+    for k, x in enumerate(norm):
+        groups.setdefault(x, []).append(k)
+    out = []
+    for k, x in enumerate(norm):
+        own = sorted(groups[x], key=lambda j: (docs[j][0] is None, docs[j][0] or 0, j))
+        out.append((docs[k][0], docs[own[0]][0], len(own), k == own[0], hashlib.sha256(x).hexdigest()))
+    return out
+
+
+def kneser_ney(train: list[str], score: list[str], order: int, symbols: int) -> list[tuple[float, int]]:
+    """(negative log probability, characters) of each text by a plain
+    interpolated modified Kneser-Ney model over characters."""
+    import math
+    from collections import Counter, defaultdict
+
+    pad = "\x02" * (order - 1)
+
+    def grams(t):
+        x = pad + " ".join(t.split())
+        return [x[k - order + 1:k + 1] for k in range(order - 1, len(x))]
+
+    counts = {order: Counter(g for t in train for g in grams(t))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cut, contexts = {}, {}
+    for n, c in counts.items():
+        of = Counter(v for v in c.values() if v <= 4)
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else None
+        if y is None:
+            d = (0.5, 0.75, 0.9)
+        else:
+            d = [k - (k + 1) * y * of[k + 1] / of[k] if of[k] else k * 0.5 for k in (1, 2, 3)]
+            d = [min(max(x, 0.01), k - 0.01) for k, x in zip((1, 2, 3), d)]
+        cut[n] = d
+        total = defaultdict(lambda: [0, 0.0])
+        for g, v in c.items():
+            total[g[:-1]][0] += v
+            total[g[:-1]][1] += d[min(v, 3) - 1]
+        contexts[n] = total
+
+    def p(g):
+        if not g:
+            return 1.0 / symbols
+        n = len(g)
+        below = p(g[1:])
+        if g[:-1] not in contexts[n]:
+            return below
+        total, spared = contexts[n][g[:-1]]
+        c = counts[n].get(g, 0)
+        return (max(c - cut[n][min(c, 3) - 1], 0) if c else 0) / total + spared / total * below
+
+    return [(-sum(math.log(p(g)) for g in grams(t)), len(grams(t))) for t in score]
+
+
+def maximal_conversations(rows):
+    """{conv_id: turns} of the conversations that no longer one begins with;
+    of equal ones the smallest id."""
+    by: dict[int, set] = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            by.setdefault(conv, set()).add((turn is not None, turn or 0, role or "", text or ""))
+    turns = {c: [x[2:] for x in sorted(v)] for c, v in by.items()}
+    keep = {}
+    for c, t in sorted(turns.items()):
+        longer = any(len(u) > len(t) and u[:len(t)] == t for u in turns.values())
+        if not longer and t not in keep.values():
+            keep[c] = t
+    return keep
