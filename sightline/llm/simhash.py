@@ -29,9 +29,9 @@ from .common import pinned, saved, text_column, unique_ids, without
 
 #: Words in a shingle, seed of the hash and largest distance of a link.
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
-#: Fingerprints in a subtree that Spark aims at, and most in a unit that is
-#: walked in one task without another split.
-SUBTREE, UNIT = 4_096, 1 << 17
+#: Bits of the prefix that Spark sends by, and of each further split; most
+#: fingerprints in a unit that one task walks without another split.
+START_BITS, UNIT = 6, 1 << 17
 #: Node pairs a task holds at a time.
 FRONTIER = 1 << 19
 
@@ -164,27 +164,28 @@ def trie_links(x: np.ndarray, y: np.ndarray | None, start: int, max_bits: int) -
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
-def trie_self_join(fps: DataFrame, max_bits: int = MAX_BITS, subtree: int = SUBTREE, unit: int = UNIT) -> DataFrame:
+def trie_self_join(fps: DataFrame, max_bits: int = MAX_BITS, unit: int = UNIT) -> DataFrame:
     """Links (a, b, bits) between the distinct longs ``fp``: every pair that
     differs in 1 to ``max_bits`` bits, once."""
-    total = fps.count()
-    depth = min(24, max(2, int(np.ceil(np.log2(max(1, total) / subtree))))) if total > subtree else 2
-    todo, links, done = _units(fps, depth, max_bits), None, None
+    depth, links = START_BITS, None
+    todo = _units(fps, depth, max_bits)
+    # At most 2**depth rows: no unit holds more than two subtrees.
+    sizes = fps.groupBy(F.shiftrightunsigned("fp", 64 - depth)).count()
+    largest = 2 * (sizes.agg(F.max("count")).first()[0] or 0)
     while True:
-        # A unit's rows come from its two subtrees; only the heavy ones go on.
         heavy = None
-        if total > unit and depth < 60:
-            big = todo.groupBy("unit").count().filter(F.col("count") > unit).select("unit")
-            big = pinned(big)
-            if big.limit(1).count():
-                heavy = todo.join(big, "unit", "left_semi")
-                todo = todo.join(big, "unit", "left_anti")
+        if largest > unit and depth < 60:
+            todo = saved(todo, "units")
+            sizes = pinned(todo.groupBy("unit").count().filter(F.col("count") > unit).select("unit"))
+            heavy = todo.join(sizes, "unit", "left_semi")
+            todo = todo.join(sizes, "unit", "left_anti")
+            largest = 2 * unit if sizes.limit(1).count() else 0
         found = _walk(todo, depth, max_bits)
         links = found if links is None else links.unionAll(found)
-        if heavy is None:
+        if heavy is None or not largest:
             return links
-        step = min(6, 64 - depth)
-        todo = _split(saved(heavy, "heavy-units"), depth, step, max_bits)
+        step = min(START_BITS, 64 - depth)
+        todo = _split(heavy, depth, step, max_bits)
         depth += step
 
 
