@@ -46,11 +46,13 @@ EVENT_TIME_PATTERN = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 # Rows per chunk for ordered scans: a hot camera is cut into chunks of this
 # many consecutive frames so no single task holds a whole camera.
 SCAN_CHUNK_ROWS = 1 << 20
-# Dimension tables (labels, palettes) are broadcast only up to this many rows.
-BROADCAST_MAX_ROWS = 200_000
-# Session settings that override the two values above.
+# The same for rolling windows of feature vectors (2,048 doubles are 16 kB).
+VECTOR_CHUNK_ROWS = 1 << 14
+# Session setting that overrides the value above.
 CHUNK_ROWS_CONF = "spark.sightline.scan.chunkRows"
-BROADCAST_ROWS_CONF = "spark.sightline.broadcast.maxRows"
+# Cameras whose newest frame and state are broadcast to the frames of a
+# micro-batch; more are joined by shuffle.
+BROADCAST_CAMERAS = 200_000
 
 
 def session_int(spark, key: str, default: int) -> int:

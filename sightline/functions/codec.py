@@ -35,15 +35,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def is_json(value) -> Column:
-    """True when the text is a well-formed JSON document."""
-    return F.get_json_object(_c(value).cast("string"), "$").isNotNull()
-
-
-def parse_frame_event(value, schema: T.StructType = FRAME_EVENT_SCHEMA) -> Column:
+def parse_frame_event(value, schema: T.StructType = FRAME_EVENT_SCHEMA, fail_fast: bool = False) -> Column:
     """B1: JSON text (or Kafka value bytes) to a struct. Malformed text gives
     NULL fields and the text in ``_corrupt``, which ``bad_record_reason``
-    reports."""
+    reports; with ``fail_fast`` it is an error."""
+    if fail_fast:
+        ev = F.from_json(_c(value).cast("string"), schema, {"mode": "FAILFAST"})
+        return F.struct(*[ev[f.name].alias(f.name) for f in schema.fields],
+                        F.lit(None).cast("string").alias(CORRUPT_FIELD))
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT_FIELD, T.StringType())])
     return F.from_json(_c(value).cast("string"), with_corrupt,
                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_FIELD})
@@ -98,12 +97,14 @@ def result_envelope(timestamp, camera_id, image_b64, prediction) -> Column:
         {"ignoreNullFields": "false"})
 
 
-def bad_record_reason(parsed="_ev") -> Column:
+def bad_record_reason(parsed="_ev", missing=None) -> Column:
     """Why a frame message cannot be processed, NULL when it can.
-    ``parsed`` is the struct produced by ``parse_frame_event``; the reason
-    depends on it alone, so the message is parsed once."""
-    p = _c(parsed)
-    return (F.when(p.isNull() | p[CORRUPT_FIELD].isNotNull(), F.lit("malformed_json"))
+    ``parsed`` is the struct produced by ``parse_frame_event`` or its fields
+    by name; ``missing`` says that there was no message at all."""
+    p = _c(parsed) if isinstance(parsed, (str, Column)) else parsed
+    if missing is None:
+        missing = p.isNull()
+    return (F.when(missing | p[CORRUPT_FIELD].isNotNull(), F.lit("malformed_json"))
             .when(p["camera_id"].isNull(), F.lit("missing_camera_id"))
             .when(p["timestamp"].isNull(), F.lit("missing_timestamp"))
             .when(p["image"].isNull(), F.lit("missing_image"))

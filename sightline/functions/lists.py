@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..config import SUMMARY_LINE_FORMAT
 from ..sources.tables import detection_columns
 
 
@@ -30,14 +31,40 @@ def keep_confident(preds, thresholds: dict[str, float]) -> Column:
                                                      F.lit(True)))
 
 
+def _lines(labels) -> Column:
+    """G2 over the label array of a list."""
+    before, after = SUMMARY_LINE_FORMAT.replace("{label}", "\0").split("\0")
+    between, end = after.split("{count}")
+    return F.array_join(F.transform(F.array_distinct(labels), lambda lab: F.concat(
+        F.lit(before), lab, F.lit(between), F.size(F.filter(labels, lambda x: x == lab)).cast("string"), F.lit(end))), "")
+
+
 def summary_of_list(preds) -> Column:
     """G2 on a list: ``label (count)`` lines in first-seen order."""
+    return _lines(F.transform(_c(preds), lambda d: d["label"]))
+
+
+def counts_of_list(preds) -> Column:
+    """G1 on a list: ARRAY<STRUCT<label, n>> in first-seen order."""
     labels = F.transform(_c(preds), lambda d: d["label"])
-    return F.array_join(F.transform(F.array_distinct(labels), lambda lab: F.concat(
-        lab, F.lit(" ("), F.size(F.filter(labels, lambda x: x == lab)).cast("string"), F.lit(")\n"))), "")
+    return F.transform(F.array_distinct(labels), lambda lab: F.struct(
+        lab.alias("label"), F.size(F.filter(labels, lambda x: x == lab)).cast("bigint").alias("n")))
+
+
+def union_of_lists(lists: list) -> Column:
+    """F1 on lists: the detectors' lists in the given order, duplicates kept."""
+    return F.concat(*[_c(x) for x in lists])
 
 
-def on_watchlist_list(preds, watchlist) -> Column:
-    """C4 on a list: any label on the (normalised) watchlist."""
+def on_watchlist_list(preds, watchlist, exact: bool = False) -> Column:
+    """C4 on a list: any label on the watchlist; by default both are trimmed
+    and in lower case, ``exact`` compares as they are."""
+    if exact:
+        wl = list(watchlist)
+        return F.exists(_c(preds), lambda d: d["label"].isin(wl))
     wl = sorted({w.strip().lower() for w in watchlist})
     return F.exists(_c(preds), lambda d: F.lower(F.trim(d["label"])).isin(wl))
+
+
+def of_detector(preds, name: str) -> Column:
+    return F.filter(_c(preds), lambda d: d["detector"] == F.lit(name))

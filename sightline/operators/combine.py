@@ -59,6 +59,20 @@ def label_palette(labels: DataFrame, label_id_col: str = "label_id") -> DataFram
     return labels.select("*", *[c.alias(k) for k, c in cols.items()])
 
 
+def palette_map(label_lists: list[list[str]]) -> Column:
+    """F3 over several models as a literal map label -> (blue, red, green):
+    the label lists are numbered one after the other, so n is the number of
+    all labels; a label listed twice keeps its last colour. For label lists
+    of models, which are configuration."""
+    names = [x for labels in label_lists for x in labels]
+    last = {x: i for i, x in enumerate(names)}
+    pairs = []
+    for x, i in last.items():
+        c = palette_colours(F.lit(i).cast("bigint"), F.lit(len(names)))
+        pairs += [F.lit(x), F.struct(*[v.alias(k) for k, v in c.items()])]
+    return F.create_map(*pairs)
+
+
 def colour_table(palette: DataFrame, label_col: str = "label",
                  label_id_col: str = "label_id") -> DataFrame:
     """Label to colour; a label listed twice keeps its last colour."""
@@ -103,9 +117,11 @@ def asof_prediction(frames: DataFrame, preds: DataFrame, key: str, ts_col: str,
     return out
 
 
-def prediction_state(dets: DataFrame, keys, order, value_cols) -> DataFrame:
-    """the standing (latest) prediction per (camera, detector)."""
+def prediction_state(preds: DataFrame, keys, order, value_cols) -> DataFrame:
+    """the standing (latest) prediction per (camera, detector). One input
+    row is a whole prediction - the list of a frame on which the detector was
+    due, which may be empty - so a newer empty one replaces an older one."""
     from .select import latest_per_key
     keys = _cols(keys)
-    return latest_per_key(dets.select(*keys, *_cols(order), *[c for c in _cols(value_cols)
-                                                              if c not in _cols(order)]), keys, order)
+    return latest_per_key(preds.select(*keys, *_cols(order), *[c for c in _cols(value_cols)
+                                                               if c not in _cols(order)]), keys, order)

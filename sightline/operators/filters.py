@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FRESHNESS_SECONDS, SECONDS_PER_DAY
-from ..functions.codec import bad_record_reason, parse_frame_event
+from ..functions.codec import CORRUPT_FIELD, bad_record_reason, parse_frame_event
 from .sequence import join_small
 
 
@@ -97,14 +97,17 @@ def nonempty_filter(df: DataFrame, list_col: str = "detections") -> DataFrame:
     return df.where(F.coalesce(F.size(list_col), F.lit(0)) > 0)
 
 
-def split_bad_records(msgs: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+def split_bad_records(msgs: DataFrame, value_col: str = "value",
+                      fail_fast: bool = False) -> tuple[DataFrame, DataFrame]:
     """Parse frame messages and split them into (good, quarantined).
-    Both are filters over the same parsed frame; quarantined rows carry
-    ``reason``."""
-    parsed = msgs.withColumn("_ev", parse_frame_event(value_col)) \
-                 .withColumn("reason", bad_record_reason("_ev"))
-    good = parsed.where(F.col("reason").isNull()).select(
-        *[c for c in msgs.columns], F.col("_ev.camera_id").alias("camera_id"),
-        F.col("_ev.timestamp").alias("timestamp"), F.col("_ev.image").alias("image"))
-    bad = parsed.where(F.col("reason").isNotNull()).drop("_ev")
+    Quarantined rows carry ``reason``. With ``fail_fast`` the first message
+    that is not JSON stops the job instead (B1).
+
+    The parsed struct is generated as a row (``inline``), which keeps the
+    optimizer from copying the parse into every use of its fields."""
+    parsed = msgs.select("*", F.inline(F.array(parse_frame_event(value_col, fail_fast=fail_fast))))
+    fields = {c: F.col(c) for c in ("camera_id", "timestamp", "image", CORRUPT_FIELD)}
+    parsed = parsed.withColumn("reason", bad_record_reason(fields, F.col(value_col).isNull()))
+    good = parsed.where(F.col("reason").isNull()).drop("reason", CORRUPT_FIELD)
+    bad = parsed.where(F.col("reason").isNotNull()).drop(*fields)
     return good, bad

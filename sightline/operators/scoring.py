@@ -10,7 +10,10 @@ stand-ins (J1, J2) and numpy forward passes with weights given by a formula
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
@@ -84,27 +87,45 @@ class StubFeatureExtractor:
         return np.sin(np.outer(k, np.arange(1, self.dim + 1))) / 2.0
 
 
-_LOADED: dict[tuple, object] = {}
+#: Loaded scorers that a Python worker keeps.
+LOADED_SCORERS = 8
+_LOADED: OrderedDict[str, object] = OrderedDict()
+_IDENTITIES: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def _loaded(scorer):
-    """One loaded instance per Python worker and scorer."""
-    key = (type(scorer).__qualname__, repr(sorted(vars(scorer).items(), key=lambda kv: kv[0])))
-    if key not in _LOADED:
-        _LOADED[key] = scorer.load()
-    return _LOADED[key]
+class Scorer:
+    """A scorer and its identity, given once on the driver. Copies that are
+    unpickled in workers share it, so a worker loads the model once; two
+    scorers never share it, whatever they hold."""
+
+    def __init__(self, scorer):
+        self.scorer = scorer
+        try:
+            self.identity = _IDENTITIES.setdefault(scorer, uuid.uuid4().hex)
+        except TypeError:  # not hashable or not weakly referable
+            self.identity = uuid.uuid4().hex
+
+    def loaded(self):
+        """The worker's loaded instance; the one used longest ago goes when
+        too many are held."""
+        if self.identity not in _LOADED:
+            _LOADED[self.identity] = self.scorer.load()
+            while len(_LOADED) > LOADED_SCORERS:
+                _LOADED.popitem(last=False)
+        _LOADED.move_to_end(self.identity)
+        return _LOADED[self.identity]
 
 
 def score_detections(df: DataFrame, scorer, image_col: str = "image", keep=()) -> DataFrame:
     """One row per detection, with the ``keep`` columns of its frame.
     Filters on frame columns should be applied before this call; they are
     not pushed below ``mapInPandas``."""
-    keep = list(keep)
+    keep, own = list(keep), Scorer(scorer)
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
                        + [f"{n} {t}" for n, t in DETECTION_FIELDS])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _loaded(scorer)
+        model = own.loaded()
         for pdf in batches:
             d = model.predict(pdf[image_col])
             base = pdf[keep].iloc[d["_row"].to_numpy()].reset_index(drop=True)
@@ -113,13 +134,20 @@ def score_detections(df: DataFrame, scorer, image_col: str = "image", keep=()) -
     return df.select(*keep, image_col).mapInPandas(run, schema)
 
 
-def feature_udf(scorer):
-    """Iterator pandas UDF from image bytes to ARRAY<DOUBLE>."""
+def feature_udf(scorer, softmax: bool = False):
+    """Iterator pandas UDF from image bytes to ARRAY<DOUBLE>. With
+    ``softmax`` the extractor's output row is turned into class shares."""
+    own = Scorer(scorer)
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def features(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = _loaded(scorer)
+        model = own.loaded()
         for images in it:
-            yield pd.Series(list(model.predict(images)))
+            x = np.asarray(model.predict(images), dtype=np.float64)
+            if softmax and len(x):
+                x = np.exp(x - x.max(axis=1, keepdims=True))
+                x = x / x.sum(axis=1, keepdims=True)
+            yield pd.Series(list(x))
     return features
 
 

@@ -24,26 +24,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import (BROADCAST_MAX_ROWS, BROADCAST_ROWS_CONF, CHUNK_ROWS_CONF, SCAN_CHUNK_ROWS,
-                      session_int)
+from ..config import CHUNK_ROWS_CONF, SCAN_CHUNK_ROWS, session_int
 
 
 def _cols(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int | None = None) -> DataFrame:
-    """Join a dimension table. It is broadcast only after a bounded count
-    shows it has at most ``max_rows`` rows (default: the session setting
-    ``spark.sightline.broadcast.maxRows``, else 200,000); past that the join
-    is left to the planner (sort-merge, or a broadcast chosen by AQE from
-    runtime size)."""
-    if max_rows is None:
-        max_rows = session_int(big.sparkSession, BROADCAST_ROWS_CONF, BROADCAST_MAX_ROWS)
-    n = small.limit(max_rows + 1).count()
-    if n <= max_rows:
-        small = F.broadcast(small)
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join a dimension table. The planner broadcasts it when its size is
+    below the session's threshold, at planning or, under AQE, at run time."""
     return big.join(small, on, how)
 
 
@@ -90,7 +80,7 @@ def carry_last(df: DataFrame, keys, seq_col: str, value_cols, out_cols=None,
     value of that column among rows of the same key at or before it (by
     ``seq_col``). Columns are carried independently, all in one window pass;
     pack columns that belong together into a struct. ``seq_col`` must be a
-    dense per-key sequence (``keyed_sequence``); keys must not be NULL.
+    dense per-key sequence (``keyed_sequence``); NULL is a key like any other.
 
     Plan: one shuffle of the rows on (key, chunk) for the scan; the per-chunk
     ends come from a map-side combined aggregate (a few rows per task); the
@@ -121,7 +111,7 @@ def carry_last(df: DataFrame, keys, seq_col: str, value_cols, out_cols=None,
     # Only chunks that receive a value from an earlier chunk are joined; a
     # camera that fits in one chunk adds nothing, so the table stays small.
     carry = carry.where(reduce(lambda a, b: a | b, [F.col(f"_in{i}").isNotNull() for i in idx]))
-    cond = reduce(lambda a, b: a & b, [x[k] == carry[f"_c_{k}"] for k in keys] +
+    cond = reduce(lambda a, b: a & b, [x[k].eqNullSafe(carry[f"_c_{k}"]) for k in keys] +
                   [x["_chunk"] == carry["_c_chunk"]])
     y = x.join(carry, cond, "left")
     keep = [c for c in df.columns if c != CHUNK_COL] + ([CHUNK_COL] if keep_chunk else [])

@@ -15,72 +15,70 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import codec
-from ..functions.lists import keep_confident, stub_prediction_list, summary_of_list
+from ..functions.lists import keep_confident, of_detector, stub_prediction_list, summary_of_list
 from ..operators import ordered, scoring, select
+from ..operators.overlay import overlay_list
 from ..operators.sequence import carry_last, keyed_sequence
 from ..sources import tables as TB
 
 
-def _captions(preds) -> F.Column:
-    return F.array_join(F.transform(preds, lambda d: F.concat(d["label"], F.lit(" "),
-                                                              d["confidence"].cast("string"))), "; ")
+def due_lists(names: list[str], rates: dict[str, int], lists: dict, seq, src, thresholds: dict) -> dict:
+    """Per detector: STRUCT<src, list> on frames where it is due, else NULL."""
+    return {n: F.when(seq % rates[n] == 0, F.struct(src.alias("src"), keep_confident(lists[n], thresholds).alias("list")))
+            for n in names}
 
 
 def annotate_frames(f: DataFrame, predictions: dict[str, F.Column], config: C.PipelineConfig,
-                    chunk_rows: int | None = None, one_scan: bool | None = None) -> DataFrame:
+                    colours=None, height: int = TB.FRAME_HEIGHT, chunk_rows: int | None = None) -> DataFrame:
     """Core of I2 over frames that already carry ``seq``. ``predictions``
     maps detector name to the list column that detector returns for a
-    frame; it is evaluated only on frames where the detector is due."""
+    frame; it is evaluated only on frames where the detector is due. With
+    all detectors off every frame has no boxes and an empty text."""
     kw = {"chunk_rows": chunk_rows} if chunk_rows else {}
+    colours = TB.stub_colours() if colours is None else colours
     rates = {d.name: d.rate for d in config.active_detectors()}
     names = [n for n in predictions if n in rates]
-    x = f
-    for n in names:
-        x = x.withColumn(f"_p_{n}", F.when(F.col("seq") % rates[n] == 0,
-                                           F.struct(F.col("frame_id").alias("src"),
-                                                    keep_confident(predictions[n], config.thresholds())
-                                                    .alias("list"))))
-    carried = [f"_p_{n}" for n in names]
-    latest = [f"_l_{n}" for n in names]
-    if one_scan is None:
-        one_scan = len({rates[n] for n in names}) == 1
-    if one_scan:
+    out = ["camera_id", "frame_id", "seq", codec.iso_timestamp("ts").alias("timestamp")]
+    if not names:
+        none = F.array().cast(f.select(overlay_list(stub_prediction_list(F.lit(0)), colours, height).alias("b")).schema["b"].dataType)
+        return f.select(*out, F.lit(None).cast("bigint").alias("pred_frame_id"), none.alias("boxes"),
+                        F.lit("").alias("prediction"))
+    due = due_lists(names, rates, predictions, F.col("seq"), F.col("frame_id"), config.thresholds())
+    x = f.withColumns({f"_p_{n}": c for n, c in due.items()})
+    carried, latest = [f"_p_{n}" for n in names], [f"_l_{n}" for n in names]
+    if len({rates[n] for n in names}) == 1:
         # Every detector is due on the same frames, so at a due frame the
         # combined list is the frame's own: the text candidate is row-local
         # and one scan carries predictions and text together.
-        own = F.concat(*[F.col(f"_p_{n}.list") for n in names])
+        own = F.concat(*[F.col(f"{c}.list") for c in carried])
         x = x.withColumn("_cand", F.when(F.size(own) > 0, summary_of_list(own)))
         x = carry_last(x, ["camera_id"], "seq", carried + ["_cand"], latest + ["_text"], **kw)
         x = x.withColumn("prediction", F.coalesce("_text", F.lit("")))
-        boxes = F.concat(*[F.coalesce(F.col(f"{c}.list"), F.array()) for c in latest])
-        x = x.withColumn("_boxes", boxes)
+        x = x.withColumn("_boxes", _joined(latest))
     else:
         # Latest completed prediction of each detector (an empty list
         # counts); then the text, which needs the other detectors' latest
         # lists, in a second scan over the same chunks.
         x = carry_last(x, ["camera_id"], "seq", carried, latest, keep_chunk=True, **kw)
-        boxes = F.concat(*[F.coalesce(F.col(f"{c}.list"), F.array()) for c in latest])
-        x = x.withColumn("_boxes", boxes).withColumn(
+        x = x.withColumn("_boxes", _joined(latest)).withColumn(
             "_text", F.coalesce(F.when(F.size("_boxes") > 0, summary_of_list(F.col("_boxes"))), F.lit("")))
         x = ordered.carry_forward_text(x, "camera_id", "seq", "_text", "prediction", **kw)
-    return x.select("camera_id", "frame_id", "seq", codec.iso_timestamp("ts").alias("timestamp"),
-                    F.col(f"_l_{names[0]}.src").alias("pred_frame_id"),
-                    F.size("_boxes").alias("n_boxes"), _captions(F.col("_boxes")).alias("boxes"),
-                    "prediction")
+    return x.select(*out, F.col(f"{latest[0]}.src").alias("pred_frame_id"),
+                    overlay_list(F.col("_boxes"), colours, height).alias("boxes"), "prediction")
 
 
-def _of_detector(lst, name: str) -> F.Column:
-    return F.filter(lst, lambda d: d["detector"] == F.lit(name))
+def _joined(latest: list[str]):
+    """F1 of the detectors' latest lists; a detector not yet run has none."""
+    return F.concat(*[F.coalesce(F.col(f"{c}.list"), F.array()) for c in latest])
 
 
 def annotated_results(frames: DataFrame, config: C.PipelineConfig = C.DEFAULT_CONFIG,
-                      chunk_rows: int | None = None, one_scan: bool | None = None) -> DataFrame:
+                      chunk_rows: int | None = None) -> DataFrame:
     """I2 over the stand-in frames: the stand-in detector gives each frame
     a list, split by detector."""
     f = keyed_sequence(frames.select("camera_id", "frame_id", "ts", "k"), ["camera_id"], ["ts", "frame_id"])
     lst = stub_prediction_list(F.col("k"))
-    preds = {n: _of_detector(lst, n) for n in ("object", "firearm")}
-    return annotate_frames(f, preds, config, chunk_rows, one_scan)
+    return annotate_frames(f, {n: of_detector(lst, n) for n in ("object", "firearm")}, config, chunk_rows=chunk_rows)
 
 
 def score_frames_sampled(spark: SparkSession, fseq: DataFrame) -> DataFrame:
@@ -103,9 +101,10 @@ def score_frames_sampled(spark: SparkSession, fseq: DataFrame) -> DataFrame:
                 .agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("_l"))
                 .select("camera_id", "frame_id", "detector",
                         F.array_join(F.transform("_l", lambda s: s["label"]), ",").alias("result")))
+    # Features once, as narrow vectors: both consumers read the saved ones.
     feat = (sched.where(F.col("detector") == "feature")
             .select("camera_id", "frame_id", (F.col("seq") / C.FEATURE_SAMPLE_RATE).cast("bigint").alias("fseq"),
-                    scoring.feature_udf(scoring.StubFeatureExtractor(8))(img).alias("vec")))
+                    scoring.feature_udf(scoring.StubFeatureExtractor(8))(img).alias("vec"))).checkpoint()
     ev = scoring.score_events(feat.select("camera_id", "frame_id", "vec"), "vec",
                               scoring.formula_event_weights(8, 8, 5))
     ev_rows = (ev.groupBy("camera_id", "frame_id")

@@ -9,8 +9,9 @@ Every key has an entry.
 from __future__ import annotations
 
 from .. import config as C
-from ..sources.tables import DETECTION_LABELS, FRAME_HEIGHT
+from ..sources.tables import DETECTION_LABELS, EVENT_CLASSES, FRAME_HEIGHT
 
+_EVENTS = "[" + ", ".join(f"'{x}'" for x in EVENT_CLASSES) + "]"
 _LABELS = "[" + ", ".join(f"'{x}'" for x in DETECTION_LABELS) + "]"
 
 FRAMES = """frames AS (
@@ -196,33 +197,57 @@ FROM (SELECT camera_id, end_seq, {_ACT_SCORE} AS score FROM h3 GROUP BY camera_i
 JOIN feat ON feat.camera_id = a.camera_id AND feat.seq = a.end_seq"""
 
 
-def _annotated_sql() -> str:
-    d = DETECTIONS + ",\n" + FRAMES_SEQ_BODY
+# A box as text: caption, corners, caption place, colour. Label number i of
+# five, objects first: b = ceil(5^(1/3)) = 2.
+BOX_TEXT = """label || ' ' || CAST(confidence AS VARCHAR) || ' ' || x1 || ',' || y1 || ',' || x2 || ',' || y2
+       || ' ' || x1 || ',' || (y1 - 13) || ' ' || CAST(round(abs(2 - i / 4.0) * 127) AS INTEGER) || ','
+       || CAST(round(abs(2 - (i % 4) / 2.0) * 127) AS INTEGER) || ',' || CAST(abs(2 - (i % 4) % 2) * 127 AS INTEGER)"""
+
+
+def _annotated_sql(frames_body: str = FRAMES_SEQ_BODY, ids: str = "frame_id") -> str:
+    """I2 over the numbered frames that ``frames_body`` defines as frames_seq."""
+    d = DETECTIONS + ",\n" + frames_body
     return _w(d, f"""kept AS (
-  SELECT d.*, CASE WHEN detector = 'object' THEN 0 ELSE 1 END AS dord FROM detections d
+  SELECT d.*, CASE WHEN detector = 'object' THEN 0 ELSE 1 END AS dord,
+         list_position(['person', 'car', 'knife', 'dog', 'Pistol'], label) - 1 AS i FROM detections d
   WHERE confidence > {THRESHOLD.replace('detector', 'd.detector')}),
 sampled AS (
   SELECT f.camera_id, f.frame_id, f.seq,
          (SELECT count(*) FROM kept WHERE kept.frame_id = f.frame_id) AS n_boxes,
-         (SELECT string_agg(label || ' ' || CAST(confidence AS VARCHAR), '; ' ORDER BY dord, pos)
+         (SELECT string_agg({BOX_TEXT}, '; ' ORDER BY dord, pos)
             FROM kept WHERE kept.frame_id = f.frame_id) AS boxes
   FROM frames_seq f WHERE f.seq % 5 = 0),
 lab AS (SELECT frame_id, label, count(*) AS n, min(dord * 100 + pos) AS first FROM kept GROUP BY frame_id, label),
 txt AS (SELECT frame_id, string_agg(label || ' (' || CAST(n AS VARCHAR) || ')' || chr(10), '' ORDER BY first)
           AS summary FROM lab GROUP BY frame_id),
 per AS (
-  SELECT f.*, s.frame_id AS pred_frame_id, s.n_boxes, s.boxes
+  SELECT f.*, s.frame_id AS pred_frame_id, s.n_boxes, s.boxes, s.seq AS pred_seq
   FROM frames_seq f JOIN sampled s ON s.camera_id = f.camera_id AND s.seq = f.seq - f.seq % 5),
 withtext AS (
-  SELECT per.*, max(CASE WHEN per.n_boxes > 0 THEN per.pred_frame_id END)
+  SELECT per.*, last_value(CASE WHEN per.n_boxes > 0 THEN per.pred_frame_id END IGNORE NULLS)
            OVER (PARTITION BY camera_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS text_src
   FROM per)
-SELECT w.camera_id, w.frame_id, w.seq, {ISO_TS.replace('ts', 'w.ts')} AS timestamp, w.pred_frame_id,
+SELECT w.camera_id, w.{ids}, w.seq, {ISO_TS.replace('ts', 'w.ts')} AS timestamp, w.pred_frame_id,
        CAST(w.n_boxes AS INTEGER) AS n_boxes, coalesce(w.boxes, '') AS boxes,
        coalesce(t.summary, '') AS prediction
 FROM withtext w LEFT JOIN txt t ON t.frame_id = w.text_src""")
 
 
+# Frames that the stream keeps: fresh by the clock of FIXTURES (age of 0 to
+# 5 whole seconds), the newest of each camera and day, numbered by day.
+STREAM_SEQ_BODY = """fresh AS (
+  SELECT * FROM (
+    SELECT *, (k % 20 - 8) * 1000000 + (frame_id % 10) * 100000
+              + CASE WHEN k % 3 = 0 THEN 86400000000 ELSE 0 END AS age FROM frames)
+  WHERE age >= 0 AND age < 6000000),
+newest AS (
+  SELECT date_trunc('day', ts) AS day, arg_max(frame_id, (ts, frame_id)) AS frame_id FROM fresh
+  GROUP BY date_trunc('day', ts), camera_id),
+frames_seq AS (
+  SELECT f.*, CAST(row_number() OVER (PARTITION BY camera_id ORDER BY day) - 1 AS BIGINT) AS seq
+  FROM newest n JOIN frames f ON f.frame_id = n.frame_id)"""
+
+
 ORACLE: dict[str, str] = {
     "frame_source": _w(MESSAGES) + f"""
 SELECT "offset", partition, CAST(camera_id AS VARCHAR) AS camera_id, tstamp AS timestamp,
@@ -286,8 +311,12 @@ SELECT frame_id, pos, detector, label, confidence FROM detections WHERE confiden
 SELECT frame_id, bool_or(lower(trim(label)) IN ('pistol', 'knife')) AS suspicious,
        bool_or(label IN ('pistol', 'knife')) AS suspicious_exact
 FROM detections GROUP BY frame_id""",
-    "watchlist_events": _w(DETECTIONS) + """
-SELECT frame_id, pos, label FROM detections WHERE lower(trim(label)) IN ('knife', 'pistol')""",
+    "watchlist_events": f"""
+WITH s AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS class_idx,
+                  CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, class_idx) AS INTEGER) AS rank FROM s)
+SELECT vec_id, rank, class_idx, {_EVENTS}[class_idx % {len(EVENT_CLASSES)} + 1] AS label
+FROM r WHERE rank <= 3 AND class_idx % 2 = 0""",
     "nonempty_filter": _w(DETECTIONS) + f"""
 SELECT frame_id, CAST(count(*) AS INTEGER) AS n FROM detections WHERE confidence > {THRESHOLD}
 GROUP BY frame_id""",
@@ -336,13 +365,26 @@ SELECT d.frame_id, d.pos, d.label, coalesce(c.blue, 255.0) AS blue, coalesce(c.r
 FROM detections d LEFT JOIN colours c ON c.label = d.label""",
     "asof_prediction": _w(FRAMES) + """
 SELECT f.frame_id, f.camera_id, p.frame_id AS pred_frame_id, p.value AS pred_value
-FROM (SELECT * FROM frames WHERE event_type = 'view') f
+FROM frames f
 ASOF LEFT JOIN (SELECT * FROM frames WHERE event_type = 'signup') p
   ON f.camera_id = p.camera_id AND f.ts >= p.ts""",
-    "prediction_state": _w(DETECTIONS) + """
-SELECT camera_id, detector, arg_max(frame_id, (ts, frame_id, pos)) AS frame_id,
-       arg_max(pos, (ts, frame_id, pos)) AS pos, arg_max(label, (ts, frame_id, pos)) AS label
-FROM detections GROUP BY camera_id, detector""",
+    "prediction_state": _w(DETECTIONS + ",\n" + FRAMES_SEQ_BODY) + """,
+lists AS (
+  SELECT camera_id, ts, frame_id, 'object' AS detector FROM frames_seq WHERE seq % 5 = 0
+  UNION ALL SELECT camera_id, ts, frame_id, 'firearm' FROM frames_seq WHERE seq % 5 = 0
+  UNION ALL SELECT camera_id, ts, frame_id, 'event' FROM frames_seq WHERE seq % 15 = 0
+  UNION ALL SELECT camera_id, ts, frame_id, 'activity' FROM frames_seq WHERE seq % 15 = 0),
+last AS (SELECT camera_id, detector, arg_max(frame_id, (ts, frame_id)) AS frame_id FROM lists GROUP BY ALL),
+found AS (
+  SELECT frame_id, detector, pos, label, confidence FROM detections
+  UNION ALL SELECT frame_id, 'event', 0, event_type, k / 100.0::DOUBLE FROM frames WHERE k % 4 <> 0
+  UNION ALL SELECT frame_id, 'activity', 0,
+                   CASE WHEN k / 100.0::DOUBLE > 0.5 THEN 'Abnormal Activity' ELSE 'Normal Activity' END,
+                   k / 100.0::DOUBLE FROM frames)
+SELECT l.camera_id, l.detector, l.frame_id, CAST(count(f.label) AS INTEGER) AS n_boxes,
+       coalesce(string_agg(f.label || ' ' || CAST(f.confidence AS VARCHAR), '; ' ORDER BY f.pos), '') AS boxes
+FROM last l LEFT JOIN found f ON f.frame_id = l.frame_id AND f.detector = l.detector
+GROUP BY ALL""",
     "detector_toggle": _w(FRAMES_SEQ) + """
 SELECT camera_id, frame_id, detector FROM frames_seq,
   (VALUES ('object', 5), ('feature', 15)) d(detector, rate) WHERE seq % rate = 0""",
@@ -377,6 +419,10 @@ SELECT d.frame_id, d.pos, d.x1, d.y1, d.x2, d.y2, d.label || ' ' || CAST(d.confi
        coalesce(c.blue, 255.0) AS blue, coalesce(c.red, 0.0) AS red, coalesce(c.green, 0.0) AS green
 FROM detections d LEFT JOIN colours c ON c.label = d.label""",
     "annotated_results": _annotated_sql(),
+    "annotated_stream": f"""
+SELECT CAST(camera_id AS VARCHAR) AS camera_id, timestamp, prediction, n_boxes, boxes,
+       props AS image FROM ({_annotated_sql(STREAM_SEQ_BODY)}) r JOIN (SELECT event_id, props FROM events) e
+  ON e.event_id = r.frame_id""",
     "score_detections": _w(DETECTIONS) + """
 SELECT frame_id AS "offset", pos, label, confidence, x1, y1, x2, y2 FROM detections""",
     "score_features": _w(FRAMES) + """

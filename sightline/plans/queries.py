@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import codec
-from ..functions.lists import keep_confident, stub_prediction_list
+from ..functions.lists import (counts_of_list, keep_confident, of_detector, on_watchlist_list, stub_prediction_list,
+                               summary_of_list, union_of_lists)
 from ..operators import combine, filters, ordered, overlay, scoring, select, summarize
 from ..session import scratch_path
 from ..sources import dims, tables as TB
@@ -182,16 +183,28 @@ def confidence_filter(spark, sf):
     return d.select("frame_id", "pos", "detector", "label", "confidence")
 
 
-def watchlist_flag(spark, sf):
-    return filters.watchlist_flag(_detections(spark, sf), "frame_id", C.SUSPICIOUS_OBJECTS, with_exact=True)
+def _lists(spark, sf):
+    """Frames with a non-empty prediction list: the list is in the row, so
+    what is asked of one frame needs no shuffle."""
+    return filters.nonempty_filter(_frames(spark, sf).withColumn("detections", stub_prediction_list("k")))
 
 
-WATCH_ROWS = [" Knife", "PISTOL "]
+def watchlist_flag(spark, sf):
+    return _lists(spark, sf).select(
+        "frame_id", on_watchlist_list("detections", C.SUSPICIOUS_OBJECTS).alias("suspicious"),
+        on_watchlist_list("detections", C.SUSPICIOUS_OBJECTS, exact=True).alias("suspicious_exact"))
 
 
 def watchlist_events(spark, sf):
-    watch = spark.createDataFrame([(w,) for w in WATCH_ROWS], "label string")
-    return filters.watchlist_events(_detections(spark, sf), watch).select("frame_id", "pos", "label")
+    """C5 over D3's output: the named best classes that are on the events
+    watchlist. Class i is named by the i-th of ``EVENT_CLASSES``, in turn."""
+    e = TB.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double"))
+                                                 .alias("scores"))
+    names = F.array(*[F.lit(x) for x in TB.EVENT_CLASSES])
+    top = select.event_topk(e, "scores", C.EVENT_TOP_COUNT).withColumn(
+        "label", F.element_at(names, (F.col("class_idx") % len(TB.EVENT_CLASSES) + 1).cast("int")))
+    watch = spark.createDataFrame([(w,) for w in C.SUSPICIOUS_EVENTS], "label string")
+    return filters.watchlist_events(top, watch).select("vec_id", "rank", "class_idx", "label")
 
 
 def nonempty_filter(spark, sf):
@@ -252,10 +265,9 @@ def sampling_cycle(spark, sf):
 # --- F: unions, lookups, as-of, state ---------------------------------------
 
 def union_detections(spark, sf):
-    d = _detections(spark, sf).select("frame_id", "pos", "detector")
-    u = combine.union_detections([d.where(F.col("detector") == "object"),
-                                  d.where(F.col("detector") == "firearm")], "frame_id")
-    return u.select("frame_id", "detector", "pos", "union_pos")
+    both = union_of_lists([of_detector("detections", "object"), of_detector("detections", "firearm")])
+    return (_lists(spark, sf).select("frame_id", F.posexplode(both).alias("union_pos", "d"))
+            .select("frame_id", "d.detector", "d.pos", "union_pos"))
 
 
 def label_lookup(spark, sf):
@@ -276,16 +288,30 @@ def color_lookup(spark, sf):
 
 def asof_prediction(spark, sf):
     f = _frames(spark, sf)
-    frames_v = f.where(F.col("event_type") == "view").select("camera_id", "ts", "frame_id")
+    frames_v = f.select("camera_id", "ts", "frame_id")
     preds = f.where(F.col("event_type") == "signup").select("camera_id", "ts", "frame_id", "value")
     r = combine.asof_prediction(frames_v, preds, "camera_id", "ts", "frame_id", ["value"])
     return r.select("frame_id", "camera_id", "pred_frame_id", "pred_value")
 
 
 def prediction_state(spark, sf):
-    d = _detections(spark, sf)
-    r = combine.prediction_state(d, ["camera_id", "detector"], ["ts", "frame_id", "pos"], ["label"])
-    return r.select("camera_id", "detector", "frame_id", "pos", "label")
+    """The standing prediction of the four detectors: whole lists, empty ones
+    included, of the frames on which each is due."""
+    k, lst = F.col("k"), stub_prediction_list("k")
+    one = lambda label, conf: F.array(F.struct(label.alias("label"), conf.alias("confidence")))
+    share = k / F.lit(100.0)
+    narrow = lambda c: F.transform(c, lambda d: F.struct(d["label"].alias("label"), d["confidence"].alias("confidence")))
+    lists = {"object": (C.OBJECT_SAMPLE_RATE, narrow(of_detector(lst, "object"))),
+             "firearm": (C.FIREARM_SAMPLE_RATE, narrow(of_detector(lst, "firearm"))),
+             "event": (C.FEATURE_SAMPLE_RATE, F.when(k % 4 == 0, F.array().cast("array<struct<label:string,confidence:double>>"))
+                       .otherwise(one(F.col("event_type"), share))),
+             "activity": (C.FEATURE_SAMPLE_RATE, one(select.activity_label(share, 0.5), share))}
+    per = F.array(*[F.struct(F.lit(n).alias("detector"), F.lit(r).alias("rate"), c.alias("list")) for n, (r, c) in lists.items()])
+    due = (_fseq(spark, sf, "k", "event_type").select("camera_id", "ts", "frame_id", "seq", F.inline(per))
+           .where(F.col("seq") % F.col("rate") == 0))
+    r = combine.prediction_state(due, ["camera_id", "detector"], ["ts", "frame_id"], ["list"])
+    text = F.array_join(F.transform("list", lambda d: F.concat(d["label"], F.lit(" "), d["confidence"].cast("string"))), "; ")
+    return r.select("camera_id", "detector", "frame_id", F.size("list").alias("n_boxes"), text.alias("boxes"))
 
 
 def detector_toggle(spark, sf):
@@ -300,12 +326,11 @@ def detector_toggle(spark, sf):
 # --- G: aggregation -----------------------------------------------------------
 
 def label_counts(spark, sf):
-    return summarize.label_counts(_detections(spark, sf), ["frame_id"], pos_col=None) \
-        .select("frame_id", "label", "n")
+    return _lists(spark, sf).select("frame_id", F.inline(counts_of_list("detections")))
 
 
 def summary_text(spark, sf):
-    return summarize.summary_text(_detections(spark, sf), ["frame_id"]).select("frame_id", "summary")
+    return _lists(spark, sf).select("frame_id", summary_of_list("detections").alias("summary"))
 
 
 def batch_metrics(spark, sf):
@@ -355,7 +380,17 @@ def box_overlays(spark, sf):
 
 
 def annotated_results(spark, sf):
-    return annotate.annotated_results(_frames(spark, sf))
+    r = annotate.annotated_results(_frames(spark, sf))
+    return r.select("camera_id", "frame_id", "seq", "timestamp", "pred_frame_id", F.size("boxes").alias("n_boxes"),
+                    overlay.boxes_text(F.col("boxes")).alias("boxes"), "prediction")
+
+
+def annotated_stream(spark, sf):
+    """I2 as a stream: one day of frames per micro-batch, the clock of a frame
+    set so that a known part is stale (C1), newest per camera (D1), state,
+    scorers, envelope and sink, read back from the sink."""
+    from ..streaming import annotation
+    return annotation.replay_days(spark, _frames(spark, sf))
 
 
 # --- J: scoring -----------------------------------------------------------------
@@ -408,6 +443,6 @@ QUERIES = {name: globals()[name] for name in [
     "prediction_state", "detector_toggle",
     "label_counts", "summary_text", "batch_metrics",
     "rolling_features", "carry_forward_text", "latest_feature", "micro_batch_trigger", "late_data",
-    "box_overlays", "annotated_results",
+    "box_overlays", "annotated_results", "annotated_stream",
     "score_detections", "score_features", "score_events", "score_activity", "score_frames_sampled",
 ]}

@@ -63,12 +63,14 @@ def ship_package(spark: SparkSession) -> None:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session
-    (``spark.checkpoint.dir``). Only when the session names none, as in a
-    local test, a folder of our own is set."""
+    (``spark.checkpoint.dir``). Only when the session names none and runs in
+    one local process, as in a test, a folder of our own is set."""
     global _LOCAL_ROOT
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if _LOCAL_ROOT is None:
             _LOCAL_ROOT = tempfile.mkdtemp(prefix="sightline-ckpt-")
         root = _LOCAL_ROOT

@@ -18,11 +18,12 @@ BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, co
 
 
 def kafka_options(endpoint: str, topic: str = FRAME_TOPIC, starting_offsets: str = "latest",
-                  max_offsets_per_trigger: int | None = None) -> dict[str, str]:
-    """Options of the Kafka source. ``maxOffsetsPerTrigger`` bounds a
+                  max_offsets_per_trigger: int | None = None, fail_on_data_loss: bool = True) -> dict[str, str]:
+    """Options of the Kafka source. Offsets that the topic no longer has stop
+    the query unless ``fail_on_data_loss`` is off. ``maxOffsetsPerTrigger`` bounds a
     micro-batch, the way the original drops all but the newest frame."""
     o = {"kafka.bootstrap.servers": endpoint, "subscribe": topic, "startingOffsets": starting_offsets,
-         "failOnDataLoss": "false"}
+         "failOnDataLoss": str(fail_on_data_loss).lower()}
     if max_offsets_per_trigger:
         o["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
     return o

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import SUSPICIOUS_EVENTS
 from ..functions.codec import encode_image, iso_timestamp
 from ..operators.sequence import keyed_sequence
 
@@ -19,6 +20,9 @@ from ..operators.sequence import keyed_sequence
 DETECTION_LABELS = ["person", "car", "knife", "Pistol", "dog"]
 FIREARM_LABEL = "Pistol"
 FRAME_HEIGHT = 480
+# Stand-in class names of the event model: every other one is on the watchlist.
+EVENT_CLASSES = [n for pair in zip(SUSPICIOUS_EVENTS, [f"Event_{i}" for i in range(len(SUSPICIOUS_EVENTS))])
+                 for n in pair]
 N_PARTITIONS_OF_TOPIC = 4
 
 
@@ -31,10 +35,10 @@ _DERIVED: dict[tuple, str] = {}
 
 def derived_path(spark: SparkSession, sf_dir: str, source: str, name: str, write) -> str:
     """Folder of an input derived from driver table ``source`` by ``write(path)``.
-    Written once per application and version of the source table (its file
-    listing: parquet files are immutable), then reused by later queries."""
+    Written once per application and version of the source table (path,
+    length and modification time of its files), then reused by later queries."""
     from ..session import scratch_path
-    version = tuple(sorted(table(spark, sf_dir, source).inputFiles()))
+    version = file_versions(spark, table(spark, sf_dir, source).inputFiles())
     key = (spark.sparkContext.applicationId, sf_dir, source, name, version)
     if key not in _DERIVED:
         path = scratch_path(spark, name)
@@ -43,6 +47,17 @@ def derived_path(spark: SparkSession, sf_dir: str, source: str, name: str, write
     return _DERIVED[key]
 
 
+def file_versions(spark: SparkSession, files: list[str]) -> tuple:
+    """(path, length, modification time) of files, from their file system."""
+    path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    out = []
+    for f in sorted(files):
+        p = path_of(f)
+        s = p.getFileSystem(conf).getFileStatus(p)
+        out.append((f, s.getLen(), s.getModificationTime()))
+    return tuple(out)
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frame per event: frame_id, camera_id, ts, event_type, value, k."""
     ev = table(spark, sf_dir, "events")
@@ -86,6 +101,12 @@ def detections(frames_df: DataFrame) -> DataFrame:
                     *[c.alias(n) for n, c in cols.items()])
 
 
+def stub_colours():
+    """Colours of the stand-in detectors' labels: objects, then firearms."""
+    from ..operators.combine import palette_map
+    return palette_map([[x for x in DETECTION_LABELS if x != FIREARM_LABEL], [FIREARM_LABEL]])
+
+
 def aged(frames_df: DataFrame) -> DataFrame:
     """Frames with a processing clock ``now_ts``: ages from -8 s to +11.9 s,
     and a third of them a whole day later."""

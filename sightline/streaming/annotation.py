@@ -1,176 +1,147 @@
 """The annotation pipeline as a stream (I2, stream form; H4).
 
-frames stream (A1) -> three steps in one streaming query:
-  1. per camera, keyed state: newest fresh frame of the micro-batch (C1,
-     D1), sampling counter (E1/E2) -> the frame with the detectors due on it
-  2. no state: the due frames of all cameras scored together, one scorer
-     call per Arrow batch and detector (J1, C3)
-  3. per camera, keyed state: latest prediction of each detector (F6),
-     boxes of both, objects first (F1, I1), summary text kept over empty
-     predictions (G2, H2)
--> result envelope (B5) -> result sink (A2).
-
-Both keyed steps distribute the cameras over tasks and keep their state in
-the checkpoint (RocksDB state store, needed by step 3), so a restarted query
-resumes with it. Only the one frame kept per camera and micro-batch is
-scored, as in the original pipeline.
+One query; every micro-batch goes through ``foreachBatch``:
+
+1. parse (B1-B3); malformed messages go to the quarantine (B6); stale frames
+   are dropped by a plain filter (C1), before anything is shuffled;
+2. newest frame per camera (D1): a map-side combined ``max_by`` over narrow
+   columns;
+3. the kept frames' keys meet the cameras' state (sampling counter, latest
+   predictions, text) - narrow rows too - and are broadcast to the frames, so
+   the image of a kept frame stays in the task that read it;
+4. due frames are scored (E1/E2, J1, C3); latest prediction of each detector
+   (F6), boxes of all, objects first (F1, I1), summary text kept over empty
+   predictions (G2, H2): expressions over the row;
+5. result envelopes (B5) to the sink (A2), and the new state, narrow again.
+
+State is a table in the checkpoint folder, one folder per micro-batch id. A
+batch that is repeated after a failure reads the state of the one before it
+and replaces its own output and state, so file sinks hold each result once;
+Kafka is at-least-once. State is dropped by processing time only
+(``idle_timeout``), which loses no frame, however late.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from .. import config as C
 from ..functions import codec
-from ..operators.scoring import _loaded
-from . import carry
-from .carry import RESULT_SCHEMA
+from ..functions.lists import summary_of_list
+from ..operators.filters import freshness_filter
+from ..operators.overlay import overlay_list
+from ..operators.scoring import Scorer
+from ..operators.select import latest_per_key
+from ..sources import streams
+from ..sources import tables as TB
+from .pipeline import run_batches
 from .state import duration_ms
 
-cloudpickle.register_pickle_by_value(carry)
-
-_COUNTER = T.StructType([T.StructField("count", T.LongType()), T.StructField("seq", T.LongType())])
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def _kept_schema(n: int) -> T.StructType:
-    """Step 1 output: the kept frame, an eviction marker, one due flag per
-    detector."""
-    return T.StructType(
-        [T.StructField("camera_id", T.StringType()), T.StructField("offset", T.LongType()),
-         T.StructField("seq", T.LongType()), T.StructField("timestamp", T.StringType()),
-         T.StructField("image", T.BinaryType()), T.StructField("evict", T.BooleanType())]
-        + [T.StructField(f"due_{i}", T.BooleanType()) for i in range(n)])
-
-
-def _scored_schema(n: int) -> T.StructType:
-    """Step 2 output: step 1's columns plus the labels and confidences each
-    due detector found (NULL when not due). (Column names do not start with
-    an underscore: the keyed-state reader renames such columns.)"""
-    extra = []
-    for i in range(n):
-        extra += [T.StructField(f"labels_{i}", T.ArrayType(T.StringType())),
-                  T.StructField(f"confs_{i}", T.ArrayType(T.DoubleType()))]
-    return T.StructType(_kept_schema(n).fields + extra)
-
-
-def _empty(schema: T.StructType) -> pd.DataFrame:
-    return pd.DataFrame({f.name: [] for f in schema.fields})
-
-
-def _select_frames(x: DataFrame, active, lcm: int, below_us: int, freshness: bool,
-                   timeout_ms: int | None) -> DataFrame:
-    """Step 1: newest fresh frame per camera and micro-batch, due flags from
-    the camera's counter. A camera whose state times out sends one
-    eviction row so step 3 drops its state too."""
-    schema = _kept_schema(len(active))
-    rates = [d.rate for d in active]
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            # placeholder values: step 3 reads only the camera and the flag
-            row = {"camera_id": [str(key[0])], "offset": [-1], "seq": [-1], "timestamp": [""],
-                   "image": [b""], "evict": [True]}
-            for i in range(len(rates)):
-                row[f"due_{i}"] = [False]
-            yield pd.DataFrame(row)
-            return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        count, seq = (int(v) for v in state.get) if state.exists else (0, 0)
-        if freshness:
-            age = (pdf["_now"] - pdf["event_ts"]).dt.total_seconds() * 1_000_000
-            pdf = pdf[(age >= 0) & (age < below_us)]
-        if len(pdf) == 0:
-            state.update((count, seq))
-            yield _empty(schema)
-            return
-        row = pdf.sort_values(["event_ts", "partition", "offset"], kind="mergesort").iloc[-1]
-        out = {"camera_id": [str(key[0])], "offset": [int(row["offset"])], "seq": [seq],
-               "timestamp": [row["timestamp"]], "image": [row["image"]], "evict": [False]}
-        for i, r in enumerate(rates):
-            out[f"due_{i}"] = [count % r == 0]
-        state.update(((count + 1) % lcm, seq + 1))
-        if timeout_ms is not None:
-            state.setTimeoutTimestamp(int(row["_t_ms"]) + timeout_ms)
-        yield pd.DataFrame(out)
-
-    timeout = GroupStateTimeout.EventTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout
-    return x.groupBy("camera_id").applyInPandasWithState(fn, schema, _COUNTER, "append", timeout)
-
-
-def _score_due(kept: DataFrame, active, scorers: dict, thresholds: dict) -> DataFrame:
-    """Step 2: each detector scores the frames due for it, all cameras of an
+_BOX = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("label", T.StringType()),
+                     T.StructField("confidence", T.DoubleType()),
+                     *[T.StructField(c, T.IntegerType()) for c in ("x1", "y1", "x2", "y2")]])
+_LIST = T.ArrayType(_BOX)
+_LATEST = T.StructType([T.StructField("src", T.LongType()), T.StructField("list", _LIST)])
+
+
+def _score_due(kept: DataFrame, detectors: list[C.Detector], scorers: dict) -> DataFrame:
+    """Step 4: each detector scores the frames due for it, all cameras of an
     Arrow batch in one call; detections above the detector's threshold, in
-    the scorer's order. (Step 3 shuffles the scored rows by camera again:
-    at most one row per camera and micro-batch. A pandas UDF in a
-    projection would keep the partitioning but fails in Spark 4.1 directly
-    above the keyed-state operator.)"""
-    n = len(active)
-    models = [(scorers[d.name], thresholds.get(d.name)) for d in active]
+    the scorer's order (``found_<name>``; NULL when not due)."""
+    models = [(d, Scorer(scorers[d.name])) for d in detectors]
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(f"found_{d.name}", _LIST) for d in detectors]])
+    fields = _BOX.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
-            for i, (scorer, thr) in enumerate(models):
-                labs = pd.Series([None] * len(pdf), dtype=object)
-                confs = pd.Series([None] * len(pdf), dtype=object)
-                due = np.flatnonzero(pdf[f"due_{i}"].eq(True).to_numpy())
+            for d, model in models:
+                found = pd.Series([None] * len(pdf), dtype=object)
+                due = np.flatnonzero(pdf["seq"].to_numpy() % d.rate == 0)
                 if len(due):
-                    dets = _loaded(scorer).predict(pdf["image"].iloc[due].reset_index(drop=True))
-                    if thr is not None:
-                        dets = dets[dets["confidence"] > thr]
+                    dets = model.loaded().predict(pdf["image"].iloc[due].reset_index(drop=True))
+                    if d.threshold is not None:
+                        dets = dets[dets["confidence"] > d.threshold]
                     dets = dets.sort_values(["_row", "pos"], kind="mergesort")
                     bounds = np.searchsorted(dets["_row"].to_numpy(), np.arange(len(due) + 1))
-                    lab_v, conf_v = dets["label"].tolist(), [float(c) for c in dets["confidence"]]
+                    rows = dets[fields].to_dict("records")
                     for j, r in enumerate(due):
-                        labs.iat[r] = lab_v[bounds[j]:bounds[j + 1]]
-                        confs.iat[r] = conf_v[bounds[j]:bounds[j + 1]]
-                pdf[f"labels_{i}"] = labs
-                pdf[f"confs_{i}"] = confs
+                        found.iat[r] = rows[bounds[j]:bounds[j + 1]]
+                pdf[f"found_{d.name}"] = found
             yield pdf
 
-    return kept.mapInPandas(run, _scored_schema(n))
-
-
-def annotate_stream(frames: DataFrame, scorers: dict, config: C.PipelineConfig = C.DEFAULT_CONFIG,
-                    freshness: bool = True, idle_timeout: str | None = None) -> DataFrame:
-    """Result rows per camera and micro-batch. ``scorers`` maps detector
-    name to a scorer whose ``predict(images)`` returns detection rows with
-    ``_row``, ``pos``, ``label``, ``confidence``. ``freshness`` applies C1
-    against the micro-batch's clock (off for replays of old data).
-    ``idle_timeout`` removes the state of a camera once the event-time
-    watermark passes its last frame time plus that period.
-
-    The query keeps keyed state in RocksDB; when the session names another
-    state store the setting is switched for queries started from now on
-    (queries restarted from a checkpoint keep the store they began with)."""
-    spark = frames.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != ROCKSDB:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    active = [d for d in config.active_detectors() if d.name in scorers]
-    # Fresh: 0 <= age and whole seconds of age <= the limit.
-    below_us = (config.freshness_seconds + 1) * 1_000_000
-    x = frames.select(F.col("camera_id").cast("string").alias("camera_id"), "event_ts", "timestamp",
-                      "image", "partition", "offset",
-                      F.current_timestamp().alias("_now"), F.unix_millis("event_ts").alias("_t_ms"))
-    timeout_ms = duration_ms(idle_timeout) if idle_timeout else None
-    if timeout_ms is not None:
-        x = x.withWatermark("event_ts", "0 seconds")
-    kept = _select_frames(x, active, config.sample_lcm(), below_us, freshness, timeout_ms)
-    scored = _score_due(kept, active, scorers, config.thresholds())
-    return scored.groupBy("camera_id").transformWithStateInPandas(
-        carry.CarryPredictions([d.name for d in active], C.SUMMARY_LINE_FORMAT), RESULT_SCHEMA,
-        "append", "None")
+    return kept.mapInPandas(run, schema)
+
+
+def annotate_batch(frames: DataFrame, state: DataFrame | None, scorers: dict,
+                   config: C.PipelineConfig = C.DEFAULT_CONFIG, freshness: bool = True, now: str | None = None,
+                   colours=None, height: int = TB.FRAME_HEIGHT, held: list[DataFrame] | None = None) -> DataFrame:
+    """One micro-batch: a row per camera that has a frame to show, with
+    camera_id, offset, seq, timestamp, image, boxes, prediction, and the
+    camera's new state (``latest_<detector>``). ``state`` is that of
+    ``new_state`` after the batch before, or None. ``now`` names a column
+    with the clock to judge freshness by (default: the batch's clock). Tables
+    kept in memory are added to ``held``, to be released after the batch."""
+    detectors = [d for d in config.active_detectors() if d.name in scorers]
+    x = frames.select(F.col("camera_id").cast("string").alias("camera_id"), "event_ts", "timestamp", "image",
+                      "partition", "offset", *([F.col(now).alias("now")] if now else []))
+    if freshness:
+        x = freshness_filter(x, now="now" if now else None, limit_s=config.freshness_seconds)
+    kept = latest_per_key(x.select("camera_id", "event_ts", "partition", "offset"), ["camera_id"],
+                          ["event_ts", "partition", "offset"]).drop("event_ts")
+    before = {"seq": "bigint", "prediction": "string", **{f"latest_{n}": _LATEST for n in scorers}}
+    if state is None:
+        kept = kept.withColumns({f"old_{k}": F.lit(None).cast(t) for k, t in before.items()})
+    else:
+        have = set(state.columns)
+        cols = [(F.col(k) if k in have else F.lit(None).cast(t)).alias(f"old_{k}") for k, t in before.items()]
+        kept = kept.join(state.select(F.col("camera_id"), *cols), "camera_id", "left")
+    # Narrow rows, at most one per camera, held once: counted, then broadcast
+    # while few, so that no image is shuffled.
+    kept = kept.withColumnRenamed("camera_id", "cam").persist()
+    if held is not None:
+        held.append(kept)
+    few = kept.limit(C.BROADCAST_CAMERAS + 1).count() <= C.BROADCAST_CAMERAS
+    side = F.broadcast(kept) if few else kept
+    on = [x["camera_id"].eqNullSafe(side["cam"]), x["partition"].eqNullSafe(side["partition"]), x["offset"] == side["offset"]]
+    y = x.join(side, on).select(x["camera_id"], x["offset"], "timestamp", "image",
+                                (F.coalesce("old_seq", F.lit(-1)) + 1).alias("seq"), "old_prediction",
+                                *[f"old_latest_{n}" for n in scorers])
+    y = _score_due(y, detectors, scorers)
+    for d in detectors:
+        new = F.struct(F.col("offset").alias("src"), F.col(f"found_{d.name}").alias("list"))
+        y = y.withColumn(f"latest_{d.name}", F.when(F.col(f"found_{d.name}").isNotNull(), new)
+                         .otherwise(F.col(f"old_latest_{d.name}")))
+    off = [n for n in scorers if n not in {d.name for d in detectors}]
+    y = y.withColumns({f"latest_{n}": F.col(f"old_latest_{n}") for n in off}) if off else y
+    empty = F.array().cast(_LIST)
+    boxes = F.concat(empty, *[F.coalesce(F.col(f"latest_{d.name}.list"), empty) for d in detectors])
+    y = y.withColumn("shown", boxes)
+    text = F.when(F.size("shown") > 0, summary_of_list("shown")).otherwise(F.coalesce("old_prediction", F.lit("")))
+    return y.select("camera_id", "offset", "seq", "timestamp", "image",
+                    overlay_list(F.col("shown"), TB.stub_colours() if colours is None else colours, height).alias("boxes"),
+                    text.alias("prediction"), *[f"latest_{n}" for n in scorers])
+
+
+def new_state(results: DataFrame, state: DataFrame | None, seen_ms: int, idle_ms: int | None) -> DataFrame:
+    """The cameras' state after a batch: narrow columns of its results, and
+    the state of cameras that it had no frame of, unless idle for too long."""
+    keep = [c for c in results.columns if c == "prediction" or c.startswith("latest_")]
+    new = results.select("camera_id", "seq", *keep, F.lit(seen_ms).cast("bigint").alias("seen_ms"))
+    if state is None:
+        return new
+    old = state if idle_ms is None else state.where(F.col("seen_ms") >= seen_ms - idle_ms)
+    ids = new.select(F.col("camera_id").alias("_new"))
+    rest = old.join(ids, old["camera_id"].eqNullSafe(ids["_new"]), "left_anti")
+    return new.unionByName(rest, allowMissingColumns=True)
 
 
 def result_events(results: DataFrame) -> DataFrame:
@@ -180,40 +151,126 @@ def result_events(results: DataFrame) -> DataFrame:
         F.col("prediction")).alias("value"))
 
 
-@contextmanager
-def _watermark_check_off(spark, off: bool):
-    """Start a query without Spark's global-watermark check. With idle
-    eviction step 1 runs on a watermark and may emit rows older than it;
-    the check then refuses any later keyed step. Step 3 has no time mode and
-    its input no watermarked column, so it drops no row as late."""
-    key = "spark.sql.streaming.statefulOperator.checkCorrectness.enabled"
-    before = spark.conf.get(key, "true")
-    if off:
-        spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def run_annotation(spark, source_path: str, sink_path: str, checkpoint: str, scorers: dict,
-                   config: C.PipelineConfig = C.DEFAULT_CONFIG, freshness: bool = True,
-                   available_now: bool = True, max_files_per_trigger: int | None = None,
-                   quarantine_path: str | None = None, idle_timeout=None):
-    """One command from frame files to result files (A1 -> I2 -> B5 -> A2).
-    Malformed messages go to ``quarantine_path`` (B6) when given. Returns
-    the started query (or queries)."""
-    from ..sources import streams
-    recs = streams.frame_records(spark, "json", source_path, streaming=True,
+class CameraState:
+    """The state table: one folder per micro-batch id under ``root``."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self.fs, self.path = path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+    def _ids(self) -> list[int]:
+        if not self.fs.exists(self.path):
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.path)]
+        return sorted(int(n[6:]) for n in names if n.startswith("batch="))
+
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """The newest state older than the batch."""
+        ids = [i for i in self._ids() if i < batch_id]
+        return spark.read.parquet(f"{self.root}/batch={ids[-1]}") if ids else None
+
+    def write(self, batch_id: int, state: DataFrame) -> None:
+        state.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+        for i in [i for i in self._ids() if i < batch_id][:-1]:  # only the one before may be read again
+            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/batch={i}"), True)
+
+
+def annotate_stream(records: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, scorers: dict,
+                    config: C.PipelineConfig | Callable[[], C.PipelineConfig] = C.DEFAULT_CONFIG,
+                    freshness: bool = True, now: Callable[[DataFrame], DataFrame] | None = None,
+                    idle_timeout: str | int | None = None, quarantine: str | None = None,
+                    available_now: bool = True, state_root: str | None = None, first_batch: int = 0) -> StreamingQuery:
+    """Start the stream over raw ``records`` (partition, offset, value).
+    ``write(results, batch_id)`` stores the annotated rows. ``config`` may be
+    a function, asked anew for every micro-batch, so rates and toggles can
+    change while the query runs (E2, F7). ``now`` may add a column ``now``.
+    A query with another checkpoint continues an earlier one's cameras when
+    it is given its ``state_root`` and the number after its last batch."""
+    state = CameraState(records.sparkSession, state_root or f"{checkpoint}/camera-state")
+    idle_ms = duration_ms(idle_timeout) if idle_timeout is not None else None
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        seen_ms, number = int(time.time() * 1000), first_batch + batch_id
+        frames, bad = streams.parse_records(batch)
+        if quarantine:
+            bad.write.mode("overwrite").json(f"{quarantine}/batch={number}")
+        frames = now(frames) if now else frames
+        old = state.before(batch.sparkSession, number)
+        held: list[DataFrame] = []
+        r = annotate_batch(frames, old, scorers, config() if callable(config) else config, freshness,
+                           "now" if now else None, held=held).persist()
+        try:
+            write(r, number)
+            state.write(number, new_state(r, old, seen_ms, idle_ms))
+        finally:
+            for t in [r, *held]:
+                t.unpersist()
+
+    return run_batches(records, handle, checkpoint, available_now)
+
+
+def run_annotation(spark: SparkSession, source_path: str | None, sink_path: str | None, checkpoint: str, scorers: dict,
+                   config=C.DEFAULT_CONFIG, freshness: bool = True, available_now: bool = True,
+                   max_files_per_trigger: int | None = None, quarantine_path: str | None = None, idle_timeout=None,
+                   source_format: str = "json", source_options: dict | None = None,
+                   sink_format: str = "json", sink_options: dict | None = None) -> StreamingQuery:
+    """One command from frame records to result events (A1 -> I2 -> B5 -> A2),
+    files or Kafka at either end: with ``"kafka"`` the options name the
+    brokers and topic (``streams.kafka_options``). A file sink holds one
+    folder per micro-batch. Malformed messages go to ``quarantine_path``."""
+    recs = streams.frame_records(spark, source_format, source_path, source_options, streaming=True,
                                  max_files_per_trigger=max_files_per_trigger)
-    frames, bad = streams.parse_records(recs)
-    results = result_events(annotate_stream(frames, scorers, config, freshness, idle_timeout))
-    with _watermark_check_off(spark, idle_timeout is not None):
-        q = streams.result_sink(results, "json", path=sink_path, checkpoint=checkpoint,
-                                available_now=available_now)
-    if quarantine_path:
-        w = (bad.writeStream.format("json").option("path", quarantine_path)
-             .option("checkpointLocation", checkpoint + "-quarantine"))
-        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=C.BATCH_INTERVAL)
-        return q, w.start()
-    return q
+
+    def write(results: DataFrame, batch_id: int) -> None:
+        out = result_events(results)
+        if sink_format == "kafka":
+            options = {"topic": C.RESULT_TOPIC, **(sink_options or {})}
+            out.select(F.col("camera_id").alias("key"), "value").write.format("kafka").options(**options).save()
+        else:
+            out.write.mode("overwrite").format(sink_format).save(f"{sink_path}/batch={batch_id}")
+
+    return annotate_stream(recs, write, checkpoint, scorers, config, freshness, None, idle_timeout,
+                           quarantine_path, available_now)
+
+
+def stub_scorers() -> dict:
+    """The stand-in object and firearm detectors."""
+    from ..operators.scoring import StubDetector
+    return {"object": StubDetector(TB.DETECTION_LABELS, exclude=(TB.FIREARM_LABEL,)),
+            "firearm": StubDetector(TB.DETECTION_LABELS, only=(TB.FIREARM_LABEL,))}
+
+
+def replay_days(spark: SparkSession, frames: DataFrame) -> DataFrame:
+    """The frames replayed with one file and micro-batch per day; a frame is
+    judged by its own clock (``tables.aged``). The sink's rows, with the boxes
+    as text."""
+    from ..operators.overlay import boxes_text
+    from ..session import scratch_path
+    root = scratch_path(spark, "annotated-stream")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    (TB.messages(TB.aged(frames).withColumn("_day", day), keep=["_day"]).select("partition", "offset", "value", "_day")
+     .repartition("_day").sortWithinPartitions("_day").write.partitionBy("_day").json(f"{root}/in"))
+    days = sorted(r["_day"] for r in spark.read.json(f"{root}/in").select("_day").distinct().collect())
+    out = f"{root}/out"
+
+    def write(results: DataFrame, batch_id: int) -> None:
+        ev = F.from_json(codec.result_envelope(F.col("timestamp"), F.col("camera_id"), codec.encode_image(F.col("image")),
+                                               F.col("prediction")), codec.RESULT_EVENT_SCHEMA)
+        (results.select(ev.alias("e"), F.size("boxes").alias("n_boxes"), boxes_text(F.col("boxes")).alias("boxes"))
+         .select("e.camera_id", "e.timestamp", "e.prediction", "n_boxes", "boxes",
+                 codec.decode_image(F.col("e.image")).cast("string").alias("image"))
+         .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+
+    def clock(f: DataFrame) -> DataFrame:
+        k = F.get_json_object(F.col("image").cast("string"), "$.k").cast("int")
+        a = TB.aged(f.select("*", F.col("offset").alias("frame_id"), k.alias("k"), F.col("event_ts").alias("ts")))
+        return a.withColumnRenamed("now_ts", "now")
+
+    # One run per day, in day order: file listings of one run have no order
+    # by name. Each run continues the state of the one before.
+    for n, d in enumerate(days):
+        recs = streams.frame_records(spark, "json", f"{root}/in/_day={d}", streaming=True)
+        annotate_stream(recs, write, f"{root}/ckpt-{n}", stub_scorers(), now=clock, state_root=f"{root}/state",
+                        first_batch=n).awaitTermination()
+    return spark.read.parquet(out).drop("batch")

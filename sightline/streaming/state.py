@@ -65,11 +65,14 @@ def _scan_stream(df: DataFrame, key: str, order: list[str], extra: list[T.Struct
     The output keeps the input columns (minus ``drop_input``) and adds
     ``extra``.
 
-    With ``idle_timeout`` (``"1 hour"``, or ms) the state of a camera is
-    removed once the event-time watermark on ``time_col`` passes the
-    camera's last frame time plus that period, so state does not grow with
+    With ``idle_timeout`` (``"1 hour"``, or ms) the state of a camera that
+    sent nothing for that long is removed, so state does not grow with
     cameras that went away; a camera that comes back after that starts
-    afresh.
+    afresh. Idleness is judged by processing time, which needs no watermark
+    and so drops no row; only with ``hold_back``, which has a watermark
+    anyway, by event time. Spark keeps waking a query with processing-time
+    timeouts, so run it with a processing-time trigger and stop it; it does
+    not end by itself under ``availableNow``.
 
     With ``hold_back`` a camera's rows wait in state until the watermark
     (``watermark`` behind the newest event time) passes them, and are then
@@ -77,12 +80,9 @@ def _scan_stream(df: DataFrame, key: str, order: list[str], extra: list[T.Struct
     as late. Out-of-order arrival within the watermark delay then gives the
     same result as the batch form, at the cost of that much latency."""
     idle_ms = duration_ms(idle_timeout) if idle_timeout else None
-    timed = idle_ms is not None or hold_back
-    if timed:
-        if not time_col:
-            raise ValueError("idle_timeout and hold_back need time_col (the event time of the rows)")
-        if hold_back and order[0] != time_col:
-            raise ValueError("hold_back needs the order to start with time_col")
+    if hold_back:
+        if not time_col or order[0] != time_col:
+            raise ValueError("hold_back needs time_col (the event time of the rows) first in the order")
         df = df.withWatermark(time_col, watermark).withColumn("_t_ms", F.unix_millis(time_col))
         drop_input = tuple(drop_input) + ("_t_ms",)
     in_names = df.columns
@@ -123,14 +123,19 @@ def _scan_stream(df: DataFrame, key: str, order: list[str], extra: list[T.Struct
         if hold_back:
             new_state += ([tuple(_py(v) for v in r) for r in rest[in_names].itertuples(index=False)],)
         state.update(new_state)
-        wm = state.getCurrentWatermarkMs() if timed else None
-        if hold_back and len(rest):
-            state.setTimeoutTimestamp(int(rest["_t_ms"].min()))  # release once passed
-        elif idle_ms is not None and len(ready):
-            state.setTimeoutTimestamp(max(int(ready["_t_ms"].max()) + idle_ms, wm + 1))
+        if hold_back:
+            wm = state.getCurrentWatermarkMs()
+            if len(rest):
+                state.setTimeoutTimestamp(max(int(rest["_t_ms"].min()), wm + 1))  # release once passed
+            elif idle_ms is not None:
+                last = int(ready["_t_ms"].max()) if len(ready) else wm
+                state.setTimeoutTimestamp(max(last + idle_ms, wm + 1))
+        elif idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield out[names] if out is not None and len(out) else empty()
 
-    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    timeout = (GroupStateTimeout.EventTimeTimeout if hold_back else
+               GroupStateTimeout.ProcessingTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout)
     return df.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", timeout)
 
 
@@ -159,21 +164,18 @@ def rolling_stream(df: DataFrame, size: int, key: str = "camera_id", order=("vec
     """H1 on a stream: the last ``size`` - 1 vectors stay in state; each new
     vector that completes a window emits (camera, seq, ids, vectors)."""
     def step(pdf, st):
-        ids = [int(i) for i in (st[0] if st[0] is not None else [])]
-        vecs = [list(v) for v in (st[1] if st[1] is not None else [])]
-        count = int(st[2])
-        rows = []
-        for i, v in zip(pdf[id_col].tolist(), pdf[vec_col].tolist()):
-            ids.append(int(i))
-            vecs.append([float(x) for x in v])
-            ids, vecs = ids[-size:], vecs[-size:]
-            if len(ids) == size:
-                rows.append((count, list(ids), [list(x) for x in vecs]))
-            count += 1
-        keep = size - 1
-        out = pd.DataFrame(rows, columns=["seq", "ids", "vectors"])
-        out[key] = pdf[key].iloc[0] if len(pdf) else None
-        return out, (ids[-keep:] if keep else [], vecs[-keep:] if keep else [], count)
+        held = 0 if st[0] is None else len(st[0])
+        new = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+        ids = np.concatenate([np.asarray(st[0] if held else [], np.int64), pdf[id_col].to_numpy(np.int64)])
+        vecs = np.concatenate([np.asarray(st[1], np.float64).reshape(held, -1), new]) if held else new
+        ends = np.arange(max(size, held + 1), len(ids) + 1)  # windows that end in this batch
+        first = int(st[2]) - held
+        out = pd.DataFrame({"seq": first + ends - 1, "ids": [ids[e - size:e] for e in ends],
+                            "vectors": [list(vecs[e - size:e]) for e in ends]})
+        out[key] = pdf[key].iloc[0]
+        keep = min(size - 1, len(ids))
+        tail = slice(len(ids) - keep, len(ids))
+        return out, (ids[tail].tolist(), vecs[tail].tolist(), int(st[2]) + len(pdf))
 
     extra = [T.StructField("seq", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())),
              T.StructField("vectors", T.ArrayType(T.ArrayType(T.DoubleType())))]
@@ -190,14 +192,10 @@ def carry_text_stream(df: DataFrame, key: str = "camera_id", order=("event_ts",
                       watermark: str = "0 seconds") -> DataFrame:
     """H2 on a stream: the last non-empty text stays in state."""
     def step(pdf, st):
-        last = st[0] or ""
-        shown = []
-        for t in pdf[text_col].tolist():
-            if t:
-                last = t
-            shown.append(last)
+        text = pdf[text_col]
+        shown = text.where(text.notna() & (text != "")).ffill().fillna(st[0] or "")
         pdf[out_col] = shown
-        return pdf, (last,)
+        return pdf, (shown.iloc[-1],)
     return _scan_stream(df, key, list(order), [T.StructField(out_col, T.StringType())],
                         _schema("text STRING"), ("",), step, idle_timeout=idle_timeout, time_col=time_col,
                         hold_back=hold_back, watermark=watermark)
@@ -210,20 +208,13 @@ def asof_stream(tagged: DataFrame, key: str = "camera_id", order=("ts", "side",
     prediction and 1 for a frame. The latest prediction stays in state;
     every frame row is emitted with it (prediction first on equal times)."""
     def step(pdf, st):
-        pid = None if st[0] is None or pd.isna(st[0]) else int(st[0])
-        pval = None if st[1] is None or pd.isna(st[1]) else float(st[1])
-        ids, vals, keep = [], [], []
-        for side, i, v in zip(pdf[side_col].tolist(), pdf[id_col].tolist(), pdf[value_col].tolist()):
-            if side == 0:
-                pid, pval = int(i), (None if v is None or pd.isna(v) else float(v))
-                keep.append(False)
-            else:
-                keep.append(True)
-            ids.append(pid)
-            vals.append(pval)
-        pdf["pred_id"] = pd.array(ids, dtype="Int64")
-        pdf["pred_value"] = pd.array(vals, dtype="Float64")
-        return pdf[keep], (pid, pval)
+        pred = (pdf[side_col] == 0).to_numpy()
+        # Position of the latest prediction at each row; -1: the one in state.
+        at = np.maximum.accumulate(np.where(pred, np.arange(len(pdf)), -1))
+        ids = pd.array([_py(st[0]), *pdf[id_col]], dtype="Int64")
+        vals = pd.array([_py(st[1]), *pdf[value_col]], dtype="Float64")
+        pdf["pred_id"], pdf["pred_value"] = ids[at + 1], vals[at + 1]
+        return pdf[~pred], (_py(ids[at[-1] + 1]), _py(vals[at[-1] + 1]))
     extra = [T.StructField("pred_id", T.LongType()), T.StructField("pred_value", T.DoubleType())]
     return _scan_stream(tagged, key, list(order), extra, _schema("pred_id BIGINT, pred_value DOUBLE"),
                         (None, None), step, idle_timeout=idle_timeout, time_col="ts",

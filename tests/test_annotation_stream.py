@@ -1,75 +1,133 @@
 """The flagship as a stream equals the batch flagship over the frames the
 stream keeps (the newest per camera in every micro-batch)."""
 
-import os
+import datetime as dt
+import json
 import tempfile
 
 from pyspark.sql import functions as F
 
-from sightline.operators import scoring, select
+from sightline import config as C
+from sightline.operators import select
 from sightline.plans import annotate
-from sightline.sources import tables as TB
-from sightline.streaming.annotation import run_annotation
 from sightline.sources import streams
+from sightline.sources import tables as TB
+from sightline.streaming import annotation
+from sightline.streaming.annotation import run_annotation, stub_scorers
 
 from .conftest import SF_SMALL
 
+T0 = dt.datetime(2024, 1, 1)
 
-def _scorers():
-    return {"object": scoring.StubDetector(TB.DETECTION_LABELS, exclude=(TB.FIREARM_LABEL,)),
-            "firearm": scoring.StubDetector(TB.DETECTION_LABELS, only=(TB.FIREARM_LABEL,))}
 
+def _write(spark, path, rows):
+    """Rows (camera, frame, ts, k) as one file of frame records."""
+    df = spark.createDataFrame(rows, "camera_id long, frame_id long, ts timestamp_ntz, k int")
+    df = df.withColumn("props", F.format_string('{"k": %d}', "k"))
+    TB.messages(df).select("partition", "offset", "value").coalesce(1).write.json(path)
 
-def test_stream_equals_batch_on_kept_frames(spark):
-    d = tempfile.mkdtemp(prefix="st-i2-")
-    f = TB.frames(spark, SF_SMALL).withColumn("_day", F.date_format("ts", "yyyy-MM-dd"))
-    msgs = TB.messages(f, keep=["_day", "ts"])
-    days = sorted(r._day for r in msgs.select("_day").distinct().collect())
-    for i, day in enumerate(days):  # one file per day, written in day order
-        (msgs.where(F.col("_day") == day).select("partition", "offset", "value")
-         .coalesce(1).write.json(f"{d}/src/{i:03d}"))
-    # idle eviction on (after 30 days of silence): the query must still end,
-    # and nothing is evicted within this month of data
-    q = run_annotation(spark, d + "/src/*", d + "/out", d + "/ckpt", _scorers(), freshness=False,
-                       max_files_per_trigger=1, idle_timeout="30 days")
+
+def _run(spark, d, **kw):
+    q = run_annotation(spark, d + "/src/*", d + "/out", d + "/ckpt", stub_scorers(),
+                       **{"freshness": False, "max_files_per_trigger": 1, **kw})
     q.awaitTermination(300)
-    assert not q.isActive
-    res = streams.result_source(spark, "json", d + "/out", streaming=False)
-    assert res.count() > 0
-    got = sorted((r.camera_id, r.timestamp, r.prediction) for r in res.collect())
-    # batch: newest frame per (day, camera), then the flagship over them
-    kept = select.latest_per_key(f.select("_day", "camera_id", "ts", "frame_id", "k"),
-                                 ["_day", "camera_id"], ["ts", "frame_id"]).drop("_day")
-    ref = annotate.annotated_results(kept)
-    exp = sorted((str(r.camera_id), r.timestamp, r.prediction) for r in ref.collect())
-    assert got == exp
-    assert os.path.isdir(d + "/ckpt")
+    assert not q.isActive and q.exception() is None
+    return q
 
 
-def test_idle_camera_starts_afresh(spark):
-    """Camera 7 is silent while camera 8 moves the watermark past its idle
-    period: both keyed steps drop camera 7's state, so its next frame is
-    numbered 0 and an empty prediction leaves the text empty."""
-    import datetime as dt
+def _results(spark, d):
+    rows = streams.result_source(spark, "json", d + "/out", streaming=False).collect()
+    return sorted((r.camera_id, r.timestamp, r.prediction) for r in rows)
 
-    from sightline.streaming import annotation
 
-    d = tempfile.mkdtemp(prefix="st-i2-idle-")
-    files = [[(7, 1, dt.datetime(2024, 1, 1), 13)], [(8, 2, dt.datetime(2024, 2, 9), 0)],
-             [(8, 3, dt.datetime(2024, 2, 11), 0)], [(7, 4, dt.datetime(2024, 2, 12), 0)]]
+def test_stream_equals_batch_on_kept_frames(spark):
+    for rates in ((5, 5), (5, 3)):
+        cfg = C.PipelineConfig(detectors=(C.Detector("object", rates[0], C.OBJECT_THRESHOLD),
+                                          C.Detector("firearm", rates[1], C.FIREARM_THRESHOLD)))
+        d = tempfile.mkdtemp(prefix="st-i2-")
+        f = TB.frames(spark, SF_SMALL).withColumn("_day", F.date_format("ts", "yyyy-MM-dd"))
+        msgs = TB.messages(f, keep=["_day", "ts"])
+        days = sorted(r._day for r in msgs.select("_day").distinct().collect())[:12]
+        f = f.where(F.col("_day").isin(days))
+        half = len(days) // 2
+        for part in (days[:half], days[half:]):  # the second run restarts from the checkpoint
+            for day in part:  # one file per day, written in day order
+                (msgs.where(F.col("_day") == day).select("partition", "offset", "value")
+                 .coalesce(1).write.json(f"{d}/src/{day}"))
+            _run(spark, d, config=cfg, idle_timeout="30 days")
+        kept = select.latest_per_key(f.select("_day", "camera_id", "ts", "frame_id", "k"),
+                                     ["_day", "camera_id"], ["ts", "frame_id"]).drop("_day")
+        ref = annotate.annotated_results(kept, cfg)
+        assert _results(spark, d) == sorted((str(r.camera_id), r.timestamp, r.prediction) for r in ref.collect())
+
+
+def test_lagging_and_returning_cameras_lose_nothing(spark):
+    """Cameras behind others, a batch that jumps back in time and a camera
+    that was silent: every newest frame comes out, whatever its time."""
+    d = tempfile.mkdtemp(prefix="st-i2-lag-")
+    files = [[(7, 1, T0 - dt.timedelta(days=1), 13), (8, 2, T0, 0)], [(7, 3, T0 - dt.timedelta(hours=9), 0), (8, 4, T0, 2)],
+             [(8, 5, T0 - dt.timedelta(days=10), 1)], [(7, 6, T0, 0)]]
     for i, rows in enumerate(files):
-        df = spark.createDataFrame(rows, "camera_id long, frame_id long, ts timestamp_ntz, k int")
-        df = df.withColumn("props", F.format_string('{"k": %d}', "k"))
-        TB.messages(df).select("partition", "offset", "value").coalesce(1).write.json(f"{d}/src/p{i}")
-    frames = streams.frame_source(spark, "json", path=d + "/src/*", streaming=True, max_files_per_trigger=1)
-    out = annotation.annotate_stream(frames, _scorers(), freshness=False, idle_timeout="1 day")
-    with annotation._watermark_check_off(spark, True):
-        q = (out.drop("image").writeStream.format("parquet").option("path", d + "/out")
-             .option("checkpointLocation", d + "/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    assert not q.isActive
-    got = {r.offset: r for r in spark.read.parquet(d + "/out").collect()}
-    assert sorted(got) == [1, 2, 3, 4]
-    assert got[1].seq == 0 and got[1].prediction != ""
-    assert (got[2].seq, got[3].seq) == (0, 1)
-    assert got[4].seq == 0 and got[4].prediction == "" and got[4].pred_offset == 4
+        _write(spark, f"{d}/src/p{i}", rows)
+    _run(spark, d, idle_timeout="30 days")
+    got = _results(spark, d)
+    assert len(got) == 6
+    first = [p for c, _, p in got if c == "7"]
+    assert first[0] != "" and len(set(first)) == 1  # the text stays
+
+
+def test_idle_camera_starts_afresh(spark):
+    d = tempfile.mkdtemp(prefix="st-i2-idle-")
+    _write(spark, f"{d}/src/p0", [(7, 1, T0, 13), (8, 2, T0, 13)])
+    _run(spark, d, idle_timeout=0)
+    _write(spark, f"{d}/src/p1", [(8, 3, T0, 0)])  # camera 7 is silent and is forgotten
+    _run(spark, d, idle_timeout=0)
+    _write(spark, f"{d}/src/p2", [(7, 4, T0, 0)])
+    _run(spark, d, idle_timeout=0)
+    state = {r.camera_id: r for r in spark.read.parquet(d + "/ckpt/camera-state").where("batch = 2").collect()}
+    assert state["7"].seq == 0 and state["7"].prediction == ""
+
+
+def test_stale_frames_are_dropped_by_a_clock_column(spark):
+    rows = [("c", T0, "t1", b'{"k": 13}', 0, 1, T0 + dt.timedelta(seconds=5, milliseconds=900)),
+            ("c", T0 + dt.timedelta(seconds=1), "t2", b'{"k": 2}', 0, 2, T0 + dt.timedelta(seconds=7)),
+            ("d", T0, "t3", b'{"k": 13}', 0, 3, T0 - dt.timedelta(seconds=1))]
+    df = spark.createDataFrame(rows, "camera_id string, event_ts timestamp_ntz, timestamp string, image binary, "
+                                     "partition int, offset long, clock timestamp_ntz")
+    got = annotation.annotate_batch(df, None, stub_scorers(), now="clock").collect()
+    assert [(r.camera_id, r.offset, r.seq) for r in got] == [("c", 1, 0)]
+    assert got[0].boxes[0].caption_y == got[0].boxes[0].y1 - 13 and bytes(got[0].image) == b'{"k": 13}'
+
+
+def test_no_image_is_shuffled(spark, capsys):
+    rows = [("c", T0, "t1", b'{"k": 13}', 0, 1)]
+    df = spark.createDataFrame(rows, "camera_id string, event_ts timestamp_ntz, timestamp string, image binary, "
+                                     "partition int, offset long")
+    out = annotation.annotate_batch(df, None, stub_scorers(), freshness=False)
+    out.explain("formatted")
+    plan = capsys.readouterr().out
+    exchanges = [p for p in plan.split("\n\n") if "Exchange" in p.split("\n")[0]]
+    assert not any("image" in p for p in exchanges)
+
+
+def test_rates_change_while_the_query_runs(spark):
+    d = tempfile.mkdtemp(prefix="st-i2-cfg-")
+    for i in range(4):
+        _write(spark, f"{d}/src/p{i}", [(7, i, T0 + dt.timedelta(seconds=i), 1)])
+    asked = []
+
+    def config():
+        asked.append(1)
+        return C.PipelineConfig(detectors=(C.Detector("object", 1, 0.0, enabled=len(asked) > 2),))
+
+    _run(spark, d, config=config)
+    assert [bool(p) for _, _, p in _results(spark, d)] == [False, False, True, True]
+
+
+def test_quarantine_is_a_second_sink_of_the_query(spark):
+    d = tempfile.mkdtemp(prefix="st-i2-bad-")
+    _write(spark, f"{d}/src/p0", [(7, 1, T0, 13)])
+    spark.createDataFrame([(0, 9, "{broken")], "partition int, offset long, value string").coalesce(1).write.json(f"{d}/src/p1")
+    _run(spark, d, quarantine_path=d + "/bad")
+    bad = [json.loads(r.value) for r in spark.read.text(d + "/bad").collect()]
+    assert [(b["offset"], b["reason"]) for b in bad] == [(9, "malformed_json")] and len(_results(spark, d)) == 1

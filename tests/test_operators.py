@@ -69,27 +69,37 @@ def test_activity_label(spark):
         C.NORMAL_ACTIVITY, C.ABNORMAL_ACTIVITY]
 
 
-def _palette_py(n):
-    base = int(math.ceil(pow(n, 1.0 / 3)))
-    sq = base * base
-    return [(abs(2 - i / sq) * 127, abs(2 - (i % sq) / base) * 127, abs(2 - (i % sq) % base) * 127)
-            for i in range(n)]
+# Colours (blue, red, green) worked out by hand from the formula.
+PALETTES = {
+    1: {0: (254.0, 254.0, 254.0)},
+    3: {0: (254.0, 254.0, 254.0), 2: (190.5, 127.0, 254.0)},
+    5: {0: (254.0, 254.0, 254.0), 1: (222.25, 190.5, 127.0), 3: (158.75, 63.5, 127.0), 4: (127.0, 254.0, 254.0)},
+    81: {24: (132.08, 355.6, 254.0), 80: (152.4, 127.0, 254.0)},
+}
 
 
 def test_palette_formula(spark):
-    for n in (1, 5, 8, 27, 64, 81, 125, 200):
+    for n, some in PALETTES.items():
         labels = spark.range(n).select(F.col("id").alias("label_id"), F.col("id").cast("string").alias("label"))
-        got = [(r.blue, r.red, r.green) for r in combine.label_palette(labels).orderBy("label_id").collect()]
-        assert got == _palette_py(n), n
+        got = {r.label_id: (r.blue, r.red, r.green) for r in combine.label_palette(labels).collect()}
+        for i, want in some.items():
+            assert all(math.isclose(a, b) for a, b in zip(got[i], want)), (n, i)
+
+
+def test_palette_of_several_models(spark):
+    """80 object labels, then one firearm label: numbers go on, n is 81."""
+    m = combine.palette_map([[f"o{k}" for k in range(80)], ["Pistol"]])
+    r = spark.range(1).select(F.element_at(m, "Pistol").alias("p"), F.element_at(m, "o24").alias("o")).first()
+    for got, want in ((r.p, PALETTES[81][80]), (r.o, PALETTES[81][24])):
+        assert all(math.isclose(a, b) for a, b in zip(got, want))
 
 
 def test_color_lookup_default_and_last(spark):
     labels = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a")], "label_id long, label string")
     colours = combine.colour_table(combine.label_palette(labels))
-    pal = _palette_py(3)
     dets = spark.createDataFrame([("a",), ("zzz",)], "label string")
     got = {r.label: (r.blue, r.red, r.green) for r in combine.color_lookup(dets, colours).collect()}
-    assert got == {"a": pal[2], "zzz": C.DEFAULT_COLOUR}
+    assert got == {"a": PALETTES[3][2], "zzz": C.DEFAULT_COLOUR}
 
 
 def test_asof_cases(spark):
@@ -147,15 +157,73 @@ def test_overlay_caption_and_default(spark):
     assert (r.blue, r.red, r.green) == C.DEFAULT_COLOUR
 
 
-def test_annotation_one_scan_equals_two_scans(spark):
-    # With equal rates the one-scan plan is used; the general two-scan plan
-    # must give the same rows, also with chunks small enough to cross.
+def _annotated(df):
+    return sorted((r.camera_id, r.frame_id, r.seq, r.pred_frame_id, tuple(r.boxes), r.prediction) for r in df.collect())
+
+
+def test_annotation_with_equal_and_unequal_rates(spark):
+    """Any chunk size gives the same rows, and they are those of a plain loop
+    over the frames of a camera."""
+    from sightline.plans import annotate
+    from sightline.sources import tables as TB
+    from .conftest import SF_SMALL
+    f = TB.frames(spark, SF_SMALL)
+    rows = f.select("camera_id", "frame_id", "ts", "k").collect()
+    for rates in ((5, 5), (5, 3), (2, 7)):
+        cfg = C.PipelineConfig(detectors=(C.Detector("object", rates[0], C.OBJECT_THRESHOLD),
+                                          C.Detector("firearm", rates[1], C.FIREARM_THRESHOLD)))
+        got = _annotated(annotate.annotated_results(f, cfg))
+        assert got == _annotated(annotate.annotated_results(f, cfg, chunk_rows=4))
+        want, state = {}, {}
+        for r in sorted(rows, key=lambda r: (r.camera_id, r.ts, r.frame_id)):
+            seq, latest, text = state.get(r.camera_id, (0, [None, None], ""))
+            found = [(TB.DETECTION_LABELS[(r.k * (p + 1) + p) % 5], ((r.k * 7 + p * 31) % 100) / 100) for p in range(r.k % 4)]
+            for d, rate in enumerate(rates):
+                if seq % rate == 0:
+                    limit = (C.OBJECT_THRESHOLD, C.FIREARM_THRESHOLD)[d]
+                    latest[d] = (r.frame_id, [x for x in found if (x[0] == TB.FIREARM_LABEL) == bool(d) and x[1] > limit])
+            boxes = [x for p in latest if p for x in p[1]]
+            if boxes:
+                text = "".join(f"{n} ({sum(b[0] == n for b in boxes)})\n" for n in dict.fromkeys(b[0] for b in boxes))
+            want[r.frame_id] = (seq, latest[0][0], [b[0] for b in boxes], text)
+            state[r.camera_id] = (seq + 1, latest, text)
+        assert {g[1]: (g[2], g[3], [b.label for b in g[4]], g[5]) for g in got} == want
+
+
+def test_annotation_with_all_detectors_off(spark):
     from sightline.plans import annotate
     from sightline.sources import tables as TB
     from .conftest import SF_SMALL
     f = TB.frames(spark, SF_SMALL)
-    one = sorted(tuple(r) for r in annotate.annotated_results(f, chunk_rows=4, one_scan=True).collect())
-    two = sorted(tuple(r) for r in annotate.annotated_results(f, chunk_rows=4, one_scan=False).collect())
-    big = sorted(tuple(r) for r in annotate.annotated_results(f).collect())
-    assert len(one) == f.count()
-    assert one == two == big
+    cfg = C.PipelineConfig(detectors=(C.Detector("object", 5, 0.25, enabled=False),))
+    rows = annotate.annotated_results(f, cfg).collect()
+    assert len(rows) == f.count() and all(r.boxes == [] and r.prediction == "" for r in rows)
+
+
+def test_carry_of_a_null_camera_does_not_depend_on_chunks(spark):
+    rows = [(None, 0, "t0"), (None, 1, None), (None, 2, None), (None, 3, None), ("c", 0, None), ("c", 1, "x")]
+    df = spark.createDataFrame(rows, "camera_id string, seq long, text string")
+    for chunk in (2, None):
+        out = ordered.carry_forward_text(df, chunk_rows=chunk).collect()
+        assert [r.shown_text for r in sorted(out, key=lambda r: (r.camera_id or "", r.seq))] == ["t0"] * 4 + ["", "x"]
+    off = ordered.carry_forward_text(df, carry_forward=False).collect()
+    assert [r.shown_text for r in off] == ["t0", "", "", "", "", "x"]
+
+
+def test_hot_camera_vectors_use_many_tasks(spark):
+    df = spark.range(400).select(F.lit("c").alias("camera_id"), F.col("id").alias("seq"), F.col("id").alias("vec_id"),
+                                 F.array(F.col("id").cast("double")).alias("vec"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # these partitions are tiny and would be merged
+    try:
+        rows = ordered.rolling_features(df, chunk_rows=20).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(key, "true")
+    assert len(rows) == 397 and len({r.task for r in rows}) > 1
+
+
+def test_standing_prediction_is_replaced_by_an_empty_one(spark):
+    rows = [("c", 1, 1, ["car"]), ("c", 2, 2, []), ("d", 1, 3, ["dog", "car"])]
+    df = spark.createDataFrame(rows, "camera_id string, ts long, frame_id long, list array<string>")
+    got = {r.camera_id: list(r.list) for r in combine.prediction_state(df, "camera_id", ["ts", "frame_id"], ["list"]).collect()}
+    assert got == {"c": [], "d": ["dog", "car"]}

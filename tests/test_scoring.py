@@ -52,3 +52,69 @@ def test_stub_detector_matches_view(spark):
     a = sorted(tuple(r) for r in dets.collect())
     b = sorted(tuple(r) for r in view.collect())
     assert a == b
+
+
+class _CountedScorer:
+    """Sums the image sizes with a weight matrix; counts its loads."""
+
+    def __init__(self, weights, path):
+        self.weights, self.path, self.other = weights, path, object
+
+    def load(self):
+        with open(self.path, "a") as f:
+            f.write("x")
+        return self
+
+    def predict(self, images):
+        return np.array([[self.weights[1000, 400]] for _ in images])
+
+
+def test_scorers_that_differ_in_one_weight_do_not_share_a_model(spark, tmp_path):
+    a = np.zeros((2048, 800))
+    b = a.copy()
+    b[1000, 400] = 1.0
+    df = spark.createDataFrame([(bytes([i]),) for i in range(8)], "image binary").repartition(4)
+    files = [str(tmp_path / n) for n in "ab"]
+    for w, path, want in ((a, files[0], 0.0), (b, files[1], 1.0)):
+        udf = scoring.feature_udf(_CountedScorer(w, path))
+        for _ in range(2):  # the second plan of the same function loads nothing in workers that have it
+            assert {r.v[0] for r in df.select(udf("image").alias("v")).collect()} == {want}
+
+
+def test_loaded_scorers_are_loaded_once_and_bounded():
+    import pickle
+
+    from pyspark import cloudpickle
+    scoring._LOADED.clear()
+
+    class Plain:
+        loads = 0
+
+        def __init__(self):
+            self.thing = object()
+
+        def load(self):
+            Plain.loads += 1
+            return self
+
+    s = scoring.Scorer(Plain())
+    for copy in (s, *(pickle.loads(cloudpickle.dumps(scoring.Scorer(s.scorer))) for _ in range(3))):
+        assert copy.identity == s.identity
+        copy.loaded()
+    assert Plain.loads == 1
+    for _ in range(20):
+        scoring.Scorer(Plain()).loaded()
+    assert len(scoring._LOADED) == scoring.LOADED_SCORERS
+
+
+def test_feature_softmax(spark):
+    class Two:
+        def load(self):
+            return self
+
+        def predict(self, images):
+            return np.array([[1.0, 3.0]] * len(images))
+
+    df = spark.createDataFrame([(b"x",)], "image binary")
+    v = df.select(scoring.feature_udf(Two(), softmax=True)("image").alias("v")).first().v
+    assert abs(sum(v) - 1) < 1e-12 and abs(v[1] / v[0] - np.exp(2)) < 1e-9

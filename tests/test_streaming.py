@@ -112,10 +112,11 @@ def test_asof_stream_equals_batch(spark):
 
 
 def test_idle_camera_state_is_evicted(spark):
-    # Run 1: camera 1 at t=10,11 s, then camera 2 at t=20 s. The watermark
-    # passes camera 1's last frame + 1 ms, so its state is removed at the end
-    # of run 1. Run 2 (same checkpoint): camera 1 at t=30 s starts afresh.
+    # Idle by processing time: camera 1 sends nothing while camera 2's batch
+    # runs, so its state goes; run 2 (same checkpoint): camera 1 starts afresh.
+    import os
     import shutil
+    import time
 
     d = tempfile.mkdtemp(prefix="st-evict-")
     batches = [[(1, 0, 10), (1, 1, 11)], [(2, 2, 20)], [(1, 3, 30)]]
@@ -124,19 +125,24 @@ def test_idle_camera_state_is_evicted(spark):
             .withColumn("event_ts", F.timestamp_seconds("t")).drop("t").coalesce(1) \
             .write.parquet(f"{d}/all/p{i}")
 
-    def run():
+    def run(expected):
         s = spark.readStream.schema("camera_id int, offset long, event_ts timestamp") \
             .option("maxFilesPerTrigger", 1).parquet(d + "/src/*")
         q = (state.sample_every_n_stream(s, 1, idle_timeout="1 millisecond").writeStream.format("parquet")
              .option("path", d + "/out").option("checkpointLocation", d + "/ckpt")
-             .trigger(availableNow=True).start())
-        q.awaitTermination(120)
-        assert not q.isActive
+             .trigger(processingTime="100 milliseconds").start())
+        for _ in range(600):  # until all rows came out and one more batch evicted what is idle
+            if os.path.isdir(d + "/out/_spark_metadata") and \
+                    spark.read.schema("camera_id int").parquet(d + "/out").count() == expected:
+                time.sleep(3)
+                break
+            time.sleep(0.2)
+        q.stop()
     for i in (0, 1):
         shutil.copytree(f"{d}/all/p{i}", f"{d}/src/p{i}")
-    run()
+    run(3)
     shutil.copytree(f"{d}/all/p2", f"{d}/src/p2")
-    run()
+    run(4)
     got = sorted((r.camera_id, r.offset, r.seq) for r in spark.read.parquet(d + "/out").collect())
     assert got == [(1, 0, 0), (1, 1, 1), (1, 3, 0), (2, 2, 0)]
 
