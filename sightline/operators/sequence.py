@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CHUNK_ROWS_CONF, SCAN_CHUNK_ROWS, session_int
+from ..session import ensure_checkpoint_dir
 
 
 def _cols(x) -> list[str]:
@@ -45,6 +46,7 @@ def keyed_sequence(df: DataFrame, keys, order, seq_col: str = "seq",
     columns first: the numbered rows are checkpointed as they are."""
     keys, order = _cols(keys), _cols(order)
     by = keys + order
+    ensure_checkpoint_dir(df.sparkSession)
     # Without a fixed count the range partitioning starts from
     # spark.sql.shuffle.partitions and AQE merges small partitions.
     ranged = df.repartitionByRange(num_partitions, *by) if num_partitions else df.repartitionByRange(*by)
