@@ -90,3 +90,35 @@ def test_confidence_filter_strict(spark):
 def test_nonempty(spark):
     df = spark.createDataFrame([(1, []), (2, ["a"]), (3, None)], "id int, detections array<string>")
     assert [r.id for r in filters.nonempty_filter(df).collect()] == [2]
+
+
+def test_broken_json_stops_a_fail_fast_read(spark):
+    df = spark.createDataFrame([("{bad",)], "value string")
+    good, bad = filters.split_bad_records(df)
+    assert (good.count(), bad.first().reason) == (0, "malformed_json")
+    good, _ = filters.split_bad_records(df, fail_fast=True)
+    try:
+        good.collect()
+        raise AssertionError("broken JSON accepted")
+    except Exception as e:
+        assert "MALFORMED_RECORD" in str(e)
+
+
+def test_missing_message_is_malformed(spark):
+    df = spark.createDataFrame([(None, 1)], "value string, offset long")
+    assert filters.split_bad_records(df)[1].first().reason == "malformed_json"
+
+
+def test_a_message_is_parsed_once(spark, capsys):
+    _, bad = filters.split_bad_records(spark.createDataFrame([("x",)], "value string"))
+    bad.explain("extended")
+    plan = capsys.readouterr().out.split("== Physical Plan ==")[1]
+    assert plan.lower().count("from_json(") == 1
+
+
+def test_row_local_list_forms_have_no_exchange(spark, capsys):
+    from sightline.plans import queries as Q
+    from .conftest import SF_SMALL
+    for name in ("watchlist_flag", "union_detections", "label_counts", "summary_text"):
+        Q.QUERIES[name](spark, SF_SMALL).explain()
+        assert "Exchange" not in capsys.readouterr().out, name

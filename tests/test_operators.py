@@ -227,3 +227,20 @@ def test_standing_prediction_is_replaced_by_an_empty_one(spark):
     df = spark.createDataFrame(rows, "camera_id string, ts long, frame_id long, list array<string>")
     got = {r.camera_id: list(r.list) for r in combine.prediction_state(df, "camera_id", ["ts", "frame_id"], ["list"]).collect()}
     assert got == {"c": [], "d": ["dog", "car"]}
+
+
+def test_newest_by_partition_and_offset(spark):
+    rows = [("a", T0, 0, 9, "x"), ("a", T0 - dt.timedelta(days=1), 1, 2, "y")]
+    df = spark.createDataFrame(rows, "camera_id string, event_ts timestamp_ntz, partition int, offset long, v string")
+    assert select.latest_per_key(df, ["camera_id"], ["partition", "offset"]).first().v == "y"
+
+
+def test_rewritten_table_has_another_version(spark, tmp_path):
+    from sightline.sources.tables import file_versions
+    df = spark.range(10).coalesce(1)
+    df.write.parquet(f"{tmp_path}/t")
+    files = spark.read.parquet(f"{tmp_path}/t").inputFiles()
+    before = file_versions(spark, files)
+    name = files[0].removeprefix("file://")
+    spark.range(20).toPandas().to_parquet(name)  # the same name, other content
+    assert file_versions(spark, files) != before

@@ -50,7 +50,8 @@ def test_kafka_options():
     o = streams.kafka_options("broker:9092", "test", max_offsets_per_trigger=100)
     assert o["kafka.bootstrap.servers"] == "broker:9092"
     assert o["subscribe"] == "test" and o["maxOffsetsPerTrigger"] == "100"
-    assert o["startingOffsets"] == "latest"
+    assert o["startingOffsets"] == "latest" and o["failOnDataLoss"] == "true"
+    assert streams.kafka_options("b", fail_on_data_loss=False)["failOnDataLoss"] == "false"
 
 
 def test_processing_time_trigger_runs_batches(spark):
