@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path
 
-#: Fixed: the white space that separates words, as bytes.
-SPACES = b" \t\n\v\f\r"
-
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
@@ -42,10 +39,6 @@ def collapsed(text: Column | str) -> Column:
                             r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def partitions_for(df_bytes: int, target: int, least: int = 1) -> int:
-    return max(least, -(-int(df_bytes) // target))
-
-
 def text_column(batch: pa.RecordBatch, i: int) -> pa.Array:
     """A string column without nulls (null: empty), with 64-bit offsets."""
     return batch.column(i).cast(pa.large_string()).fill_null("")
