@@ -161,3 +161,15 @@ def test_chat_snapshots(spark, monkeypatch):
 def test_chat_query(spark):
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{SF_SMALL}/conversations.parquet").collect()]
     assert {r.conv_id for r in Q.op7_chat_snapshots(spark, SF_SMALL).collect()} == set(brute.maximal_conversations(rows))
+
+
+@pytest.mark.parametrize("key", sorted(Q.ORACLE))
+def test_query_matches_sql(spark, key):
+    import duckdb
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    rel = con.sql(Q.ORACLE[key])
+    cols, rows = rel.columns, rel.fetchall()
+    df = Q.QUERIES[key](spark, SF_SMALL).select(*cols)
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted(rows, key=repr)
