@@ -72,7 +72,7 @@ def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _texts(col: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
     col = col.cast(pa.large_string()).fill_null("")
-    for i, j in slices(col, 1 << 20):
+    for i, j in slices(col, 1 << 19):
         yield i, j, col.slice(i, j - i).to_pylist()
 
 
@@ -142,7 +142,7 @@ def ngram_counts(docs: DataFrame, trusted_root: str) -> DataFrame:
                 for trust in (True, False):
                     u, n = np.unique(grams[known[i:j][text] == trust], return_counts=True)
                     held.append((u, n if trust else np.zeros(len(u), np.int64)))
-                if sum(len(h[0]) for h in held) > 1 << 21:
+                if sum(len(h[0]) for h in held) > 1 << 20:
                     g, c = merge()
         g, c = merge()
         for i in range(0, len(g), 1 << 17):

@@ -57,15 +57,15 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n, kept for later batches."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 18)
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(n, b, _U)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         have = _POWERS[base] = tuple(out)
-        for old in [k for k in _POWERS if len(_POWERS[k][0]) > 1 << 23 and k != base]:
-            del _POWERS[old]
+        for old in [k for k in _POWERS if len(_POWERS[k][0]) > 1 << 21 and k != base]:
+            del _POWERS[old]  # a very long text's tables are not kept
     return have[0], have[1]
 
 
@@ -99,7 +99,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     lo, end = int(offsets[0]), int(offsets[-1])
     cuts = offsets[:-1][np.diff(offsets) > 0]
     while lo < end:
-        hi = min(end, lo + (1 << 21))
+        hi = min(end, lo + (1 << 19))
         if hi < end and not np.isin(hi, cuts):
             gap = np.flatnonzero(_SPACE[data[lo:hi]])
             hi = lo + int(gap[-1]) + 1 if len(gap) else end  # a word longer than a segment takes the rest
@@ -162,7 +162,7 @@ def _per_slice(batches: Iterator[pa.RecordBatch], text_at: int):
     for b in batches:
         col = text_column(b, text_at)
         off, data = byte_offsets(col)
-        for i, j in slices(col):
+        for i, j in slices(col, 1 << 20):
             yield b, i, j, *word_hashes(data, off[i:j + 1])
 
 
