@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import fs_of, saved, slices, text_column
-from .tokens import tokenizer
+from .tokens import SLICE, tokenizer
 
 #: Fixed by the zstandard formats: magic numbers of skippable frames (index,
 #: seek table) and of the end of a seek table; flag: entries have checksums.
@@ -53,7 +53,7 @@ class FrameWriter:
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((doc_id or 0, doc_id is None, len(self.table), self.held, len(ids)))
-        self.open.append(ids.astype(self.kind))
+        self.open.append(ids.astype(self.kind, copy=False))
         self.held += len(ids)
         self.tokens += len(ids)
         if self.held >= self.frame_ids:
@@ -117,12 +117,13 @@ class FrameReader:
 
     def documents(self, rows: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
         """(row in the file, ids) of the given rows, in order; None: of all."""
-        last, ids = -1, np.zeros(0, self.kind)
-        for r in range(len(self.ids)) if rows is None else rows:
-            if self.frame[r] != last:
-                last = int(self.frame[r])
-                ids = self.frame_ids(last)
-            yield r, ids[self.place[r]:self.place[r] + self.length[r]]
+        last, ids = -1, np.zeros(0, "<u4")
+        frame, place, end = self.frame.tolist(), self.place.tolist(), (self.place + self.length).tolist()
+        for r in range(len(frame)) if rows is None else rows:
+            if frame[r] != last:
+                last = frame[r]
+                ids = self.frame_ids(last).astype("<u4")
+            yield r, ids[place[r]:end[r]]
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str | None = None,
@@ -153,10 +154,11 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str |
             writer = FrameWriter(out, width)
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), text_column(b, 1)
-                for i, j in slices(texts):
-                    flat, off = tok.encode(texts.slice(i, j - i))
+                for i, j in slices(texts, SLICE):
+                    flat, off = tok.encode(texts.slice(i, j - i), end_id)
+                    flat = flat.astype(writer.kind)
                     for k in range(j - i):
-                        writer.add(ids[i + k], np.append(flat[off[k]:off[k + 1]], np.uint32(end_id)))
+                        writer.add(ids[i + k], flat[off[k]:off[k + 1]])
             writer.close()
         if not writer.docs:
             fs.delete_file(own)
@@ -195,7 +197,7 @@ def read_token_files(manifest: DataFrame, only: list[int] | None = None) -> Data
                     rows = None if wanted is None else np.flatnonzero(np.isin(r.ids, wanted) & (r.null == 0))
                     held, size = [], 0
                     for row, ids in r.documents(rows):
-                        held.append((row, ids.astype("<u4").tobytes()))
+                        held.append((row, ids.tobytes()))
                         size += len(held[-1][1])
                         if size > 8 << 20:
                             yield _rows(r, start, held)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import slices, text_column
-from .tokens import tokenizer
+from .tokens import SLICE, tokenizer
 
 #: Ids in a sequence and open windows in a partition.
 LENGTH, OPEN = 4096, 16
@@ -119,10 +119,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id",
         part, tok, packer = TaskContext.get().partitionId(), tokenizer(vocabulary), OnlinePacker(length, windows)
         for b in batches:
             names, texts = b.column(0).to_pylist(), text_column(b, 1)
-            for i, j in slices(texts):
-                flat, off = tok.encode(texts.slice(i, j - i))
+            for i, j in slices(texts, SLICE):
+                flat, off = tok.encode(texts.slice(i, j - i), end_id)
                 for k in range(j - i):
-                    packer.add(names[i + k], np.append(flat[off[k]:off[k + 1]], np.uint32(end_id)))
+                    packer.add(names[i + k], flat[off[k]:off[k + 1]])
                 yield _batch(packer.take(), part, None)
         rest = packer.rest()
         ends = np.cumsum([p[2] for p in rest])

@@ -3,7 +3,9 @@
 For a vocabulary whose normalizer and pre-tokenizer never join characters
 across white space, the ids of a text are those of its words in order. Each
 distinct word of a batch is then encoded once; ids of words met before are
-kept for the next batches of the Python worker, up to a fixed number.
+kept for the next batches of the Python worker, up to a fixed number: a word
+is kept when it is met again, and when a generation of words is full, the one
+before it is forgotten.
 ``separable`` says from the file whether that holds; other vocabularies
 encode whole texts.
 """
@@ -21,8 +23,9 @@ import pyarrow.compute as pc
 
 from .common import slices
 
-#: Words whose ids a worker keeps, and words encoded in one call.
-KEPT_WORDS, JOINED = 600_000, 200
+#: Words in a generation, of which a worker keeps two; marks (by hash) of words
+#: met once; words encoded in one call; bytes of text taken at a time.
+GENERATION, MARKS, JOINED, SLICE = 120_000, 1 << 22, 200, 2 << 20
 
 #: A word that is letters and then only ASCII signs other than the apostrophe
 #: falls into these two: no pattern of the pre-tokenizer spans them.
@@ -50,6 +53,8 @@ class WordTokenizer:
                 self.ends[i] = piece.endswith(end)
         self.marked = bool(self.ends.any())
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.met = bytearray(MARKS)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes()
@@ -72,11 +77,16 @@ class WordTokenizer:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as bytes of uint32."""
-        kept = self.kept
+        kept, older = self.kept, self.older
         out = list(map(kept.get, words))
-        lost = [k for k, v in enumerate(out) if v is None]
-        if not lost:
-            return out
+        lost = []
+        for k, v in enumerate(out):
+            if v is None:
+                v = older.get(words[k])
+                if v is None:
+                    lost.append(k)
+                else:
+                    out[k] = kept[words[k]] = v
         parts = []
         for k in lost:
             w = words[k]
@@ -87,24 +97,34 @@ class WordTokenizer:
             elif b and not normalize("NFC", a).lower().isalpha():
                 a, b = w, ""  # a mark that splits off would join the signs
             parts.append((a, b))
-        new = dict.fromkeys(p for pair in parts for p in pair if p not in kept)
+        got = {p: kept[p] if p in kept else older.get(p) for p in dict.fromkeys(p for pair in parts for p in pair)}
+        new = [p for p, v in got.items() if v is None]
         letters = [p for p in new if p.isalpha()] if self.marked else []
-        got = dict(zip(letters, self._letters(letters)))
-        others = [p for p in new if p not in got]
+        got.update(zip(letters, self._letters(letters)))
+        others = [p for p in new if got[p] is None]
         got.update(zip(others, self._whole(others)))
-        if len(kept) + len(got) + len(lost) > KEPT_WORDS:
-            got.update((p, kept[p]) for pair in parts for p in pair if p in kept)
-            self.kept = kept = {}
-        kept.update(got)
         for k, (a, b) in zip(lost, parts):
-            out[k] = kept[words[k]] = kept[a] + kept[b]
+            out[k] = got[words[k]] = got[a] + got[b] if b else got[a]
+        met = self.met
+        for w, v in got.items():
+            mark = hash(w) & (MARKS - 1)
+            if met[mark]:
+                kept[w] = v
+            else:
+                met[mark] = 1
+        if len(kept) > GENERATION:
+            self.older, self.kept, self.met = kept, {}, bytearray(MARKS)
         return out
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat uint32 ids and n + 1 offsets for a large_string array."""
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Flat uint32 ids and n + 1 offsets for a large_string array, with
+        ``end_id`` after each text if given."""
         ids, counts = [], []
-        for i, j in slices(texts):
+        for i, j in slices(texts, SLICE):
             a, n = self._slice(texts.slice(i, j - i))
+            if end_id is not None:
+                a = np.insert(a, np.cumsum(n), end_id)
+                n = n + 1
             ids.append(a)
             counts.append(n)
         n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
