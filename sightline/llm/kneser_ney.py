@@ -15,7 +15,8 @@ whose low bits are its suffix and whose high bits are its context.
    probabilities of its documents. The texts themselves are never shuffled.
 
 Perplexities are compared with quantiles of held-out trusted documents in the
-same language. A partition must hold the same documents in both scans, as files
+same language. A language without enough of them is not judged: its documents
+are kept. A partition must hold the same documents in both scans, as files
 do; an n-gram without an answer is an error, not a guess.
 """
 
@@ -44,6 +45,10 @@ HELD_OUT = 5
 QUANTILE, SLACK = 0.99, 2.0
 #: Fewest held-out documents of a language for bounds of its own.
 LEAST_HELD_OUT = 50
+#: Fewest held-out documents of a language for any judgement of it. With fewer
+#: the model has seen little or nothing of the language, so that its ordinary
+#: prose looks like junk, and nothing tells by how much.
+LEAST_TO_JUDGE = 5
 
 _PAD = "\x02"
 _SYMBOLS = 1 << BITS
@@ -232,9 +237,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Trusted are the documents with quality 1 in ``labels`` (doc_id, quality; a
     null is no label). Toxicity is another question: text of good quality may
     be toxic and is kept here. Null, empty
-    and blank texts have no symbols and are rejected as empty. Languages with
-    few trusted documents, null among them, use the bounds of all trusted
-    documents; without any trusted document every non-empty text is kept.
+    and blank texts have no symbols and are rejected as empty. Null is a
+    language of its own. A language with fewer than LEAST_HELD_OUT held-out
+    documents uses their bound or that of all judged languages, whichever is
+    higher; with fewer than LEAST_TO_JUDGE, none among them, its bound is null
+    and every non-empty text of it is kept.
     Repeated ids are scored row by row; null ids are never trusted.
     """
     spark = docs.sparkSession
@@ -266,8 +273,9 @@ def _judged(scores: DataFrame, good: DataFrame) -> DataFrame:
     sample = (scores.join(held, scores["doc_id"] == held["_good"], "left_semi").filter("n > 0")
               .select(lang.alias("l"), "nll", "n"))
     mean = F.sum("nll") / F.sum("n")
-    per = {r["l"]: r["mean"] for r in sample.groupBy("l").agg(mean.alias("mean"), F.count(F.lit(1)).alias("docs")).collect()
-           if r["docs"] >= LEAST_HELD_OUT}
+    known = {r["l"]: r for r in sample.groupBy("l").agg(mean.alias("mean"), F.count(F.lit(1)).alias("docs")).collect()
+             if r["docs"] >= LEAST_TO_JUDGE}
+    per = {k: r["mean"] for k, r in known.items() if r["docs"] >= LEAST_HELD_OUT}
     whole = sample.agg(mean).first()[0]
     own = F.col("nll") / F.greatest("n", F.lit(1))
     if whole is None:
@@ -279,18 +287,19 @@ def _judged(scores: DataFrame, good: DataFrame) -> DataFrame:
         return (F.col("nll") + PRIOR * by(language)) / (F.col("n") + PRIOR)
 
     marks = F.percentile_approx("s", [0.5, QUANTILE], 10_000)
-    held_scores = sample.select("l", drawn(F.col("l")).alias("s"))
-    edge = {r["l"]: r["q"] for r in held_scores.groupBy("l").agg(marks.alias("q")).collect() if r["l"] in per}
+    held_scores = sample.filter(F.col("l").isin(list(known))).select("l", drawn(F.col("l")).alias("s"))
     above = lambda q: q[0] + SLACK * (q[1] - q[0])
-    bound = _pick({k: above(q) for k, q in edge.items()}, above(held_scores.agg(marks).first()[0]))(lang)
+    edge = {r["l"]: above(r["q"]) for r in held_scores.groupBy("l").agg(marks.alias("q")).collect()}
+    pooled = above(held_scores.agg(marks).first()[0]) if edge else None
+    bound = _pick({k: x if k in per else max(x, pooled) for k, x in edge.items()}, None)(lang)
     return scores.select("doc_id", "lang", F.col("n").alias("n_symbols"), F.exp(drawn(lang)).alias("perplexity"),
-                         F.exp(bound).alias("bound"), ((F.col("n") > 0) & (drawn(lang) <= bound)).alias("keep"))
+                         F.exp(bound).alias("bound"), ((F.col("n") > 0) & (bound.isNull() | (drawn(lang) <= bound))).alias("keep"))
 
 
-def _pick(values: dict[str, float], default: float):
+def _pick(values: dict[str, float], default: float | None):
     """A function of a language column: its value, or the default."""
     def of(lang: Column) -> Column:
-        c = F.lit(float(default))
+        c = F.lit(default).cast("double")
         for k, v in values.items():
             c = F.when(lang == k, float(v)).otherwise(c)
         return c

@@ -271,6 +271,28 @@ def test_kneser_ney_separates_junk(spark):
     assert np.mean(good) > 0.99 and np.mean(junk) < 0.2
 
 
+@pytest.mark.parametrize("labelled", [0, 2])
+def test_language_with_few_trusted_documents_is_kept(spark, tmp_path, labelled):
+    """Spanish without labels, or with two that are trained on: no bound, only
+    empty texts go; the other languages are judged as before."""
+    sf = SF_SMALL.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = spark.createDataFrame([(-1, " ", "es", "s", 0), (-2, "Una frase corriente.", "es", "s", 0), (-3, "hola", None, "s", 0)], docs.schema)
+    docs.unionByName(extra).coalesce(4).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    es = docs.filter("lang = 'es'").select("doc_id")
+    trained = [r.doc_id for r in labels.filter("quality = 1").join(es, "doc_id").filter(~kneser_ney._held_out(F.col("doc_id")))
+               .orderBy("doc_id").limit(labelled).collect()]
+    used = labels.join(es.filter(~F.col("doc_id").isin(trained or [0])), "doc_id", "left_anti")
+    rows = kneser_ney.quality_scores(docs, used).collect()
+    assert {r.keep for r in rows if r.lang in ("es", None) and r.n_symbols} == {True}
+    assert {r.bound for r in rows if r.lang in ("es", None)} == {None} and not next(r.keep for r in rows if r.doc_id == -1)
+    quality = {r.doc_id: r.quality for r in used.collect()}
+    junk = [r.keep for r in rows if r.lang in ("en", "de", "fr") and quality.get(r.doc_id) == 0]
+    assert junk and np.mean(junk) < 0.2
+
+
 def test_without_labels_nothing_is_rejected_but_empty(spark, tmp_path):
     spark.createDataFrame([(1, "some text", "en"), (2, "", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/d")
     docs = spark.read.parquet(f"{tmp_path}/d")
