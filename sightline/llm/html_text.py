@@ -30,6 +30,8 @@ LABELLED = 2_000
 GREATEST, FAR, NEW_WORD, NEW_TAG = 8.0, 2.0, 0.5, -0.5
 #: Weight of a word in an element that never holds content.
 BOILER = -4.0
+#: Share of a page's words that an element must hold to count as its wrapper.
+WRAPS = 0.9
 
 # Names of the HTML standard, and words that sites use in class
 # and id attributes for what is not the article.
@@ -56,6 +58,56 @@ def _apart(names: str) -> bool:
     return not APART_WORDS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
 
 
+class _Element:
+    """``hard``: apart by its tag; ``soft``: a form, or named as apart, which
+    also holds for elements around a whole page (``has-sidebar``)."""
+    __slots__ = ("up", "name", "kind", "content", "hard", "soft", "words", "apart")
+
+    def __init__(self, up: _Element | None, name: str, kind: str, names: str):
+        inside = up is not None and up.content
+        self.up, self.name, self.kind, self.content, self.words = up, name, kind, inside or name in CONTENT, 0
+        self.hard = name in APART and name != "form" and not (name == "header" and inside)
+        self.soft = name == "form" or name not in ("html", "body") and _apart(names)
+        self.apart = False
+
+
+def _settle(elements: list[_Element]) -> None:
+    """Find what is apart, parents first. Elements around the page's own
+    content, a long main or else article, are not apart by name, nor are
+    articles that lie in no box or other article. Without such content a form
+    or named element is no box if it holds nearly all words."""
+    total = 0
+    for e in reversed(elements):  # words that are not apart by tag
+        if e.hard:
+            e.words = 0
+        elif e.up is not None:
+            e.up.words += e.words
+        else:
+            total += e.words
+    marks = [e for e in elements if e.name == "main"] or [e for e in elements if e.name == "article"]
+    most = max((e.words for e in marks), default=0)
+
+    def boxes(e: _Element) -> int:
+        n = 0
+        while (e := e.up) is not None:
+            n += e.soft or e.hard
+        return n
+
+    # Of those nearly as long, the one in the fewest boxes: comments may be longer than a short article.
+    e = min((e for e in marks if e.words * 4 >= most), key=lambda x: (boxes(x), -x.words), default=None)
+    while e is not None:
+        e.soft, e = False, e.up
+    articles = set()
+    for e in elements:
+        up = e.up is not None and e.up.apart
+        nested = e.up in articles
+        if e.name == "article" and not nested or not marks and e.words and e.words >= WRAPS * total:
+            e.soft = e.soft and up
+        if nested or e.name == "article":
+            articles.add(e)
+        e.apart = up or e.hard or e.soft
+
+
 class Token:
     """A tag, or the text between two tags. ``kind`` names its weight: what it
     is, the element and its class, and whether that is in a link."""
@@ -76,15 +128,17 @@ class Token:
 def tokens(html: str) -> list[Token]:
     """The tokens of a page. Comments, doctypes and raw elements such as
     scripts are left out. Unclosed elements end with the one around them."""
-    out: list[Token] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, kind, content, apart
+    out: list[tuple[str, str | None, bool, _Element]] = []
+    root = _Element(None, "", "", "")
+    elements, stack = [root], [root]
     at, end = 0, len(html)
     link = 0
 
     def text(piece: str) -> None:
         if piece:
-            _, kind, content, apart = stack[-1] if stack else ("", "", False, False)
-            out.append(Token(f"word {kind}{' a' if link else ''}", piece, False, content, apart))
+            e = stack[-1]
+            e.words += len(piece.split())
+            out.append((f"word {e.kind}{' a' if link else ''}", piece, False, e))
 
     while at < end:
         m = _TOKEN.search(html, at)
@@ -106,30 +160,28 @@ def tokens(html: str) -> list[Token]:
             link = 0 if close else 1
         if name not in BLOCKS and name not in CONTENT and name not in APART:
             if name == "br":
-                out.append(Token("tag br", " ", False, *(stack[-1][2:] if stack else (False, False))))
+                out.append(("tag br", " ", False, stack[-1]))
             continue
         if close:
-            if any(s[0] == name for s in stack):
-                while stack:
-                    s = stack.pop()
-                    if s[0] == name:
-                        break
+            if any(s.name == name for s in stack):
+                while (s := stack.pop()).name != name:
+                    pass
                 link = 0
-                out.append(Token(f"tag /{s[1]}", None, True, s[2], s[3]))
+                out.append((f"tag /{s.kind}", None, True, s))
             continue
         shuts = _CLOSES.get(name, _CLOSES["p"] if name in BLOCKS else frozenset())
-        while stack and stack[-1][0] in shuts:
+        while stack[-1].name in shuts:
             stack.pop()
         names = " ".join(next(filter(None, x), "") for x in _NAMED.findall(m[3]))
         kind = f"{name}.{names}" if names else name
-        up_content, up_apart = stack[-1][2:] if stack else (False, False)
-        content = up_content or name in CONTENT
-        apart = up_apart or name in APART and not (name == "header" and up_content) or _apart(names)
+        e = _Element(stack[-1], name, kind, names)
+        elements.append(e)
         link = 0
-        out.append(Token(f"tag {kind}", None, True, content, apart))
+        out.append((f"tag {kind}", None, True, e))
         if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, kind, content, apart))
-    return out
+            stack.append(e)
+    _settle(elements)
+    return [Token(kind, piece, breaks, e.content, e.apart) for kind, piece, breaks, e in out]
 
 
 def count_kinds(html: str) -> Counter:

@@ -110,6 +110,26 @@ def test_main_text_of_odd_pages(weights):
     assert get("just words without markup") == "just words without markup"
 
 
+@pytest.mark.parametrize("before,after", [
+    ("<body class='single has-sidebar'>", "</body>"), ("<body><div id=wrapper class='with-sidebar'>", "</div></body>"),
+    ("<body><form id=aspnetForm>", "</form></body>"), ("<body class=has-sidebar><form><div class='navbar-fixed'>", "</div></form></body>")])
+@pytest.mark.parametrize("main", ["article", "main class='comments-enabled'", "article class='post tag-social'", "div class=post"])
+def test_elements_around_the_content_do_not_set_it_apart(weights, before, after, main):
+    """Names of wrappers say what else a page has; boxes inside still go, and
+    so do comments that are articles."""
+    text = "".join(f"<p>Paragraph {k} of the story with some ordinary words.</p>" for k in range(6))
+    page = (f"<html>{before}<div class=sidebar><p>Other stories here</p></div><{main}><h1>Title</h1>{text}"
+            f"<div class=share><p>Share this</p></div></{main.split()[0]}>"
+            f"<div id=comments><article class='comment-body'><p>First!</p></article></div>{after}</html>")
+    if main.startswith("div"):
+        page = page.replace("article", "div")
+    want = ["Title", *(f"Paragraph {k} of the story with some ordinary words." for k in range(6))]
+    assert html_text.main_text(page, weights).split("\n") == want
+    if not main.startswith("div"):
+        got = html_text.count_kinds(page)
+        assert sum(n for (k, inside), n in got.items() if inside and k.startswith("word p in content")) == 6 * 9
+
+
 def test_pages_query_equals_marked_content(spark):
     import re
     from html import unescape
