@@ -25,6 +25,8 @@ from .common import text_column
 
 #: Labelled pages that the weights are counted on, at most about.
 LABELLED = 2_000
+#: Kinds of tokens that have a weight, at most: the most common ones.
+KINDS = 10_000
 #: Greatest weight of a token, of one that was counted in other surroundings,
 #: and weights of kinds never met: words, tags.
 GREATEST, FAR, NEW_WORD, NEW_TAG = 8.0, 2.0, 0.5, -0.5
@@ -256,11 +258,14 @@ def main_text(html: str, weights: Weights) -> str:
     return "\n".join(lines)
 
 
-def fit(pages: DataFrame, html_col: str = "html", labelled: int = LABELLED) -> Weights:
-    """Weights from about ``labelled`` pages, chosen by a hash of the page."""
-    total = pages.count()
+def fit(pages: DataFrame, html_col: str = "html", labelled: int = LABELLED, most: int = KINDS) -> Weights:
+    """Weights from about ``labelled`` distinct pages, chosen by a hash of the
+    page. Copies count once. The ``most`` common kinds have a weight, counted
+    inside and outside of content together; the others count as never met."""
+    total = pages.agg(F.approx_count_distinct(F.xxhash64(html_col))).first()[0]
     share = min(1.0, labelled / total) if total else 1.0
     picked = pages.filter(F.pmod(F.xxhash64(html_col), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    picked = picked.select(F.col(html_col).alias("html")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: Counter = Counter()
@@ -271,11 +276,11 @@ def fit(pages: DataFrame, html_col: str = "html", labelled: int = LABELLED) -> W
             [pa.array([k for k, _ in got], pa.string()), pa.array([i for _, i in got], pa.bool_()),
              pa.array(list(got.values()), pa.int64())], ["kind", "inside", "n"])
 
-    rows = (picked.select(F.col(html_col).alias("html")).mapInArrow(run, "kind string, inside boolean, n long")
-            .groupBy("kind", "inside").agg(F.sum("n").alias("n"))
-            # At most ten thousand kinds, the most common first.
-            .orderBy(F.desc("n"), "kind", "inside").limit(10_000).collect())
-    return Weights({(r["kind"], r["inside"]): r["n"] for r in rows})
+    count = lambda side: F.sum(F.when(side, F.col("n")).otherwise(0))
+    rows = (picked.mapInArrow(run, "kind string, inside boolean, n long")
+            .groupBy("kind").agg(count(F.col("inside")).alias("inside"), count(~F.col("inside")).alias("outside"))
+            .orderBy(F.desc(F.col("inside") + F.col("outside")), "kind").limit(most).collect())
+    return Weights({(r["kind"], side): r["inside" if side else "outside"] for r in rows for side in (True, False)})
 
 
 def extract(pages: DataFrame, weights: Weights | None = None, id_col: str = "page_id", url_col: str = "url",

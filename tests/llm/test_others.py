@@ -130,6 +130,18 @@ def test_elements_around_the_content_do_not_set_it_apart(weights, before, after,
         assert sum(n for (k, inside), n in got.items() if inside and k.startswith("word p in content")) == 6 * 9
 
 
+def test_weights_of_whole_kinds_and_distinct_pages(spark):
+    """A cap keeps or drops both sides of a kind; copies of a page count once."""
+    page = "<html><p>one two</p><article><p>one two three four five</p></article></html>"
+    other = "<html><div>a b c d e f g h</div><article><h2>x</h2></article></html>"
+    fit = lambda pages, **k: html_text.fit(spark.createDataFrame([(h,) for h in pages], "html string"), **k).of
+    whole = fit([page, other])
+    assert fit([page] * 40 + [other]) == whole
+    for most in range(1, len(whole)):
+        got = fit([page, other], most=most)
+        assert len(got) == most and got == {k: whole[k] for k in got}
+
+
 def test_pages_query_equals_marked_content(spark):
     import re
     from html import unescape
