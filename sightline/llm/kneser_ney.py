@@ -1,8 +1,10 @@
 """Document quality by an interpolated modified Kneser-Ney n-gram model.
 
-The model is over characters, trained on all trusted text of the corpus. Each
-character is a class of 12 bits, so that an n-gram of up to five is one long
-whose low bits are its suffix and whose high bits are its context.
+The model is over characters, trained on all trusted text of the corpus. A
+character is one symbol of 12 bits, or two from U+07C0 up (Chinese, kana, Hangul,
+Indic and others), so that an n-gram of up to five symbols is one long whose low
+bits are its suffix and whose high bits are its context. No two characters have
+the same symbols.
 
 1. A scan of the documents gives, for each partition, its distinct n-grams
    and how often each occurs in trusted documents.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .common import fs_of, saved, slices, unique_ids, without
 
-#: Order of the model and bits of a character's class.
+#: Order of the model and bits of a symbol.
 ORDER, BITS = 5, 12
 #: Characters of a document that count as much as the document itself: a
 #: short text is drawn towards its language's mean.
@@ -52,27 +54,38 @@ LEAST_TO_JUDGE = 5
 
 _PAD = "\x02"
 _SYMBOLS = 1 << BITS
-
-
-def classes(text: str) -> np.ndarray:
-    """A class for each character: its code point below 4000, one of the last
-    96 classes by 256-character block above."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(cp < 4000, cp, 4000 + (cp >> 8) % 96).astype(np.int64)
-
-
-def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams that end at each character, and the index of its text. White
-    space counts as one space; contexts before a text are padding."""
+#: Symbols from here on are the first (by 1,024 code points) and the second
+#: (within these) of two.
+_FIRST = 1984
+_SECOND = _FIRST + (0x110000 >> 10)
+
+
+def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a text, and how many each character has."""
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    wide = cp >= _FIRST
+    size = 1 + wide
+    x = np.repeat(cp, size)
+    last = np.cumsum(size)[wide] - 1
+    x[last - 1] = _FIRST + (cp[wide] >> 10)
+    x[last] = _SECOND + (cp[wide] & 1023)
+    return x, size
+
+
+def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams that end at each symbol, the index of its text, and the number
+    of characters of each text. White space counts as one space; contexts
+    before a text are padding."""
     start = _PAD * (ORDER - 1)
     clean = [start + " ".join(t.replace(_PAD, "\x03").split()) for t in texts]
-    x = classes("".join(clean))
-    size = np.fromiter(map(len, clean), np.int64, len(clean))
+    length = np.fromiter(map(len, clean), np.int64, len(clean))
+    x, size = symbols("".join(clean))
+    text = np.repeat(np.repeat(np.arange(len(texts)), length), size)
     g = x.copy()
     for k in range(1, ORDER):
         g[k:] |= x[:-k] << (BITS * k)
     real = x != ord(_PAD)
-    return g[real], np.repeat(np.arange(len(texts)), size - (ORDER - 1))
+    return g[real], text[real], length - (ORDER - 1)
 
 
 def _texts(col: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
@@ -143,7 +156,7 @@ def ngram_counts(docs: DataFrame, trusted_root: str) -> DataFrame:
             known = np.isin(b.column(0).fill_null(-1).to_numpy(zero_copy_only=False), ids) \
                 & b.column(0).is_valid().to_numpy(zero_copy_only=False)
             for i, j, texts in _texts(b.column(1)):
-                grams, text = _ngrams(texts)
+                grams, text, _ = _ngrams(texts)
                 for trust in (True, False):
                     u, n = np.unique(grams[known[i:j][text] == trust], return_counts=True)
                     held.append((u, n if trust else np.zeros(len(u), np.int64)))
@@ -214,14 +227,14 @@ def document_scores(docs: DataFrame, answers_root: str) -> DataFrame:
         for b in batches:
             nll, count = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
             for i, j, texts in _texts(b.column(1)):
-                g, text = _ngrams(texts)
+                g, text, length = _ngrams(texts)
                 if len(g):
                     at = np.minimum(np.searchsorted(keys, g), max(0, len(keys) - 1))
                     if not len(keys) or (keys[at] != g).any():
                         raise RuntimeError("a partition of the documents changed between two scans; "
                                            "score a table that is written down")
                     nll[i:j] = np.bincount(text, -logp[at], j - i)
-                    count[i:j] = np.bincount(text, minlength=j - i)
+                    count[i:j] = length
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nll), pa.array(count)],
                                              ["doc_id", "lang", "nll", "n"])
 

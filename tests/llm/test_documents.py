@@ -293,6 +293,35 @@ def test_language_with_few_trusted_documents_is_kept(spark, tmp_path, labelled):
     assert junk and np.mean(junk) < 0.2
 
 
+def test_symbols_tell_all_characters_apart():
+    text = "".join(map(chr, range(0x110000)))
+    x, size = kneser_ney.symbols(text)
+    assert x.min() == 0 and x.max() < kneser_ney._SYMBOLS and len(x) == size.sum()
+    first = np.cumsum(size) - size
+    assert len(np.unique(x[first] << 12 | np.where(size > 1, x[first + size - 1], 0))) == len(text)
+
+
+def test_junk_in_scripts_of_many_characters(spark, tmp_path):
+    """Japanese and Korean junk of other characters of the same blocks goes."""
+    import random
+    rng = random.Random(1)
+    rows = []
+    for lang, spans in (("ja", [(0x3042, 60), (0x4E00, 2000)]), ("ko", [(0xAC00, 1500)])):
+        some = ["".join(chr(lo + rng.randrange(n)) for lo, n in rng.choices(spans, k=3)) for _ in range(40)]
+        for k in range(70):
+            text = " ".join(rng.choices(some, k=80))
+            clean = k < 60
+            text = text if clean else "".join(c if c == " " else chr(ord(c) ^ 0x15) for c in text)
+            rows.append((len(rows), text, lang, clean))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, clean boolean").coalesce(2).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _, clean in rows if clean], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kneser_ney.quality_scores(docs, labels).collect()}
+    assert all(got[i].n_symbols == len(text) for i, text, _, _ in rows)
+    assert not any(got[i].keep for i, _, _, clean in rows if not clean)
+    assert np.mean([got[i].keep for i, _, _, clean in rows if clean]) > 0.95
+
+
 def test_without_labels_nothing_is_rejected_but_empty(spark, tmp_path):
     spark.createDataFrame([(1, "some text", "en"), (2, "", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/d")
     docs = spark.read.parquet(f"{tmp_path}/d")
