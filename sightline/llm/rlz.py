@@ -1,4 +1,6 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by matching blocks and windows, in place of a greedy
+relative Lempel-Ziv parse: no factors are formed, and spans found in different
+source documents are united. "Factor" below means such a united span.
 
 Every document is parsed against one reference: the blocks of all documents
 with a smaller id. A factor is a run of words that continues a reference
