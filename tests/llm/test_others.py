@@ -199,7 +199,7 @@ def test_chat_query(spark):
 def test_query_matches_sql(spark, key):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     rel = con.sql(Q.ORACLE[key])
     cols, rows = rel.columns, rel.fetchall()
