@@ -27,7 +27,19 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def long_texts(spark: SparkSession) -> None:
+    """Documents are long rows: an Arrow batch of Spark's default 10,000 of
+    them takes tens of megabytes in the JVM and again in the Python worker.
+    A session that has not chosen its own number gets batches of 1,000."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "1000")
+
+
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    long_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

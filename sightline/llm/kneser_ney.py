@@ -19,7 +19,8 @@ the same symbols.
 Perplexities are compared with quantiles of held-out trusted documents in the
 same language. A language without enough of them is not judged: its documents
 are kept. A partition must hold the same documents in both scans, as files
-do; an n-gram without an answer is an error, not a guess.
+do: other input is written down first, and a partition with other documents
+than before is an error, not a guess.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _texts(col: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
     col = col.cast(pa.large_string()).fill_null("")
-    for i, j in slices(col, 1 << 19):
+    for i, j in slices(col, 1 << 18):
         yield i, j, col.slice(i, j - i).to_pylist()
 
 
@@ -129,6 +130,35 @@ def _load_side(root: str, part: int) -> list[np.ndarray]:
     return [c.combine_chunks().to_numpy(zero_copy_only=False) for c in t.columns]
 
 
+class _Seen:
+    """Number and combined bits of the ids of a partition, to know it by."""
+
+    def __init__(self):
+        self.n = self.bits = 0
+
+    def add(self, ids: pa.Array) -> np.ndarray:
+        own = ids.fill_null(-1).to_numpy(zero_copy_only=False)
+        self.n += len(own)
+        self.bits ^= int(np.bitwise_xor.reduce(own)) if len(own) else 0
+        return own
+
+    def check(self, root: str, part: int) -> None:
+        """Whether these are the rows that the partition had when its trusted
+        documents were looked up."""
+        n, bits = [int(x[0]) for x in _load_side(root, part)] or (0, 0)
+        if (self.n, self.bits) != (n, bits):
+            raise RuntimeError("a partition of the documents changed between two scans; score a table that is written down")
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is a plain scan of files, whose partitions hold the same
+    rows each time; else a written copy. Rows that were shuffled or computed
+    may be dealt differently by each scan."""
+    plan = docs._jdf.queryExecution().sparkPlan().toString()
+    nodes = {line.lstrip(" :+-").split(" ")[0].split("(")[0] for line in plan.splitlines() if line.strip()}
+    return docs if nodes <= {"Project", "Filter", "FileScan"} else saved(docs, "documents")
+
+
 def _part() -> int:
     from pyspark import TaskContext
     return TaskContext.get().partitionId()
@@ -146,22 +176,25 @@ def ngram_counts(docs: DataFrame, trusted_root: str) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merge() -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([g, *(h[0] for h in held)])
-            n = np.concatenate([c, *(h[1] for h in held)])
+            u = np.unique(np.concatenate([g, *(h[0] for h in held)]))
+            n = np.zeros(len(u), np.int64)
+            for keys, times in ((g, c), *held):  # each without repeats
+                n[np.searchsorted(u, keys)] += times
             held.clear()
-            u, at = np.unique(keys, return_inverse=True)
-            return u, np.bincount(at, n, len(u)).astype(np.int64)
+            return u, n
 
+        seen = _Seen()
         for b in batches:
-            known = np.isin(b.column(0).fill_null(-1).to_numpy(zero_copy_only=False), ids) \
-                & b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            own = seen.add(b.column(0))
+            known = np.isin(own, ids) & b.column(0).is_valid().to_numpy(zero_copy_only=False)
             for i, j, texts in _texts(b.column(1)):
                 grams, text, _ = _ngrams(texts)
                 for trust in (True, False):
                     u, n = np.unique(grams[known[i:j][text] == trust], return_counts=True)
                     held.append((u, n if trust else np.zeros(len(u), np.int64)))
-                if sum(len(h[0]) for h in held) > 1 << 20:
+                if sum(len(h[0]) for h in held) > 1 << 18:
                     g, c = merge()
+        seen.check(f"{trusted_root}/shape", part)
         g, c = merge()
         for i in range(0, len(g), 1 << 17):
             k = len(g[i:i + (1 << 17)])
@@ -218,13 +251,14 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
     return lower.select("g", F.log("p").alias("logp"))
 
 
-def document_scores(docs: DataFrame, answers_root: str) -> DataFrame:
+def document_scores(docs: DataFrame, answers_root: str, shape_root: str) -> DataFrame:
     """(doc_id, lang, nll, n): the summed negative log probability and number
     of characters. ``docs``: doc_id, text, lang."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = _load_side(answers_root, _part()) or [np.zeros(0, np.int64), np.zeros(0)]
-        keys, logp = side
+        keys, logp = _load_side(answers_root, _part()) or [np.zeros(0, np.int64), np.zeros(0)]
+        seen = _Seen()
         for b in batches:
+            seen.add(b.column(0))
             nll, count = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
             for i, j, texts in _texts(b.column(1)):
                 g, text, length = _ngrams(texts)
@@ -237,6 +271,7 @@ def document_scores(docs: DataFrame, answers_root: str) -> DataFrame:
                     count[i:j] = length
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nll), pa.array(count)],
                                              ["doc_id", "lang", "nll", "n"])
+        seen.check(shape_root, _part())
 
     return docs.mapInArrow(run, "doc_id long, lang string, nll double, n long")
 
@@ -262,7 +297,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                        F.col(lang_col).alias("lang"))
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
     trusted_root, answers_root = scratch_path(spark, "trusted"), scratch_path(spark, "answers")
-    narrow = rows.select("doc_id", F.spark_partition_id().alias("part"))
+    rows = stable(rows)
+    narrow = saved(rows.select("doc_id", F.spark_partition_id().alias("part")), "partition-ids")
+    shape = narrow.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.coalesce("doc_id", F.lit(-1))).alias("bits"))
+    _save_side(shape, f"{trusted_root}/shape", ["n", "bits"])
     trained = good.filter(~_held_out(F.col("_good")))
     _save_side(narrow.join(trained, narrow["doc_id"] == trained["_good"]).select("part", "doc_id").distinct(),
                trusted_root, ["doc_id"])
@@ -272,7 +310,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     answers = saved(probabilities(counts, found.select("g").distinct()), "log-probabilities")
     _save_side(found.select("part", "g").join(answers, "g"), answers_root, ["g", "logp"])
 
-    scores = saved(document_scores(rows, answers_root), "scores")
+    scores = saved(document_scores(rows, answers_root, f"{trusted_root}/shape"), "scores")
     return _judged(scores, good)
 
 
@@ -281,42 +319,32 @@ def _held_out(doc_id: Column) -> Column:
 
 
 def _judged(scores: DataFrame, good: DataFrame) -> DataFrame:
-    lang = F.coalesce(F.col("lang"), F.lit(""))
+    """Perplexity, bound and keep of scored documents. A row per language is
+    joined to them; none is collected."""
+    # Null is a language of its own.
+    scores = scores.withColumn("l", F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")))
     held = good.filter(_held_out(F.col("_good")))
-    sample = (scores.join(held, scores["doc_id"] == held["_good"], "left_semi").filter("n > 0")
-              .select(lang.alias("l"), "nll", "n"))
+    sample = scores.join(held, scores["doc_id"] == held["_good"], "left_semi").filter("n > 0").select("l", "nll", "n")
     mean = F.sum("nll") / F.sum("n")
-    known = {r["l"]: r for r in sample.groupBy("l").agg(mean.alias("mean"), F.count(F.lit(1)).alias("docs")).collect()
-             if r["docs"] >= LEAST_TO_JUDGE}
-    per = {k: r["mean"] for k, r in known.items() if r["docs"] >= LEAST_HELD_OUT}
     whole = sample.agg(mean).first()[0]
-    own = F.col("nll") / F.greatest("n", F.lit(1))
-    if whole is None:
-        return scores.select("doc_id", "lang", F.col("n").alias("n_symbols"), F.exp(own).alias("perplexity"),
-                             F.lit(None).cast("double").alias("bound"), (F.col("n") > 0).alias("keep"))
-    by = _pick(per, whole)
-
-    def drawn(language: Column) -> Column:
-        return (F.col("nll") + PRIOR * by(language)) / (F.col("n") + PRIOR)
-
-    marks = F.percentile_approx("s", [0.5, QUANTILE], 10_000)
-    held_scores = sample.filter(F.col("l").isin(list(known))).select("l", drawn(F.col("l")).alias("s"))
+    per = sample.groupBy("l").agg(mean.alias("mean"), F.count(F.lit(1)).alias("docs"))
+    # The mean that texts are drawn towards: the language's, if enough tell it.
+    per = per.select("l", "docs", F.when(F.col("docs") >= LEAST_HELD_OUT, F.col("mean")).otherwise(whole).alias("towards"))
+    drawn = (F.col("nll") + PRIOR * F.col("towards")) / (F.col("n") + PRIOR)
+    marks = F.percentile_approx(drawn, [0.5, QUANTILE], 10_000)
     above = lambda q: q[0] + SLACK * (q[1] - q[0])
-    edge = {r["l"]: above(r["q"]) for r in held_scores.groupBy("l").agg(marks.alias("q")).collect()}
-    pooled = above(held_scores.agg(marks).first()[0]) if edge else None
-    bound = _pick({k: x if k in per else max(x, pooled) for k, x in edge.items()}, None)(lang)
-    return scores.select("doc_id", "lang", F.col("n").alias("n_symbols"), F.exp(drawn(lang)).alias("perplexity"),
-                         F.exp(bound).alias("bound"), ((F.col("n") > 0) & (bound.isNull() | (drawn(lang) <= bound))).alias("keep"))
-
-
-def _pick(values: dict[str, float], default: float | None):
-    """A function of a language column: its value, or the default."""
-    def of(lang: Column) -> Column:
-        c = F.lit(default).cast("double")
-        for k, v in values.items():
-            c = F.when(lang == k, float(v)).otherwise(c)
-        return c
-    return of
+    sample = sample.join(per.filter(F.col("docs") >= LEAST_TO_JUDGE), "l")
+    pooled = sample.agg(marks.alias("q")).select(above(F.col("q"))).first()[0]
+    edge = sample.groupBy("l").agg(marks.alias("q")).select("l", above(F.col("q")).alias("edge"))
+    rule = per.join(edge, "l", "left").select("l", "towards", F.when(F.col("docs") >= LEAST_HELD_OUT, F.col("edge")).otherwise(
+        F.when(F.col("edge").isNotNull(), F.greatest("edge", F.lit(pooled)))).alias("bound"))
+    own = F.col("nll") / F.greatest("n", F.lit(1))
+    towards = F.coalesce("towards", F.lit(whole).cast("double"))
+    score = F.coalesce((F.col("nll") + PRIOR * towards) / (F.col("n") + PRIOR), own)
+    bound = F.col("bound")
+    return scores.join(rule, "l", "left").select(
+        "doc_id", "lang", F.col("n").alias("n_symbols"), F.exp(score).alias("perplexity"), F.exp(bound).alias("bound"),
+        ((F.col("n") > 0) & (bound.isNull() | (score <= bound))).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

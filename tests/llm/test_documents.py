@@ -12,7 +12,7 @@ from sightline.llm import byte_bpe, exact_dedup, frames, kneser_ney, packing, rl
 from sightline.llm import queries as Q
 from sightline.llm.common import unique_ids, without
 
-from ..conftest import SF_SMALL
+from ..conftest import SF_MID, SF_SMALL
 from . import brute
 from .conftest import edge_documents
 
@@ -340,3 +340,70 @@ def test_empty_tables(spark):
     assert packing.pack(none, WORD, 2).count() == 0
     assert byte_bpe.encode_documents(none, BYTE, public_tokenizers.PATTERN).count() == 0
     assert kneser_ney.quality_scores(none, labels).count() == 0
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    """Scores of a table as it lies in its files."""
+    docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
+    return {r.doc_id: r for r in kneser_ney.quality_scores(docs, labels).collect()}
+
+
+def test_quality_of_shuffled_input(spark, judged):
+    """Rows that each scan may deal differently are written down first."""
+    docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200kb"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r for r in kneser_ney.quality_scores(docs.repartition("doc_id"), labels).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got.keys() == judged.keys()
+    assert all(abs(got[i].perplexity - r.perplexity) <= 1e-9 * r.perplexity and got[i].keep == r.keep for i, r in judged.items())
+
+
+def test_partition_with_other_documents_is_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").coalesce(1)
+    root = str(tmp_path)
+    shape = spark.createDataFrame([(0, 19, 7)], "part int, n long, bits long")
+    kneser_ney._save_side(shape, f"{root}/shape", ["n", "bits"])
+    with pytest.raises(Exception, match="changed between two scans"):
+        kneser_ney.ngram_counts(docs, root).collect()
+
+
+def test_quality_bounds_by_plain_quantiles(spark, judged):
+    """``bound`` and ``keep`` from the perplexities, language by language."""
+    labels = spark.read.parquet(f"{SF_MID}/labels.parquet").filter("quality = 1").select("doc_id").distinct()
+    held = [r.doc_id for r in labels.filter(kneser_ney._held_out(F.col("doc_id"))).collect()]
+    by = {}
+    for i in held:
+        if i in judged and judged[i].n_symbols:
+            by.setdefault(judged[i].lang, []).append(np.log(judged[i].perplexity))
+
+    def above(x):
+        x = sorted(x)
+        a, z = (x[max(0, int(np.ceil(q * len(x))) - 1)] for q in (0.5, kneser_ney.QUANTILE))
+        return a + kneser_ney.SLACK * (z - a)
+
+    able = {k: v for k, v in by.items() if len(v) >= kneser_ney.LEAST_TO_JUDGE}
+    pooled = above([x for v in able.values() for x in v])
+    want = {k: above(v) if len(v) >= kneser_ney.LEAST_HELD_OUT else max(above(v), pooled) for k, v in able.items()}
+    assert want
+    for r in judged.values():
+        bound = want.get(r.lang)
+        assert (r.bound is None) == (bound is None)
+        if bound is not None:
+            assert abs(np.log(r.bound) - bound) < 1e-9
+        assert r.keep == (r.n_symbols > 0 and (bound is None or np.log(r.perplexity) <= bound + 1e-12))
+
+
+def test_null_is_a_language_of_its_own(spark):
+    rows = [(i, "the plain words of a text " * 3 + str(i), None) for i in range(60)] + [(100 + i, "zq xv " * 30, "") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = kneser_ney.quality_scores(docs, labels).collect()
+    assert all(r.bound is not None for r in got if r.lang is None)
+    assert all(r.bound is None and r.keep for r in got if r.lang == "")
