@@ -53,6 +53,9 @@ CHUNK_ROWS_CONF = "spark.sightline.scan.chunkRows"
 # Cameras whose newest frame and state are broadcast to the frames of a
 # micro-batch; more are joined by shuffle.
 BROADCAST_CAMERAS = 200_000
+# Rows whose places are broadcast at a time when their images are fetched
+# late; more are fetched in rounds.
+FETCH_ROWS = 1_000_000
 
 
 def session_int(spark, key: str, default: int) -> int:

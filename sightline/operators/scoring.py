@@ -134,6 +134,61 @@ def score_detections(df: DataFrame, scorer, image_col: str = "image", keep=()) -
     return df.select(*keep, image_col).mapInPandas(run, schema)
 
 
+#: A frame's detections as a list, in the scorer's order.
+BOX = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("label", T.StringType()),
+                    T.StructField("confidence", T.DoubleType()),
+                    *[T.StructField(c, T.IntegerType()) for c in ("x1", "y1", "x2", "y2")]])
+BOX_LIST = T.ArrayType(BOX)
+VECTOR = T.ArrayType(T.DoubleType())
+
+
+def score_due(frames: DataFrame, scorers: dict, thresholds: dict[str, float | None], features=None,
+              image_col: str = "image", keep_image: bool = True) -> DataFrame:
+    """J1, C3 and J2 over frames that carry a boolean ``due_<name>`` for each
+    scorer: ``found_<name>``, the detections above the threshold in the
+    scorer's order (NULL where it is not due), and ``vec`` of the ``features``
+    extractor where ``due_feature``. A frame's image is read once for all of
+    them, and a scorer sees the due frames of an Arrow batch in one call; with
+    ``keep_image`` off the image ends here."""
+    models = [(n, Scorer(s)) for n, s in scorers.items()]
+    extractor = Scorer(features) if features is not None else None
+    flags = [f"due_{n}" for n in scorers] + (["due_feature"] if extractor else [])
+    gone = set(flags) | (set() if keep_image else {image_col})
+    keep = [f for f in frames.schema.fields if f.name not in gone]
+    schema = T.StructType([*keep, *[T.StructField(f"found_{n}", BOX_LIST) for n in scorers],
+                           *([T.StructField("vec", VECTOR)] if extractor else [])])
+    names, fields = [f.name for f in keep], BOX.names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            out = pdf[names].copy()
+            for n, model in models:
+                found = pd.Series([None] * len(pdf), dtype=object)
+                due = np.flatnonzero(pdf[f"due_{n}"].fillna(False).to_numpy(bool))
+                if len(due):
+                    dets = model.loaded().predict(pdf[image_col].iloc[due].reset_index(drop=True))
+                    if thresholds.get(n) is not None:
+                        dets = dets[dets["confidence"] > thresholds[n]]
+                    dets = dets.sort_values(["_row", "pos"], kind="mergesort")
+                    bounds = np.searchsorted(dets["_row"].to_numpy(), np.arange(len(due) + 1))
+                    rows = dets[fields].to_dict("records")
+                    for j, r in enumerate(due):
+                        found.iat[r] = rows[bounds[j]:bounds[j + 1]]
+                out[f"found_{n}"] = found
+            if extractor:
+                vec = pd.Series([None] * len(pdf), dtype=object)
+                due = np.flatnonzero(pdf["due_feature"].fillna(False).to_numpy(bool))
+                if len(due):
+                    x = extractor.loaded().predict(pdf[image_col].iloc[due].reset_index(drop=True))
+                    for r, v in zip(due, np.asarray(x, dtype=np.float64)):
+                        vec.iat[r] = v
+                out["vec"] = vec
+            yield out
+
+    return frames.mapInPandas(run, schema)
+
+
 def feature_udf(scorer, softmax: bool = False):
     """Iterator pandas UDF from image bytes to ARRAY<DOUBLE>. With
     ``softmax`` the extractor's output row is turned into class shares."""
@@ -177,11 +232,13 @@ def event_scores_udf(spark, weights):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def scores(vecs: pd.Series) -> pd.Series:
         w1, b1, w2, b2 = bc.value
-        if len(vecs) == 0:
-            return pd.Series([], dtype=object)
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in vecs])
-        y = _sigmoid(_sigmoid(x @ w1 + b1) @ w2 + b2)
-        return pd.Series(list(y))
+        out = pd.Series([None] * len(vecs), dtype=object)
+        at = np.flatnonzero(vecs.notna())  # a NULL vector has no scores
+        if len(at):
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in vecs.iloc[at]])
+            for i, y in zip(at, _sigmoid(_sigmoid(x @ w1 + b1) @ w2 + b2)):
+                out.iat[i] = y
+        return out
     return scores
 
 
@@ -237,10 +294,13 @@ def activity_udf(spark, weights):
 
     @F.pandas_udf(T.DoubleType())
     def activity(seqs: pd.Series) -> pd.Series:
-        if len(seqs) == 0:
-            return pd.Series([], dtype="float64")
-        x = np.stack([np.stack([np.asarray(v, dtype=np.float64) for v in s]) for s in seqs])
-        return pd.Series(lstm_forward(x, bc.value))
+        out = pd.Series([None] * len(seqs), dtype=object)
+        at = np.flatnonzero(seqs.notna())  # a NULL window has no score
+        if len(at):
+            x = np.stack([np.stack([np.asarray(v, dtype=np.float64) for v in s]) for s in seqs.iloc[at]])
+            for i, y in zip(at, lstm_forward(x, bc.value)):
+                out.iat[i] = float(y)
+        return out
     return activity
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import (ABNORMAL_ACTIVITY, ACTIVITY_THRESHOLD, EVENT_TOP_COUNT, NORMAL_ACTIVITY,
@@ -94,6 +95,56 @@ def detector_toggle(df: DataFrame, config: PipelineConfig, seq_col: str = "seq")
     return sampling_schedule(df, config.active_detectors(), seq_col)
 
 
+def rate_intervals(rates: DataFrame) -> DataFrame:
+    """E2/E3/F7 over time: from changes (detector, rate, enabled, valid_from)
+    the intervals between them: epoch (from 0), valid_from, valid_to (NULL:
+    open), ``rates`` (MAP detector -> rate of those that are on) and
+    ``cycle`` (least common multiple of these). A detector keeps its last
+    setting until it is changed. Both sides of the grid are configuration."""
+    times, names = rates.select("valid_from").distinct(), rates.select("detector").distinct()
+    grid = times.crossJoin(names).join(rates, ["detector", "valid_from"], "left")
+    upto = W.partitionBy("detector").orderBy("valid_from")
+    rate = F.last(F.when(F.col("rate").isNotNull(), F.struct("rate", "enabled")), ignorenulls=True).over(upto)
+    on = F.collect_list(F.when(F.col("_s.enabled"), F.struct("detector", "_s.rate")))
+    per = grid.withColumn("_s", rate).groupBy("valid_from").agg(F.map_from_entries(F.array_sort(on)).alias("rates"))
+    by = W.orderBy("valid_from")  # a row per change of configuration
+    gcd = "aggregate(sequence(1, least(a, b)), 1, (m, d) -> if(a % d = 0 and b % d = 0, d, m))"
+    lcm = F.expr(f"aggregate(map_values(rates), 1, (a, b) -> int(a / {gcd} * b))")
+    return per.select((F.row_number().over(by) - 1).alias("epoch"), "valid_from",
+                      F.lead("valid_from").over(by).alias("valid_to"), "rates", lcm.alias("cycle"))
+
+
+def in_interval(df: DataFrame, intervals: DataFrame, ts_col: str) -> DataFrame:
+    """Temporal range join: each row with the epoch, rates and cycle of the
+    interval its time lies in (NULL before the first). Intervals are laid out
+    by day, so a row meets only those that touch its day: an equi join with
+    the range as a residual, not every row with every interval. Days before
+    and after all changes share one bin each."""
+    day = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 86_400_000_000
+    ends = intervals.agg(F.floor(F.min(day("valid_from"))).alias("lo"), F.floor(F.max(day("valid_from"))).alias("hi"))
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    bin_of = lambda c: F.greatest(lo - 1, F.least(hi + 1, F.floor(day(c))))
+    last = F.coalesce(bin_of("valid_to"), hi + 1)
+    side = intervals.select("epoch", "valid_from", "valid_to", "rates", "cycle",
+                            F.explode(F.sequence(bin_of("valid_from"), last)).alias("_day"))
+    x = df.withColumn("_d", bin_of(ts_col))
+    on = (x["_d"] == side["_day"]) & (x[ts_col] >= side["valid_from"]) & (side["valid_to"].isNull() | (x[ts_col] < side["valid_to"]))
+    return x.join(side, on, "left").drop("_d", "_day", "valid_from", "valid_to")
+
+
+def schedule_over_time(df: DataFrame, rates: DataFrame, key: str, order, ts_col: str = "ts") -> DataFrame:
+    """E2/F7 with rates that change: (frame, detector) for every detector due
+    on the frame by the rates of its interval. A camera's counter starts
+    again with each interval (``seq``: position in camera and interval)."""
+    tagged = in_interval(df, rate_intervals(rates), ts_col).where(F.col("epoch").isNotNull())
+    narrow = tagged.drop("rates", "cycle")
+    from .sequence import keyed_sequence
+    seq = keyed_sequence(narrow, [key, "epoch"], order)
+    # The rates of an epoch are configuration: one small row each.
+    per = rate_intervals(rates).select("epoch", F.explode("rates").alias("detector", "rate"))
+    return seq.join(per, "epoch").where(F.col("seq") % F.col("rate") == 0).drop("rate")
+
+
 def sampling_cycle(df: DataFrame, keys, detectors: list[Detector], seq_col: str = "seq") -> DataFrame:
     """The schedule repeats every lcm(rates) frames. Per (camera, cycle):
     frames seen and samples taken by each detector."""

@@ -10,6 +10,8 @@ The frame image never enters a shuffle: ordered work runs on narrow columns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from .. import config as C
 from ..functions import codec
 from ..functions.lists import keep_confident, of_detector, stub_prediction_list, summary_of_list
 from ..operators import ordered, scoring, select
+from ..operators.fetch import FILE, ROW, fetch, located
 from ..operators.overlay import overlay_list
 from ..operators.sequence import carry_last, keyed_sequence
 from ..sources import tables as TB
@@ -81,40 +84,50 @@ def annotated_results(frames: DataFrame, config: C.PipelineConfig = C.DEFAULT_CO
     return annotate_frames(f, {n: of_detector(lst, n) for n in ("object", "firearm")}, config, chunk_rows=chunk_rows)
 
 
-def score_frames_sampled(spark: SparkSession, fseq: DataFrame) -> DataFrame:
+def score_frames_sampled(spark: SparkSession, frames: DataFrame, config: C.PipelineConfig | None = None,
+                         feature_size: int = 8, fetch_rows: int | None = None) -> DataFrame:
     """Schedule (E2) -> object/firearm detection (J1) and features
     -> rolling windows of features (H1) -> event classes (J3) and activity
-    (J4). One row per (frame, detector) with a text result."""
-    cfg = C.PipelineConfig(event_enabled=True, activity_enabled=True)
-    sched = select.sampling_schedule(fseq.select("camera_id", "frame_id", "seq", "props"),
-                                     cfg.active_detectors())
-    img = F.col("props").cast("binary")
-    due = sched.where(F.col("detector") != "feature").withColumn("image", img)
-    scorers = {"object": scoring.StubDetector(TB.DETECTION_LABELS, exclude=(TB.FIREARM_LABEL,)),
-               "firearm": scoring.StubDetector(TB.DETECTION_LABELS, only=(TB.FIREARM_LABEL,))}
-    dets = None
-    for name, scorer in scorers.items():
-        part = scoring.score_detections(due.where(F.col("detector") == name), scorer,
-                                        keep=["camera_id", "frame_id", "detector"])
-        dets = part if dets is None else dets.unionByName(part)
-    det_rows = (dets.groupBy("camera_id", "frame_id", "detector")
-                .agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("_l"))
-                .select("camera_id", "frame_id", "detector",
-                        F.array_join(F.transform("_l", lambda s: s["label"]), ",").alias("result")))
-    # Features once, as narrow vectors: both consumers read the saved ones.
-    feat = (sched.where(F.col("detector") == "feature")
-            .select("camera_id", "frame_id", (F.col("seq") / C.FEATURE_SAMPLE_RATE).cast("bigint").alias("fseq"),
-                    scoring.feature_udf(scoring.StubFeatureExtractor(8))(img).alias("vec"))).checkpoint()
-    ev = scoring.score_events(feat.select("camera_id", "frame_id", "vec"), "vec",
-                              scoring.formula_event_weights(8, 8, 5))
-    ev_rows = (ev.groupBy("camera_id", "frame_id")
-               .agg(F.array_sort(F.collect_list(F.struct("rank", "class_idx"))).alias("_r"))
-               .select("camera_id", "frame_id", F.lit("event").alias("detector"),
-                       F.array_join(F.transform("_r", lambda s: s["class_idx"].cast("string")), ",")
-                       .alias("result")))
-    win = ordered.rolling_features(feat.withColumnRenamed("frame_id", "vec_id"), "camera_id", "fseq",
-                                   "vec", "vec_id")
-    act = scoring.score_activity(win, "vectors", scoring.formula_activity_weights(8, 20))
-    act_rows = act.select("camera_id", F.element_at("ids", -1).alias("frame_id"),
-                          F.lit("activity").alias("detector"), F.col("activity").alias("result"))
-    return det_rows.unionByName(ev_rows).unionByName(act_rows)
+    (J4). One row per (frame, detector) with a text result.
+
+    ``frames`` is a file scan. Only keys and the place of each frame in the
+    files are numbered, shuffled and checkpointed; the images of due frames
+    are fetched late, scored where they are read, and end there."""
+    cfg = config or C.PipelineConfig(event_enabled=True, activity_enabled=True)
+    keys = located(frames).select("camera_id", "frame_id", "ts", FILE, ROW)
+    rates = {d.name: d.rate for d in cfg.active_detectors()}
+    fseq = keyed_sequence(keys, ["camera_id"], ["ts", "frame_id"])
+    due = fseq.where(reduce(lambda a, b: a | b, [F.col("seq") % r == 0 for r in set(rates.values())]))
+    shown = fetch(due.drop("ts"), frames.select("*", F.col("props").cast("binary").alias("image")), ["image"], fetch_rows)
+    stubs = {"object": scoring.StubDetector(TB.DETECTION_LABELS, exclude=(TB.FIREARM_LABEL,)),
+             "firearm": scoring.StubDetector(TB.DETECTION_LABELS, only=(TB.FIREARM_LABEL,))}
+    scorers = {n: x for n, x in stubs.items() if n in rates}
+    flagged = shown.withColumns({f"due_{n}": F.col("seq") % r == 0 for n, r in rates.items()})
+    scored = scoring.score_due(flagged, scorers, {}, scoring.StubFeatureExtractor(feature_size) if "feature" in rates else None,
+                               keep_image=False).checkpoint()  # narrow: lists of boxes and vectors
+    out = [scored.where(F.size(f"found_{n}") > 0).select(
+        "camera_id", "frame_id", F.lit(n).alias("detector"),
+        F.array_join(F.transform(f"found_{n}", lambda d: d["label"]), ",").alias("result")) for n in scorers]
+    if "feature" in rates:
+        feat = scored.where(F.col("vec").isNotNull()).select(
+            "camera_id", "frame_id", (F.col("seq") / rates["feature"]).cast("bigint").alias("fseq"), "vec")
+        if cfg.event_enabled:
+            out.append(_event_rows(feat, feature_size))
+        if cfg.activity_enabled:
+            out.append(_activity_rows(feat, feature_size))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _event_rows(feat: DataFrame, size: int) -> DataFrame:
+    ev = scoring.event_scores_udf(feat.sparkSession, scoring.formula_event_weights(size, 8, 5))
+    best = select.top_k_classes(F.col("_s"))
+    return (feat.withColumn("_s", ev("vec"))
+            .select("camera_id", "frame_id", F.lit("event").alias("detector"),
+                    F.array_join(F.transform(best, lambda t: t["class_idx"].cast("string")), ",").alias("result")))
+
+
+def _activity_rows(feat: DataFrame, size: int) -> DataFrame:
+    win = ordered.rolling_features(feat.withColumnRenamed("frame_id", "vec_id"), "camera_id", "fseq", "vec", "vec_id")
+    act = scoring.score_activity(win, "vectors", scoring.formula_activity_weights(size, 20))
+    return act.select("camera_id", F.element_at("ids", -1).alias("frame_id"),
+                      F.lit("activity").alias("detector"), F.col("activity").alias("result"))

@@ -428,7 +428,7 @@ def score_activity(spark, sf):
 
 
 def score_frames_sampled(spark, sf):
-    return annotate.score_frames_sampled(spark, _fseq(spark, sf, "props"))
+    return annotate.score_frames_sampled(spark, _frames(spark, sf))
 
 
 QUERIES = {name: globals()[name] for name in [

@@ -14,21 +14,21 @@ One query; every micro-batch goes through ``foreachBatch``:
    predictions (G2, H2): expressions over the row;
 5. result envelopes (B5) to the sink (A2), and the new state, narrow again.
 
-State is a table in the checkpoint folder, one folder per micro-batch id. A
-batch that is repeated after a failure reads the state of the one before it
-and replaces its own output and state, so file sinks hold each result once;
-Kafka is at-least-once. State is dropped by processing time only
+State is a table in the checkpoint folder: a base and one folder of changes per
+micro-batch id, with that batch's cameras only. A batch that is repeated after
+a failure reads the state before it and replaces its own output and changes, so
+file sinks hold each result once; Kafka is at-least-once. State is dropped by processing time only
 (``idle_timeout``), which loses no frame, however late.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -36,112 +36,144 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import config as C
 from ..functions import codec
 from ..functions.lists import summary_of_list
+from ..operators import scoring
 from ..operators.filters import freshness_filter
 from ..operators.overlay import overlay_list
-from ..operators.scoring import Scorer
-from ..operators.select import latest_per_key
+from ..operators.select import activity_label, in_interval, latest_per_key, rate_intervals, top_k_classes
 from ..sources import streams
 from ..sources import tables as TB
 from .pipeline import run_batches
+from .progress import ProgressTable
 from .state import duration_ms
 
-_BOX = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("label", T.StringType()),
-                     T.StructField("confidence", T.DoubleType()),
-                     *[T.StructField(c, T.IntegerType()) for c in ("x1", "y1", "x2", "y2")]])
-_LIST = T.ArrayType(_BOX)
+_LIST = scoring.BOX_LIST
 _LATEST = T.StructType([T.StructField("src", T.LongType()), T.StructField("list", _LIST)])
+_RING = T.ArrayType(T.StructType([T.StructField("src", T.LongType()), T.StructField("vec", scoring.VECTOR)]))
+_EVENTS = "struct<src:bigint,classes:array<struct<class_idx:int,score:double>>>"
+_ACTIVITY = "struct<src:bigint,score:double,activity:string>"
 
 
-def _score_due(kept: DataFrame, detectors: list[C.Detector], scorers: dict) -> DataFrame:
-    """Step 4: each detector scores the frames due for it, all cameras of an
-    Arrow batch in one call; detections above the detector's threshold, in
-    the scorer's order (``found_<name>``; NULL when not due)."""
-    models = [(d, Scorer(scorers[d.name])) for d in detectors]
-    schema = T.StructType([*kept.schema.fields, *[T.StructField(f"found_{d.name}", _LIST) for d in detectors]])
-    fields = _BOX.names
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.reset_index(drop=True)
-            for d, model in models:
-                found = pd.Series([None] * len(pdf), dtype=object)
-                due = np.flatnonzero(pdf["seq"].to_numpy() % d.rate == 0)
-                if len(due):
-                    dets = model.loaded().predict(pdf["image"].iloc[due].reset_index(drop=True))
-                    if d.threshold is not None:
-                        dets = dets[dets["confidence"] > d.threshold]
-                    dets = dets.sort_values(["_row", "pos"], kind="mergesort")
-                    bounds = np.searchsorted(dets["_row"].to_numpy(), np.arange(len(due) + 1))
-                    rows = dets[fields].to_dict("records")
-                    for j, r in enumerate(due):
-                        found.iat[r] = rows[bounds[j]:bounds[j + 1]]
-                pdf[f"found_{d.name}"] = found
-            yield pdf
-
-    return kept.mapInPandas(run, schema)
-
-
-def annotate_batch(frames: DataFrame, state: DataFrame | None, scorers: dict,
+@dataclass(frozen=True)
+class FeatureModels:
+    """J2 and what is scored from its vectors: events (J3) and activity (J4);
+    weights as in ``operators.scoring``."""
+    extractor: object
+    event_weights: tuple | None = None
+    activity_weights: tuple | None = None
+    length: int = C.ACTIVITY_SEQUENCE_LENGTH
+    threshold: float = C.ACTIVITY_THRESHOLD
+
+
+def annotate_batch(frames: DataFrame, state: Callable[[DataFrame, bool], DataFrame | None] | None, scorers: dict,
                    config: C.PipelineConfig = C.DEFAULT_CONFIG, freshness: bool = True, now: str | None = None,
-                   colours=None, height: int = TB.FRAME_HEIGHT, held: list[DataFrame] | None = None) -> DataFrame:
+                   colours=None, height: int = TB.FRAME_HEIGHT, held: list[DataFrame] | None = None,
+                   models: FeatureModels | None = None, rates: DataFrame | None = None,
+                   stats: dict | None = None) -> DataFrame:
     """One micro-batch: a row per camera that has a frame to show, with
     camera_id, offset, seq, timestamp, image, boxes, prediction, and the
-    camera's new state (``latest_<detector>``). ``state`` is that of
-    ``new_state`` after the batch before, or None. ``now`` names a column
-    with the clock to judge freshness by (default: the batch's clock). Tables
-    kept in memory are added to ``held``, to be released after the batch."""
-    detectors = [d for d in config.active_detectors() if d.name in scorers]
+    camera's new state (``latest_<detector>``). ``state(ids, few)`` gives the
+    state rows of the cameras in ``ids`` (``CameraState.rows``), or is None.
+    ``now`` names a column with the clock to judge freshness by (default: the
+    batch's clock). Tables kept in memory are added to ``held``, to be
+    released after the batch; ``stats`` gets the number of frames kept.
+
+    With ``models`` and a feature detector that is on, a due frame's vector
+    goes into the camera's ring of the last ``models.length`` ones (H1, H3);
+    ``events`` are the best classes of the newest vector (J3, D3), ``activity``
+    is scored once the ring is full (J4, D4); both stand until the next.
+
+    With ``rates`` (``select.rate_intervals``) the detectors, their rates and
+    whether they are on are those of the interval of the frame's time, not
+    those of ``config``; the camera's counter starts again with an interval."""
+    on = {d.name: d for d in config.active_detectors()}
+    feature = models is not None and (rates is not None or "feature" in on)
+    thresholds = config.thresholds()
+    names = [n for n in scorers if rates is not None or n in on]
     x = frames.select(F.col("camera_id").cast("string").alias("camera_id"), "event_ts", "timestamp", "image",
                       "partition", "offset", *([F.col(now).alias("now")] if now else []))
     if freshness:
         x = freshness_filter(x, now="now" if now else None, limit_s=config.freshness_seconds)
-    kept = latest_per_key(x.select("camera_id", "event_ts", "partition", "offset"), ["camera_id"],
-                          ["event_ts", "partition", "offset"]).drop("event_ts")
-    before = {"seq": "bigint", "prediction": "string", **{f"latest_{n}": _LATEST for n in scorers}}
-    if state is None:
-        kept = kept.withColumns({f"old_{k}": F.lit(None).cast(t) for k, t in before.items()})
-    else:
-        have = set(state.columns)
-        cols = [(F.col(k) if k in have else F.lit(None).cast(t)).alias(f"old_{k}") for k, t in before.items()]
-        kept = kept.join(state.select(F.col("camera_id"), *cols), "camera_id", "left")
     # Narrow rows, at most one per camera, held once: counted, then broadcast
     # while few, so that no image is shuffled.
-    kept = kept.withColumnRenamed("camera_id", "cam").persist()
+    first = latest_per_key(x.select("camera_id", "event_ts", "partition", "offset"), ["camera_id"],
+                           ["event_ts", "partition", "offset"]).persist()
     if held is not None:
-        held.append(kept)
-    few = kept.limit(C.BROADCAST_CAMERAS + 1).count() <= C.BROADCAST_CAMERAS
+        held.append(first)
+    n_kept = first.count()
+    few = n_kept <= C.BROADCAST_CAMERAS
+    if stats is not None:
+        stats["n_kept"] = n_kept
+    kept = in_interval(first, rates, "event_ts").drop("event_ts", "cycle") if rates is not None else \
+        first.drop("event_ts").withColumn("epoch", F.lit(None).cast("int"))
+    before = {"seq": "bigint", "epoch": "int", "prediction": "string", **{f"latest_{n}": _LATEST for n in scorers}}
+    if models is not None:
+        before |= {"ring": _RING, "events": _EVENTS, "activity": _ACTIVITY}
+    old = state(first.select("camera_id"), few) if state is not None else None
+    if old is None:
+        kept = kept.withColumns({f"old_{k}": F.lit(None).cast(t) for k, t in before.items()}).withColumnRenamed("camera_id", "cam")
+    else:
+        have = set(old.columns)
+        cols = [(F.col(k) if k in have else F.lit(None).cast(t)).alias(f"old_{k}") for k, t in before.items()]
+        old = old.select(F.col("camera_id").alias("_cam"), *cols)
+        kept = kept.withColumnRenamed("camera_id", "cam")
+        kept = kept.join(old, kept["cam"].eqNullSafe(old["_cam"]), "left").drop("_cam")
     side = F.broadcast(kept) if few else kept
-    on = [x["camera_id"].eqNullSafe(side["cam"]), x["partition"].eqNullSafe(side["partition"]), x["offset"] == side["offset"]]
-    y = x.join(side, on).select(x["camera_id"], x["offset"], "timestamp", "image",
-                                (F.coalesce("old_seq", F.lit(-1)) + 1).alias("seq"), "old_prediction",
-                                *[f"old_latest_{n}" for n in scorers])
-    y = _score_due(y, detectors, scorers)
-    for d in detectors:
-        new = F.struct(F.col("offset").alias("src"), F.col(f"found_{d.name}").alias("list"))
-        y = y.withColumn(f"latest_{d.name}", F.when(F.col(f"found_{d.name}").isNotNull(), new)
-                         .otherwise(F.col(f"old_latest_{d.name}")))
-    off = [n for n in scorers if n not in {d.name for d in detectors}]
+    match = [x["camera_id"].eqNullSafe(side["cam"]), x["partition"].eqNullSafe(side["partition"]), x["offset"] == side["offset"]]
+    seq = F.when(F.col("old_epoch").eqNullSafe(F.col("epoch")), F.coalesce("old_seq", F.lit(-1)) + 1).otherwise(F.lit(0))
+    y = x.join(side, match).select(x["camera_id"], x["offset"], "timestamp", "image", seq.cast("bigint").alias("seq"), "epoch",
+                                   *(["rates"] if rates is not None else []), *[f"old_{k}" for k in before if k not in ("seq", "epoch")])
+
+    def due(name: str) -> Column:
+        rate = F.element_at("rates", name) if rates is not None else F.lit(on[name].rate)
+        return F.coalesce(F.col("seq") % rate == 0, F.lit(False))
+
+    flags = {f"due_{n}": due(n) for n in [*names, *(["feature"] if feature else [])]}
+    y = scoring.score_due(y.withColumns(flags), {n: scorers[n] for n in names}, thresholds,
+                          models.extractor if feature else None)
+    empty, lists = F.array().cast(_LIST), []
+    for n in names:
+        new = F.struct(F.col("offset").alias("src"), F.col(f"found_{n}").alias("list"))
+        y = y.withColumn(f"latest_{n}", F.when(F.col(f"found_{n}").isNotNull(), new).otherwise(F.col(f"old_latest_{n}")))
+        shown = F.coalesce(F.col(f"latest_{n}.list"), empty)
+        lists.append(F.when(F.map_contains_key("rates", n), shown).otherwise(empty) if rates is not None else shown)
+    off = [n for n in scorers if n not in names]
     y = y.withColumns({f"latest_{n}": F.col(f"old_latest_{n}") for n in off}) if off else y
-    empty = F.array().cast(_LIST)
-    boxes = F.concat(empty, *[F.coalesce(F.col(f"latest_{d.name}.list"), empty) for d in detectors])
-    y = y.withColumn("shown", boxes)
+    y = y.withColumn("shown", F.concat(empty, *lists))
+    extra = []
+    if models is not None:
+        y = _score_features(y, models) if feature else y.withColumns({k: F.col(f"old_{k}") for k in ("ring", "events", "activity")})
+        extra = ["ring", "events", "activity"]
     text = F.when(F.size("shown") > 0, summary_of_list("shown")).otherwise(F.coalesce("old_prediction", F.lit("")))
-    return y.select("camera_id", "offset", "seq", "timestamp", "image",
+    return y.select("camera_id", "offset", "seq", "epoch", "timestamp", "image",
                     overlay_list(F.col("shown"), TB.stub_colours() if colours is None else colours, height).alias("boxes"),
-                    text.alias("prediction"), *[f"latest_{n}" for n in scorers])
-
-
-def new_state(results: DataFrame, state: DataFrame | None, seen_ms: int, idle_ms: int | None) -> DataFrame:
-    """The cameras' state after a batch: narrow columns of its results, and
-    the state of cameras that it had no frame of, unless idle for too long."""
-    keep = [c for c in results.columns if c == "prediction" or c.startswith("latest_")]
-    new = results.select("camera_id", "seq", *keep, F.lit(seen_ms).cast("bigint").alias("seen_ms"))
-    if state is None:
-        return new
-    old = state if idle_ms is None else state.where(F.col("seen_ms") >= seen_ms - idle_ms)
-    ids = new.select(F.col("camera_id").alias("_new"))
-    rest = old.join(ids, old["camera_id"].eqNullSafe(ids["_new"]), "left_anti")
-    return new.unionByName(rest, allowMissingColumns=True)
+                    text.alias("prediction"), *[f"latest_{n}" for n in scorers], *extra)
+
+
+def _score_features(y: DataFrame, models: FeatureModels) -> DataFrame:
+    """H1, J3 and J4 on the rows that have a new vector; the others keep
+    their camera's ring and results."""
+    spark, new, n = y.sparkSession, F.col("vec").isNotNull(), models.length
+    # One generated row: the ring is put together once for its three uses.
+    grown = F.concat(F.coalesce("old_ring", F.array().cast(_RING)), F.array(F.struct(F.col("offset").alias("src"), "vec")))
+    ring = F.when(new, F.slice(grown, F.greatest(F.lit(1), F.size(grown) - (n - 1)), n)).otherwise(F.col("old_ring"))
+    y = y.withColumn("ring", ring)
+    events, activity = F.lit(None).cast(_EVENTS), F.lit(None).cast(_ACTIVITY)
+    if models.event_weights is not None:
+        y = y.withColumn("_scores", scoring.event_scores_udf(spark, models.event_weights)("vec"))
+        events = F.when(new, F.struct(F.col("offset").alias("src"), top_k_classes(F.col("_scores")).alias("classes")))
+    if models.activity_weights is not None:
+        full = F.when(new & (F.size("ring") == n), F.transform("ring", lambda r: r["vec"]))
+        y = y.withColumn("_window", full)
+        y = y.withColumn("_act", scoring.activity_udf(spark, models.activity_weights)("_window"))
+        activity = F.when(F.col("_act").isNotNull(), F.struct(F.col("offset").alias("src"), F.col("_act").alias("score"),
+                                                              activity_label(F.col("_act"), models.threshold).alias("activity")))
+    return y.withColumns({"events": F.coalesce(events, "old_events"), "activity": F.coalesce(activity, "old_activity")})
+
+
+def state_rows(results: DataFrame, seen_ms: int) -> DataFrame:
+    """The state of the cameras of a batch: narrow columns of its results."""
+    keep = [c for c in results.columns if c in ("prediction", "epoch", "ring", "events", "activity") or c.startswith("latest_")]
+    return results.select("camera_id", "seq", *keep, F.lit(seen_ms).cast("bigint").alias("seen_ms"))
 
 
 def result_events(results: DataFrame) -> DataFrame:
@@ -152,60 +184,123 @@ def result_events(results: DataFrame) -> DataFrame:
 
 
 class CameraState:
-    """The state table: one folder per micro-batch id under ``root``."""
+    """The cameras' state as Parquet under ``root``: a base with all cameras,
+    in folders by a hash of the camera, and one folder of changes per
+    micro-batch with the rows of its cameras only. What a batch writes follows
+    the cameras it had; every ``COMPACT`` batches base and changes become a
+    new base. A camera's newest row counts. A repeated batch replaces its own
+    changes and reads what was before it: older parts are deleted only when a
+    newer base than the one it needs is complete."""
+
+    COMPACT, BUCKETS = 16, 64
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        self.fs, self.path = path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-    def _ids(self) -> list[int]:
-        if not self.fs.exists(self.path):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        path = self._path(self.root)
+        self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def ids(self, part: str) -> list[int]:
+        """Batch ids of the complete folders of ``base`` or ``changes``."""
+        path = self._path(f"{self.root}/{part}")
+        if not self.fs.exists(path):
             return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.path)]
-        return sorted(int(n[6:]) for n in names if n.startswith("batch="))
-
-    def before(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        """The newest state older than the batch."""
-        ids = [i for i in self._ids() if i < batch_id]
-        return spark.read.parquet(f"{self.root}/batch={ids[-1]}") if ids else None
-
-    def write(self, batch_id: int, state: DataFrame) -> None:
-        state.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
-        for i in [i for i in self._ids() if i < batch_id][:-1]:  # only the one before may be read again
-            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/batch={i}"), True)
+        names = [s.getPath() for s in self.fs.listStatus(path)]
+        return sorted(int(n.getName()[6:]) for n in names
+                      if n.getName().startswith("batch=") and self.fs.exists(self._path(n, "_SUCCESS")))
+
+    def _before(self, batch_id: int) -> tuple[int | None, list[int]]:
+        """The newest base before a batch, and the changes after it."""
+        base = max([i for i in self.ids("base") if i < batch_id], default=None)
+        return base, [i for i in self.ids("changes") if i < batch_id and (base is None or i > base)]
+
+    def _all(self, base: int | None, changes: list[int], buckets: list[int] | None) -> DataFrame | None:
+        parts = []
+        for part, ids in (("base", [base] if base is not None else []), ("changes", changes)):
+            if ids:
+                df = (self.spark.read.option("basePath", f"{self.root}/{part}").option("mergeSchema", part == "changes")
+                      .parquet(*[f"{self.root}/{part}/batch={i}" for i in ids]))
+                parts.append(df.where(F.col("bucket").isin(buckets)) if buckets is not None else df)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+    def rows(self, batch_id: int, ids: DataFrame, few: bool, oldest_ms: int | None = None) -> DataFrame | None:
+        """The newest rows before a batch of the cameras in ``ids``, if seen
+        since ``oldest_ms``. Folders of the base without such a camera are not
+        read."""
+        base, changes = self._before(batch_id)
+        bucket = self._bucket("camera_id")
+        asked = [r[0] for r in ids.select(bucket).distinct().collect()]  # at most BUCKETS
+        df = self._all(base, changes, asked)
+        if df is None:
+            return None
+        ids = ids.select(F.col("camera_id").alias("_asked"))
+        df = df.join(F.broadcast(ids) if few else ids, df["camera_id"].eqNullSafe(F.col("_asked")), "left_semi")
+        df = latest_per_key(df.drop("bucket"), ["camera_id"], ["batch"]).drop("batch")
+        return df if oldest_ms is None else df.where(F.col("seen_ms") >= oldest_ms)
+
+    def write(self, batch_id: int, rows: DataFrame, oldest_ms: int | None = None) -> None:
+        """Store the rows of a batch's cameras; from time to time a new base,
+        without the cameras not seen since ``oldest_ms``."""
+        rows.withColumn("bucket", self._bucket("camera_id")).write.mode("overwrite").parquet(f"{self.root}/changes/batch={batch_id}")
+        base, changes = self._before(batch_id + 1)
+        if len(changes) < self.COMPACT:
+            return
+        df = latest_per_key(self._all(base, changes, None), ["camera_id"], ["batch"]).drop("batch")
+        df = df if oldest_ms is None else df.where(F.col("seen_ms") >= oldest_ms)
+        df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/base/batch={batch_id}")
+        # This batch may be repeated and then reads from the base before it.
+        if base is not None:
+            for part, old in (("base", lambda i: i < base), ("changes", lambda i: i <= base)):
+                for i in filter(old, self.ids(part)):
+                    self._delete(part, i)
+
+    def _delete(self, part: str, i: int) -> None:
+        self.fs.delete(self._path(f"{self.root}/{part}/batch={i}"), True)
+
+    def _bucket(self, col: str) -> Column:
+        return F.pmod(F.xxhash64(col), F.lit(self.BUCKETS)).cast("int").alias("bucket")
 
 
 def annotate_stream(records: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, scorers: dict,
                     config: C.PipelineConfig | Callable[[], C.PipelineConfig] = C.DEFAULT_CONFIG,
                     freshness: bool = True, now: Callable[[DataFrame], DataFrame] | None = None,
                     idle_timeout: str | int | None = None, quarantine: str | None = None,
-                    available_now: bool = True, state_root: str | None = None, first_batch: int = 0) -> StreamingQuery:
+                    available_now: bool = True, state_root: str | None = None, first_batch: int = 0,
+                    models: FeatureModels | None = None, rates: DataFrame | None = None,
+                    progress: ProgressTable | None = None) -> StreamingQuery:
     """Start the stream over raw ``records`` (partition, offset, value).
     ``write(results, batch_id)`` stores the annotated rows. ``config`` may be
     a function, asked anew for every micro-batch, so rates and toggles can
     change while the query runs (E2, F7). ``now`` may add a column ``now``.
+    ``models`` adds events and activity, ``rates`` are changes of the
+    detectors' settings valid from a time (``select.rate_intervals``),
+    ``progress`` a table of the batches (G3).
     A query with another checkpoint continues an earlier one's cameras when
     it is given its ``state_root`` and the number after its last batch."""
-    state = CameraState(records.sparkSession, state_root or f"{checkpoint}/camera-state")
+    store = CameraState(records.sparkSession, state_root or f"{checkpoint}/camera-state")
     idle_ms = duration_ms(idle_timeout) if idle_timeout is not None else None
+    intervals = rate_intervals(rates) if rates is not None else None
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        seen_ms, number = int(time.time() * 1000), first_batch + batch_id
-        frames, bad = streams.parse_records(batch)
+        seen_ms, number, stats = int(time.time() * 1000), first_batch + batch_id, {}
+        oldest = None if idle_ms is None else seen_ms - idle_ms
+        read = Observation()  # of the first scan of the batch; later ones read it again
+        frames, bad = streams.parse_records(batch.observe(read, F.count(F.lit(1)).alias("n")))
         if quarantine:
             bad.write.mode("overwrite").json(f"{quarantine}/batch={number}")
         frames = now(frames) if now else frames
-        old = state.before(batch.sparkSession, number)
         held: list[DataFrame] = []
-        r = annotate_batch(frames, old, scorers, config() if callable(config) else config, freshness,
-                           "now" if now else None, held=held).persist()
+        r = annotate_batch(frames, lambda ids, few: store.rows(number, ids, few, oldest), scorers,
+                           config() if callable(config) else config, freshness, "now" if now else None, held=held,
+                           models=models, rates=intervals, stats=stats).persist()
         try:
             write(r, number)
-            state.write(number, new_state(r, old, seen_ms, idle_ms))
+            store.write(number, state_rows(r, seen_ms), oldest)
         finally:
             for t in [r, *held]:
                 t.unpersist()
+        if progress is not None:
+            progress.batch_done(batch_id, read.get["n"], stats["n_kept"])
 
     return run_batches(records, handle, checkpoint, available_now)
 
@@ -214,7 +309,8 @@ def run_annotation(spark: SparkSession, source_path: str | None, sink_path: str
                    config=C.DEFAULT_CONFIG, freshness: bool = True, available_now: bool = True,
                    max_files_per_trigger: int | None = None, quarantine_path: str | None = None, idle_timeout=None,
                    source_format: str = "json", source_options: dict | None = None,
-                   sink_format: str = "json", sink_options: dict | None = None) -> StreamingQuery:
+                   sink_format: str = "json", sink_options: dict | None = None, models: FeatureModels | None = None,
+                   rates: DataFrame | None = None, progress: ProgressTable | None = None) -> StreamingQuery:
     """One command from frame records to result events (A1 -> I2 -> B5 -> A2),
     files or Kafka at either end: with ``"kafka"`` the options name the
     brokers and topic (``streams.kafka_options``). A file sink holds one
@@ -231,7 +327,7 @@ def run_annotation(spark: SparkSession, source_path: str | None, sink_path: str
             out.write.mode("overwrite").format(sink_format).save(f"{sink_path}/batch={batch_id}")
 
     return annotate_stream(recs, write, checkpoint, scorers, config, freshness, None, idle_timeout,
-                           quarantine_path, available_now)
+                           quarantine_path, available_now, models=models, rates=rates, progress=progress)
 
 
 def stub_scorers() -> dict:
@@ -250,7 +346,7 @@ def replay_days(spark: SparkSession, frames: DataFrame) -> DataFrame:
     root = scratch_path(spark, "annotated-stream")
     day = F.date_format("ts", "yyyy-MM-dd")
     (TB.messages(TB.aged(frames).withColumn("_day", day), keep=["_day"]).select("partition", "offset", "value", "_day")
-     .repartition("_day").sortWithinPartitions("_day").write.partitionBy("_day").json(f"{root}/in"))
+     .write.partitionBy("_day").json(f"{root}/in"))
     days = sorted(r["_day"] for r in spark.read.json(f"{root}/in").select("_day").distinct().collect())
     out = f"{root}/out"
 
