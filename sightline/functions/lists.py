@@ -5,7 +5,7 @@ work on that list inside the row, so no shuffle is needed for them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SUMMARY_LINE_FORMAT
@@ -16,12 +16,24 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value, body) -> Column:
+    """``body`` of a value that is computed once for a row, however often
+    ``body`` uses it: a column that is only named would be put in at every use
+    by the optimizer, a lambda's argument is not."""
+    return F.element_at(F.transform(F.array(_c(value)), body), 1)
+
+
+def held(df: DataFrame, **columns) -> DataFrame:
+    """Add columns as a generated row, so that filters and projections after
+    it use their values and do not compute them again."""
+    return df.select("*", F.inline(F.array(F.struct(*[_c(c).alias(n) for n, c in columns.items()]))))
+
+
 def stub_prediction_list(k) -> Column:
     """The stand-in detector's list for a frame (same rows as the
     ``detections`` view), as ARRAY<STRUCT<pos, label, confidence, ...>>."""
-    kk = _c(k)
-    return F.transform(F.array_repeat(F.lit(0), kk % 4), lambda _z, i: F.struct(
-        i.cast("int").alias("pos"), *[c.alias(n) for n, c in detection_columns(kk, i).items()]))
+    return let(k, lambda kk: F.transform(F.array_repeat(F.lit(0), kk % 4), lambda _z, i: F.struct(
+        i.cast("int").alias("pos"), *[c.alias(n) for n, c in detection_columns(kk, i).items()])))
 
 
 def keep_confident(preds, thresholds: dict[str, float]) -> Column:
@@ -41,14 +53,14 @@ def _lines(labels) -> Column:
 
 def summary_of_list(preds) -> Column:
     """G2 on a list: ``label (count)`` lines in first-seen order."""
-    return _lines(F.transform(_c(preds), lambda d: d["label"]))
+    return let(F.transform(_c(preds), lambda d: d["label"]), _lines)
 
 
 def counts_of_list(preds) -> Column:
     """G1 on a list: ARRAY<STRUCT<label, n>> in first-seen order."""
-    labels = F.transform(_c(preds), lambda d: d["label"])
-    return F.transform(F.array_distinct(labels), lambda lab: F.struct(
-        lab.alias("label"), F.size(F.filter(labels, lambda x: x == lab)).cast("bigint").alias("n")))
+    return let(F.transform(_c(preds), lambda d: d["label"]), lambda labels: F.transform(
+        F.array_distinct(labels), lambda lab: F.struct(
+            lab.alias("label"), F.size(F.filter(labels, lambda x: x == lab)).cast("bigint").alias("n"))))
 
 
 def union_of_lists(lists: list) -> Column:

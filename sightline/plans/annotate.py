@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -20,7 +20,9 @@ from ..functions import codec
 from ..functions.lists import keep_confident, of_detector, stub_prediction_list, summary_of_list
 from ..operators import ordered, scoring, select
 from ..operators.fetch import FILE, ROW, fetch, located
+from ..operators.filters import freshness_filter
 from ..operators.overlay import overlay_list
+from ..operators.select import latest_per_key
 from ..operators.sequence import carry_last, keyed_sequence
 from ..sources import tables as TB
 
@@ -32,7 +34,7 @@ def due_lists(names: list[str], rates: dict[str, int], lists: dict, seq, src, th
 
 
 def annotate_frames(f: DataFrame, predictions: dict[str, F.Column], config: C.PipelineConfig,
-                    colours=None, height: int = TB.FRAME_HEIGHT, chunk_rows: int | None = None) -> DataFrame:
+                    colours=None, height: int = TB.FRAME_HEIGHT, chunk_rows: int | None = None, keep=()) -> DataFrame:
     """Core of I2 over frames that already carry ``seq``. ``predictions``
     maps detector name to the list column that detector returns for a
     frame; it is evaluated only on frames where the detector is due. With
@@ -41,7 +43,7 @@ def annotate_frames(f: DataFrame, predictions: dict[str, F.Column], config: C.Pi
     colours = TB.stub_colours() if colours is None else colours
     rates = {d.name: d.rate for d in config.active_detectors()}
     names = [n for n in predictions if n in rates]
-    out = ["camera_id", "frame_id", "seq", codec.iso_timestamp("ts").alias("timestamp")]
+    out = ["camera_id", "frame_id", "seq", codec.iso_timestamp("ts").alias("timestamp"), *keep]
     if not names:
         none = F.array().cast(f.select(overlay_list(stub_prediction_list(F.lit(0)), colours, height).alias("b")).schema["b"].dataType)
         return f.select(*out, F.lit(None).cast("bigint").alias("pred_frame_id"), none.alias("boxes"),
@@ -84,6 +86,45 @@ def annotated_results(frames: DataFrame, config: C.PipelineConfig = C.DEFAULT_CO
     return annotate_frames(f, {n: of_detector(lst, n) for n in ("object", "firearm")}, config, chunk_rows=chunk_rows)
 
 
+def stub_detectors() -> dict:
+    """The stand-in object and firearm detectors."""
+    return {"object": scoring.StubDetector(TB.DETECTION_LABELS, exclude=(TB.FIREARM_LABEL,)),
+            "firearm": scoring.StubDetector(TB.DETECTION_LABELS, only=(TB.FIREARM_LABEL,))}
+
+
+def annotated_images(frames: DataFrame, scorers: dict, config: C.PipelineConfig = C.DEFAULT_CONFIG,
+                     now: str | None = None, batch: Column | None = None, fetch_rows: int | None = None,
+                     chunk_rows: int | None = None) -> DataFrame:
+    """I2 in batch with all its steps, over a scan of frame files
+    (camera_id, frame_id, ts, image): fresh frames by the clock column ``now``
+    (C1), the newest of a camera in each ``batch`` (D1), the scorers on due
+    frames only (E2, J1, C3), and each frame's image in the result.
+
+    Ordered work runs on keys; images are fetched twice, once to score the
+    due frames and once for the result, and never shuffled."""
+    rates = {d.name: d.rate for d in config.active_detectors() if d.name in scorers}
+    keys = located(frames)
+    if now:
+        keys = freshness_filter(keys, "ts", now=F.col(now), limit_s=config.freshness_seconds)
+    kept = keys.select("camera_id", "frame_id", "ts", FILE, ROW, *([batch.alias("_batch")] if batch is not None else []))
+    if batch is not None:
+        kept = latest_per_key(kept, ["_batch", "camera_id"], ["ts", "frame_id"]).drop("_batch")
+    fseq = keyed_sequence(kept, ["camera_id"], ["ts", "frame_id"])
+    source = frames.select("image", F.col("_metadata"))
+    if not rates:
+        done = annotate_frames(fseq, {}, config, chunk_rows=chunk_rows, keep=[FILE, ROW])
+        return fetch(done, source, ["image"], fetch_rows)
+    due = fseq.where(reduce(lambda a, b: a | b, [F.col("seq") % r == 0 for r in set(rates.values())]))
+    shown = fetch(due.select(F.col("frame_id").alias("_id"), "seq", FILE, ROW), source, ["image"], fetch_rows)
+    flags = {f"due_{n}": F.col("seq") % r == 0 for n, r in rates.items()}
+    found = scoring.score_due(shown.withColumns(flags).drop("seq"), {n: scorers[n] for n in rates}, {}, keep_image=False)
+    x = fseq.join(found.checkpoint(), F.col("frame_id") == F.col("_id"), "left").drop("_id")  # narrow on both sides
+    of = lambda n: lambda d: d.withField("detector", F.lit(n))
+    lists = {n: F.transform(f"found_{n}", of(n)) for n in rates}
+    done = annotate_frames(x, lists, config, chunk_rows=chunk_rows, keep=[FILE, ROW])
+    return fetch(done, source, ["image"], fetch_rows)
+
+
 def score_frames_sampled(spark: SparkSession, frames: DataFrame, config: C.PipelineConfig | None = None,
                          feature_size: int = 8, fetch_rows: int | None = None) -> DataFrame:
     """Schedule (E2) -> object/firearm detection (J1) and features
@@ -99,9 +140,7 @@ def score_frames_sampled(spark: SparkSession, frames: DataFrame, config: C.Pipel
     fseq = keyed_sequence(keys, ["camera_id"], ["ts", "frame_id"])
     due = fseq.where(reduce(lambda a, b: a | b, [F.col("seq") % r == 0 for r in set(rates.values())]))
     shown = fetch(due.drop("ts"), frames.select("*", F.col("props").cast("binary").alias("image")), ["image"], fetch_rows)
-    stubs = {"object": scoring.StubDetector(TB.DETECTION_LABELS, exclude=(TB.FIREARM_LABEL,)),
-             "firearm": scoring.StubDetector(TB.DETECTION_LABELS, only=(TB.FIREARM_LABEL,))}
-    scorers = {n: x for n, x in stubs.items() if n in rates}
+    scorers = {n: x for n, x in stub_detectors().items() if n in rates}
     flagged = shown.withColumns({f"due_{n}": F.col("seq") % r == 0 for n, r in rates.items()})
     scored = scoring.score_due(flagged, scorers, {}, scoring.StubFeatureExtractor(feature_size) if "feature" in rates else None,
                                keep_image=False).checkpoint()  # narrow: lists of boxes and vectors

@@ -434,6 +434,38 @@ FROM frames""",
     "score_activity": _activity_sql(),
     "score_frames_sampled": _sampled_chain_sql(),
 }
+RATE_CTES = """changes AS (
+  SELECT * FROM (VALUES ('object', 5, true, 0), ('firearm', 5, true, 0), ('feature', 15, true, 0), ('object', 3, true, 1),
+                        ('feature', 15, false, 1), ('firearm', 2, true, 2), ('feature', 4, true, 2)) v(detector, rate, enabled, n)),
+range_ AS (SELECT min(ts) AS lo, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM frames),
+epochs AS (SELECT n AS epoch, lo + to_microseconds(us * n // 3) AS valid_from,
+                  CASE WHEN n < 2 THEN lo + to_microseconds(us * (n + 1) // 3) END AS valid_to
+           FROM range_, range(3) r(n)),
+rates AS (
+  SELECT CAST(epoch AS INTEGER) AS epoch, detector, arg_max(rate, n) AS rate FROM epochs JOIN changes ON n <= epoch
+  GROUP BY epoch, detector HAVING arg_max(enabled, n))"""
+ORACLE["rate_changes"] = _w(FRAMES, RATE_CTES) + """,
+tagged AS (
+  SELECT f.camera_id, f.frame_id, CAST(e.epoch AS INTEGER) AS epoch,
+         CAST(row_number() OVER (PARTITION BY camera_id, e.epoch ORDER BY ts, frame_id) - 1 AS BIGINT) AS seq
+  FROM frames f JOIN epochs e ON f.ts >= e.valid_from AND (e.valid_to IS NULL OR f.ts < e.valid_to))
+SELECT t.camera_id, t.frame_id, t.epoch, t.seq, r.detector FROM tagged t JOIN rates r ON r.epoch = t.epoch AND t.seq % r.rate = 0"""
+ORACLE["rate_intervals"] = _w(FRAMES, RATE_CTES) + f""",
+per AS (SELECT epoch, string_agg(detector || ' ' || rate, ', ' ORDER BY detector) AS rates,
+               CAST(list_reduce(list(rate), lambda a, b: lcm(a, b)) AS INTEGER) AS cycle FROM rates GROUP BY epoch)
+SELECT p.epoch, {TS_TEXT.format('e.valid_from')} AS valid_from, p.rates, p.cycle, count(*) AS n_frames
+FROM per p JOIN epochs e ON e.epoch = p.epoch
+JOIN frames f ON f.ts >= e.valid_from AND (e.valid_to IS NULL OR f.ts < e.valid_to) GROUP BY ALL"""
+ORACLE["stream_events"] = _w(
+    FRAMES, STREAM_SEQ_BODY, """feat AS (
+  SELECT camera_id, frame_id, CAST(seq // 2 AS BIGINT) AS seq, [sin(k * d) / 2.0 FOR d IN range(1, 9)] AS vec
+  FROM frames_seq WHERE seq % 2 = 0)""", *_event_net_ctes("feat", "camera_id, frame_id"), *_activity_ctes("feat")) + f""",
+best AS (SELECT frame_id, string_agg(CAST(class_idx AS VARCHAR), ',' ORDER BY rank) AS events FROM erank WHERE rank <= 3 GROUP BY 1),
+act AS (SELECT camera_id, end_seq, CASE WHEN {_ACT_SCORE} > {C.ACTIVITY_THRESHOLD} THEN 'Abnormal Activity' ELSE 'Normal Activity' END
+               AS activity FROM h3 GROUP BY camera_id, end_seq)
+SELECT CAST(f.camera_id AS VARCHAR) AS camera_id, f.frame_id, v.frame_id AS event_frame_id, b.events, a.activity
+FROM frames_seq f JOIN feat v ON v.camera_id = f.camera_id AND v.seq = f.seq // 2 JOIN best b ON b.frame_id = v.frame_id
+LEFT JOIN act a ON a.camera_id = v.camera_id AND a.end_seq = v.seq"""
 ORACLE["micro_batch_trigger"] = ORACLE["latest_per_camera"]
 ORACLE["late_data"] = _w(FRAMES) + """,
 b AS (SELECT min(ts) + to_microseconds((epoch_us(max(ts)) - epoch_us(min(ts))) // 2) AS cut, max(ts) AS hi
@@ -443,3 +475,21 @@ SELECT epoch_us(date_trunc('day', ts)) AS window_start_us, camera_id,
        arg_max(frame_id, (ts, frame_id)) AS frame_id
 FROM newer GROUP BY date_trunc('day', ts), camera_id, hi
 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= hi - INTERVAL 1 DAY"""
+
+ORACLE["annotated_images"] = ORACLE["annotated_stream"]
+ORACLE["late_rows"] = _w(FRAMES) + """,
+b AS (SELECT min(ts) + to_microseconds((epoch_us(max(ts)) - epoch_us(min(ts))) // 2) AS cut, max(ts) AS hi FROM frames)
+SELECT frame_id, camera_id, epoch_us(ts) AS event_us FROM frames, b
+WHERE ts < cut AND date_trunc('day', ts) + INTERVAL 1 DAY <= hi - INTERVAL 1 DAY"""
+_CLOSED = "date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM frames) - INTERVAL 1 DAY"
+ORACLE["label_counts_stream"] = _w(DETECTIONS) + f"""
+SELECT epoch_us(date_trunc('day', ts)) AS window_start_us, camera_id, label, count(*) AS n
+FROM detections WHERE {_CLOSED} GROUP BY ALL"""
+# Frames up to the watermark (whole milliseconds) are numbered; the newest of
+# them closes the days before it.
+ORACLE["sampling_cycle_stream"] = _w(FRAMES_SEQ) + """,
+passed AS (SELECT *, max(ts) OVER () AS newest FROM frames_seq
+           WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) - 86400000 FROM frames))
+SELECT epoch_us(date_trunc('day', ts)) AS window_start_us, camera_id, count(*) AS n_frames,
+       count(*) FILTER (seq % 5 = 0) AS n_object, count(*) FILTER (seq % 5 = 0) AS n_firearm, count(*) FILTER (seq % 15 = 0) AS n_feature
+FROM passed WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= newest GROUP BY date_trunc('day', ts), camera_id"""

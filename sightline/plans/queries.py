@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import codec
-from ..functions.lists import (counts_of_list, keep_confident, of_detector, on_watchlist_list, stub_prediction_list,
+from ..functions.lists import (counts_of_list, held, keep_confident, of_detector, on_watchlist_list, stub_prediction_list,
                                summary_of_list, union_of_lists)
 from ..operators import combine, filters, ordered, overlay, scoring, select, summarize
 from ..session import scratch_path
@@ -104,17 +104,15 @@ def result_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frame_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources import streams
+    """A3: the frames packed as archives of stills, unpacked by a stream."""
+    from ..sources import stills
     from ..streaming import pipeline
-    stills = scratch_path(spark, "stills")
-    (_frames(spark, sf).select(F.col("camera_id"), F.col("frame_id"), "props")
-     .write.partitionBy("camera_id", "frame_id").text(stills))
-    stream = streams.frame_ingest(spark, stills, streaming=True)
-    out = pipeline.drain_to_table(stream, scratch_path(spark, "stills-out"))
+    folder = scratch_path(spark, "stills")
+    stills.write_archives(_frames(spark, sf).select("camera_id", "frame_id", "ts", F.col("props").cast("binary").alias("content")), folder)
+    out = pipeline.drain_to_table(stills.packed_stills(spark, folder), scratch_path(spark, "stills-out"))
     parsed = out.withColumn("_ev", codec.parse_frame_event("value"))
     return parsed.select(F.col("_ev.camera_id").alias("camera_id"), F.col("frame_id"),
-                         F.regexp_replace(codec.decode_image("_ev.image").cast("string"), "\n$", "")
-                         .alias("image"))
+                         codec.decode_image("_ev.image").cast("string").alias("image"))
 
 
 # --- B: parsing -------------------------------------------------------------
@@ -185,8 +183,8 @@ def confidence_filter(spark, sf):
 
 def _lists(spark, sf):
     """Frames with a non-empty prediction list: the list is in the row, so
-    what is asked of one frame needs no shuffle."""
-    return filters.nonempty_filter(_frames(spark, sf).withColumn("detections", stub_prediction_list("k")))
+    what is asked of one frame needs no shuffle; it is put together once."""
+    return filters.nonempty_filter(held(_frames(spark, sf).select("frame_id", "k"), detections=stub_prediction_list("k")))
 
 
 def watchlist_flag(spark, sf):
@@ -208,8 +206,8 @@ def watchlist_events(spark, sf):
 
 
 def nonempty_filter(spark, sf):
-    f = _frames(spark, sf).withColumn("detections", keep_confident(stub_prediction_list("k"),
-                                                                   _DEFAULT.thresholds()))
+    f = held(_frames(spark, sf).select("frame_id", "k"),
+             detections=keep_confident(stub_prediction_list("k"), _DEFAULT.thresholds()))
     return filters.nonempty_filter(f).select("frame_id", F.size("detections").alias("n"))
 
 
@@ -262,6 +260,35 @@ def sampling_cycle(spark, sf):
     return select.sampling_cycle(_fseq(spark, sf), "camera_id", list(_DEFAULT.detectors))
 
 
+def _rate_changes(spark, sf):
+    """Changes of the detectors' settings at the first frame, a third and two
+    thirds of the frames' time range later."""
+    b = _frames(spark, sf).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    at = lambda n: F.timestamp_add("MICROSECOND", F.expr(f"timestampdiff(MICROSECOND, lo, hi) * {n} div 3"), F.col("lo"))
+    changes = [("object", 5, True, 0), ("firearm", 5, True, 0), ("feature", 15, True, 0),
+               ("object", 3, True, 1), ("feature", 15, False, 1), ("firearm", 2, True, 2), ("feature", 4, True, 2)]
+    rows = F.array(*[F.struct(F.lit(d).alias("detector"), F.lit(r).alias("rate"), F.lit(e).alias("enabled"),
+                              at(n).alias("valid_from")) for d, r, e, n in changes])
+    return b.select(F.inline(rows))
+
+
+def rate_changes(spark, sf):
+    """E2, F7 over time: the schedule under rates and toggles that change."""
+    f = _frames(spark, sf).select("camera_id", "frame_id", "ts")
+    s = select.schedule_over_time(f, _rate_changes(spark, sf), "camera_id", ["ts", "frame_id"])
+    return s.select("camera_id", "frame_id", F.col("epoch").cast("int").alias("epoch"), "seq", "detector")
+
+
+def rate_intervals(spark, sf):
+    """E3 over time: per interval its length in frames, the detectors that are
+    on with their rates, and the cycle after which their schedule repeats."""
+    iv = select.rate_intervals(_rate_changes(spark, sf))
+    n = select.in_interval(_frames(spark, sf).select("ts"), iv, "ts").groupBy("epoch").agg(F.count(F.lit(1)).alias("n_frames"))
+    on = F.array_join(F.transform(F.array_sort(F.map_entries("rates")), lambda e: F.concat(e["key"], F.lit(" "), e["value"].cast("string"))), ", ")
+    return iv.join(n, "epoch").select(F.col("epoch").cast("int").alias("epoch"), codec.ts_text("valid_from").alias("valid_from"),
+                                      on.alias("rates"), F.col("cycle").cast("int").alias("cycle"), "n_frames")
+
+
 # --- F: unions, lookups, as-of, state ---------------------------------------
 
 def union_detections(spark, sf):
@@ -369,6 +396,28 @@ def late_data(spark, sf):
     return pipeline.replay_with_late_rows(spark, _frames(spark, sf))
 
 
+def late_rows(spark, sf):
+    """H5 kept: the rows that are late for their day's window."""
+    from ..streaming import pipeline
+    late = pipeline.split_late_halves(spark, _frames(spark, sf)).late()
+    return late.select(F.col("offset").alias("frame_id"), F.col("camera_id").cast("bigint").alias("camera_id"),
+                       F.unix_micros("event_ts").alias("event_us"))
+
+
+def label_counts_stream(spark, sf):
+    from ..streaming import pipeline
+    r = pipeline.replay_counts(spark, _frames(spark, sf))
+    return r.select(F.unix_micros("window_start").alias("window_start_us"), F.col("camera_id").cast("bigint").alias("camera_id"),
+                    "label", "n")
+
+
+def sampling_cycle_stream(spark, sf):
+    from ..streaming import pipeline
+    r = pipeline.replay_cycles(spark, _frames(spark, sf), _DEFAULT.detectors)
+    return r.select(F.unix_micros("window_start").alias("window_start_us"), F.col("camera_id").cast("bigint").alias("camera_id"),
+                    "n_frames", "n_object", "n_firearm", "n_feature")
+
+
 # --- I: annotation --------------------------------------------------------------
 
 def box_overlays(spark, sf):
@@ -393,6 +442,23 @@ def annotated_stream(spark, sf):
     return annotation.replay_days(spark, _frames(spark, sf))
 
 
+def annotated_images(spark, sf):
+    """I2 in batch with C1, D1, the scorers on due frames and the images: the
+    same rows as ``annotated_stream``."""
+    f = TB.aged(_frames(spark, sf)).withColumn("image", F.col("props").cast("binary"))
+    r = annotate.annotated_images(f, annotate.stub_detectors(), now="now_ts", batch=F.date_format("ts", "yyyy-MM-dd"))
+    return r.select(F.col("camera_id").cast("string").alias("camera_id"), "timestamp", "prediction", F.size("boxes").alias("n_boxes"),
+                    overlay.boxes_text(F.col("boxes")).alias("boxes"), F.col("image").cast("string").alias("image"))
+
+
+def stream_events(spark, sf):
+    """H1, J3 and J4 on the stream: per frame the best event classes of the
+    camera's newest feature vector and the activity of its last four, both
+    standing until the next, read back from the sink."""
+    from ..streaming import annotation
+    return annotation.replay_days(spark, _frames(spark, sf), events=True)
+
+
 # --- J: scoring -----------------------------------------------------------------
 
 def _decoded_messages(spark, sf):
@@ -438,11 +504,13 @@ QUERIES = {name: globals()[name] for name in [
     "freshness_filter", "freshness_filter_wrap", "confidence_filter", "watchlist_flag", "watchlist_events",
     "nonempty_filter",
     "latest_per_camera", "latest_per_camera_window", "event_topk", "activity_threshold",
-    "sample_every_n", "sampling_schedule", "sampling_cycle",
+    "sample_every_n", "sampling_schedule", "sampling_cycle", "rate_changes", "rate_intervals",
     "union_detections", "label_lookup", "label_palette", "color_lookup", "asof_prediction",
     "prediction_state", "detector_toggle",
     "label_counts", "summary_text", "batch_metrics",
     "rolling_features", "carry_forward_text", "latest_feature", "micro_batch_trigger", "late_data",
-    "box_overlays", "annotated_results", "annotated_stream",
+    "late_rows", "label_counts_stream", "sampling_cycle_stream",
+    "box_overlays", "annotated_results", "annotated_stream", "stream_events",
+    "annotated_images",
     "score_detections", "score_features", "score_events", "score_activity", "score_frames_sampled",
 ]}

@@ -332,15 +332,22 @@ def run_annotation(spark: SparkSession, source_path: str | None, sink_path: str
 
 def stub_scorers() -> dict:
     """The stand-in object and firearm detectors."""
-    from ..operators.scoring import StubDetector
-    return {"object": StubDetector(TB.DETECTION_LABELS, exclude=(TB.FIREARM_LABEL,)),
-            "firearm": StubDetector(TB.DETECTION_LABELS, only=(TB.FIREARM_LABEL,))}
+    from ..plans.annotate import stub_detectors
+    return stub_detectors()
 
 
-def replay_days(spark: SparkSession, frames: DataFrame) -> DataFrame:
-    """The frames replayed with one file and micro-batch per day; a frame is
-    judged by its own clock (``tables.aged``). The sink's rows, with the boxes
-    as text."""
+def stub_models(size: int = 8) -> FeatureModels:
+    """The stand-in extractor with formula weights for events and activity."""
+    return FeatureModels(scoring.StubFeatureExtractor(size), scoring.formula_event_weights(size, 8, 5),
+                         scoring.formula_activity_weights(size, 20))
+
+
+def replay_days(spark: SparkSession, frames: DataFrame, events: bool = False) -> DataFrame:
+    """The frames replayed with one micro-batch per day; a frame is judged by
+    its own clock (``tables.aged``). The sink's rows, with the boxes as text;
+    with ``events`` instead camera_id, frame_id, the frame of the standing
+    event result, its classes and the activity, as every camera's feature
+    detector runs on every second frame."""
     from ..operators.overlay import boxes_text
     from ..session import scratch_path
     root = scratch_path(spark, "annotated-stream")
@@ -349,14 +356,21 @@ def replay_days(spark: SparkSession, frames: DataFrame) -> DataFrame:
      .write.partitionBy("_day").json(f"{root}/in"))
     days = sorted(r["_day"] for r in spark.read.json(f"{root}/in").select("_day").distinct().collect())
     out = f"{root}/out"
+    config = C.PipelineConfig(event_enabled=True, activity_enabled=True, detectors=(
+        C.Detector("feature", EVENT_REPLAY_RATE, None, True, ("event", "activity")),)) if events else C.DEFAULT_CONFIG
 
     def write(results: DataFrame, batch_id: int) -> None:
-        ev = F.from_json(codec.result_envelope(F.col("timestamp"), F.col("camera_id"), codec.encode_image(F.col("image")),
-                                               F.col("prediction")), codec.RESULT_EVENT_SCHEMA)
-        (results.select(ev.alias("e"), F.size("boxes").alias("n_boxes"), boxes_text(F.col("boxes")).alias("boxes"))
-         .select("e.camera_id", "e.timestamp", "e.prediction", "n_boxes", "boxes",
-                 codec.decode_image(F.col("e.image")).cast("string").alias("image"))
-         .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+        if events:
+            classes = F.transform("events.classes", lambda c: c["class_idx"].cast("string"))
+            rows = results.select("camera_id", F.col("offset").alias("frame_id"), F.col("events.src").alias("event_frame_id"),
+                                  F.array_join(classes, ",").alias("events"), F.col("activity.activity").alias("activity"))
+        else:
+            ev = F.from_json(codec.result_envelope(F.col("timestamp"), F.col("camera_id"), codec.encode_image(F.col("image")),
+                                                   F.col("prediction")), codec.RESULT_EVENT_SCHEMA)
+            rows = (results.select(ev.alias("e"), F.size("boxes").alias("n_boxes"), boxes_text(F.col("boxes")).alias("boxes"))
+                    .select("e.camera_id", "e.timestamp", "e.prediction", "n_boxes", "boxes",
+                            codec.decode_image(F.col("e.image")).cast("string").alias("image")))
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     def clock(f: DataFrame) -> DataFrame:
         k = F.get_json_object(F.col("image").cast("string"), "$.k").cast("int")
@@ -367,6 +381,10 @@ def replay_days(spark: SparkSession, frames: DataFrame) -> DataFrame:
     # by name. Each run continues the state of the one before.
     for n, d in enumerate(days):
         recs = streams.frame_records(spark, "json", f"{root}/in/_day={d}", streaming=True)
-        annotate_stream(recs, write, f"{root}/ckpt-{n}", stub_scorers(), now=clock, state_root=f"{root}/state",
-                        first_batch=n).awaitTermination()
+        annotate_stream(recs, write, f"{root}/ckpt-{n}", {} if events else stub_scorers(), config, now=clock,
+                        state_root=f"{root}/state", first_batch=n, models=stub_models() if events else None).awaitTermination()
     return spark.read.parquet(out).drop("batch")
+
+
+#: Rate of the feature detector in ``replay_days`` with events.
+EVENT_REPLAY_RATE = 2

@@ -84,14 +84,10 @@ def replay_with_late_rows(spark: SparkSession, frames: DataFrame, watermark: str
     depend on the session time zone; window starts are reported in epoch
     microseconds."""
     src = scratch_path(spark, "replay-late")
-    recs = TB.messages(frames, keep=["ts"]).select("partition", "offset", "value", "ts")
-    bounds = frames.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    cut = bounds.select(F.timestamp_add(
-        "MICROSECOND", F.expr("timestampdiff(MICROSECOND, lo, hi) div 2"), F.col("lo"))).scalar()
     out, ckpt = scratch_path(spark, "replay-late-out"), scratch_path(spark, "replay-late-ckpt")
     tz = spark.conf.get("spark.sql.session.timeZone")
-    for i, part in enumerate([recs.where(F.col("ts") >= cut), recs.where(F.col("ts") < cut)]):
-        part.drop("ts").write.json(f"{src}/f{i}")
+    for i, part in enumerate(_halves(spark, frames)):
+        part.write.json(f"{src}/f{i}")
         stream = streams.frame_source(spark, "json", path=src + "/*", streaming=True)
         stream = observe_batch_metrics(stream).withColumn("event_ts", F.from_utc_timestamp("event_ts", tz))
         d2 = latest_per_window(stream.select("camera_id", "event_ts", "partition", "offset"), "camera_id",
@@ -100,3 +96,80 @@ def replay_with_late_rows(spark: SparkSession, frames: DataFrame, watermark: str
     return spark.read.parquet(out).select(F.unix_micros("window_start").alias("window_start_us"),
                                           F.col("camera_id").cast("bigint").alias("camera_id"),
                                           F.col("offset").alias("frame_id"))
+
+
+def _halves(spark: SparkSession, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The frames' messages from the midpoint of their time range on, and
+    those before it."""
+    recs = TB.messages(frames, keep=["ts"]).select("partition", "offset", "value", "ts")
+    cut = frames.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select(F.timestamp_add(
+        "MICROSECOND", F.expr("timestampdiff(MICROSECOND, lo, hi) div 2"), F.col("lo"))).scalar()
+    return recs.where(F.col("ts") >= cut).drop("ts"), recs.where(F.col("ts") < cut).drop("ts")
+
+
+def split_late_halves(spark: SparkSession, frames: DataFrame, delay: str = "1 day"):
+    """The newer half of the frames, then the older one, through ``LateSplit``
+    by day windows: nearly all of the older half is late."""
+    from .late import LateSplit
+    src, out = scratch_path(spark, "split-late"), scratch_path(spark, "split-late-out")
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    split = LateSplit(spark, out, delay=delay, window="1 day")
+    for i, part in enumerate(_halves(spark, frames)):
+        part.write.json(f"{src}/f{i}")
+        stream = streams.frame_source(spark, "json", path=src + "/*", streaming=True)
+        stream = stream.select("camera_id", F.from_utc_timestamp("event_ts", tz).alias("event_ts"), "partition", "offset")
+        split.run(stream, out + "/ckpt").awaitTermination()
+    return split
+
+
+def count_labels(frames: DataFrame, lists, window: str = "1 day", watermark: str = "1 day", ts_col: str = "event_ts",
+                 key: str = "camera_id") -> DataFrame:
+    """G1 on a stream: detections per (window, camera, label) of the frames'
+    lists, in append mode. A window is emitted and its state dropped once the
+    watermark has passed its end, so state holds the open windows only. The
+    counts are partial in each task before they are shuffled."""
+    labels = F.explode(F.transform(lists, lambda d: d["label"])).alias("label")
+    x = frames.withWatermark(ts_col, watermark).select(ts_col, key, labels)
+    return (x.groupBy(F.window(ts_col, window).alias("window"), key, "label").agg(F.count(F.lit(1)).alias("n"))
+            .select(F.col("window.start").alias("window_start"), key, "label", "n"))
+
+
+def count_samples(numbered: DataFrame, detectors, window: str = "1 day", watermark: str = "0 seconds",
+                  ts_col: str = "event_ts", key: str = "camera_id") -> DataFrame:
+    """E3 on a stream of numbered frames (``seq``, in time order): per
+    (window, camera) the frames seen and the samples of each detector, in
+    append mode. Numbering is keyed state of its own, and Spark allows no
+    second stateful operator after it in a query, so the numbered frames are a
+    table between two queries (``replay_cycles``)."""
+    samples = [F.count_if(F.col("seq") % d.rate == 0).alias(f"n_{d.name}") for d in detectors]
+    return (numbered.withWatermark(ts_col, watermark).groupBy(F.window(ts_col, window).alias("window"), key)
+            .agg(F.count(F.lit(1)).alias("n_frames"), *samples)
+            .select(F.col("window.start").alias("window_start"), key, "n_frames", *[f"n_{d.name}" for d in detectors]))
+
+
+def _event_stream(spark: SparkSession, frames: DataFrame) -> DataFrame:
+    """The frames as a stream: camera_id, event_ts, offset, k."""
+    src, tz = scratch_path(spark, "replay-counts"), spark.conf.get("spark.sql.session.timeZone")
+    TB.messages(frames).select("partition", "offset", "value").write.json(src)
+    return streams.frame_source(spark, "json", path=src, streaming=True).select(
+        "camera_id", F.from_utc_timestamp("event_ts", tz).alias("event_ts"), "offset",
+        F.get_json_object(F.col("image").cast("string"), "$.k").cast("int").alias("k"))
+
+
+def replay_counts(spark: SparkSession, frames: DataFrame) -> DataFrame:
+    """The frames as a stream through ``count_labels``: windows that the
+    watermark has closed."""
+    from ..functions.lists import stub_prediction_list
+    counts = count_labels(_event_stream(spark, frames), stub_prediction_list("k"))
+    return drain_to_table(counts, scratch_path(spark, "replay-counts-out"))
+
+
+def replay_cycles(spark: SparkSession, frames: DataFrame, detectors, delay: str = "1 day") -> DataFrame:
+    """The frames numbered by one stream, which holds them back until the
+    watermark passes them, and counted by a second one."""
+    from .state import sample_every_n_stream
+    numbered = sample_every_n_stream(_event_stream(spark, frames).drop("k"), 1, hold_back=True, watermark=delay)
+    table = scratch_path(spark, "numbered")
+    schema = drain_to_table(numbered, table).schema
+    counts = count_samples(spark.readStream.schema(schema).parquet(table), detectors)
+    return drain_to_table(counts, scratch_path(spark, "replay-cycles-out"))

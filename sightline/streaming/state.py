@@ -109,7 +109,7 @@ def _scan_stream(df: DataFrame, key: str, order: list[str], extra: list[T.Struct
         rest = None
         if hold_back:
             held = pd.DataFrame([tuple(r) for r in pending], columns=in_names)
-            rows = pd.concat([held, new], ignore_index=True) if len(held) else new
+            rows = pd.concat([x for x in (held, new) if len(x)] or [new], ignore_index=True)
             rows[time_col] = pd.to_datetime(rows[time_col])
             ready_mask = rows["_t_ms"].astype("int64") <= state.getCurrentWatermarkMs()
             ready, rest = rows[ready_mask], rows[~ready_mask]
