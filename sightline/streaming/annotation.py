@@ -49,8 +49,10 @@ from .state import duration_ms
 _LIST = scoring.BOX_LIST
 _LATEST = T.StructType([T.StructField("src", T.LongType()), T.StructField("list", _LIST)])
 _RING = T.ArrayType(T.StructType([T.StructField("src", T.LongType()), T.StructField("vec", scoring.VECTOR)]))
-_EVENTS = "struct<src:bigint,classes:array<struct<class_idx:int,score:double>>>"
-_ACTIVITY = "struct<src:bigint,score:double,activity:string>"
+_EVENTS = T.StructType([T.StructField("src", T.LongType()), T.StructField("classes", T.ArrayType(T.StructType([
+    T.StructField("class_idx", T.IntegerType()), T.StructField("score", T.DoubleType())])))])
+_ACTIVITY = T.StructType([T.StructField("src", T.LongType()), T.StructField("score", T.DoubleType()),
+                          T.StructField("activity", T.StringType())])
 
 
 @dataclass(frozen=True)
@@ -64,15 +66,16 @@ class FeatureModels:
     threshold: float = C.ACTIVITY_THRESHOLD
 
 
-def annotate_batch(frames: DataFrame, state: Callable[[DataFrame, bool], DataFrame | None] | None, scorers: dict,
+def annotate_batch(frames: DataFrame, state: Callable[[DataFrame, bool, list[int]], DataFrame | None] | None, scorers: dict,
                    config: C.PipelineConfig = C.DEFAULT_CONFIG, freshness: bool = True, now: str | None = None,
                    colours=None, height: int = TB.FRAME_HEIGHT, held: list[DataFrame] | None = None,
                    models: FeatureModels | None = None, rates: DataFrame | None = None,
                    stats: dict | None = None) -> DataFrame:
     """One micro-batch: a row per camera that has a frame to show, with
     camera_id, offset, seq, timestamp, image, boxes, prediction, and the
-    camera's new state (``latest_<detector>``). ``state(ids, few)`` gives the
-    state rows of the cameras in ``ids`` (``CameraState.rows``), or is None.
+    camera's new state (``latest_<detector>``). ``state(ids, few, buckets)``
+    gives the state rows of the cameras in ``ids`` (``CameraState.rows``), or
+    is None.
     ``now`` names a column with the clock to judge freshness by (default: the
     batch's clock). Tables kept in memory are added to ``held``, to be
     released after the batch; ``stats`` gets the number of frames kept.
@@ -99,23 +102,19 @@ def annotate_batch(frames: DataFrame, state: Callable[[DataFrame, bool], DataFra
                            ["event_ts", "partition", "offset"]).persist()
     if held is not None:
         held.append(first)
-    n_kept = first.count()
+    n_kept, buckets = first.agg(F.count(F.lit(1)), F.collect_set(CameraState.bucket("camera_id"))).first()
     few = n_kept <= C.BROADCAST_CAMERAS
     if stats is not None:
         stats["n_kept"] = n_kept
     kept = in_interval(first, rates, "event_ts").drop("event_ts", "cycle") if rates is not None else \
         first.drop("event_ts").withColumn("epoch", F.lit(None).cast("int"))
-    before = {"seq": "bigint", "epoch": "int", "prediction": "string", **{f"latest_{n}": _LATEST for n in scorers}}
-    if models is not None:
-        before |= {"ring": _RING, "events": _EVENTS, "activity": _ACTIVITY}
-    old = state(first.select("camera_id"), few) if state is not None else None
+    before = {f.name: f.dataType for f in state_schema(scorers, models) if f.name not in ("camera_id", "seen_ms")}
+    old = state(first.select("camera_id"), few, buckets) if state is not None else None
+    kept = kept.withColumnRenamed("camera_id", "cam")
     if old is None:
-        kept = kept.withColumns({f"old_{k}": F.lit(None).cast(t) for k, t in before.items()}).withColumnRenamed("camera_id", "cam")
+        kept = kept.withColumns({f"old_{k}": F.lit(None).cast(t) for k, t in before.items()})
     else:
-        have = set(old.columns)
-        cols = [(F.col(k) if k in have else F.lit(None).cast(t)).alias(f"old_{k}") for k, t in before.items()]
-        old = old.select(F.col("camera_id").alias("_cam"), *cols)
-        kept = kept.withColumnRenamed("camera_id", "cam")
+        old = old.select(F.col("camera_id").alias("_cam"), *[F.col(k).alias(f"old_{k}") for k in before])
         kept = kept.join(old, kept["cam"].eqNullSafe(old["_cam"]), "left").drop("_cam")
     side = F.broadcast(kept) if few else kept
     match = [x["camera_id"].eqNullSafe(side["cam"]), x["partition"].eqNullSafe(side["partition"]), x["offset"] == side["offset"]]
@@ -170,6 +169,15 @@ def _score_features(y: DataFrame, models: FeatureModels) -> DataFrame:
     return y.withColumns({"events": F.coalesce(events, "old_events"), "activity": F.coalesce(activity, "old_activity")})
 
 
+def state_schema(scorers: dict, models: FeatureModels | None) -> T.StructType:
+    """The columns of a camera's state."""
+    kinds = {"camera_id": T.StringType(), "seq": T.LongType(), "epoch": T.IntegerType(), "prediction": T.StringType(),
+             **{f"latest_{n}": _LATEST for n in scorers}}
+    if models is not None:
+        kinds |= {"ring": _RING, "events": _EVENTS, "activity": _ACTIVITY}
+    return T.StructType([T.StructField(n, t) for n, t in kinds.items()] + [T.StructField("seen_ms", T.LongType())])
+
+
 def state_rows(results: DataFrame, seen_ms: int) -> DataFrame:
     """The state of the cameras of a batch: narrow columns of its results."""
     keep = [c for c in results.columns if c in ("prediction", "epoch", "ring", "events", "activity") or c.startswith("latest_")]
@@ -192,45 +200,47 @@ class CameraState:
     changes and reads what was before it: older parts are deleted only when a
     newer base than the one it needs is complete."""
 
-    COMPACT, BUCKETS = 16, 64
+    COMPACT, BUCKETS = 16, 16
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
+        """``schema`` are the columns of a row with ``camera_id`` and
+        ``seen_ms``; what an older part lacks is NULL."""
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         path = self._path(self.root)
         self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        # Listed once: from here on the parts are those that this query writes.
+        self.parts = {part: self._list(part) for part in ("base", "changes")}
 
-    def ids(self, part: str) -> list[int]:
+    def _list(self, part: str) -> set[int]:
         """Batch ids of the complete folders of ``base`` or ``changes``."""
         path = self._path(f"{self.root}/{part}")
         if not self.fs.exists(path):
-            return []
+            return set()
         names = [s.getPath() for s in self.fs.listStatus(path)]
-        return sorted(int(n.getName()[6:]) for n in names
-                      if n.getName().startswith("batch=") and self.fs.exists(self._path(n, "_SUCCESS")))
+        return {int(n.getName()[6:]) for n in names
+                if n.getName().startswith("batch=") and self.fs.exists(self._path(n, "_SUCCESS"))}
 
     def _before(self, batch_id: int) -> tuple[int | None, list[int]]:
         """The newest base before a batch, and the changes after it."""
-        base = max([i for i in self.ids("base") if i < batch_id], default=None)
-        return base, [i for i in self.ids("changes") if i < batch_id and (base is None or i > base)]
+        base = max([i for i in self.parts["base"] if i < batch_id], default=None)
+        return base, sorted(i for i in self.parts["changes"] if i < batch_id and (base is None or i > base))
 
     def _all(self, base: int | None, changes: list[int], buckets: list[int] | None) -> DataFrame | None:
         parts = []
+        schema = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
         for part, ids in (("base", [base] if base is not None else []), ("changes", changes)):
             if ids:
-                df = (self.spark.read.option("basePath", f"{self.root}/{part}").option("mergeSchema", part == "changes")
-                      .parquet(*[f"{self.root}/{part}/batch={i}" for i in ids]))
+                df = (self.spark.read.schema(schema).option("basePath", f"{self.root}/{part}")
+                      .parquet(*[f"{self.root}/{part}/batch={i}" for i in ids])).select(schema.names)
                 parts.append(df.where(F.col("bucket").isin(buckets)) if buckets is not None else df)
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
-
-    def rows(self, batch_id: int, ids: DataFrame, few: bool, oldest_ms: int | None = None) -> DataFrame | None:
-        """The newest rows before a batch of the cameras in ``ids``, if seen
-        since ``oldest_ms``. Folders of the base without such a camera are not
-        read."""
-        base, changes = self._before(batch_id)
-        bucket = self._bucket("camera_id")
-        asked = [r[0] for r in ids.select(bucket).distinct().collect()]  # at most BUCKETS
-        df = self._all(base, changes, asked)
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def rows(self, batch_id: int, ids: DataFrame, few: bool, buckets: list[int], oldest_ms: int | None = None) -> DataFrame | None:
+        """The newest rows before a batch of the cameras in ``ids``, which are
+        in ``buckets``, if seen since ``oldest_ms``. Folders of the base
+        without such a camera are not read."""
+        df = self._all(*self._before(batch_id), buckets)
         if df is None:
             return None
         ids = ids.select(F.col("camera_id").alias("_asked"))
@@ -241,24 +251,29 @@ class CameraState:
     def write(self, batch_id: int, rows: DataFrame, oldest_ms: int | None = None) -> None:
         """Store the rows of a batch's cameras; from time to time a new base,
         without the cameras not seen since ``oldest_ms``."""
-        rows.withColumn("bucket", self._bucket("camera_id")).write.mode("overwrite").parquet(f"{self.root}/changes/batch={batch_id}")
+        rows.withColumn("bucket", self.bucket("camera_id")).write.mode("overwrite").parquet(f"{self.root}/changes/batch={batch_id}")
+        self.parts["changes"].add(batch_id)
         base, changes = self._before(batch_id + 1)
         if len(changes) < self.COMPACT:
             return
         df = latest_per_key(self._all(base, changes, None), ["camera_id"], ["batch"]).drop("batch")
         df = df if oldest_ms is None else df.where(F.col("seen_ms") >= oldest_ms)
         df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/base/batch={batch_id}")
+        self.parts["base"].add(batch_id)
         # This batch may be repeated and then reads from the base before it.
         if base is not None:
-            for part, old in (("base", lambda i: i < base), ("changes", lambda i: i <= base)):
-                for i in filter(old, self.ids(part)):
-                    self._delete(part, i)
+            for i in [i for i in self.parts["base"] if i < base]:
+                self._delete("base", i)
+            for i in [i for i in self.parts["changes"] if i <= base]:
+                self._delete("changes", i)
 
     def _delete(self, part: str, i: int) -> None:
         self.fs.delete(self._path(f"{self.root}/{part}/batch={i}"), True)
+        self.parts[part].discard(i)
 
-    def _bucket(self, col: str) -> Column:
-        return F.pmod(F.xxhash64(col), F.lit(self.BUCKETS)).cast("int").alias("bucket")
+    @classmethod
+    def bucket(cls, col: str) -> Column:
+        return F.pmod(F.xxhash64(col), F.lit(cls.BUCKETS)).cast("int").alias("bucket")
 
 
 def annotate_stream(records: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, scorers: dict,
@@ -277,7 +292,7 @@ def annotate_stream(records: DataFrame, write: Callable[[DataFrame, int], None],
     ``progress`` a table of the batches (G3).
     A query with another checkpoint continues an earlier one's cameras when
     it is given its ``state_root`` and the number after its last batch."""
-    store = CameraState(records.sparkSession, state_root or f"{checkpoint}/camera-state")
+    store = CameraState(records.sparkSession, state_root or f"{checkpoint}/camera-state", state_schema(scorers, models))
     idle_ms = duration_ms(idle_timeout) if idle_timeout is not None else None
     intervals = rate_intervals(rates) if rates is not None else None
 
@@ -290,7 +305,7 @@ def annotate_stream(records: DataFrame, write: Callable[[DataFrame, int], None],
             bad.write.mode("overwrite").json(f"{quarantine}/batch={number}")
         frames = now(frames) if now else frames
         held: list[DataFrame] = []
-        r = annotate_batch(frames, lambda ids, few: store.rows(number, ids, few, oldest), scorers,
+        r = annotate_batch(frames, lambda *asked: store.rows(number, *asked, oldest), scorers,
                            config() if callable(config) else config, freshness, "now" if now else None, held=held,
                            models=models, rates=intervals, stats=stats).persist()
         try:

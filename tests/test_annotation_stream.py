@@ -141,7 +141,9 @@ def test_state_is_a_base_and_changes(spark, tmp_path, monkeypatch):
     """A batch writes its own cameras only; repeats and compactions keep the
     newest row of every camera."""
     monkeypatch.setattr(annotation.CameraState, "COMPACT", 3)
-    store = annotation.CameraState(spark, str(tmp_path / "state"))
+    kind = "camera_id string, seq long, prediction string, seen_ms long"
+    store = annotation.CameraState(spark, str(tmp_path / "state"), spark.createDataFrame([], kind).schema)
+    all_buckets = list(range(store.BUCKETS))
     want, rng = {}, random.Random(1)
     every = spark.createDataFrame([(str(c),) for c in range(40)] + [(None,)], "camera_id string")
 
@@ -150,7 +152,7 @@ def test_state_is_a_base_and_changes(spark, tmp_path, monkeypatch):
         return [(None if c is None else str(c), n * 100 + (c or 0), "x" * n, n) for c in cams]
 
     def check(n):
-        got = store.rows(n, every, True).collect()
+        got = store.rows(n, every, True, all_buckets).collect()
         assert {r.camera_id: (r.seq, r.prediction) for r in got} == want and len(got) == len(want)
 
     for n in range(11):
@@ -158,14 +160,17 @@ def test_state_is_a_base_and_changes(spark, tmp_path, monkeypatch):
         for _ in range(2):  # a repeated batch sees what was before it and replaces its own
             if n:
                 check(n)
-            store.write(n, spark.createDataFrame(batch, "camera_id string, seq long, prediction string, seen_ms long"))
+            store.write(n, spark.createDataFrame(batch, kind))
         want.update({c: (s, p) for c, s, p, _ in batch})
         assert spark.read.parquet(f"{store.root}/changes/batch={n}").count() == len(batch)
     check(11)
-    assert len(store.ids("changes")) <= 2 * store.COMPACT and len(store.ids("base")) == 2
-    few = store.rows(11, every.where("camera_id in ('3', '7')"), False)
-    assert {r.camera_id for r in few.collect()} == {"3", "7"}
-    assert store.rows(11, every, True, oldest_ms=11).count() == 0
+    assert len(store.parts["changes"]) <= 2 * store.COMPACT and len(store.parts["base"]) == 2
+    again = annotation.CameraState(spark, store.root, store.schema)  # as a restarted query finds it
+    assert again.parts == store.parts
+    two = every.where("camera_id in ('3', '7')")
+    own = [r[0] for r in two.select(store.bucket("camera_id")).distinct().collect()]
+    assert {r.camera_id for r in again.rows(11, two, False, own).collect()} == {"3", "7"}
+    assert store.rows(11, every, True, all_buckets, oldest_ms=11).count() == 0
 
 
 MODELS = annotation.FeatureModels(scoring.StubFeatureExtractor(8), scoring.formula_event_weights(8, 8, 5),
