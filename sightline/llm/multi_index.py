@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,12 @@ SHARD, QUERIES = 8_192, 8_192
 
 def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, v (array of double) of the vectors that take part: not null or
-    empty, all components finite, not all zero, and of the most common
-    length. Of rows with one id the smallest vector counts; null ids do not."""
+    empty, all components finite, not all zero. Of rows with one id the
+    smallest vector counts; null ids do not."""
     v = F.col(vector_col).cast("array<double>")
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
     rows = rows.filter("vec_id is not null and size(v) > 0").filter(ok)
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.filter(F.size("v") == (common["d"] if common else 0))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -141,15 +140,25 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
     Nearest first, ties to the smaller vec_id; all candidates if there are
     fewer than ``k``.
 
-    Rows whose vector is null, zero or of another length, or holds nulls or
-    values that are not finite, take no part, as queries or candidates; nor
-    do null ids. Of rows with one id the smallest vector counts. No valid
+    Rows whose vector is null or zero, or holds nulls or values that are not
+    finite, take no part, as queries or candidates; nor do null ids. A vector
+    is compared with those of its own length, which have an index of their
+    own. Of rows with one id the smallest vector counts. No valid
     query or candidate: empty result. Extra columns are not read.
     """
     kind = "query_id long, rank int, vec_id long, score double"
     spark = index.sparkSession
-    points = saved(valid_vectors(index, id_col, vector_col), "vectors")
-    asked = valid_vectors(queries, id_col, vector_col)
+    every = saved(valid_vectors(index, id_col, vector_col), "vectors")
+    asked = saved(valid_vectors(queries, id_col, vector_col), "queries")
+    lengths = sorted(r[0] for r in asked.select(F.size("v")).distinct().collect())
+    found = [_search(every.filter(F.size("v") == d), asked.filter(F.size("v") == d), k, sample, centroids, recall, shard) for d in lengths]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], kind)
+
+
+def _search(points: DataFrame, asked: DataFrame, k: int, sample: int, centroids: int, recall: float, shard: int) -> DataFrame:
+    """``search`` among vectors of one length."""
+    kind = "query_id long, rank int, vec_id long, score double"
+    spark = points.sparkSession
     held = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     if not len(held):
         return spark.createDataFrame([], kind)

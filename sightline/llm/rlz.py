@@ -1,11 +1,12 @@
-"""Substring deduplication by matching blocks and windows, in place of a greedy
-relative Lempel-Ziv parse: no factors are formed, and spans found in different
-source documents are united. "Factor" below means such a united span.
+"""Substring deduplication by relative Lempel-Ziv factors.
 
 Every document is parsed against one reference: the blocks of all documents
-with a smaller id. A factor is a run of words that continues a reference
-block; factors of at least ``window`` words are duplicate spans. The index of
-the reference is distributed and addressed by content:
+with a smaller id, each with the place of its first occurrence. A document is
+factored greedily: its blocks are walked in order, and a factor goes on while
+the next block's place in the reference follows on the last one's. A factor is
+thus a run of words that one earlier document has too; those of at least
+``window`` words, which all factors of whole blocks are, become duplicate
+spans. The index of the reference is distributed and addressed by content:
 
 * A block is cut where the content says so. Each window of ``window`` words
   has one anchor, its word k-gram of smallest hash (the leftmost, if tied).
@@ -15,11 +16,11 @@ the reference is distributed and addressed by content:
 * The index holds every block of every document under (anchor, block), with
   the smallest id that has it. It is combined before the shuffle, so a
   passage shared by many documents is one entry.
-* A document is then factored block by block. A block that the index knows
-  from a smaller id extends the current factor as a whole. At a factor's
-  boundary the block is not known as a whole, but blocks with the same anchor
-  may share a part of it; there each window is looked up by its own content
-  among the windows of those blocks.
+* A document's blocks are looked up in the index, and the known ones form
+  factors in the order of their positions (``factors``).
+* At a factor's boundary a block is not known as a whole, but blocks with the
+  same anchor may share a part of it; there each window is looked up by its
+  own content among the windows of those blocks.
 
 Blocks and windows are compared by 128 bits of hashes over their words; the
 words themselves are hashed from their bytes. The result is exact but for
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import byte_offsets, saved, slices, text_column, unique_ids
@@ -282,26 +284,58 @@ def _cut(docs_with_spans: DataFrame, window: int, layout: bool) -> DataFrame:
     return docs_with_spans.mapInArrow(run, kind)
 
 
+def factors(known: DataFrame) -> DataFrame:
+    """The greedy parse of each document's known blocks (row, lo, n, least,
+    at): a factor goes on while the next block follows on the last in the
+    document and in the reference. Returns row, lo, n (windows), source (the
+    id it comes from) and at (where there)."""
+    by = W.partitionBy("row").orderBy("lo")
+    last = F.lag(F.struct("lo", "n", "least", "at")).over(by)
+    goes_on = ((F.col("lo") == F.col("last.lo") + F.col("last.n")) & (F.col("least") == F.col("last.least"))
+               & (F.col("at") == F.col("last.at") + F.col("last.n")))
+    number = F.sum(F.when(goes_on, 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0))
+    return (known.withColumn("last", last).withColumn("factor", number).groupBy("row", "factor")
+            .agg(F.min("lo").alias("lo"), F.sum("n").cast("int").alias("n"), F.min("least").alias("source"), F.min("at").alias("at"))
+            .drop("factor"))
+
+
+def document_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+                     gram: int = GRAM) -> DataFrame:
+    """The factors of whole blocks of every document: doc_id, start and words
+    (in its words), source_id and source_start (where an earlier document has
+    them). Ids must be unique and not null."""
+    rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
+    known = _parsed(_with_id(saved(document_blocks(rows.filter(F.col("text").isNotNull()), window, gram), "blocks"))).filter("known")
+    return factors(known).select(F.col("row").alias("doc_id"), F.col("lo").alias("start"), (F.col("n") + window - 1).alias("words"),
+                                 F.col("source").alias("source_id"), F.col("at").alias("source_start"))
+
+
+def _parsed(found: DataFrame) -> DataFrame:
+    """Blocks that are known of a smaller id (``known``: least, at) or may
+    share a part with others (variants > 1)."""
+    # The index, and which anchors more than one document has.
+    index = found.groupBy("anchor", "block").agg(F.min("id").alias("least"), F.min_by("lo", "id").alias("at"), F.max("id").alias("most"))
+    anchors = (index.groupBy("anchor")
+               .agg(F.count(F.lit(1)).alias("variants"), F.min("least").alias("a"), F.max("most").alias("z"))
+               .filter("a < z").select(F.col("anchor").alias("shared"), "variants"))
+    index = saved(index.join(anchors, index["anchor"] == anchors["shared"])
+                  .select("anchor", "block", "least", "at", "variants"), "shared-blocks")
+    parsed = (found.join(index, ["anchor", "block"])
+              .select("row", "lo", "n", (F.col("least") < F.col("id")).alias("known"), "variants", "least", "at")
+              .filter("known or variants > 1"))
+    return saved(parsed, "parsed")
+
+
 def duplicate_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(row, runs): per document, the runs of windows (lo, n) whose words also
     start in a document with a smaller id. ``docs``: row (unique), id (only if
     it is not the row number itself), text."""
     keys = docs.columns[:-1]
     found = _with_id(saved(document_blocks(docs.filter(F.col("text").isNotNull()), window, gram), "blocks"))
-    # The index, and which anchors more than one document has.
-    index = found.groupBy("anchor", "block").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    anchors = (index.groupBy("anchor")
-               .agg(F.count(F.lit(1)).alias("variants"), F.min("least").alias("a"), F.max("most").alias("z"))
-               .filter("a < z").select(F.col("anchor").alias("shared"), "variants"))
-    index = saved(index.join(anchors, index["anchor"] == anchors["shared"])
-                  .select("anchor", "block", "least", "variants"), "shared-blocks")
-    factored = (found.join(index, ["anchor", "block"])
-                .select("row", "lo", "n", (F.col("least") < F.col("id")).alias("known"), "variants")
-                .filter("known or variants > 1"))
-    factored = saved(factored, "factored")
-    whole = factored.filter("known").select("row", "lo", "n")
+    parsed = _parsed(found)
+    whole = factors(parsed.filter("known"))
     # Boundary blocks, one of each content: its windows are both asked for and indexed.
-    edge = (factored.filter("not known").groupBy("row")
+    edge = (parsed.filter("not known").groupBy("row")
             .agg(F.collect_list(F.struct("lo", "n")).alias("runs")))
     edges = docs.join(edge.hint("shuffle_hash"), "row").select(*keys, "text", "runs")
     windows = _with_id(saved(_windows(edges, window), "boundary-windows"))
@@ -309,7 +343,7 @@ def duplicate_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
              .filter("least < most").select("h1", "h2", "least"))
     part = (windows.join(first, ["h1", "h2"]).filter("least < id")
             .select("row", F.col("pos").alias("lo"), F.lit(1).alias("n")))
-    return whole.unionAll(part).groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
+    return whole.select("row", "lo", "n").unionAll(part).groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,

@@ -63,6 +63,21 @@ def test_search_edge_vectors(spark):
     assert multi_index.search(e, e.filter("vec_id = 3"), k=10).count() == 0
 
 
+def test_search_among_vectors_of_several_lengths(spark):
+    """Queries whose commonest length is not that of the index."""
+    rng = np.random.default_rng(3)
+    rows = {i: rng.normal(size=3 if i % 10 == 0 else 4).tolist() for i in range(300)}
+    e = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    got = found(multi_index.search(e, e.filter("vec_id % 10 = 0 or vec_id = 7"), k=5, recall=1.0))
+    want = {}
+    for d in (3, 4):
+        part = {i: v for i, v in rows.items() if len(v) == d}
+        want |= nearest(part, [i for i in part if i % 10 == 0 or i == 7], 5)
+    assert got.keys() == want.keys()
+    hits = sum(len({i for _, i, _ in got[q]} & {i for _, i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 5 * len(want)
+
+
 def test_walk_goes_by_summed_distance():
     rng = np.random.default_rng(1)
     a, b, counts = rng.random(7), rng.random(5), rng.integers(0, 4, 35)
