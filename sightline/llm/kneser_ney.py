@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import fs_of, saved, slices, unique_ids, without
+from .common import fs_of, pinned, saved, slices, unique_ids, without
 
 #: Order of the model and bits of a symbol.
 ORDER, BITS = 5, 12
@@ -52,6 +52,8 @@ LEAST_HELD_OUT = 50
 #: the model has seen little or nothing of the language, so that its ordinary
 #: prose looks like junk, and nothing tells by how much.
 LEAST_TO_JUDGE = 5
+#: Most languages whose rules (a row each) are broadcast.
+BROADCAST_LANGUAGES = 100_000
 
 _PAD = "\x02"
 _SYMBOLS = 1 << BITS
@@ -329,11 +331,15 @@ def _judged(scores: DataFrame, good: DataFrame) -> DataFrame:
     whole = sample.agg(mean).first()[0]
     per = sample.groupBy("l").agg(mean.alias("mean"), F.count(F.lit(1)).alias("docs"))
     # The mean that texts are drawn towards: the language's, if enough tell it.
-    per = per.select("l", "docs", F.when(F.col("docs") >= LEAST_HELD_OUT, F.col("mean")).otherwise(whole).alias("towards"))
+    per = pinned(per.select("l", "docs", F.when(F.col("docs") >= LEAST_HELD_OUT, F.col("mean")).otherwise(whole).alias("towards")))
+    # A language may hold a third of all rows: they are not dealt by it, but
+    # for a corpus of more languages than a small broadcast holds.
+    few = per.count() <= BROADCAST_LANGUAGES
+    side = F.broadcast if few else lambda df: df
     drawn = (F.col("nll") + PRIOR * F.col("towards")) / (F.col("n") + PRIOR)
     marks = F.percentile_approx(drawn, [0.5, QUANTILE], 10_000)
     above = lambda q: q[0] + SLACK * (q[1] - q[0])
-    sample = sample.join(per.filter(F.col("docs") >= LEAST_TO_JUDGE), "l")
+    sample = sample.join(side(per.filter(F.col("docs") >= LEAST_TO_JUDGE)), "l")
     pooled = sample.agg(marks.alias("q")).select(above(F.col("q"))).first()[0]
     edge = sample.groupBy("l").agg(marks.alias("q")).select("l", above(F.col("q")).alias("edge"))
     rule = per.join(edge, "l", "left").select("l", "towards", F.when(F.col("docs") >= LEAST_HELD_OUT, F.col("edge")).otherwise(
@@ -342,7 +348,7 @@ def _judged(scores: DataFrame, good: DataFrame) -> DataFrame:
     towards = F.coalesce("towards", F.lit(whole).cast("double"))
     score = F.coalesce((F.col("nll") + PRIOR * towards) / (F.col("n") + PRIOR), own)
     bound = F.col("bound")
-    return scores.join(rule, "l", "left").select(
+    return scores.join(side(rule), "l", "left").select(
         "doc_id", "lang", F.col("n").alias("n_symbols"), F.exp(score).alias("perplexity"), F.exp(bound).alias("bound"),
         ((F.col("n") > 0) & (bound.isNull() | (score <= bound))).alias("keep"))
 
