@@ -26,6 +26,7 @@ from .streams import BINARY_FILE_SCHEMA
 ARCHIVE_BYTES = 16 << 20
 
 _MEMBER = re.compile(r"^(?:\./)?(.+)/([^/]+?)(?:\.[^./]*)?$")
+_NUMBER = re.compile(r"-?\d{1,18}\Z")
 _STILLS = "camera_id string, frame_id long, ts_us long, content binary, reason string"
 
 
@@ -54,7 +55,7 @@ def _members(path: str, data: pa.Buffer) -> pa.RecordBatch:
                 if len(image) < m.size:
                     raise tarfile.ReadError("unexpected end of data")
                 camera, stem = name.groups() if name else (None, None)
-                frame = int(stem) if stem and re.fullmatch(r"-?\d{1,18}", stem) else None
+                frame = int(stem) if stem and _NUMBER.match(stem) else None
                 out.append((camera, frame, round(float(m.mtime) * 1_000_000), image, None if name else f"no camera: {m.name}"))
     except tarfile.TarError as e:
         out.append((None, None, None, None, f"bad archive: {path}: {e}"))
