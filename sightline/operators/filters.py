@@ -6,9 +6,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import FRESHNESS_SECONDS, SECONDS_PER_DAY
-from ..functions.codec import CORRUPT_FIELD, bad_record_reason, parse_frame_event
+from ..functions.codec import CORRUPT_FIELD, FRAME_EVENT_SCHEMA, bad_record_reason, parse_frame_event
 from .sequence import join_small
 
 
@@ -97,17 +98,21 @@ def nonempty_filter(df: DataFrame, list_col: str = "detections") -> DataFrame:
     return df.where(F.coalesce(F.size(list_col), F.lit(0)) > 0)
 
 
-def split_bad_records(msgs: DataFrame, value_col: str = "value",
-                      fail_fast: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Parse frame messages and split them into (good, quarantined).
+def split_bad_records(msgs: DataFrame, value_col: str = "value", fail_fast: bool = False,
+                      schema: StructType = FRAME_EVENT_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """Parse frame messages (or, by ``schema``, other events with a
+    camera, a time and an image) and split them into (good, quarantined).
     Quarantined rows carry ``reason``. With ``fail_fast`` the first message
     that is not JSON stops the job instead (B1).
 
     The parsed struct is generated as a row (``inline``), which keeps the
     optimizer from copying the parse into every use of its fields."""
-    parsed = msgs.select("*", F.inline(F.array(parse_frame_event(value_col, fail_fast=fail_fast))))
-    fields = {c: F.col(c) for c in ("camera_id", "timestamp", "image", CORRUPT_FIELD)}
-    parsed = parsed.withColumn("reason", bad_record_reason(fields, F.col(value_col).isNull()))
+    parsed = msgs.select("*", F.inline(F.array(parse_frame_event(value_col, schema, fail_fast))))
+    fields = {c: F.col(c) for c in [*schema.names, CORRUPT_FIELD]}
+    # Blank text is no JSON either, but parses to no struct and no corrupt text.
+    text = F.col(value_col).cast("string")
+    blank = text.isNull() | (F.btrim(text, F.lit(" \t\r\n")) == "")
+    parsed = parsed.withColumn("reason", bad_record_reason(fields, blank))
     good = parsed.where(F.col("reason").isNull()).drop("reason", CORRUPT_FIELD)
     bad = parsed.where(F.col("reason").isNotNull()).drop(*fields)
     return good, bad

@@ -86,6 +86,61 @@ def annotated_results(frames: DataFrame, config: C.PipelineConfig = C.DEFAULT_CO
     return annotate_frames(f, {n: of_detector(lst, n) for n in ("object", "firearm")}, config, chunk_rows=chunk_rows)
 
 
+def annotate_completed(f: DataFrame, predictions: dict[str, Column], delays: dict[str, Column],
+                       config: C.PipelineConfig = C.DEFAULT_CONFIG, colours=None, height: int = TB.FRAME_HEIGHT,
+                       chunk_rows: int | None = None) -> DataFrame:
+    """I2 when scoring takes time, over frames that carry ``seq`` and ``ts``:
+    a frame shows, of each detector, the prediction that was the last to complete at
+    or before the frame's time (F5), which may be one of an older frame.
+    ``delays`` gives each detector's time from a due frame to its prediction
+    as an interval column; none of a detector or a null one is no time. Of
+    predictions that complete together the newer frame's counts, and a
+    prediction may overtake an older one, as with several workers.
+
+    Frames and completed predictions of a camera are one sequence by time,
+    numbered and carried in chunks, so no task holds a camera."""
+    kw = {"chunk_rows": chunk_rows} if chunk_rows else {}
+    colours = TB.stub_colours() if colours is None else colours
+    rates = {d.name: d.rate for d in config.active_detectors()}
+    names = [n for n in predictions if n in rates]
+    out = ["camera_id", "frame_id", "seq", codec.iso_timestamp("ts").alias("timestamp")]
+    if not names:
+        bare = annotate_frames(f, {}, config, colours, height, chunk_rows)
+        return bare.drop("pred_frame_id").select("*", *[F.lit(None).cast("bigint").alias(f"{n}_frame_id") for n in predictions])
+    due = due_lists(names, rates, predictions, F.col("seq"), F.col("frame_id"), config.thresholds())
+    no_time = F.expr("INTERVAL '0' SECOND")
+    x = f.select("camera_id", "frame_id", "seq", "ts", *[c.alias(f"_p_{n}") for n, c in due.items()],
+                 *[(F.col("ts") + F.coalesce(delays.get(n, no_time), no_time)).alias(f"_d_{n}") for n in names])
+
+    def step(order, at, name=None):  # a frame (order last), or the completion of one prediction of it
+        return F.struct(F.lit(order).alias("_order"), at.alias("_at"), *[
+            (F.col(f"_p_{n}") if n == name else F.lit(None).cast(x.schema[f"_p_{n}"].dataType)).alias(f"_q_{n}") for n in names])
+
+    done = [F.when(F.col(f"_p_{n}").isNotNull(), step(i, F.col(f"_d_{n}"), n)) for i, n in enumerate(names)]
+    steps = F.array_compact(F.array(*done, step(len(names), F.col("ts"))))
+    y = x.select("camera_id", "frame_id", "seq", "ts", F.inline(steps))
+    # A prediction that completes at a frame's time is seen by that frame.
+    y = y.withColumn("_side", (F.col("_order") == len(names)).cast("int"))
+    y = keyed_sequence(y, ["camera_id"], ["_at", "_side", "seq", "_order"], "_step")
+    latest = [f"_l_{n}" for n in names]
+    z = carry_last(y, ["camera_id"], "_step", [f"_q_{n}" for n in names], latest, keep_chunk=True, **kw)
+    is_frame = F.col("_side") == 1
+    z = z.withColumn("_boxes", F.when(is_frame, _joined(latest)))
+    z = z.withColumn("_text", F.when(F.size("_boxes") > 0, summary_of_list(F.col("_boxes"))))
+    z = ordered.carry_forward_text(z, "camera_id", "_step", "_text", "prediction", **kw).where(is_frame)
+    return z.select(*out, *[(F.col(f"_l_{n}.src") if n in names else F.lit(None).cast("bigint")).alias(f"{n}_frame_id")
+                            for n in predictions],
+                    overlay_list(F.col("_boxes"), colours, height).alias("boxes"), "prediction")
+
+
+def annotated_delayed(frames: DataFrame, delays: dict[str, Column], config: C.PipelineConfig = C.DEFAULT_CONFIG,
+                      chunk_rows: int | None = None) -> DataFrame:
+    """``annotate_completed`` over the stand-in frames; ``delays`` may use ``k``."""
+    f = keyed_sequence(frames.select("camera_id", "frame_id", "ts", "k"), ["camera_id"], ["ts", "frame_id"])
+    lst = stub_prediction_list(F.col("k"))
+    return annotate_completed(f, {n: of_detector(lst, n) for n in ("object", "firearm")}, delays, config, chunk_rows=chunk_rows)
+
+
 def stub_detectors() -> dict:
     """The stand-in object and firearm detectors."""
     return {"object": scoring.StubDetector(TB.DETECTION_LABELS, exclude=(TB.FIREARM_LABEL,)),

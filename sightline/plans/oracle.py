@@ -493,3 +493,36 @@ passed AS (SELECT *, max(ts) OVER () AS newest FROM frames_seq
 SELECT epoch_us(date_trunc('day', ts)) AS window_start_us, camera_id, count(*) AS n_frames,
        count(*) FILTER (seq % 5 = 0) AS n_object, count(*) FILTER (seq % 5 = 0) AS n_firearm, count(*) FILTER (seq % 15 = 0) AS n_feature
 FROM passed WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= newest GROUP BY date_trunc('day', ts), camera_id"""
+ORACLE["bad_results"] = _w(FRAMES) + f"""
+SELECT CASE WHEN reason IS NULL THEN CAST(camera_id AS VARCHAR) END AS camera_id,
+       CASE WHEN reason IS NULL THEN {ISO_TS} END AS timestamp, CASE WHEN reason IS NULL THEN props END AS image,
+       CASE WHEN reason IS NULL AND k % 11 <> 7 THEN event_type || ' (1)' || chr(10) END AS prediction, reason
+FROM (SELECT *, CASE WHEN k % 11 IN (0, 5, 6) THEN 'malformed_json' WHEN k % 11 = 1 THEN 'bad_image'
+                     WHEN k % 11 = 2 THEN 'missing_camera_id' WHEN k % 11 = 3 THEN 'missing_image'
+                     WHEN k % 11 = 4 THEN 'bad_timestamp' END AS reason FROM frames)"""
+# Every frame against all predictions of its camera that completed before it.
+ORACLE["annotated_delayed"] = _w(DETECTIONS, FRAMES_SEQ_BODY) + f""",
+kept AS (
+  SELECT d.*, CASE WHEN detector = 'object' THEN 0 ELSE 1 END AS dord,
+         list_position(['person', 'car', 'knife', 'dog', 'Pistol'], label) - 1 AS i FROM detections d
+  WHERE confidence > {THRESHOLD.replace('detector', 'd.detector')}),
+preds AS (
+  SELECT camera_id, frame_id, seq, 'object' AS detector, ts + to_hours(k % 7 * 9) AS done FROM frames_seq WHERE seq % 5 = 0
+  UNION ALL SELECT camera_id, frame_id, seq, 'firearm', ts + to_hours(k % 5 * 17) FROM frames_seq WHERE seq % 5 = 0),
+shown AS (
+  SELECT f.frame_id, p.detector, arg_max(p.frame_id, (p.done, p.seq)) AS src
+  FROM frames_seq f JOIN preds p ON p.camera_id = f.camera_id AND p.done <= f.ts GROUP BY f.frame_id, p.detector),
+boxes AS (
+  SELECT s.frame_id, k.* EXCLUDE (frame_id) FROM shown s JOIN kept k ON k.frame_id = s.src AND k.detector = s.detector),
+lab AS (SELECT frame_id, label, count(*) AS n, min(dord * 100 + pos) AS first FROM boxes GROUP BY frame_id, label),
+txt AS (SELECT frame_id, string_agg(label || ' (' || CAST(n AS VARCHAR) || ')' || chr(10), '' ORDER BY first) AS summary
+        FROM lab GROUP BY frame_id),
+agg AS (SELECT frame_id, count(*) AS n_boxes, string_agg({BOX_TEXT}, '; ' ORDER BY dord, pos) AS boxes FROM boxes GROUP BY frame_id)
+SELECT f.camera_id, f.frame_id, f.seq, {ISO_TS.replace('ts', 'f.ts')} AS timestamp,
+       o.src AS object_frame_id, a.src AS firearm_frame_id,
+       CAST(coalesce(g.n_boxes, 0) AS INTEGER) AS n_boxes, coalesce(g.boxes, '') AS boxes,
+       coalesce(last_value(t.summary IGNORE NULLS) OVER (PARTITION BY f.camera_id ORDER BY f.seq
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS prediction
+FROM frames_seq f LEFT JOIN shown o ON o.frame_id = f.frame_id AND o.detector = 'object'
+LEFT JOIN shown a ON a.frame_id = f.frame_id AND a.detector = 'firearm'
+LEFT JOIN agg g ON g.frame_id = f.frame_id LEFT JOIN txt t ON t.frame_id = f.frame_id"""

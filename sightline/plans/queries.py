@@ -103,6 +103,18 @@ def result_source(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("camera_id", "timestamp", F.col("image").cast("string").alias("image"), "prediction")
 
 
+def bad_results(spark: SparkSession, sf: str) -> DataFrame:
+    """A4 with malformed events: the readable results and the quarantine of one stream."""
+    from ..sources import streams
+    from ..streaming import pipeline
+    src = scratch_path(spark, "broken-results")
+    TB.broken_results(_frames(spark, sf)).write.json(src, ignoreNullFields=False)
+    good, bad = pipeline.drain_results(streams.result_records(spark, "json", src), scratch_path(spark, "results-split"))
+    none = F.lit(None).cast("string")
+    return good.select("camera_id", "timestamp", F.col("image").cast("string").alias("image"), "prediction", none.alias("reason")) \
+        .unionByName(bad.select(*[none.alias(c) for c in ("camera_id", "timestamp", "image", "prediction")], "reason"))
+
+
 def frame_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """A3: the frames packed as archives of stills, unpacked by a stream."""
     from ..sources import stills
@@ -434,6 +446,15 @@ def annotated_results(spark, sf):
                     overlay.boxes_text(F.col("boxes")).alias("boxes"), "prediction")
 
 
+def annotated_delayed(spark, sf):
+    """I2 where a prediction takes 0 to 6 times 9 (objects) or 0 to 4 times
+    17 hours (firearms), so later ones may complete first."""
+    r = annotate.annotated_delayed(_frames(spark, sf), {"object": F.make_dt_interval(hours=F.col("k") % 7 * 9),
+                                                        "firearm": F.make_dt_interval(hours=F.col("k") % 5 * 17)})
+    return r.select("camera_id", "frame_id", "seq", "timestamp", "object_frame_id", "firearm_frame_id",
+                    F.size("boxes").alias("n_boxes"), overlay.boxes_text(F.col("boxes")).alias("boxes"), "prediction")
+
+
 def annotated_stream(spark, sf):
     """I2 as a stream: one day of frames per micro-batch, the clock of a frame
     set so that a known part is stale (C1), newest per camera (D1), state,
@@ -498,7 +519,7 @@ def score_frames_sampled(spark, sf):
 
 
 QUERIES = {name: globals()[name] for name in [
-    "frame_source", "result_sink", "frame_ingest", "result_source", "label_dim", "model_registry",
+    "frame_source", "result_sink", "frame_ingest", "result_source", "bad_results", "label_dim", "model_registry",
     "event_label_map",
     "parse_frames", "parse_event_time", "image_decode", "image_encode", "result_envelope", "bad_records",
     "freshness_filter", "freshness_filter_wrap", "confidence_filter", "watchlist_flag", "watchlist_events",
@@ -511,6 +532,6 @@ QUERIES = {name: globals()[name] for name in [
     "rolling_features", "carry_forward_text", "latest_feature", "micro_batch_trigger", "late_data",
     "late_rows", "label_counts_stream", "sampling_cycle_stream",
     "box_overlays", "annotated_results", "annotated_stream", "stream_events",
-    "annotated_images",
+    "annotated_images", "annotated_delayed",
     "score_detections", "score_features", "score_events", "score_activity", "score_frames_sampled",
 ]}

@@ -111,15 +111,28 @@ def frame_ingest(spark: SparkSession, stills_dir: str, streaming: bool = True,
     return files.select(camera.alias("camera_id"), frame.alias("frame_id"), msg.alias("value"))
 
 
-def result_source(spark: SparkSession, fmt: str = "kafka", path: str | None = None,
-                  options: dict | None = None, streaming: bool = True) -> DataFrame:
-    """A4: result events parsed, image decoded to bytes."""
+def result_records(spark: SparkSession, fmt: str = "kafka", path: str | None = None,
+                   options: dict | None = None, streaming: bool = True) -> DataFrame:
+    """Raw result records: one column ``value`` (text)."""
     r = _reader(spark, streaming)
     if fmt == "kafka":
-        raw = r.format("kafka").options(**(options or {})).load() \
-            .select(F.col("value").cast("string").alias("value"))
-    else:
-        raw = r.schema(RESULT_RECORD_SCHEMA).format(fmt).load(path).select("value")
-    ev = F.from_json("value", codec.RESULT_EVENT_SCHEMA)
-    return raw.select(ev["timestamp"].alias("timestamp"), ev["camera_id"].alias("camera_id"),
-                      codec.decode_image(ev["image"]).alias("image"), ev["prediction"].alias("prediction"))
+        return r.format("kafka").options(**(options or {})).load().select(F.col("value").cast("string").alias("value"))
+    return r.schema(RESULT_RECORD_SCHEMA).format(fmt).load(path).select("value")
+
+
+def parse_results(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A4 on raw result records: (results, quarantined). A viewer cannot show
+    an event that is not JSON or lacks a camera, a time or a readable image;
+    such rows keep their ``value`` and a ``reason`` (B6). The prediction may
+    be null, as the envelope (B5) writes it."""
+    good, bad = split_bad_records(records.select("value"), schema=codec.RESULT_EVENT_SCHEMA)
+    results = good.select("timestamp", "camera_id", codec.decode_image("image").alias("image"), "prediction")
+    return results, bad
+
+
+def result_source(spark: SparkSession, fmt: str = "kafka", path: str | None = None,
+                  options: dict | None = None, streaming: bool = True) -> DataFrame:
+    """A4: result events parsed, image decoded to bytes. Malformed events are
+    left out; ``parse_results`` returns them, ``drain_results`` stores them."""
+    results, _ = parse_results(result_records(spark, fmt, path, options, streaming))
+    return results

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SUSPICIOUS_EVENTS
-from ..functions.codec import encode_image, iso_timestamp
+from ..functions.codec import encode_image, iso_timestamp, result_envelope
 from ..operators.sequence import keyed_sequence
 
 # Fixture vocabulary of the stand-in detector output (not model labels).
@@ -160,6 +160,24 @@ def broken_messages(frames_df: DataFrame) -> DataFrame:
     return m.withColumn("value_good", good).select("offset", "k", value.alias("value"))
 
 
+def broken_results(frames_df: DataFrame) -> DataFrame:
+    """Result events where k % 11 picks a defect: 0 cut short, 1 bad base64,
+    2 no camera, 3 no image, 4 an unparseable time, 5 no text at all, 6 a list;
+    7 has no prediction, which is no defect."""
+    k11, cam = F.col("k") % 11, F.col("camera_id").cast("string")
+    none = F.lit(None).cast("string")
+    img = encode_image(F.col("props").cast("binary"))
+    event = result_envelope(
+        F.when(k11 == 4, F.lit("yesterday")).otherwise(iso_timestamp("ts")), F.when(k11 != 2, cam),
+        F.when(k11 == 1, F.lit("@@@=")).when(k11 != 3, img),
+        F.when(k11 != 7, F.concat("event_type", F.lit(" (1)\n"))))
+    x = frames_df.select("camera_id", k11.alias("k11"), event.alias("event"))
+    cut = F.expr("substring(event, 1, length(event) div 2)")
+    return x.select(F.col("camera_id").cast("string").alias("camera_id"), F.when(F.col("k11") == 0, cut)
+                    .when(F.col("k11") == 5, none).when(F.col("k11") == 6, F.lit("[1]"))
+                    .otherwise(F.col("event")).alias("value"))
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature vectors: camera = label, ordered by vec_id within the camera."""
     e = table(spark, sf_dir, "embeddings")

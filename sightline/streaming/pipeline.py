@@ -30,6 +30,24 @@ def drain_to_table(stream: DataFrame, path: str, checkpoint: str | None = None)
     return stream.sparkSession.read.parquet(path)
 
 
+def drain_results(records: DataFrame, path: str, checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A4 as one stream with two tables under ``path``: readable results and
+    the quarantine. Every micro-batch writes one folder per table, named by
+    its id and overwritten when the batch is repeated, so neither table loses
+    or doubles an event. Returns both tables."""
+    spark, names = records.sparkSession, ("results", "quarantine")
+
+    def handle(batch, batch_id):
+        batch = batch.persist()  # two tables, one read of the source
+        for name, part in zip(names, streams.parse_results(batch)):
+            part.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        batch.unpersist()
+
+    handle(spark.createDataFrame([], "value STRING"), -1)  # both tables exist, also without any event
+    run_batches(records, handle, checkpoint or path + "-ckpt").awaitTermination()
+    return tuple(spark.read.parquet(f"{path}/{name}").drop("batch") for name in names)
+
+
 def run_batches(stream: DataFrame, handle, checkpoint: str, available_now: bool = True,
                 interval: str = BATCH_INTERVAL):
     """H4: micro-batches of ``stream`` handed to ``handle(batch_df, batch_id)``;
