@@ -500,8 +500,12 @@ SELECT CASE WHEN reason IS NULL THEN CAST(camera_id AS VARCHAR) END AS camera_id
 FROM (SELECT *, CASE WHEN k % 11 IN (0, 5, 6) THEN 'malformed_json' WHEN k % 11 = 1 THEN 'bad_image'
                      WHEN k % 11 = 2 THEN 'missing_camera_id' WHEN k % 11 = 3 THEN 'missing_image'
                      WHEN k % 11 = 4 THEN 'bad_timestamp' END AS reason FROM frames)"""
-# Every frame against all predictions of its camera that completed before it.
-ORACLE["annotated_delayed"] = _w(DETECTIONS, FRAMES_SEQ_BODY) + f""",
+
+
+def _delayed_sql(frames_body: str, columns: str) -> str:
+    """I2 where predictions take time: every frame against all predictions of
+    its camera that completed before it."""
+    return _w(DETECTIONS, frames_body) + f""",
 kept AS (
   SELECT d.*, CASE WHEN detector = 'object' THEN 0 ELSE 1 END AS dord,
          list_position(['person', 'car', 'knife', 'dog', 'Pistol'], label) - 1 AS i FROM detections d
@@ -518,7 +522,7 @@ lab AS (SELECT frame_id, label, count(*) AS n, min(dord * 100 + pos) AS first FR
 txt AS (SELECT frame_id, string_agg(label || ' (' || CAST(n AS VARCHAR) || ')' || chr(10), '' ORDER BY first) AS summary
         FROM lab GROUP BY frame_id),
 agg AS (SELECT frame_id, count(*) AS n_boxes, string_agg({BOX_TEXT}, '; ' ORDER BY dord, pos) AS boxes FROM boxes GROUP BY frame_id)
-SELECT f.camera_id, f.frame_id, f.seq, {ISO_TS.replace('ts', 'f.ts')} AS timestamp,
+SELECT {columns},
        o.src AS object_frame_id, a.src AS firearm_frame_id,
        CAST(coalesce(g.n_boxes, 0) AS INTEGER) AS n_boxes, coalesce(g.boxes, '') AS boxes,
        coalesce(last_value(t.summary IGNORE NULLS) OVER (PARTITION BY f.camera_id ORDER BY f.seq
@@ -526,3 +530,7 @@ SELECT f.camera_id, f.frame_id, f.seq, {ISO_TS.replace('ts', 'f.ts')} AS timesta
 FROM frames_seq f LEFT JOIN shown o ON o.frame_id = f.frame_id AND o.detector = 'object'
 LEFT JOIN shown a ON a.frame_id = f.frame_id AND a.detector = 'firearm'
 LEFT JOIN agg g ON g.frame_id = f.frame_id LEFT JOIN txt t ON t.frame_id = f.frame_id"""
+
+
+ORACLE["annotated_delayed"] = _delayed_sql(FRAMES_SEQ_BODY, f"f.camera_id, f.frame_id, f.seq, {ISO_TS.replace('ts', 'f.ts')} AS timestamp")
+ORACLE["stream_delayed"] = _delayed_sql(STREAM_SEQ_BODY, "CAST(f.camera_id AS VARCHAR) AS camera_id, f.frame_id, f.seq")

@@ -446,11 +446,14 @@ def annotated_results(spark, sf):
                     overlay.boxes_text(F.col("boxes")).alias("boxes"), "prediction")
 
 
+def _delays(k):
+    return {"object": F.make_dt_interval(hours=k % 7 * 9), "firearm": F.make_dt_interval(hours=k % 5 * 17)}
+
+
 def annotated_delayed(spark, sf):
     """I2 where a prediction takes 0 to 6 times 9 (objects) or 0 to 4 times
     17 hours (firearms), so later ones may complete first."""
-    r = annotate.annotated_delayed(_frames(spark, sf), {"object": F.make_dt_interval(hours=F.col("k") % 7 * 9),
-                                                        "firearm": F.make_dt_interval(hours=F.col("k") % 5 * 17)})
+    r = annotate.annotated_delayed(_frames(spark, sf), _delays(F.col("k")))
     return r.select("camera_id", "frame_id", "seq", "timestamp", "object_frame_id", "firearm_frame_id",
                     F.size("boxes").alias("n_boxes"), overlay.boxes_text(F.col("boxes")).alias("boxes"), "prediction")
 
@@ -480,6 +483,15 @@ def stream_events(spark, sf):
     return annotation.replay_days(spark, _frames(spark, sf), events=True)
 
 
+def stream_delayed(spark, sf):
+    """I2 as a stream where predictions take the times of
+    ``annotated_delayed`` and wait in the camera's state until a frame is
+    shown after their completion, read back from the sink."""
+    from ..streaming import annotation
+    k = F.get_json_object(F.col("image").cast("string"), "$.k").cast("int")
+    return annotation.replay_days(spark, _frames(spark, sf), delays=_delays(k))
+
+
 # --- J: scoring -----------------------------------------------------------------
 
 def _decoded_messages(spark, sf):
@@ -531,7 +543,7 @@ QUERIES = {name: globals()[name] for name in [
     "label_counts", "summary_text", "batch_metrics",
     "rolling_features", "carry_forward_text", "latest_feature", "micro_batch_trigger", "late_data",
     "late_rows", "label_counts_stream", "sampling_cycle_stream",
-    "box_overlays", "annotated_results", "annotated_stream", "stream_events",
+    "box_overlays", "annotated_results", "annotated_stream", "stream_events", "stream_delayed",
     "annotated_images", "annotated_delayed",
     "score_detections", "score_features", "score_events", "score_activity", "score_frames_sampled",
 ]}

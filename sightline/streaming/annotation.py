@@ -48,6 +48,8 @@ from .state import duration_ms
 
 _LIST = scoring.BOX_LIST
 _LATEST = T.StructType([T.StructField("src", T.LongType()), T.StructField("list", _LIST)])
+# A prediction that takes time, ordered by its completion, then its frame.
+_TIMED = T.StructType([T.StructField("done", T.TimestampNTZType()), T.StructField("at", T.TimestampNTZType()), *_LATEST.fields])
 _RING = T.ArrayType(T.StructType([T.StructField("src", T.LongType()), T.StructField("vec", scoring.VECTOR)]))
 _EVENTS = T.StructType([T.StructField("src", T.LongType()), T.StructField("classes", T.ArrayType(T.StructType([
     T.StructField("class_idx", T.IntegerType()), T.StructField("score", T.DoubleType())])))])
@@ -70,7 +72,7 @@ def annotate_batch(frames: DataFrame, state: Callable[[DataFrame, bool, list[int
                    config: C.PipelineConfig = C.DEFAULT_CONFIG, freshness: bool = True, now: str | None = None,
                    colours=None, height: int = TB.FRAME_HEIGHT, held: list[DataFrame] | None = None,
                    models: FeatureModels | None = None, rates: DataFrame | None = None,
-                   stats: dict | None = None) -> DataFrame:
+                   stats: dict | None = None, delays: dict[str, Column] | None = None) -> DataFrame:
     """One micro-batch: a row per camera that has a frame to show, with
     camera_id, offset, seq, timestamp, image, boxes, prediction, and the
     camera's new state (``latest_<detector>``). ``state(ids, few, buckets)``
@@ -87,7 +89,16 @@ def annotate_batch(frames: DataFrame, state: Callable[[DataFrame, bool, list[int
 
     With ``rates`` (``select.rate_intervals``) the detectors, their rates and
     whether they are on are those of the interval of the frame's time, not
-    those of ``config``; the camera's counter starts again with an interval."""
+    those of ``config``; the camera's counter starts again with an interval.
+
+    ``delays`` gives detectors the time from a due frame to its prediction, an
+    interval column over the frame (null is no time), as in
+    ``plans.annotate.annotate_completed``: a frame shows the prediction that
+    completed last at or before its time. Predictions under way wait in the
+    camera's state (``waiting_<detector>``): as many as are due within one delay.
+    One that was shown stands until one that completed later, also where a
+    camera's time steps back."""
+    delays = {n: d for n, d in (delays or {}).items() if n in scorers}
     on = {d.name: d for d in config.active_detectors()}
     feature = models is not None and (rates is not None or "feature" in on)
     thresholds = config.thresholds()
@@ -108,9 +119,15 @@ def annotate_batch(frames: DataFrame, state: Callable[[DataFrame, bool, list[int
         stats["n_kept"] = n_kept
     kept = in_interval(first, rates, "event_ts").drop("event_ts", "cycle") if rates is not None else \
         first.drop("event_ts").withColumn("epoch", F.lit(None).cast("int"))
-    before = {f.name: f.dataType for f in state_schema(scorers, models) if f.name not in ("camera_id", "seen_ms")}
+    before = {f.name: f.dataType for f in state_schema(scorers, models, delays) if f.name not in ("camera_id", "seen_ms")}
     old = state(first.select("camera_id"), few, buckets) if state is not None else None
     kept = kept.withColumnRenamed("camera_id", "cam")
+    if delays and few and old is not None:  # lists of any length: they are counted, too
+        old = old.persist()
+        if held is not None:
+            held.append(old)
+        lengths = [F.greatest(F.size(f"waiting_{n}"), F.lit(0)) for n in delays]
+        few = (old.agg(F.sum(reduce(Column.__add__, lengths, F.lit(0)))).first()[0] or 0) <= C.BROADCAST_CAMERAS
     if old is None:
         kept = kept.withColumns({f"old_{k}": F.lit(None).cast(t) for k, t in before.items()})
     else:
@@ -120,7 +137,7 @@ def annotate_batch(frames: DataFrame, state: Callable[[DataFrame, bool, list[int
     match = [x["camera_id"].eqNullSafe(side["cam"]), x["partition"].eqNullSafe(side["partition"]), x["offset"] == side["offset"]]
     seq = F.when(F.col("old_epoch").eqNullSafe(F.col("epoch")), F.coalesce("old_seq", F.lit(-1)) + 1).otherwise(F.lit(0))
     y = x.join(side, match).select(x["camera_id"], x["offset"], "timestamp", "image", seq.cast("bigint").alias("seq"), "epoch",
-                                   *(["rates"] if rates is not None else []), *[f"old_{k}" for k in before if k not in ("seq", "epoch")])
+                                   *([x["event_ts"].cast("timestamp_ntz").alias("at")] if delays else []), *(["rates"] if rates is not None else []), *[f"old_{k}" for k in before if k not in ("seq", "epoch")])
 
     def due(name: str) -> Column:
         rate = F.element_at("rates", name) if rates is not None else F.lit(on[name].rate)
@@ -132,11 +149,16 @@ def annotate_batch(frames: DataFrame, state: Callable[[DataFrame, bool, list[int
     empty, lists = F.array().cast(_LIST), []
     for n in names:
         new = F.struct(F.col("offset").alias("src"), F.col(f"found_{n}").alias("list"))
-        y = y.withColumn(f"latest_{n}", F.when(F.col(f"found_{n}").isNotNull(), new).otherwise(F.col(f"old_latest_{n}")))
+        if n in delays:
+            y = _complete(y, n, delays[n])
+        else:
+            y = y.withColumn(f"latest_{n}", F.when(F.col(f"found_{n}").isNotNull(), new).otherwise(F.col(f"old_latest_{n}")))
         shown = F.coalesce(F.col(f"latest_{n}.list"), empty)
         lists.append(F.when(F.map_contains_key("rates", n), shown).otherwise(empty) if rates is not None else shown)
     off = [n for n in scorers if n not in names]
-    y = y.withColumns({f"latest_{n}": F.col(f"old_latest_{n}") for n in off}) if off else y
+    for n in off:  # what is under way still completes, for when the detector is on again
+        y = _complete(y.withColumn(f"found_{n}", F.lit(None).cast(_LIST)), n, delays[n]) if n in delays else \
+            y.withColumn(f"latest_{n}", F.col(f"old_latest_{n}"))
     y = y.withColumn("shown", F.concat(empty, *lists))
     extra = []
     if models is not None:
@@ -145,7 +167,21 @@ def annotate_batch(frames: DataFrame, state: Callable[[DataFrame, bool, list[int
     text = F.when(F.size("shown") > 0, summary_of_list("shown")).otherwise(F.coalesce("old_prediction", F.lit("")))
     return y.select("camera_id", "offset", "seq", "epoch", "timestamp", "image",
                     overlay_list(F.col("shown"), TB.stub_colours() if colours is None else colours, height).alias("boxes"),
-                    text.alias("prediction"), *[f"latest_{n}" for n in scorers], *extra)
+                    text.alias("prediction"), *[f"latest_{n}" for n in scorers], *[f"waiting_{n}" for n in delays], *extra)
+
+
+def _complete(y: DataFrame, n: str, delay: Column) -> DataFrame:
+    """F5 on a camera's row at time ``at``: the standing prediction of detector
+    ``n`` and those still under way, from what waited and the frame's own."""
+    none = F.array().cast(T.ArrayType(_TIMED))
+    own = F.struct((F.col("at") + F.coalesce(delay, F.expr("INTERVAL '0' SECOND"))).alias("done"), "at",
+                   F.col("offset").alias("src"), F.col(f"found_{n}").alias("list"))
+    own = F.when(F.col(f"found_{n}").isNotNull(), F.array(own)).otherwise(none)
+    y = y.withColumn("_under_way", F.concat(F.coalesce(f"old_waiting_{n}", none), own))
+    done = F.filter("_under_way", lambda p: p["done"] <= F.col("at"))
+    return y.withColumns({
+        f"latest_{n}": F.array_max(F.concat(F.array_compact(F.array(f"old_latest_{n}")), done)),
+        f"waiting_{n}": F.filter("_under_way", lambda p: p["done"] > F.col("at"))}).drop("_under_way")
 
 
 def _score_features(y: DataFrame, models: FeatureModels) -> DataFrame:
@@ -169,10 +205,11 @@ def _score_features(y: DataFrame, models: FeatureModels) -> DataFrame:
     return y.withColumns({"events": F.coalesce(events, "old_events"), "activity": F.coalesce(activity, "old_activity")})
 
 
-def state_schema(scorers: dict, models: FeatureModels | None) -> T.StructType:
-    """The columns of a camera's state."""
+def state_schema(scorers: dict, models: FeatureModels | None, delays=()) -> T.StructType:
+    """The columns of a camera's state; ``delays`` names detectors that take time."""
     kinds = {"camera_id": T.StringType(), "seq": T.LongType(), "epoch": T.IntegerType(), "prediction": T.StringType(),
-             **{f"latest_{n}": _LATEST for n in scorers}}
+             **{f"latest_{n}": _TIMED if n in delays else _LATEST for n in scorers},
+             **{f"waiting_{n}": T.ArrayType(_TIMED) for n in scorers if n in delays}}
     if models is not None:
         kinds |= {"ring": _RING, "events": _EVENTS, "activity": _ACTIVITY}
     return T.StructType([T.StructField(n, t) for n, t in kinds.items()] + [T.StructField("seen_ms", T.LongType())])
@@ -180,7 +217,7 @@ def state_schema(scorers: dict, models: FeatureModels | None) -> T.StructType:
 
 def state_rows(results: DataFrame, seen_ms: int) -> DataFrame:
     """The state of the cameras of a batch: narrow columns of its results."""
-    keep = [c for c in results.columns if c in ("prediction", "epoch", "ring", "events", "activity") or c.startswith("latest_")]
+    keep = [c for c in results.columns if c in ("prediction", "epoch", "ring", "events", "activity") or c.startswith(("latest_", "waiting_"))]
     return results.select("camera_id", "seq", *keep, F.lit(seen_ms).cast("bigint").alias("seen_ms"))
 
 
@@ -282,17 +319,18 @@ def annotate_stream(records: DataFrame, write: Callable[[DataFrame, int], None],
                     idle_timeout: str | int | None = None, quarantine: str | None = None,
                     available_now: bool = True, state_root: str | None = None, first_batch: int = 0,
                     models: FeatureModels | None = None, rates: DataFrame | None = None,
-                    progress: ProgressTable | None = None) -> StreamingQuery:
+                    progress: ProgressTable | None = None, delays: dict[str, Column] | None = None) -> StreamingQuery:
     """Start the stream over raw ``records`` (partition, offset, value).
     ``write(results, batch_id)`` stores the annotated rows. ``config`` may be
     a function, asked anew for every micro-batch, so rates and toggles can
     change while the query runs (E2, F7). ``now`` may add a column ``now``.
     ``models`` adds events and activity, ``rates`` are changes of the
     detectors' settings valid from a time (``select.rate_intervals``),
-    ``progress`` a table of the batches (G3).
+    ``progress`` a table of the batches (G3), ``delays`` the time that
+    detectors take (``annotate_batch``).
     A query with another checkpoint continues an earlier one's cameras when
     it is given its ``state_root`` and the number after its last batch."""
-    store = CameraState(records.sparkSession, state_root or f"{checkpoint}/camera-state", state_schema(scorers, models))
+    store = CameraState(records.sparkSession, state_root or f"{checkpoint}/camera-state", state_schema(scorers, models, delays or ()))
     idle_ms = duration_ms(idle_timeout) if idle_timeout is not None else None
     intervals = rate_intervals(rates) if rates is not None else None
 
@@ -307,7 +345,7 @@ def annotate_stream(records: DataFrame, write: Callable[[DataFrame, int], None],
         held: list[DataFrame] = []
         r = annotate_batch(frames, lambda *asked: store.rows(number, *asked, oldest), scorers,
                            config() if callable(config) else config, freshness, "now" if now else None, held=held,
-                           models=models, rates=intervals, stats=stats).persist()
+                           models=models, rates=intervals, stats=stats, delays=delays).persist()
         try:
             write(r, number)
             store.write(number, state_rows(r, seen_ms), oldest)
@@ -325,7 +363,8 @@ def run_annotation(spark: SparkSession, source_path: str | None, sink_path: str
                    max_files_per_trigger: int | None = None, quarantine_path: str | None = None, idle_timeout=None,
                    source_format: str = "json", source_options: dict | None = None,
                    sink_format: str = "json", sink_options: dict | None = None, models: FeatureModels | None = None,
-                   rates: DataFrame | None = None, progress: ProgressTable | None = None) -> StreamingQuery:
+                   rates: DataFrame | None = None, progress: ProgressTable | None = None,
+                   delays: dict[str, Column] | None = None) -> StreamingQuery:
     """One command from frame records to result events (A1 -> I2 -> B5 -> A2),
     files or Kafka at either end: with ``"kafka"`` the options name the
     brokers and topic (``streams.kafka_options``). A file sink holds one
@@ -342,7 +381,7 @@ def run_annotation(spark: SparkSession, source_path: str | None, sink_path: str
             out.write.mode("overwrite").format(sink_format).save(f"{sink_path}/batch={batch_id}")
 
     return annotate_stream(recs, write, checkpoint, scorers, config, freshness, None, idle_timeout,
-                           quarantine_path, available_now, models=models, rates=rates, progress=progress)
+                           quarantine_path, available_now, models=models, rates=rates, progress=progress, delays=delays)
 
 
 def stub_scorers() -> dict:
@@ -357,12 +396,15 @@ def stub_models(size: int = 8) -> FeatureModels:
                          scoring.formula_activity_weights(size, 20))
 
 
-def replay_days(spark: SparkSession, frames: DataFrame, events: bool = False) -> DataFrame:
+def replay_days(spark: SparkSession, frames: DataFrame, events: bool = False,
+                delays: dict[str, Column] | None = None) -> DataFrame:
     """The frames replayed with one micro-batch per day; a frame is judged by
     its own clock (``tables.aged``). The sink's rows, with the boxes as text;
     with ``events`` instead camera_id, frame_id, the frame of the standing
     event result, its classes and the activity, as every camera's feature
-    detector runs on every second frame."""
+    detector runs on every second frame. With ``delays``, which may use ``k``,
+    camera_id, frame_id, seq, the frame of each detector's standing prediction,
+    the boxes and the text."""
     from ..operators.overlay import boxes_text
     from ..session import scratch_path
     root = scratch_path(spark, "annotated-stream")
@@ -379,6 +421,10 @@ def replay_days(spark: SparkSession, frames: DataFrame, events: bool = False) ->
             classes = F.transform("events.classes", lambda c: c["class_idx"].cast("string"))
             rows = results.select("camera_id", F.col("offset").alias("frame_id"), F.col("events.src").alias("event_frame_id"),
                                   F.array_join(classes, ",").alias("events"), F.col("activity.activity").alias("activity"))
+        elif delays is not None:
+            rows = results.select("camera_id", F.col("offset").alias("frame_id"), "seq",
+                                  *[F.col(f"latest_{n}.src").alias(f"{n}_frame_id") for n in stub_scorers()],
+                                  F.size("boxes").alias("n_boxes"), boxes_text(F.col("boxes")).alias("boxes"), "prediction")
         else:
             ev = F.from_json(codec.result_envelope(F.col("timestamp"), F.col("camera_id"), codec.encode_image(F.col("image")),
                                                    F.col("prediction")), codec.RESULT_EVENT_SCHEMA)
@@ -397,7 +443,8 @@ def replay_days(spark: SparkSession, frames: DataFrame, events: bool = False) ->
     for n, d in enumerate(days):
         recs = streams.frame_records(spark, "json", f"{root}/in/_day={d}", streaming=True)
         annotate_stream(recs, write, f"{root}/ckpt-{n}", {} if events else stub_scorers(), config, now=clock,
-                        state_root=f"{root}/state", first_batch=n, models=stub_models() if events else None).awaitTermination()
+                        state_root=f"{root}/state", first_batch=n, models=stub_models() if events else None,
+                        delays=delays).awaitTermination()
     return spark.read.parquet(out).drop("batch")
 
 

@@ -11,9 +11,10 @@ from sightline import config as C
 from sightline.operators.sequence import keyed_sequence
 from sightline.plans import annotate
 from sightline.sources import streams, tables as TB
-from sightline.streaming import pipeline
+from sightline.streaming import annotation, pipeline
 
 from .conftest import SF_SMALL
+from .test_annotation_stream import _one_camera_files, _write
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -80,6 +81,76 @@ def test_no_frames_and_no_detectors(spark):
     assert [(x.object_frame_id, x.firearm_frame_id, x.boxes, x.prediction) for x in r.collect()] == [(None, None, [], "")] * 5
 
 
+EVERY = C.PipelineConfig(detectors=(C.Detector("object", 1, C.OBJECT_THRESHOLD), C.Detector("firearm", 2, C.FIREARM_THRESHOLD)))
+
+
+def _secs(k):
+    return {"object": F.make_dt_interval(secs=k % 4 * 2), "firearm": F.make_dt_interval(secs=k % 3)}
+
+
+def _stream(spark, d, config=EVERY, delays=None, **kw):
+    """Rows of the stream over the files in ``d``, a micro-batch for each."""
+    out = []
+
+    def write(r, n):
+        out.extend(r.select("camera_id", "offset", "seq", "boxes", "prediction", "waiting_object", F.col("latest_object.src").alias("object"),
+                            F.col("latest_firearm.src").alias("firearm")).collect())
+
+    recs = streams.frame_records(spark, "json", d + "/src/*", streaming=True, max_files_per_trigger=1)
+    annotation.annotate_stream(recs, write, d + "/ckpt", annotation.stub_scorers(), config, freshness=False,
+                               delays=delays or _secs(F.get_json_object(F.col("image").cast("string"), "$.k").cast("int")), **kw).awaitTermination()
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [C.BROADCAST_CAMERAS, 2])
+def test_predictions_under_way_wait_in_the_stream_state(spark, monkeypatch, broadcast):
+    """The stream, over a restart, shows what the batch form shows; also where
+    the waiting lists are too long to broadcast."""
+    monkeypatch.setattr(C, "BROADCAST_CAMERAS", broadcast)
+    d = tempfile.mkdtemp(prefix="st-late-")
+    f = _one_camera_files(spark, d, 7)
+    out = _stream(spark, d)
+    more = [(c, 700 + c, T0 + dt.timedelta(seconds=9), 5 + c) for c in range(2)]
+    _write(spark, f"{d}/src/q0", more)
+    out += _stream(spark, d)  # goes on from the checkpoint
+    f = f.unionByName(spark.createDataFrame(more, f.schema))
+    ref = {r.frame_id: r for r in annotate.annotated_delayed(f, _secs(F.col("k")), EVERY).collect()}
+    assert len(out) == len(ref) == 16
+    for r in out:
+        b = ref[r.offset]
+        assert (r.seq, r.object, r.firearm, r.prediction) == (b.seq, b.object_frame_id, b.firearm_frame_id, b.prediction)
+        assert r.boxes == b.boxes
+        now = T0 + dt.timedelta(seconds=9 if r.offset >= 700 else r.offset // 100)
+        assert all(w.done > now >= w.at for w in r.waiting_object) and len(r.waiting_object) <= 6  # those of one delay
+    assert any(r.waiting_object for r in out) and any(r.object is not None and r.object < r.offset for r in out)
+
+
+def test_a_shown_prediction_stands_when_time_steps_back(spark):
+    d = tempfile.mkdtemp(prefix="st-back-")
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    for i, s in enumerate((0, 5, 1, 6)):
+        _write(spark, f"{d}/src/p{i}", [(7, i, at(s), 2)])
+    one = C.PipelineConfig(detectors=(C.Detector("object", 1, 0.0),))
+    out = _stream(spark, d, one, {"object": F.make_dt_interval(secs=F.lit(2)), "unknown": F.lit(None)})
+    assert [(r.offset, r.object, [w.src for w in r.waiting_object]) for r in sorted(out, key=lambda r: r.offset)] == [
+        (0, None, [0]), (1, 0, [1]), (2, 0, [1, 2]), (3, 2, [1, 3])]
+
+
+def test_predictions_of_a_detector_turned_off_still_complete(spark):
+    d = tempfile.mkdtemp(prefix="st-off-")
+    for i in range(3):
+        _write(spark, f"{d}/src/p{i}", [(7, i, T0 + dt.timedelta(seconds=i), 2)])
+    asked = []
+
+    def config():
+        asked.append(1)
+        return C.PipelineConfig(detectors=(C.Detector("object", 1, 0.0, enabled=len(asked) < 2),))
+
+    out = _stream(spark, d, config, {"object": F.make_dt_interval(secs=F.lit(2))})
+    assert [(r.offset, r.object, len(r.waiting_object), len(r.boxes)) for r in sorted(out, key=lambda r: r.offset)] == [
+        (0, None, 1, 0), (1, None, 1, 0), (2, 0, 0, 0)]
+
+
 GOOD = {"timestamp": "2024-01-01T00:00:00.5", "camera_id": "c", "image": "aGk=", "prediction": None}
 BROKEN = [
     ("{", "malformed_json"), ("", "malformed_json"), (" \n", "malformed_json"), (None, "malformed_json"), ("[1]", "malformed_json"),
