@@ -2,9 +2,12 @@
 
 import datetime as dt
 import io
+import random
 import tarfile
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,6 +159,109 @@ def test_damaged_archives_say_so(spark, tmp_path):
     assert sum("no camera" in b for b in bad) == 1 and any("b.tar" in b for b in bad) and any("c.tar" in b for b in bad)
 
 
+def _stills(n):
+    """Names, times (microseconds) and images: all plain ones, then odd ones."""
+    us = 1_704_067_211_172_425
+    plain = [(f"{i % 7}/{i}", us + 1_234_567 * i if i % 5 else us // 10 ** (i % 7) * 10 ** (i % 7), b"i" * (i * 97 % 1300)) for i in range(n)]
+    odd = [("kamera ü/1", us, b"x"), ("c" * 95 + "/1234", us, b""), ("c" * 96 + "/1234", us, b"y" * 512), ("a/None", 0, b""),
+           ("b/2", -1, b"z"), ("b/3", 1, b"z"), ("b/4", 9 * 10 ** 15, b"z"), ("/5", us // 10 ** 6 * 10 ** 6, b"z" * 513)]
+    return plain, plain[:3] + odd + plain[3:]
+
+
+def _blocks(rows):
+    names, us, images = zip(*rows)
+    return stills._tar_blocks(pa.array(names), np.array(us), pa.array(images, pa.binary())).tobytes()
+
+
+def _by_tarfile(rows, fmt=tarfile.PAX_FORMAT, whole=float):
+    held = io.BytesIO()
+    with tarfile.open(fileobj=held, mode="w", format=fmt) as tar:
+        for name, us, image in rows:
+            m = tarfile.TarInfo(name)
+            m.size, m.mtime = len(image), whole(us / 1_000_000)
+            tar.addfile(m, io.BytesIO(image))
+    return held.getvalue()
+
+
+def test_archives_are_those_of_tarfile():
+    for rows in _stills(200):
+        data = pa.py_buffer(_by_tarfile(rows))
+        assert data.to_pybytes().rstrip(b"\0") == _blocks(rows).rstrip(b"\0")
+        assert stills._any_members("p", data) == (tuple(zip(*rows)), None)
+    rows = _stills(200)[0]
+    for data, step in ((_by_tarfile(rows), 1), (_by_tarfile(rows, tarfile.GNU_FORMAT, int), 10 ** 6),
+                       (_by_tarfile(rows, tarfile.USTAR_FORMAT, int), 10 ** 6)):
+        assert list(zip(*stills._plain_members(pa.py_buffer(data)))) == [(n, us // step * step, i) for n, us, i in rows]
+
+
+def test_number_of_single_headers_does_not_grow(monkeypatch):
+    """Packing and reading are done by columns, not still by still in ``tarfile``."""
+    calls, new = [], tarfile.TarInfo.__init__
+    monkeypatch.setattr(tarfile.TarInfo, "__init__", lambda self, *a, **b: (calls.append(1), new(self, *a, **b))[1])
+    made = []
+    for n in (50, 1000):
+        rows = _stills(n)[0]
+        data = pa.py_buffer(_by_tarfile(rows))
+        calls.clear()
+        batch = stills._members("p", data)
+        assert batch.num_rows == n and batch.column("reason").null_count == n
+        made.append(len(calls))
+        _blocks(rows)
+        made.append(len(calls))
+    assert made[:2] == made[2:]
+
+
+def test_odd_archives_read_as_by_tarfile(monkeypatch):
+    """Any byte of an archive may be wrong, and it may end anywhere."""
+    draw = random.Random(5)
+    whole = [_by_tarfile(r[:12]) for r in _stills(12)] + [_by_tarfile(_stills(9)[0], tarfile.GNU_FORMAT, int)]
+    cases = [*whole, b"", bytes(512), bytes(10240)]
+    for _ in range(600):
+        data = bytearray(draw.choice(whole))
+        if draw.random() < 0.2:
+            del data[draw.randrange(len(data)):]
+        else:
+            for _ in range(draw.randint(1, 2)):
+                at = draw.randrange(len(data) // 512) * 512 + draw.choice([0, 5, 30, 99, 124, 130, 134, 135, 140, 147, 150, 154, 156, 257, 262, 345, 500])
+                data[at] = draw.choice(b"\0\n 0179x.=\xe9")  # a negative size keeps tarfile itself in a loop
+            if draw.random() < 0.7:  # with checksums that hold
+                for at in range(0, len(data), 512):
+                    if data[at + 257:at + 262] == b"ustar":
+                        data[at + 148:at + 156] = b" " * 8
+                        data[at + 148:at + 156] = b"%06o\0 " % sum(data[at:at + 512])
+        cases.append(bytes(data))
+
+    def read(data):
+        try:
+            return stills._members("p", pa.py_buffer(data)).to_pylist()
+        except Exception as e:
+            return type(e)
+
+    got = [read(c) for c in cases]
+    taken = sum(stills._plain_members(pa.py_buffer(c)) is not None for c in cases)
+    assert 0 < taken < len(cases)
+    monkeypatch.setattr(stills, "_plain_members", lambda data: None)
+    assert got == [read(c) for c in cases]
+
+
+def test_a_still_without_time_is_an_error(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, None, b"x")], "camera_id long, frame_id long, ts timestamp, content binary")
+    with pytest.raises(Exception, match="TypeError"):
+        stills.write_archives(rows, str(tmp_path / "in"))
+
+
+def test_stills_without_camera_number_or_image(spark, tmp_path):
+    t = dt.datetime(2024, 1, 2, 3, 4, 5, 60)
+    rows = spark.createDataFrame([(1, 1, t, None), (None, 2, t, b"x"), (3, None, t, b"y"), (3, 3, t, b"z"), (3, 3, t, b"z")],
+                                 "camera_id long, frame_id long, ts timestamp, content binary").coalesce(1)
+    assert stills.write_archives(rows, str(tmp_path / "in"), archive_bytes=2049) == 5
+    assert len(list((tmp_path / "in").glob("*.tar"))) == 3  # 1024 + 1025, 1025 + 1025, 1025
+    ev = codec.parse_frame_event("value")
+    got = stills.packed_stills(spark, str(tmp_path / "in"), streaming=False).select("camera_id", "frame_id", codec.decode_image(ev["image"]), "reason")
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [
+        ("1", 1, b"", None), ("None", 2, b"x", None), ("3", None, b"y", None)] + 2 * [("3", 3, b"z", None)]))
+
+
 def test_late_split_keeps_and_counts(spark, tmp_path):
     """Batches of hours from midnight; delay of two hours, windows of one."""
     hours = [[1.5, 2.2, None], [5.5, 3.2], [3.9, 1.1, 3.0, 4.0], [9.0, 2.5], [7.5, 6.9]]
